@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, chunks, column, text_buffers
 from .components import components
@@ -34,6 +35,7 @@ SMALL = 4
 #: Share of all texts from which on a shingle counts as frequent; bounds the list of frequent shingles by mean set size / FREQUENT.
 FREQUENT = 0.002
 BLOCK = 1 << 21
+SIGNED = T.StructType([T.StructField(name, T.LongType(), False) for name in ("sig", "node")])
 
 
 @lru_cache(16)
@@ -210,7 +212,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     frequent = np.sort(common.toPandas()["feature"].to_numpy(np.int64).view(np.uint64))  # bounded: see FREQUENT
     shared = spark.sparkContext.broadcast(frequent.tobytes())
 
-    signed = docs.select("text").where("text is not null").mapInArrow(sign(k, num, den, shared), "sig long, node long")
+    # not nullable, so that both uses below have the same plan and share one exchange
+    signed = docs.select("text").where("text is not null").mapInArrow(sign(k, num, den, shared), SIGNED)
     signed = signed.repartition("sig")
     groups = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("sig", "pivot")
     met = signed.join(groups.hint("shuffle_hash"), "sig").where("node <> pivot").select("sig", "pivot", "node")
