@@ -11,8 +11,11 @@ below that can reach into it share one instance. Two sets of sizes r and s at Ja
   sign; the order affects cost only, never the result.
 
 Candidates: each signature's sets are compared with its least set; then sets that share a signature but are not yet
-connected, unless the metric 1 - Jaccard already rules them out by their distances to that least set. The comparison is
-exact over the sets' 64-bit shingle hashes. Identical sets are one node, so copies cost no comparison.
+connected, unless the metric 1 - Jaccard already rules them out by their distances to that least set. Signatures of more
+than CROWD sets are left out for a set that has no more of them than signatures to spare, since a similar set then shares
+another one. Sets with more form families, which crowded signatures connect (mostly many edited copies of one text); these
+are compared in pairs of blocks by matrix products, and only links that connect leave a block. The comparison is exact over
+the sets' 64-bit shingle hashes. Identical sets are one node, so copies cost no comparison.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ SMALL = 4
 #: Share of all texts from which on a shingle counts as frequent; bounds the list of frequent shingles by mean set size / FREQUENT.
 FREQUENT = 0.002
 BLOCK = 1 << 21
+#: A set has one signature to spare for each SPARE features; a signature of over CROWD sets is crowded.
+SPARE, CROWD = 40, 16
+#: Features and sets of a block of a family.
+BLOCK_FEATURES, BLOCK_SETS = 1 << 18, 512
 SIGNED = T.StructType([T.StructField(name, T.LongType(), False) for name in ("sig", "node")])
 
 
@@ -54,6 +61,11 @@ def _differences(total: int, num: int, den: int) -> int:
     return total * (den - num) // (den + num)
 
 
+def spare(r):
+    """Signatures a set of r features has beyond those it needs: similar sets then share one more than this."""
+    return r // SPARE
+
+
 def node_of(features: np.ndarray) -> int:
     """64-bit hash of a set: equal sets are one node."""
     return int(mix(mix(features ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + U(len(features))).view(np.int64)[0])
@@ -90,7 +102,7 @@ def signatures(features: np.ndarray, frequent: np.ndarray, num: int, den: int) -
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)))
         upto = np.concatenate(([0], np.cumsum(counts)))
         values = mix(total[upto[1:]] - total[upto[:-1]] + turn + np.arange(1, parts + 1).astype(np.uint64) * MULTIPLIERS[2])
-        own = _differences(r + largest, num, den)
+        own = _differences(r + largest, num, den) + spare(r)
         # the order: more rare features first, more features first, then the signature itself
         first = np.lexsort((values, -counts, -rare))[: min(own + 1, parts)]
         out.append(values[first])
@@ -195,6 +207,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return seen.select("a", "b", (1 - F.col("n_both") / union).alias("distance"), (den * F.col("n_both") >= num * union).alias("linked"))
 
 
+def forest(batches):
+    """Rows (family, i, j, block, node, features), all of a (family, i, j) together -> links (a, b) that connect what is linked.
+
+    Of the sets of blocks i and j all pairs are compared at once, as products of their matrix of shared features.
+    """
+
+    def flush(key, rows, num, den):
+        own = [(r[1], np.frombuffer(r[2], np.uint64)) for r in rows]
+        n = len(own)
+        if n < 2:
+            return []
+        sizes = np.array([len(f) for _, f in own])
+        which = np.repeat(np.arange(n), sizes)
+        values, place, times = np.unique(np.concatenate([f for _, f in own]), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)
+        rank = np.full(len(values), -1)
+        rank[shared] = np.arange(len(shared))
+        rank = rank[place]
+        which, rank = which[rank >= 0], rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        which, rank = which[order], rank[order]
+        both = np.zeros((n, n), np.float32)
+        for lo in range(0, len(shared), 4096):
+            x, y = np.searchsorted(rank, (lo, lo + 4096))
+            matrix = np.zeros((n, 4096), np.float32)
+            matrix[which[x:y], rank[x:y] - lo] = 1
+            both += matrix @ matrix.T
+        linked = den * both.astype(np.float64) >= num * (sizes[:, None] + sizes[None, :] - both)
+        out, seen = [], np.zeros(n, bool)
+        for root in range(n):
+            if seen[root]:
+                continue
+            seen[root] = True
+            todo = [root]
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(linked[i] & ~seen)
+                seen[new] = True
+                out += [(own[i][0], own[j][0]) for j in new.tolist()]
+                todo += new.tolist()
+        return out
+
+    key, rows, links = None, [], []
+    for batch in batches:
+        cols = {name: column(batch, name).to_pylist() for name in ("family", "i", "j", "block", "node", "features", "num", "den")}
+        for f, i, j, block, node, features, num, den in zip(*cols.values(), strict=True):
+            if (f, i, j) != key:
+                if rows:
+                    links += flush(key, rows, *share)
+                key, rows, share = (f, i, j), [], (num, den)
+            rows.append((block, node, features))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+            links = []
+    if rows:
+        links = flush(key, rows, *share)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+
+def _family_links(families: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within families, (node, n, family), compared block by block: a block has about BLOCK_FEATURES features or BLOCK_SETS sets."""
+    blocks = families.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_FEATURES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    parts = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    parts = parts.select("family", "node", "block", others).select("family", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = parts.join(sets, "node").withColumns({"num": F.lit(num), "den": F.lit(den)})
+    return full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(forest, "a long, b long")
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Columns doc_id, text -> doc_id, n_shingles, component_id: classes of texts that links of Jaccard >= num / den reach.
 
@@ -215,13 +296,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # not nullable, so that both uses below have the same plan and share one exchange
     signed = docs.select("text").where("text is not null").mapInArrow(sign(k, num, den, shared), SIGNED)
     signed = signed.repartition("sig")
-    groups = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("sig", "pivot")
-    met = signed.join(groups.hint("shuffle_hash"), "sig").where("node <> pivot").select("sig", "pivot", "node")
-    met = scratch.write(met, "met")
+    groups = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("c")).where("pivot <> last")
+    met = signed.join(groups.select("sig", "pivot", (F.col("c") > CROWD).alias("crowded")).hint("shuffle_hash"), "sig").where("crowded or node <> pivot")
+    met = scratch.write(met.select("sig", "pivot", "node", "crowded"), "met")
     scratch.free_shuffles()
 
-    stars = scratch.write(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    nodes = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node"))).distinct()
+    # crowded signatures: only for sets with more of them than signatures to spare
+    sizes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"))
+    crowds = met.where("crowded").distinct()
+    strong = crowds.groupBy("node").agg(F.count(F.lit(1)).alias("h")).join(sizes, "node").where(F.col("h") > F.floor(F.col("n") / SPARE)).select("node", "n")
+    crowds = scratch.write(crowds.join(strong, "node").select("sig", "node", "n"), "crowds")
+    lead = crowds.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    families = components(crowds.join(lead, "sig").select("a", F.col("node").alias("b")).distinct(), scratch, "family")
+    families = families.join(crowds.select("node", "n").distinct(), "node").withColumnRenamed("label", "family")
+    families = scratch.write(families, "families")
+
+    cold = met.where("not crowded")
+    stars = scratch.write(cold.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    nodes = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node"))).unionAll(families.select("node")).distinct()
     # one text stands for each node; ids may repeat or be null, so the text's own node decides
     first = rows.where("node is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))).alias("rep"))
     reps = first.select("node", F.col("rep.doc_id").alias("doc_id"))
@@ -230,13 +322,14 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     scratch.free_shuffles()
 
     checked = scratch.write(_verified(stars, sets, num, den), "checked")
+    links = checked.where("linked").select("a", "b").unionAll(_family_links(families, sets, num, den))
+    links = scratch.write(links, "links")
     scratch.free_shuffles()
-    links = checked.where("linked").select("a", "b")
     labels = components(links, scratch, "first")
 
     # sets that share a signature, are not connected, and whose distances to its pivot leave a link possible
     near = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance")
-    members = met.join(near, ["pivot", "node"]).join(labels, "node", "left").select("sig", "node", "distance", F.coalesce("label", "node").alias("label"))
+    members = cold.join(near, ["pivot", "node"]).join(labels, "node", "left").select("sig", "node", "distance", F.coalesce("label", "node").alias("label"))
     mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     members = scratch.write(members.join(mixed, "sig", "left_semi"), "members")
     left, right = (members.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "distance", "label"))) for s in "ab")
@@ -246,7 +339,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         found = scratch.write(_verified(more, sets, num, den).where("linked").select("a", "b"), "found")
         labels = components(links.unionAll(found), scratch, "second")
 
-    scratch.drop("met", "sets", "members")
+    scratch.drop("met", "sets", "members", "crowds", "families")
     label = rows.where("node is not null").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     ids = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     full = label.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
