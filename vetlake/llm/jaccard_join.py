@@ -341,7 +341,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     scratch.drop("met", "sets", "members", "crowds", "families")
     label = rows.where("node is not null").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    ids = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below stands alone and a label with very many rows can be split
+    ids = scratch.write(label.groupBy("label").agg(F.min("doc_id").alias("component_id")), "ids")
     full = label.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("node is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionAll(empty)

@@ -1,9 +1,15 @@
-"""The queries of this subpackage, with production parameters, and their SQL where SQL can express them."""
+"""The queries of this subpackage, with production parameters, and their SQL where SQL can express them.
+
+Each query gets its rows through its operator and derives the digest columns from the operator's own results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import attention_quality, decontaminate, licences, packing, quality_rules, sharding, substring_dedup, tokens, toxicity
+from .folds import held_out
 from .jaccard_join import ngram_jaccard_join
 
 
@@ -11,14 +17,124 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: doc_id, held_out, score, predicted."""
+    rows = attention_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    rows = decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    rows = rows.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return rows.withColumn("contaminated", decontaminate.contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    rows = tokens.token_files(_table(spark, sf_dir, "documents"), end=2)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files: source / language / doc_id; short ones that name a licence are licence files."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), "text")
+    rows = licences.scan(files, is_licence_file=F.octet_length("text") < 2000)
+    return rows.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "own_licence", F.round("similarity", 6).alias("similarity"), "licence", "licence_dir")
+
+
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    rows = sharding.shard(_table(spark, sf_dir, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document: measurements, base_failed, kept, and the bits of failed rules."""
+    rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates: doc_id, n_shingles, component_id."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, predicted."""
+    rows = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in training sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    rows = packing.pack(_table(spark, sf_dir, "documents"), end=1)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op10_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share: other_id's and doc_id's word ranges, with other_id < doc_id."""
+    rows = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("b").alias("doc_id"), F.col("begin_b").alias("begin"), F.col("end_b").alias("end"), F.col("a").alias("other_id"), F.col("begin_a").alias("other_begin"), F.col("end_a").alias("other_end"), "n_equal", "n_columns")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_ngram_jaccard,)}
+    every = (op1_attention_quality, op2_prefix_decontamination, op3_token_files, op4_licence_scan, op5_sampled_splitters, op6_rule_ledger, op7_ngram_jaccard, op8_kneser_ney_toxicity, op9_hierarchical_packing, op10_chained_passages)
+    return {f.__name__: f for f in every}
+
+
+#: A-Z to a-z, as the contracts lower-case.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bs),
+sizes AS (SELECT DISTINCT n FROM bw),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM ds),
+hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+_OP6 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM s),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_bangs, len(l) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN p ON d.doc_id = p.doc_id),
+f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+    + 8 * (10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
+    + 32 * (2 * n_bangs > n_words)::INT AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+"""
+
+_OP7 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, least(len(w), 5) AS n, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS g FROM x),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM s p JOIN s q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN z u ON u.doc_id = a JOIN z v ON v.doc_id = b WHERE 100 * o.n >= 80 * (u.n + v.n - o.n)),
+t AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT c.a, t.b FROM c JOIN t ON t.a = c.b)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, m.b) AS component_id
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id JOIN (SELECT a, min(b) AS b FROM c GROUP BY a) m ON m.a = d.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express: models, tokenizers, samples and alignments are tested otherwise."""
+    return {"op2_prefix_decontamination": _OP2, "op6_rule_ledger": _OP6, "op7_ngram_jaccard": _OP7}
