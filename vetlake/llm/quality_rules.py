@@ -19,7 +19,7 @@ RULES = {
     "too_few_words": lambda: F.col("n_words") < 20,
     "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
     "symbols": lambda: 10 * F.col("n_symbols") > 3 * F.col("n_words"),
-    "repeated_lines": lambda: 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+    "repeated_lines": lambda: 10 * F.col("n_dup_lines") > 6 * F.col("n_lines"),
     "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
     "shouting": lambda: 2 * F.col("n_bangs") > F.col("n_words"),
 }
