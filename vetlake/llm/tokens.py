@@ -9,7 +9,6 @@ prefix sum of the partitions' totals, plus its own offsets.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 
 import numpy as np
@@ -19,12 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column
+from .common import Scratch, chunks, column, text_buffers
+from .words import byte_hashes
 
 MAGIC = 0x31584449544556  # "VETIDX1", little-endian
-#: The bytes of text that the cache of pieces holds at most, and the longest piece it keeps.
-CACHE_CHARS, LONGEST = 6_000_000, 48
-_ODD = re.compile(r"\s ")
+#: Pieces that the cache holds at most, and the bytes of a piece too long for it.
+CACHED, LONGEST = 1_500_000, 2000
+# The white space of Unicode beyond ASCII, and the characters that byte-level vocabularies write bytes with:
+# printable ones of Latin-1 stand for themselves, the others in order for U+0100 and on.
+_SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED) if b != 0x0A}
+_LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _made: dict[str, Encoder] = {}
 
 
@@ -34,11 +39,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _odd_texts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The texts with two white-space characters in a row, or with any but blanks and line ends."""
+    either = space | line
+    at = [np.flatnonzero(either[1:] & either[:-1]) + 1, np.flatnonzero((data < 0x20) & ~line)]
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    x = data[lead].astype(np.int64)
+    y, z = (data[np.minimum(lead + i, len(data) - 1)].astype(np.int64) for i in (1, 2))
+    code = np.where(x == 0xC2, y, ((x & 15) << 12) | ((y & 63) << 6) | (z & 63))
+    at.append(lead[np.isin(code, _SPACES)])
+    out = np.concatenate(at)
+    own = np.searchsorted(offsets, out, "right") - 1
+    # two in a row count only within one text
+    pair = np.arange(len(out)) < len(at[0])
+    return np.unique(own[~pair | (out > offsets[own])])
+
+
 class Encoder:
-    """Encodes texts exactly as the tokenizer does, but each distinct piece between spaces only once.
+    """Encodes texts exactly as the tokenizer does, but each distinct piece only once while the cache holds it.
 
-    A byte-level pre-tokenizer never joins what lies before a space with that space if no white space precedes it, so ids
-    of the pieces " word" can be strung together. Texts where white space stands before a space are encoded whole.
+    A byte-level pre-tokenizer cuts before white space that follows anything else, around single line ends, and between an
+    ASCII letter and a full stop or comma that ends a word. The ids of such pieces can be strung together. Pieces are found
+    and looked up by 64-bit hashes of their bytes, for many texts at once; new ones that are letters only go straight to the
+    tokenizer's model, others through all of it. Texts with other white space, or two in a row, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -47,64 +70,88 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars, self.used, self.count = 0, 0, 0
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-
-    def _add(self, pieces: list[str], texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = np.fromiter((x for own in ids for x in own), self.dtype, int(sizes.sum()))
-        while self.used + len(more) > len(self.flat):
+        self.keys = np.zeros(0, np.uint64)
+        self.start = self.size = np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _encode(self, pieces: list[str]) -> tuple[list[int], np.ndarray]:
+        """(ids one after the other, number of each)."""
+        ids: list[list[int]] = [[]] * len(pieces)
+        plain = [i for i, x in enumerate(pieces) if (x[1:] if x[:1] == " " else x).isalpha()]
+        mapped = "\n".join([pieces[i] for i in plain]).encode().decode("latin-1").translate(_BYTES).split("\n") if plain else []
+        for i, found in zip(plain, map(self.model.tokenize, mapped), strict=True):
+            ids[i] = [t.id for t in found]
+        rest = [i for i, x in enumerate(ids) if not x]
+        for i, e in zip(rest, self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        return [x for own in ids for x in own], np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids, sizes = self._encode(pieces)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while self.count + len(ids) > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.flat[self.used : self.used + len(more)] = more
-        self.size[self.count : self.count + len(ids)] = sizes
-        self.start[self.count : self.count + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.known.update(zip(pieces, range(self.count, self.count + len(ids)), strict=True))
-        self.used += len(more)
-        self.count += len(ids)
-        self.chars += sum(map(len, pieces))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one after the other; number of ids of each)."""
-        if self.chars > CACHE_CHARS:
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += len(ids)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of texts and their offsets -> (ids of all texts, one after the other; number of ids of each)."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(len(offsets) - 1, np.int64)
+        if len(self.keys) > CACHED or self.used > 8 * CACHED:
             self.clear()
-        pieces, counts, whole = [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                counts.append(0)
-            elif _ODD.search(text):
-                pieces.append("\0" + text)
-                counts.append(1)
-                whole.append(i)
-            else:
-                own = text.split(" ")
-                own[0] = "\0" + own[0]  # no space before it
-                pieces += own
-                counts.append(len(own))
-        missing = list(set(pieces).difference(self.known))
-        long = [x for x in missing if len(x) > LONGEST]
-        if missing:
-            self._add(missing, [x[1:] if x[:1] == "\0" else " " + x for x in missing])
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.size[at]
+        space, line = data == 0x20, data == 0x0A
+        odd = _odd_texts(data, offsets, space, line)
+        first = np.unique(offsets[:-1][np.diff(offsets) > 0])
+        start = space | line
+        start[1:] |= line[:-1]
+        stop = (data == 0x2E) | (data == 0x2C)
+        after = np.ones(n, bool)  # white space or the end of the text follows
+        after[:-1] = start[1:]
+        after[first[1:] - 1] = True
+        stop &= after
+        stop[1:] &= _LETTERS[data[:-1]]
+        stop[first] = False
+        start |= stop
+        start[first] = True
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], n)
+        keys = byte_hashes(data, begin, end)
+        values, at, place = np.unique(keys, return_index=True, return_inverse=True)
+        near = np.minimum(np.searchsorted(self.keys, values), max(len(self.keys) - 1, 0))
+        new = self.keys[near] != values if len(self.keys) else np.ones(len(values), bool)
+        if new.any():
+            # a piece with a line end is the line end alone, or lies in a text that is encoded whole
+            lo, hi = begin[at[new]], end[at[new]]
+            sizes = hi - lo + 1
+            ends = np.cumsum(sizes)
+            where = np.repeat(lo - ends + sizes, sizes) + np.arange(ends[-1])
+            joined = data[np.minimum(where, n - 1)]
+            joined[ends - 1] = 0xFF  # never in UTF-8
+            self._learn(values[new], [x.decode("utf-8", "replace") for x in joined[:-1].tobytes().split(b"\xff")])
+        near = np.searchsorted(self.keys, values)
+        sizes = self.size[near][place]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.flat[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)]
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-        for x in long:  # rare: they only burden the cache
-            self.chars -= len(x)
-            del self.known[x]
-        if long and sum(map(len, long)) > CACHE_CHARS:
-            self.clear()
+        out = self.flat[np.repeat(self.start[near][place] - ends + sizes, sizes) + np.arange(ends[-1])]
+        upto = np.concatenate(([0], ends))[np.searchsorted(begin, offsets)]
+        if len(odd) or (end - begin).max() > LONGEST:
+            if (end - begin).max() > LONGEST:
+                self.clear()  # pieces so long are rare; they must not pile up
+            parts, counts = np.split(out, upto[1:-1]), np.diff(upto)
+            for i in odd.tolist():
+                text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
+                parts[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+                counts[i] = len(parts[i])
+            return np.concatenate(parts), counts
         return out, np.diff(upto)
 
 
@@ -114,15 +161,12 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
-def encoded(path: str, texts: pa.Array, most: int = 1 << 20):
-    """Yields (lo, hi, ids, counts) for runs of rows with about `most` characters or one longer text."""
-    encode, texts = encoder(path), texts.to_pylist()
-    lo = size = 0
-    for hi, text in enumerate(texts, 1):
-        size += len(text or "") + 1
-        if size >= most or hi == len(texts):
-            yield lo, hi, *encode(texts[lo:hi])
-            lo, size = hi, 0
+def encoded(path: str, texts: pa.Array, most: int = 1 << 21):
+    """Yields (lo, hi, ids, counts) for runs of rows with at most `most` bytes or one longer text."""
+    encode = encoder(path)
+    data, offsets = text_buffers(texts)
+    for lo, hi in chunks(offsets, most):
+        yield lo, hi, *encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,8 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+    if have is None or len(have) < n:  # at least two million, so that one table serves almost all chunks
+        size = max(n, (1 << 21) + 1)
         table = np.empty(size, np.uint64)
         table[0] = 1
         done = 1
@@ -41,9 +41,17 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
             done += more
             step = step * step % (1 << 64)
         if size > 1 << 22:
-            return table  # one very long text: not kept
+            return table[:n]  # one very long text: not kept
         _powers[name] = have = table
-    return have
+    return have[:n]
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range, case and all; the length is part of it."""
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_VALUES[data] * _power("up", _BASE, len(data)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _power("down", _INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64) * MULTIPLIERS[6])
 
 
 class Words:
@@ -72,7 +80,7 @@ class Words:
         starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
-        np.cumsum(self.values[data] * _power("up", _BASE, n)[:n], out=total[1:])
+        np.cumsum(self.values[data] * _power("up", _BASE, n), out=total[1:])
         hashes = mix((total[ends] - total[starts]) * _power("down", _INVERSE, n)[starts])
         return starts, ends, hashes, np.searchsorted(starts, offsets)
 
