@@ -139,8 +139,8 @@ _ABL = f"""{_FUSED}, t AS (SELECT variant, quantile_cont(score, 0.99) AS thresho
 q AS (SELECT variant, count(*) FILTER (score > threshold AND y = 1) AS tp, count(*) FILTER (score > threshold AND y = 0) AS fp, count(*) FILTER (y = 1) AS np, count(*) FILTER (y = 0) AS nn FROM f JOIN t USING (variant) GROUP BY variant),
 c AS (SELECT variant, score, sum(y) AS pos, sum(1 - y) AS neg FROM f GROUP BY variant, score),
 k AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY variant ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
-a AS (SELECT variant, sum(pos * (below + 0.5::DOUBLE * neg)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS auroc FROM k GROUP BY variant),
-abl AS (SELECT variant, round(auroc, 4) AS auroc, round(tp / np, 4) AS recall, round(fp / nn, 4) AS fpr FROM a JOIN q USING (variant))"""
+au AS (SELECT variant, sum(pos * (below + 0.5::DOUBLE * neg)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS auroc FROM k GROUP BY variant),
+abl AS (SELECT variant, round(auroc, 4) AS auroc, round(tp / np, 4) AS recall, round(fp / nn, 4) AS fpr FROM au JOIN q USING (variant))"""
 
 
 @query(f"WITH {_ABL} SELECT variant, auroc, recall, fpr, row_number() OVER (ORDER BY auroc DESC, variant) AS place FROM abl")
@@ -160,8 +160,8 @@ def best_variant(spark, sf_dir):
 _METRICS = ("auroc", "recall", "fpr")
 
 
-@query(f"""WITH {_ABL}, u AS (""" + " UNION ALL ".join(f"SELECT variant, '{m}' AS metric, {m} AS value FROM abl" for m in _METRICS) + """)
-SELECT a.metric, a.value AS first, b.value AS second, round(b.value - a.value, 4) AS delta FROM u a JOIN u b USING (metric) WHERE a.variant = 'V3_full' AND b.variant = 'equal'""")
+@query(f"""WITH {_ABL}, un AS (""" + " UNION ALL ".join(f"SELECT variant, '{m}' AS metric, {m} AS value FROM abl" for m in _METRICS) + """)
+SELECT a.metric, a.value AS first, b.value AS second, round(b.value - a.value, 4) AS delta FROM un a JOIN un b USING (metric) WHERE a.variant = 'V3_full' AND b.variant = 'equal'""")
 def variant_delta(spark, sf_dir):
     rows = _ablations(spark, sf_dir).select("variant", *(F.round(c, 4).alias(c) for c in _METRICS)).unpivot("variant", list(_METRICS), "metric", "value")
     one = lambda v, name: rows.where(F.col("variant") == v).select("metric", F.col("value").alias(name))
