@@ -1,0 +1,254 @@
+"""Invariants of the operators on small vectors."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vetlake.functions import keys as K
+from vetlake.functions.prefix import prefix_sums
+from vetlake.functions.robust import lower_median, median
+from vetlake.operators import corrupt as C
+from vetlake.operators import fusion as X
+from vetlake.operators import graph as G
+from vetlake.operators import guards as V
+from vetlake.operators import metrics as M
+from vetlake.operators import patches as P
+from vetlake.operators import splits as S
+from vetlake.operators import vectors as VX
+
+
+def scored(spark, pairs):
+    return spark.createDataFrame([(int(y), float(s)) for y, s in pairs], "y int, score double")
+
+
+@pytest.mark.parametrize(("pairs", "want"), [([(0, 1), (1, 1)], 0.5), ([(1, 0), (1, 1)], None), ([(0, 0), (1, 1)], 1.0), ([(0, 2), (1, 1), (0, 0)], 0.5)])
+def test_auroc_ties_and_single_class(spark, pairs, want):
+    rows = scored(spark, pairs)
+    assert M.rank_auroc(rows, []).first()["auroc"] == want
+    assert M.areas(rows, []).first()["auroc"] == want
+
+
+def test_auroc_forms_agree_with_brute_force(spark):
+    rng = np.random.default_rng(1)
+    y, s = rng.integers(0, 2, 300), rng.integers(0, 40, 300)
+    pos, neg = s[y == 1], s[y == 0]
+    want = np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
+    rows = scored(spark, zip(y, s)).repartition(7)
+    assert M.rank_auroc(rows, []).first()["auroc"] == pytest.approx(want)
+    assert M.areas(rows, []).first()["auroc"] == pytest.approx(want)
+
+
+def test_scores_without_value_are_left_out(spark):
+    rows = spark.createDataFrame([(1, 1.0), (0, 0.0), (1, None), (None, 2.0)], "y int, score double")
+    assert M.rank_auroc(rows, []).first().asDict() == {"positives": 1, "negatives": 1, "auroc": 1.0}
+
+
+def test_confusion_identities(spark):
+    pairs = [(1, 2)] * 130 + [(0, 2)] * 2 + [(0, 0)] * 14 + [(1, 0)] * 158
+    got = M.confusion(scored(spark, pairs), [], F.lit(1.0)).first()
+    assert got["precision"] == pytest.approx(0.984848, abs=1e-6)
+    assert got["recall"] == pytest.approx(0.451389, abs=1e-6)
+    assert got["f1"] == pytest.approx(0.619048, abs=1e-6)
+    assert got["fpr"] == pytest.approx(0.125)
+
+
+def test_threshold_is_strict(spark):
+    assert M.confusion(scored(spark, [(1, 1.0)]), [], F.lit(1.0)).first()["tp"] == 0
+
+
+def test_prevalence_identity(spark):
+    rows = scored(spark, [(1, 2)] * 695 + [(1, 0)] * 361 + [(0, 2)] * 7 + [(0, 0)] * 121)
+    got = M.at_prevalence(rows, [], 1.0, [0.05]).first()
+    assert got["expected_precision"] == pytest.approx(0.3877807, abs=1e-6)
+    assert got["false_alerts_per_1000"] == pytest.approx(51.953125)
+
+
+def test_prefix_sums_across_ranges(spark):
+    rng = np.random.default_rng(2)
+    x = rng.permutation(500)
+    df = spark.createDataFrame([(int(i % 3), float(v), int(v)) for i, v in enumerate(x)], "k int, o double, v long")
+    got = {(r["k"], r["o"]): r["before_v"] for r in prefix_sums(df, ["k"], "o", ["v"]).collect()}
+    for k in range(3):
+        own = sorted(float(v) for i, v in enumerate(x) if i % 3 == k)
+        for o, want in zip(own, itertools.accumulate([0, *own[:-1]])):
+            assert got[k, o] == want
+
+
+def test_two_medians(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "x double")
+    assert df.agg(median(F.col("x")), lower_median("x")).first() == (2.5, 2.0)
+
+
+def test_zero_deviation_falls_back(spark):
+    df = spark.createDataFrame([(float(x),) for x in (0, 0, 0, 0, 1, 2)], "a double")
+    got = X.fit(df, ["a"], "spread").first()
+    assert got["median_a"] == 0
+    assert got["scale_a"] == pytest.approx(1.5 / 2.563)
+
+
+@pytest.mark.parametrize(("policy", "want"), [("plus", 1e-6), ("most", 1e-6), ("clamp", 0.01)])
+def test_scale_floors(spark, policy, want):
+    df = spark.createDataFrame([(1.0,)] * 5, "a double")
+    assert X.fit(df, ["a"], policy).first()["scale_a"] == pytest.approx(want)
+
+
+def test_non_finite_scores_are_not_flagged(spark):
+    rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (2.0,), (None,)], "score double")
+    limit = spark.createDataFrame([(1.0,)], "threshold double")
+    assert [r["flagged"] for r in X.flag(rows, limit, []).collect()] == [False, False, True, False]
+
+
+def test_keys(spark):
+    names = [("ESP_012373_0930_RED-0050-r90.jpg",), ("ESP_012373_0930_RED-0050.jpg",), ("x_rot180-hflip.tif",), (None,), ("",)]
+    df = spark.createDataFrame(names, "p string")
+    base = K.base_id(K.stem(F.col("p")))
+    got = [tuple(r) for r in df.select(base, K.source_id(base), K.augmentations(K.stem(F.col("p")))).collect()]
+    assert got[0] == ("esp_012373_0930_red-0050", "esp_012373_0930", ["r90"])
+    assert got[1] == ("esp_012373_0930_red-0050", "esp_012373_0930", [])
+    assert got[2] == ("x", None, ["rot180", "hflip"])
+
+
+def test_near_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (12, 64))
+    all_bits = np.concatenate([base, base ^ (rng.random((12, 64)) < 0.04), base[:3]])
+    rows = [(i, "".join(map(str, b))) for i, b in enumerate(all_bits.tolist())]
+    want = {(i, j): sum(x != y for x, y in zip(a, b)) for (i, a), (j, b) in itertools.combinations(rows, 2)}
+    df = spark.createDataFrame([*rows, (99, None)], "id long, bits string")
+    for t in (0, 4, 7):
+        got = {(r["a"], r["b"]): r["distance"] for r in G.near_pairs(df, "id", "bits", t).collect()}
+        near = {p: d for p, d in want.items() if d <= t}
+        # copies of a string are handed to its first row; pairs between different strings name first rows
+        first = {}
+        rep = {i: first.setdefault(b, i) for i, b in rows}
+        expected = {tuple(sorted((rep[i], rep[j]))): d for (i, j), d in near.items() if rep[i] != rep[j]} | {(rep[i], i): 0 for i in rep if rep[i] != i}
+        assert got == expected
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(20)]
+    parent = list(range(130))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    nodes = spark.range(130).withColumnRenamed("id", "node_id")
+    got = {r["node_id"]: r["root"] for r in G.components(nodes, spark.createDataFrame(links, "a long, b long"), "node_id").collect()}
+    assert got == {i: find(i) for i in range(130)}
+
+
+def test_halves_and_splits_cover_groups_once(spark):
+    df = spark.createDataFrame([(f"g{i % 11}",) for i in range(50)] + [(None,)], "g string")
+    halves = S.hash_halves(df, "g").collect()
+    assert sorted(r["half"] for r in halves).count("A") == 5 and len(halves) == 11
+    split = S.grouped_split(df, "g", {"train": 0.7, "val": 0.15, "test": 0.15}).collect()
+    assert len(split) == 11 and {r["assigned_split"] for r in split} == {"train", "val", "test"}
+
+
+def test_validation_groups():
+    classes = {"a": {1}, "b": {1, 2}, "c": {2}, "d": {3}}
+    assert S.validation_groups(classes, 2) == ["a", "c"]
+    assert S.validation_groups({"a": {1}}) == []
+    assert S.validation_groups({}) == []
+
+
+def test_guards(spark):
+    rows = spark.createDataFrame([("train", "a"), ("test", "a"), ("train", "b"), ("test", None)], "role string, k string")
+    found = {(r["value"], r["roles"]) for r in V.shared_keys(rows, "role", ["k"]).collect()}
+    assert found == {("a", 2), (None, 1)}
+    with pytest.raises(V.ViolationError):
+        V.none(V.shared_keys(rows, "role", ["k"]), "shared")
+    V.none(V.shared_keys(rows.where("k = 'b'"), "role", ["k"]), "shared")
+
+
+def test_knn_equals_brute_force_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(77, None)], "id long, v array<double>")
+    d = 1 - x @ x.T
+    np.fill_diagonal(d, np.inf)
+    want = {i: np.argsort(d[i])[:3].tolist() for i in range(40)}
+    for block in (100, 7):
+        got = {}
+        for r in VX.cosine_knn(df, df, "id", "v", 3, block=block).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append(r["other"])
+        assert got == want
+
+
+def test_latent_is_mahalanobis(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    got = np.array([r["latent"] for r in VX.score_latent(df, "id", "v", VX.fit_latent(df, "v", 4, 0.0)).orderBy("id").collect()])
+    inverse = np.linalg.inv(np.cov(x.T))
+    c = x - x.mean(0)
+    assert np.allclose(got, np.sqrt(np.einsum("ij,jk,ik->i", c, inverse, c)))
+
+
+@pytest.mark.parametrize(("n", "ceil", "floor"), [(10, 1, 1), (30, 2, 1)])
+def test_top_mean_rounding(spark, n, ceil, floor):
+    df = spark.createDataFrame([([float(i) for i in range(n)],)], "v array<double>")
+    got = df.select(VX.top_mean(F.col("v"), 0.05, "ceil"), VX.top_mean(F.col("v"), 0.05, "floor")).first()
+    assert got == (np.mean(range(n - ceil, n)), np.mean(range(n - floor, n)))
+
+
+def test_box_and_laplacian(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8, 8))
+    px = spark.createDataFrame([(0, i, j, float(x[i, j])) for i in range(8) for j in range(8)], "case_id int, y int, x int, v double")
+    got = P.laplacian(P.box_mean(px, 3)).collect()
+    p, q = np.pad(x, 1), np.pad(x, 1, "reflect")
+    for r in got:
+        i, j = r["y"], r["x"]
+        assert r["box"] == pytest.approx(p[i : i + 3, j : j + 3].sum() / 9)
+        assert r["laplacian"] == pytest.approx(q[i, j + 1] + q[i + 2, j + 1] + q[i + 1, j] + q[i + 1, j + 2] - 4 * x[i, j])
+
+
+def test_covering_masks_cover_once(spark):
+    grid = spark.range(128 * 128).select(F.floor(F.col("id") / 128).alias("y"), (F.col("id") % 128).alias("x"))
+    counts = grid.groupBy(P.covering_mask(F.col("y"), F.col("x"), 128).alias("m")).count().collect()
+    assert {r["m"]: r["count"] for r in counts} == dict.fromkeys(range(4), 128 * 128 // 4)
+
+
+def test_schedule_falls():
+    s = P.noise_schedule(20)
+    assert len(s) == 20 and all(a > b > 0 for a, b in zip(s, s[1:]))
+
+
+@pytest.mark.parametrize("kind", C.KINDS)
+def test_corruptions_are_deterministic(kind):
+    image = np.random.default_rng(8).random((32, 32))
+    a, b = (C.corrupt(image, kind, 0.5, 42) for _ in range(2))
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert a[0].min() >= 0 and a[0].max() <= 1 and a[1].any()
+
+
+@pytest.mark.parametrize("family", C.STRESS)
+def test_stress_is_deterministic(family):
+    image = np.random.default_rng(9).random((32, 32))
+    a, b = (C.stress(image, family, 0.3, 42) for _ in range(2))
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[1].any()
+
+
+def test_cases_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, rng.random(64).tolist()) for i in range(6)], "id long, v array<double>")
+    one, many = (sorted(map(str, C.cases(df.repartition(n), "id", "v", ["dead_pixels", "foreign"], [0.3]).collect())) for n in (1, 5))
+    assert one == many and len(one) == 12
+
+
+def test_empty_inputs(spark):
+    none = spark.createDataFrame([], "y int, score double")
+    assert M.rank_auroc(none, ["y"]).count() == 0
+    assert M.rank_auroc(none, []).first()["auroc"] is None
+    links = spark.createDataFrame([], "a long, b long")
+    assert G.components(spark.createDataFrame([], "id long"), links, "id").count() == 0

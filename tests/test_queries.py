@@ -1,0 +1,53 @@
+"""Every query at the smallest scale against DuckDB on the same tables."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+from vetlake import plans
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+plans.load()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def cell(x):
+    if hasattr(x, "tolist"):
+        x = x.tolist()
+    if x is None or (isinstance(x, float) and math.isnan(x)):
+        return "NULL"
+    return f"{x + 0.0:.5g}" if isinstance(x, float) else str(x)
+
+
+def rows(df):
+    df = df.astype(object).where(df.notna(), None)[sorted(df.columns)]
+    return list(df.columns), sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(plans.SQL))
+def test_query_equals_sql(spark, duck, name):
+    assert rows(plans.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(plans.SQL[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
+def test_query_has_rows(spark, name):
+    assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert set(plans.QUERIES) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).count() > 0

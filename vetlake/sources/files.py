@@ -9,7 +9,6 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.keys import file_name, split_name, suffix
 
@@ -19,18 +18,25 @@ IMAGES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".gif", ".webp")
 SIDECAR = "00051607"
 
 #: The inventory's columns.
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "path string, status string, error string, format string, width int, height int, mode string, channels int, frames int, label string, class_name string, "
     "original_split string, base_id string, augmentations array<string>, sha256 string, pixel_sha256 string, phash string, mean double, std double, group_id string, "
     "flags array<string>, class_id int, source_id string, supplied_splits array<string>, supplied_row_count int, supplied_split_row_counts map<string, int>"
 )
 
 
+def with_status(rows: DataFrame) -> DataFrame:
+    """rows (path, length, content) with status: ok, auxiliary (a sidecar), corrupt (an empty image) or unsupported."""
+    image = suffix(F.col("path")).isin(*IMAGES)
+    first = F.hex(F.substring("content", 1, 4))
+    return rows.withColumn("status", F.when(file_name(F.col("path")).startswith("._") & (first == SIDECAR), "auxiliary").when(image & (F.col("length") == 0), "corrupt").when(image, "ok").otherwise("unsupported"))
+
+
 def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """path (below root), length, content and status of all files below root: ok, auxiliary (a sidecar), corrupt or unsupported.
+    """path (below root), length, content and status of the files below root; excluded folders are left out.
 
-    Excluded folders are left out. status is by name and first bytes only: corrupt is an empty image, unsupported any other
-    extension.
+    Spark's own listing leaves out empty files and names that begin with a dot or an underscore; members of archives keep
+    them.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
@@ -39,11 +45,7 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFram
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     below = F.regexp_replace("path", f"^.*?{_quoted(base)}/", "")
     hidden = "(^|/)(" + "|".join(map(_quoted, EXCLUDED)) + ")/"
-    rows = rows.select(below.alias("path"), "length", "content").where(~F.col("path").rlike(hidden))
-    image = suffix(F.col("path")).isin(*IMAGES)
-    first = F.hex(F.substring("content", 1, 4))
-    status = F.when(file_name(F.col("path")).startswith("._") & (first == SIDECAR), "auxiliary").when(image & (F.col("length") == 0), "corrupt").when(image, "ok").otherwise("unsupported")
-    return rows.withColumn("status", status)
+    return with_status(rows.select(below.alias("path"), "length", "content").where(~F.col("path").rlike(hidden)))
 
 
 def _quoted(text: str) -> str:
@@ -88,7 +90,7 @@ def csv_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
 
 
-def csv_typed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def csv_typed(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
