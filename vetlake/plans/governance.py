@@ -189,3 +189,12 @@ def membership(spark, sf_dir):
 @query("SELECT lang, count(*) AS n, bool_and(text IS NOT NULL) AS complete, max(strlen(text)) AS longest FROM documents GROUP BY lang")
 def complete_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("text").isNotNull()).alias("complete"), F.max(F.octet_length("text")).cast("long").alias("longest"))
+
+
+@query(f"""WITH {_ROLES}, j AS (SELECT m.*, assigned_split FROM m JOIN ro USING (source_id)), k AS (SELECT assigned_split, 'sha256' AS key, sha256 AS value FROM j UNION ALL SELECT assigned_split, 'source_id', source_id FROM j),
+v AS (SELECT count(*) AS violations FROM (SELECT key, value FROM k GROUP BY key, value HAVING count(DISTINCT assigned_split) > 1))
+SELECT assigned_split, count(*) AS rows, count(DISTINCT sha256) AS n_sha256, count(DISTINCT source_id) AS n_source_id, any_value(violations) AS violations FROM j, v GROUP BY assigned_split""")
+def protocol_report(spark, sf_dir):
+    from ..operators.protocol import report
+
+    return report(_roles(spark, sf_dir), "assigned_split", ["sha256", "source_id"])

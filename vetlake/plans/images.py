@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.robust import quantile
 from ..operators import corrupt as C
+from ..operators import maps as T
 from ..operators import metrics as M
 from ..operators import patches as P
 from ..sources.fixtures import PIXELS, pixels, table
@@ -225,3 +226,69 @@ def corruption_random_families(spark, sf_dir):
 def stress_families(spark, sf_dir):
     rows = C.cases(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", C.STRESS, [0.15, 0.3, 0.5], C.stress)
     return rows.groupBy("family", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("changed_fraction"), 6).alias("masked"))
+
+
+# ---- score maps: numpy over Arrow batches
+
+
+def _embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings")
+
+
+@query()
+def window_features(spark, sf_dir):
+    rows = T.feature_rows(_embeddings(spark, sf_dir), "vec_id", "embedding", 4)
+    return rows.groupBy("tile").agg(*(F.round(F.avg(c), 6).alias(c) for c in T.FEATURES))
+
+
+@query(f"""WITH {_GRAD}, t AS (SELECT *, (y // 4) * 2 + x // 4 AS tile, x % 4 AS tx, y % 4 AS ty FROM g),
+f AS (SELECT case_id, tile, avg(v) AS mean, stddev_samp(v) AS std, avg(abs(dx)) FILTER (tx < 3) AS dx, avg(abs(dy)) FILTER (ty < 3) AS dy FROM t GROUP BY case_id, tile)
+SELECT CAST(tile AS BIGINT) AS tile, round(avg(mean), 6) + 0.0 AS mean, round(avg(std), 6) AS std, round(avg(ln(1 + 100 * dx)), 6) AS gradient_x, round(avg((dx - dy) / (dx + dy + 1e-5)), 6) + 0.0 AS anisotropy FROM f GROUP BY tile""")
+def window_statistics(spark, sf_dir):
+    rows = T.feature_rows(_embeddings(spark, sf_dir), "vec_id", "embedding", 4)
+    return rows.groupBy("tile").agg((F.round(F.avg("mean"), 6) + 0.0).alias("mean"), F.round(F.avg("std"), 6).alias("std"), F.round(F.avg("gradient_x"), 6).alias("gradient_x"), (F.round(F.avg("anisotropy"), 6) + 0.0).alias("anisotropy"))
+
+
+@query()
+def spectral_scores(spark, sf_dir):
+    rows = _embeddings(spark, sf_dir)
+    normal = rows.where("label < 5")
+    states = {w: T.fit_spectral(T.feature_rows(normal, "vec_id", "embedding", w)).first().asDict() for w in (4, 8)}  # one row each
+    return T.score_spectral(rows, "vec_id", "embedding", states, 8).select("vec_id", r("spectral"))
+
+
+@query()
+def generative_scores(spark, sf_dir):
+    rows = T.score_frame(_embeddings(spark, sf_dir).select("vec_id", "label", "embedding"), "vec_id", "embedding", T.generative_scores, ("pixel", "texture", "spectral"))
+    return rows.select("vec_id", "label", r("pixel"), r("texture"), r("spectral"))
+
+
+@query()
+def refined_scores(spark, sf_dir):
+    return T.image_table(_embeddings(spark, sf_dir), "vec_id", "embedding", T.refined_scores, dict.fromkeys(("pixel", "texture", "spectral"), "double"))
+
+
+@query()
+def reconstruction_probe(spark, sf_dir):
+    from ..operators.protocol import probe
+
+    def f(x):
+        made, spread = T.reconstruct(x)
+        return {"o": x.reshape(len(x), -1), "g": made.reshape(len(x), -1), "u": spread.reshape(len(x), -1)}
+
+    rows = T.image_table(_embeddings(spark, sf_dir), "vec_id", "embedding", f, dict.fromkeys("ogu", "array<double>"))
+    return probe(rows, "o", "g", "u").select(r("residual_mae"), r("seed_disagreement"), "finite")
+
+
+@query("SELECT label, round(avg(d), 6) AS semantic FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS patch, 1 - abs(CAST(embedding[1] AS DOUBLE)) AS d FROM embeddings) WHERE patch < 16 GROUP BY label")
+def semantic_grid(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    nth = (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("patch")
+    rows = _embeddings(spark, sf_dir).select("label", nth, (1 - F.abs(F.get("embedding", 0).cast("double"))).alias("distance")).where("patch < 16")
+    return T.semantic_map(rows, "label", "patch", 4, 8, 1.0).select("label", r("semantic"))
+
+
+@query(f"WITH {_PAIR}, q AS (SELECT case_id, avg(v * v) AS e FROM o GROUP BY case_id) SELECT count(*) AS n, round(avg(e), 6) AS energy FROM q")
+def image_energy(spark, sf_dir):
+    return pixels(spark, sf_dir).groupBy("case_id").agg(F.avg(F.col("v") * F.col("v")).alias("e")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e"), 6).alias("energy"))
