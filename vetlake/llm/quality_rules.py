@@ -35,46 +35,49 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _repeat_words(words: Column, n: Column) -> Column:
-    """Words in windows of WINDOW words that occur twice or more in the text, each counted once."""
+def _covered(hashes: Column) -> Column:
+    """Words in windows whose hash occurs twice or more, each counted once, from the hashes of all windows in order."""
+    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    def covered(hashes: Column) -> Column:
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def places(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(s, j).getField("h") == x.getField("h"), F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda x, j: (same(x, j - 1) & (j > 0)) | same(x, j + 1)), lambda x: x.getField("i")))
 
-        def places(s: Column) -> Column:
-            same = lambda x, j: F.coalesce(F.get(s, j).getField("h") == x.getField("h"), F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, lambda x, j: (same(x, j - 1) & (j > 0)) | same(x, j + 1)), lambda x: x.getField("i")))
+    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("total"))
+    step = lambda a, x: F.struct(x.alias("last"), (a.getField("total") + F.least(F.lit(WINDOW), x - a.getField("last"))).alias("total"))
+    return F.aggregate(_let(ordered, places), start, step, lambda a: a.getField("total"))
 
-        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("total"))
-        step = lambda a, x: F.struct(x.alias("last"), (a.getField("total") + F.least(F.lit(WINDOW), x - a.getField("last"))).alias("total"))
-        fold = F.aggregate(_let(ordered, places), start, step, lambda a: a.getField("total"))
-        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), fold).otherwise(0)
 
-    windows = lambda h: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(WINDOW))))
-    made = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(windows(h), covered))
-    return F.when(n >= WINDOW, made).otherwise(0)
+def measured(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with all measurements, without the text; null counts as empty.
 
-
-def measurements(text: Column) -> Column:
-    """All measurements of a text as a struct of longs; null counts as empty."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-
-    def of_words(w: Column) -> Column:
-        return _let(F.size(w), lambda n: F.struct(n.cast("long").alias("n_words"), _repeat_words(w, n).cast("long").alias("n_repeat_words")))
-
-    def of_lines(x: Column) -> Column:
-        return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-
-    return F.struct(
-        _let(words, of_words).alias("w"),
-        _let(lines, of_lines).alias("l"),
+    The steps are columns that later ones use more than once, so the optimizer keeps each of them and none is made twice.
+    """
+    rest = [c for c in rows.columns if c != text]
+    rows = rows.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    count = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    rows = rows.select(
+        *rest,
+        F.filter(F.split(text, SPACE), lambda w: w != "").alias("__words"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        count("#*$%&|<>").cast("long").alias("n_symbols"),
-        count("!").cast("long").alias("n_bangs"),
+        count("#*$%&|<>").alias("n_symbols"),
+        count("!").alias("n_bangs"),
+    )
+    made = ["word_chars", "n_symbols", "n_bangs"]
+    rows = rows.select(
+        *rest,
+        *made,
+        F.size("__words").alias("__n"),
+        F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
     )
+    made += ["n_lines", "n_dup_lines"]
+    windows = F.transform(F.sequence(F.lit(0), F.col("__n") - WINDOW), lambda i: F.xxhash64(*(F.get("__hashes", i + j) for j in range(WINDOW))))
+    rows = rows.select(*rest, *made, F.col("__n").cast("long").alias("n_words"), F.when(F.col("__n") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias("__windows"))
+    again = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    return rows.select(*rest, "n_words", *made, F.when(again, _covered(F.col("__windows"))).otherwise(0).cast("long").alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -83,8 +86,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     One row for each row of docs: nulls and repeats stay, a null text is an empty one, which fails too_few_words. Other
     columns are ignored.
     """
-    rows = docs.select("doc_id", measurements(F.col("text")).alias("m"))
-    rows = rows.select("doc_id", "m.w.*", "m.l.*", "m.word_chars", "m.n_symbols", "m.n_bangs")
+    rows = measured(docs.select("doc_id", "text"))
     bits = (F.when(rule(), F.lit(BITS[name])).otherwise(0) for name, rule in RULES.items())
     return rows.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 
