@@ -94,6 +94,7 @@ def scan(files: DataFrame, path: str = "path", is_licence_file: Column | None =
     chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))
     above = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("above")))).otherwise(chain)).alias("a")).select("dir", "a.*")
     near = above.join(declared.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "licence")).alias("n"))
-    near = near.select("dir", F.col("n.above").alias("above"), F.col("n.licence").alias("inherited"))
+    # one row for each directory; written, so that the join below stands alone and a directory with very many files can be split
+    near = scratch.write(near.select("dir", F.col("n.above").alias("above"), F.col("n.licence").alias("inherited")), "near")
     full = own.join(near, "dir", "left")
     return full.select("path", "own_licence", "similarity", F.coalesce("own_licence", "inherited").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("above")).alias("licence_dir"))
