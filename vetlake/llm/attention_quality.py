@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, column, text_buffers
+from .common import Scratch, chunks, column, lean, text_buffers
 from .folds import training_labels
 from .words import U, WHITE_WORDS, grams
 
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
     known = Scratch(spark, "quality").write(training_labels(labels, label, labelled), "labels")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(known), "doc_id").select("label", "text")  # at most `labelled` rows
-    seen = rows.mapInArrow(_features, "label int, x binary").toPandas()
+    seen = rows.mapInArrow(lean(_features), "label int, x binary").toPandas()
     if not len(seen):
         return spark.sparkContext.broadcast(Model(np.zeros(N_FEATURES), np.ones(N_FEATURES)))
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in seen["x"]]
@@ -202,4 +202,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     shared = fit(docs, labels, label, labelled)
     key = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(shared), f"doc_id {key}, score double")
+    return rows.mapInArrow(lean(_score(shared)), f"doc_id {key}, score double")

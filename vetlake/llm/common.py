@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
+import sys
 import tempfile
 import uuid
 
@@ -24,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts of some thousand bytes then make batches of some ten megabytes.
+BATCH_ROWS = 4000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, so that any store works."""
     jvm = spark.sparkContext._jvm
@@ -40,6 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/vetlake-{name}-{uuid.uuid4().hex}"
         _OPEN.append(self)
 
@@ -70,6 +84,21 @@ def _close() -> None:
             return
 
 
+def lean(run):
+    """A function over Arrow batches that gives its worker's freed memory back at the end: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -90,7 +119,7 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20):
+def chunks(offsets: np.ndarray, most: int = 1 << 19):
     """Row ranges [lo, hi) of at most `most` bytes each, or of one longer text."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, column, text_buffers
+from .common import Scratch, chunks, column, lean, text_buffers
 from .words import ALNUM_WORDS, U, grams
 
 #: Words of a prefix shingle, or all of a window with fewer.
@@ -203,14 +203,14 @@ def blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int)
     spark = docs.sparkSession
     scratch = Scratch(spark, "items")
     cut = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    cut = scratch.write(cut.mapInArrow(pieces(window), "item_id string, part long, n long, words binary"), "pieces")
+    cut = scratch.write(cut.mapInArrow(lean(pieces(window)), "item_id string, part long, n long, words binary"), "pieces")
     total = cut.agg(F.sum("n")).first()[0] or 0
     count = -(-total // block_words)
     out = []
     for b in range(count):
         block = Block(cut.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(count)) == b).toPandas(), window)
         wanted = spark.sparkContext.broadcast({k: v.tobytes() for k, v in block.all_shingles().items()})
-        seen = docs.select("text").where("text is not null").mapInArrow(count_shingles(wanted), "k long, hash long, n long").groupBy("k", "hash").agg(F.sum("n").alias("n")).toPandas()
+        seen = docs.select("text").where("text is not null").mapInArrow(lean(count_shingles(wanted)), "k long, hash long, n long").groupBy("k", "hash").agg(F.sum("n").alias("n")).toPandas()
         block.choose({(int(k), int(h) & (1 << 64) - 1): int(n) for k, h, n in seen.itertuples(index=False)})
         out.append(spark.sparkContext.broadcast(block))
     return out
@@ -230,19 +230,19 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     found = blocks(docs, benchmark, window, block_words)
     if len(found) <= 1:
         shared = found[0] if found else docs.sparkSession.sparkContext.broadcast(Block(pd.DataFrame({"item_id": [], "part": [], "words": []}), window))
-        out = docs.mapInArrow(join_block(shared), schema)
+        out = docs.mapInArrow(lean(join_block(shared)), schema)
         return out.withColumn("items", F.array_sort("items"))
     # rows with equal ids and equal texts have equal results
     docs = docs.withColumn("h", F.sha2("text", 256))
     schema = schema.replace("n_words", "h string, n_words")
-    parts = [docs.mapInArrow(join_block(shared), schema) for shared in found]
+    parts = [docs.mapInArrow(lean(join_block(shared)), schema) for shared in found]
     rows = parts[0].select("doc_id", "h", "n_words")
     hit = parts[0].where("size(begins) > 0")
     for part in parts[1:]:
         hit = hit.unionAll(part.where("size(begins) > 0"))
     runs = F.flatten(F.collect_set(F.arrays_zip("begins", "ends")))
     hit = hit.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.array_sort(runs).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hit = hit.mapInArrow(merge_runs, f"d {key}, g string, begins array<long>, ends array<long>, items array<string>")
+    hit = hit.mapInArrow(lean(merge_runs), f"d {key}, g string, begins array<long>, ends array<long>, items array<string>")
     out = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")), "left")
     none = F.array().cast("array<long>")
     return out.select("doc_id", "n_words", F.coalesce("begins", none).alias("begins"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -282,7 +282,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -
     out = docs.toDF(*names)
     text = names[[c.lower() for c in docs.columns].index("text")]
     for shared in found:
-        out = out.mapInArrow(_clean(shared, text), out.schema)
+        out = out.mapInArrow(lean(_clean(shared, text)), out.schema)
     return out.toDF(*docs.columns)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, column, text_buffers
+from .common import Scratch, chunks, column, lean, text_buffers
 from .components import components
 from .words import MULTIPLIERS, U, WHITE_WORDS, mix, shingle_sets
 
@@ -40,6 +40,8 @@ FREQUENT = 0.002
 BLOCK = 1 << 21
 #: A set has one signature to spare for each SPARE features; a signature of over CROWD sets is crowded.
 SPARE, CROWD = 40, 16
+#: Nodes that a task remembers to have signed.
+REMEMBERED = 1 << 18
 #: Features and sets of a block of a family.
 BLOCK_FEATURES, BLOCK_SETS = 1 << 18, 512
 SIGNED = T.StructType([T.StructField(name, T.LongType(), False) for name in ("sig", "node")])
@@ -150,16 +152,20 @@ def describe(k: int):
 
 
 def sign(k: int, num: int, den: int, frequent):
-    """Arrow batches of (text) -> rows (sig, node)."""
+    """Arrow batches of (text) -> rows (sig, node); a task signs each node once as long as it remembers it."""
 
     def run(batches):
-        common = np.frombuffer(frequent.value, np.uint64)
+        common, done = np.frombuffer(frequent.value, np.uint64), set()
         for batch in batches:
             for _, sets in _sets(column(batch, "text"), k):
-                sets = [s for s in sets if len(s)]
-                if sets:
-                    sigs = [signatures(s, common, num, den) for s in sets]
-                    nodes = np.repeat(np.array([node_of(s) for s in sets]), [len(s) for s in sigs])
+                new = {node_of(s): s for s in sets if len(s)}
+                new = {node: s for node, s in new.items() if node not in done}
+                if len(done) > REMEMBERED:
+                    done.clear()
+                done.update(new)
+                if new:
+                    sigs = [signatures(s, common, num, den) for s in new.values()]
+                    nodes = np.repeat(np.array([*new]), [len(s) for s in sigs])
                     yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(nodes)], ["sig", "node"])
 
     return run
@@ -202,7 +208,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """pairs (a, b) with their sizes, overlap, and whether they link."""
     b = pairs.join(sets.select(F.col("node").alias("b"), F.col("features").alias("fb")), "b")
     both = b.join(sets.select(F.col("node").alias("a"), F.col("features").alias("fa")), "a").select("a", "b", "fa", "fb")
-    seen = both.mapInArrow(compare, "a long, b long, n_a long, n_b long, n_both long")
+    seen = both.mapInArrow(lean(compare), "a long, b long, n_a long, n_b long, n_both long")
     union = F.col("n_a") + F.col("n_b") - F.col("n_both")
     return seen.select("a", "b", (1 - F.col("n_both") / union).alias("distance"), (den * F.col("n_both") >= num * union).alias("linked"))
 
@@ -273,7 +279,7 @@ def _family_links(families: DataFrame, sets: DataFrame, num: int, den: int) -> D
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     parts = parts.select("family", "node", "block", others).select("family", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     full = parts.join(sets, "node").withColumns({"num": F.lit(num), "den": F.lit(den)})
-    return full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(forest, "a long, b long")
+    return full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(forest), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,7 +292,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "jaccard")
-    seen = scratch.write(docs.mapInArrow(describe(k), "doc_id long, n long, node long, feature long"), "seen")
+    seen = scratch.write(docs.mapInArrow(lean(describe(k)), "doc_id long, n long, node long, feature long"), "seen")
     rows = seen.where("feature is null").select("doc_id", "n", "node")
     least = max(50, FREQUENT * rows.count() / 2)
     common = seen.where("feature is not null").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("feature")
@@ -294,7 +300,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared = spark.sparkContext.broadcast(frequent.tobytes())
 
     # not nullable, so that both uses below have the same plan and share one exchange
-    signed = docs.select("text").where("text is not null").mapInArrow(sign(k, num, den, shared), SIGNED)
+    signed = docs.select("text").where("text is not null").mapInArrow(lean(sign(k, num, den, shared)), SIGNED)
     signed = signed.repartition("sig")
     groups = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("c")).where("pivot <> last")
     met = signed.join(groups.select("sig", "pivot", (F.col("c") > CROWD).alias("crowded")).hint("shuffle_hash"), "sig").where("crowded or node <> pivot")
@@ -318,7 +324,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     first = rows.where("node is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))).alias("rep"))
     reps = first.select("node", F.col("rep.doc_id").alias("doc_id"))
     texts = docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id)).select("node", "text")
-    sets = scratch.write(texts.mapInArrow(sets_of(k), "node long, features binary").dropDuplicates(["node"]), "sets")
+    sets = scratch.write(texts.mapInArrow(lean(sets_of(k)), "node long, features binary").dropDuplicates(["node"]), "sets")
     scratch.free_shuffles()
 
     checked = scratch.write(_verified(stars, sets, num, den), "checked")
@@ -355,7 +361,9 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     classes = ngram_jaccard_join(docs, **options)
-    lost = Scratch(spark, "keep").write(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
+    scratch = Scratch(spark, "keep")
+    lost = scratch.write(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
+    scratch.free_shuffles()
     kept = docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionAll(kept.where("doc_id is null"))

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
-from .tokens import default_tokenizer, encoded, with_end
+from .common import column, lean, small_batches
+from .tokens import default_tokenizer, encoded, forget_encoders, with_end
 
 TIERS = (256, 512, 1024, 2048)
 #: Pieces packed together, and the tokens of a step group.
@@ -153,6 +153,7 @@ def _pack(tokenizer: str, end: int, tiers, step: int):
                         yield made
         if made := emit(True):
             yield made
+        forget_encoders()
 
     return run
 
@@ -166,4 +167,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 1, tiers=TIER
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, ids binary"
-    return rows.mapInArrow(_pack(tokenizer or default_tokenizer(), end, tuple(sorted(tiers)), step), schema)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(lean(_pack(tokenizer or default_tokenizer(), end, tuple(sorted(tiers)), step)), schema)

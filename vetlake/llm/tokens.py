@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, column, text_buffers
+from .common import Scratch, chunks, column, lean, text_buffers
 from .words import byte_hashes
 
 MAGIC = 0x31584449544556  # "VETIDX1", little-endian
 #: Pieces that the cache holds at most, and the bytes of a piece too long for it.
-CACHED, LONGEST = 1_500_000, 2000
+CACHED, LONGEST = 1_000_000, 2000
 # The white space of Unicode beyond ASCII, and the characters that byte-level vocabularies write bytes with:
 # printable ones of Latin-1 stand for themselves, the others in order for U+0100 and on.
 _SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -155,13 +155,18 @@ class Encoder:
         return out, np.diff(upto)
 
 
+def forget_encoders() -> None:
+    """Workers outlive their tasks: what encoders hold goes at the end of each."""
+    _made.clear()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _made:
         _made[path] = Encoder(path)
     return _made[path]
 
 
-def encoded(path: str, texts: pa.Array, most: int = 1 << 21):
+def encoded(path: str, texts: pa.Array, most: int = 1 << 20):
     """Yields (lo, hi, ids, counts) for runs of rows with at most `most` bytes or one longer text."""
     encode = encoder(path)
     data, offsets = text_buffers(texts)
@@ -244,6 +249,7 @@ def _write(uri: str, tokenizer: str, end: int):
             for lo, hi, ids, counts in encoded(tokenizer, column(batch, "text")):
                 writer = writer or Writer(uri, encoder(tokenizer).dtype)
                 writer.add(*with_end(ids, counts, end), keys[lo:hi])
+        forget_encoders()
         if writer:
             name, docs, tokens = writer.close()
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([docs]), pa.array([tokens])], ["part", "name", "docs", "tokens"])
@@ -261,7 +267,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end: int) -> li
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.col("doc_id").asc_nulls_last()
     rows = rows.repartitionByRange(order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
-    made = rows.mapInArrow(_write(uri, tokenizer, end), "part long, name string, docs long, tokens long")
+    made = rows.mapInArrow(lean(_write(uri, tokenizer, end)), "part long, name string, docs long, tokens long")
     made = Scratch(spark, "manifest").write(made, "parts")  # once written, the files' names are settled
     out, base = [], 0
     for row in sorted(made.collect()):  # one row for each partition
@@ -292,7 +298,7 @@ def read_token_files(spark, uri: str, manifest: list[tuple[str, int, int, int]])
     parts = spark.createDataFrame([(name, base) for name, _, _, base in manifest], "name string, base long")
     if manifest:
         parts = parts.repartition(len(manifest), "name")
-    return parts.mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids binary")
+    return parts.mapInArrow(lean(_read(uri)), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, end: int = 2, uri: str | None = None) -> DataFrame:

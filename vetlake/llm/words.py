@@ -29,8 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
-    if have is None or len(have) < n:  # at least two million, so that one table serves almost all chunks
-        size = max(n, (1 << 21) + 1)
+    if have is None or len(have) < n:  # at least a million, so that one table serves almost all chunks
+        size = max(n, (1 << 20) + 1)
         table = np.empty(size, np.uint64)
         table[0] = 1
         done = 1
