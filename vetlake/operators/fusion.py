@@ -77,7 +77,7 @@ def thresholds(normal: DataFrame, keys: list[str], q: float) -> DataFrame:
 
 def flag(rows: DataFrame, limit: DataFrame, keys: list[str]) -> DataFrame:
     """rows with threshold and flagged: strictly above it. A score that is not finite is never flagged."""
-    out = rows.join(F.broadcast(limit), keys) if keys else rows.crossJoin(F.broadcast(limit))
+    out = rows.join(limit, keys) if keys else rows.crossJoin(F.broadcast(limit))  # one row without keys
     return out.withColumn("flagged", finite(F.col("score")) & (F.col("score") > F.col("threshold")))
 
 

@@ -16,7 +16,7 @@ def with_shared_normals(rows: DataFrame, dimension: str, keys: list[str] = ()) -
     """One slice for each value that anomalies have in a dimension: those anomalies and all normal rows, as `slice`."""
     values = rows.where((F.col("y") == 1) & F.col(dimension).isNotNull()).select(*keys, F.col(dimension).alias("slice")).distinct()
     normal = rows.where("y = 0")
-    shared = normal.join(F.broadcast(values), list(keys)) if keys else normal.crossJoin(F.broadcast(values))
+    shared = normal.join(values, list(keys)) if keys else normal.crossJoin(values)  # Spark broadcasts them where they are few
     own = rows.where((F.col("y") == 1) & F.col(dimension).isNotNull()).withColumn("slice", F.col(dimension))
     return shared.unionByName(own)
 
@@ -33,7 +33,7 @@ def curve(rows: DataFrame, keys: list[str]) -> DataFrame:
     blocks = score_blocks(rows, keys)
     sums = prefix_sums(blocks, keys, "score", ["pos", "neg"], descending=True)
     total = blocks.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    out = sums.join(F.broadcast(total), keys) if keys else sums.crossJoin(F.broadcast(total))
+    out = sums.join(total, keys) if keys else sums.crossJoin(F.broadcast(total))  # one row without keys
     part = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     out = out.withColumns({"tp": F.col("before_pos") + F.col("pos"), "fp": F.col("before_neg") + F.col("neg")})
     return out.withColumns(
