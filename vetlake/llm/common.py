@@ -64,6 +64,12 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save(self, df: DataFrame, name: str) -> None:
+        df.write.parquet(self.path(name))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove_path(self.spark, self.path(name))

@@ -73,16 +73,17 @@ def node_of(features: np.ndarray) -> int:
     return int(mix(mix(features ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + U(len(features))).view(np.int64)[0])
 
 
-def signatures(features: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of one sorted set, over its own band's instance and the next band's where a partner may lie there."""
+def signatures(features: np.ndarray, frequent: np.ndarray, num: int, den: int, only_plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one sorted set, over its own band's instance and the next band's where a partner may lie there, and
+    whether each is plain: made of frequent features only (or of none). With only_plain instances without such are skipped."""
     r = len(features)
     if not r:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     low, high = bands(num, den)
     band = int(np.searchsorted(low, r, "right")) - 1
     reach = r * den // num
     found = frequent[np.minimum(np.searchsorted(frequent, features), len(frequent) - 1)] == features if len(frequent) else np.zeros(r, bool)
-    out = []
+    out, plain = [], []
     for tag, largest in ((band, min(int(high[band]), reach)), (band + 1, reach)):
         if tag > band and reach < low[tag]:
             break
@@ -94,21 +95,26 @@ def signatures(features: np.ndarray, frequent: np.ndarray, num: int, den: int) -
             sums = np.array([mixed[part == p].sum(dtype=np.uint64) for p in range(most + 2)])
             i, j = np.array([*combinations(range(most + 2), 2)]).T
             out.append(mix(sums[i] * MULTIPLIERS[0] + sums[j] * MULTIPLIERS[1] + turn + (64 * i + j + 1).astype(np.uint64)))
+            rare = np.bincount(part[~found], minlength=most + 2)
+            plain.append(rare[i] + rare[j] == 0)
             continue
         parts = most + 1 + (most + 4) // 4
         # by the hash's upper half, so that sorting by hash also sorts by partition
         part = ((mixed >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+        own = min(_differences(r + largest, num, den) + spare(r) + 1, parts)
+        rare = np.bincount(part[~found], minlength=parts)
+        if only_plain and np.count_nonzero(rare) >= own:
+            continue
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=parts)
-        rare = np.bincount(part[~found], minlength=parts)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)))
         upto = np.concatenate(([0], np.cumsum(counts)))
         values = mix(total[upto[1:]] - total[upto[:-1]] + turn + np.arange(1, parts + 1).astype(np.uint64) * MULTIPLIERS[2])
-        own = _differences(r + largest, num, den) + spare(r)
         # the order: more rare features first, more features first, then the signature itself
-        first = np.lexsort((values, -counts, -rare))[: min(own + 1, parts)]
+        first = np.lexsort((values, -counts, -rare))[:own]
         out.append(values[first])
-    return np.concatenate(out)
+        plain.append(rare[first] == 0)
+    return (np.concatenate(out), np.concatenate(plain)) if out else (np.zeros(0, np.uint64), np.zeros(0, bool))
 
 
 def _sets(texts: pa.Array, k: int):
@@ -151,8 +157,11 @@ def describe(k: int):
     return run
 
 
-def sign(k: int, num: int, den: int, frequent):
-    """Arrow batches of (text) -> rows (sig, node); a task signs each node once as long as it remembers it."""
+def sign(k: int, num: int, den: int, frequent, plain: bool):
+    """Arrow batches of (text) -> rows (sig, node): the signatures of frequent features only, or the others.
+
+    A task signs each node once as long as it remembers it.
+    """
 
     def run(batches):
         common, done = np.frombuffer(frequent.value, np.uint64), set()
@@ -164,8 +173,9 @@ def sign(k: int, num: int, den: int, frequent):
                     done.clear()
                 done.update(new)
                 if new:
-                    sigs = [signatures(s, common, num, den) for s in new.values()]
-                    nodes = np.repeat(np.array([*new]), [len(s) for s in sigs])
+                    made = [signatures(s, common, num, den, plain) for s in new.values()]
+                    sigs = [values[own == plain] for values, own in made]
+                    nodes = np.repeat(np.array([*new]), [len(x) for x in sigs])
                     yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(nodes)], ["sig", "node"])
 
     return run
@@ -174,14 +184,16 @@ def sign(k: int, num: int, den: int, frequent):
 def sets_of(k: int):
     """Arrow batches of (node, text) -> rows (node, features as sorted little-endian 64-bit integers).
 
-    Where several rows carry a representative's id, those whose set is not the node's are left out.
+    Where several rows carry a representative's id, those whose set is not the node's are left out; a null node becomes the
+    set's own.
     """
 
     def run(batches):
         for batch in batches:
             nodes = column(batch, "node").to_pylist()
             for lo, sets in _sets(column(batch, "text"), k):
-                own = [(node, s.tobytes()) for node, s in zip(nodes[lo : lo + len(sets)], sets, strict=True) if len(s) and node_of(s) == node]
+                found = [(node, node_of(s), s) for node, s in zip(nodes[lo : lo + len(sets)], sets, strict=True) if len(s)]
+                own = [(n, s.tobytes()) for node, n, s in found if node is None or n == node]
                 yield pa.record_batch([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], ["node", "features"])
 
     return run
@@ -294,17 +306,26 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     scratch = Scratch(spark, "jaccard")
     seen = scratch.write(docs.mapInArrow(lean(describe(k)), "doc_id long, n long, node long, feature long"), "seen")
     rows = seen.where("feature is null").select("doc_id", "n", "node")
-    least = max(50, FREQUENT * rows.count() / 2)
-    common = seen.where("feature is not null").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("feature")
+    often = max(50, FREQUENT * rows.count() / 2)
+    common = seen.where("feature is not null").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("feature")
     frequent = np.sort(common.toPandas()["feature"].to_numpy(np.int64).view(np.uint64))  # bounded: see FREQUENT
     shared = spark.sparkContext.broadcast(frequent.tobytes())
 
-    # not nullable, so that both uses below have the same plan and share one exchange
-    signed = docs.select("text").where("text is not null").mapInArrow(lean(sign(k, num, den, shared)), SIGNED)
-    signed = signed.repartition("sig")
-    groups = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("c")).where("pivot <> last")
-    met = signed.join(groups.select("sig", "pivot", (F.col("c") > CROWD).alias("crowded")).hint("shuffle_hash"), "sig").where("crowded or node <> pivot")
-    met = scratch.write(met.select("sig", "pivot", "node", "crowded"), "met")
+    def met_in(signed: DataFrame) -> DataFrame:
+        groups = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("c")).where("pivot <> last")
+        groups = groups.select("sig", "pivot", (F.col("c") > CROWD).alias("crowded"))
+        return signed.join(groups.hint("shuffle_hash"), "sig").where("crowded or node <> pivot").select("sig", "pivot", "node", "crowded")
+
+    def signed(plain: bool) -> DataFrame:
+        return docs.select("text").where("text is not null").mapInArrow(lean(sign(k, num, den, shared, plain)), SIGNED)
+
+    # signatures with rare features: most of all, none with very many sets; one exchange serves both uses, as the columns
+    # are not nullable and the plans thus equal
+    scratch.save(met_in(signed(False).repartition("sig")), "met/part=0")
+    # signatures of frequent features only: few, but one may have a share of all sets; sums are partial before the shuffle,
+    # and large partitions of the join can be split
+    scratch.save(met_in(scratch.write(signed(True), "plain")), "met/part=1")
+    met = scratch.read("met").drop("part")
     scratch.free_shuffles()
 
     # crowded signatures: only for sets with more of them than signatures to spare
@@ -313,18 +334,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     strong = crowds.groupBy("node").agg(F.count(F.lit(1)).alias("h")).join(sizes, "node").where(F.col("h") > F.floor(F.col("n") / SPARE)).select("node", "n")
     crowds = scratch.write(crowds.join(strong, "node").select("sig", "node", "n"), "crowds")
     lead = crowds.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    families = components(crowds.join(lead, "sig").select("a", F.col("node").alias("b")).distinct(), scratch, "family")
+    led = scratch.write(crowds.join(lead, "sig").select("a", F.col("node").alias("b")).distinct(), "led")
+    # a set is linked with the least set that leads one of its signatures, and that one with the others that do: few links
+    least = led.groupBy("b").agg(F.min("a").alias("m"))
+    families = components(least.select(F.col("m").alias("a"), "b").unionAll(led.join(least, "b").select("m", "a").distinct()), scratch, "family")
     families = families.join(crowds.select("node", "n").distinct(), "node").withColumnRenamed("label", "family")
     families = scratch.write(families, "families")
 
     cold = met.where("not crowded")
     stars = scratch.write(cold.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     nodes = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node"))).unionAll(families.select("node")).distinct()
-    # one text stands for each node; ids may repeat or be null, so the text's own node decides
-    first = rows.where("node is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))).alias("rep"))
-    reps = first.select("node", F.col("rep.doc_id").alias("doc_id"))
-    texts = docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id)).select("node", "text")
-    sets = scratch.write(texts.mapInArrow(lean(sets_of(k)), "node long, features binary").dropDuplicates(["node"]), "sets")
+    # one text stands for each node: that of its least id; ids may repeat, so the text's own node decides
+    reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
+    texts = docs.join(reps.where("doc_id is not null"), "doc_id").select("node", "text")
+    made = texts.mapInArrow(lean(sets_of(k)), "node long, features binary")
+    # texts without an id find their node by themselves
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(lean(sets_of(k)), "node long, features binary")
+    made = made.unionAll(nameless.join(reps.where("doc_id is null").select("node"), "node", "left_semi"))
+    sets = scratch.write(made.dropDuplicates(["node"]), "sets")
     scratch.free_shuffles()
 
     checked = scratch.write(_verified(stars, sets, num, den), "checked")
@@ -345,7 +372,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         found = scratch.write(_verified(more, sets, num, den).where("linked").select("a", "b"), "found")
         labels = components(links.unionAll(found), scratch, "second")
 
-    scratch.drop("met", "sets", "members", "crowds", "families")
+    scratch.drop("met", "plain", "sets", "members", "crowds", "families")
     label = rows.where("node is not null").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     # written, so that the join below stands alone and a label with very many rows can be split
     ids = scratch.write(label.groupBy("label").agg(F.min("doc_id").alias("component_id")), "ids")
