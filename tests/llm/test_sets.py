@@ -296,3 +296,36 @@ def test_stretches_have_their_share():
         cols = np.stack((np.arange(300), np.arange(300), eq), 1)
         for lo, hi in S.stretches(cols, 50, 0.8):
             assert hi - lo >= 50 and eq[lo:hi].mean() >= 0.8 - 1e-9
+
+
+def test_passages_whose_seeds_have_other_first_and_last_holders(spark):
+    words = [f"p{i}" for i in range(300)]
+    docs = [(100, " ".join(["x1", "x2", *words, "x3"])), (101, " ".join(["y1", *words, "y2", "y3"]))]
+    for at in range(0, 300, 5):  # each fragment of 30 words in a lower and in a higher document
+        docs += [(at // 5, " ".join([f"l{at}", *words[at : at + 30], f"m{at}"])), (200 + at // 5, " ".join([f"h{at}", *words[at : at + 30], f"g{at}"]))]
+    rows = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["a"], r["b"]) for r in rows} == {(100, 101)}
+    assert {i for r in rows for i in range(r["begin_b"], r["end_b"])} >= set(range(1, 301))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_shared_windows_are_reported(spark, seed):
+    rng = random.Random(seed)
+    pool = [[f"s{seed}-{i}-{j}" for j in range(rng.randint(20, 90))] for i in range(12)] + [["la"] * 120, ["do", "re", "mi"] * 30]
+    docs = []
+    for i in range(40):
+        own = []
+        for _ in range(4):
+            part, cut = rng.choice(pool), rng.randint(0, 9)
+            own += [f"n{rng.random()}", *part[cut : len(part) - rng.randint(0, 9 - cut)]]
+        docs.append((i, " ".join(own)))
+    rows = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    covered = {(r["b"], i) for r in rows for i in range(r["begin_b"], r["end_b"])}
+    seen = set()
+    for i, text in docs:
+        w = text.split(" ")
+        own = {tuple(w[p : p + 50]): p for p in range(len(w) - 49)}
+        for p in range(len(w) - 49):
+            if tuple(w[p : p + 50]) in seen:
+                assert all((i, q) in covered for q in range(p, p + 50)), (i, p)
+        seen |= set(own)

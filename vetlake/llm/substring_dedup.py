@@ -2,7 +2,9 @@
 
 Seeds are k-word shingles picked by winnowing (the least hash of each WINDOW neighbouring ones), so every run of
 k + WINDOW - 1 words that two texts share gives both a common seed; the n-th occurrence of a seed in a text meets the n-th
-in another. Each seed joins its documents with its first and its last document, never all pairs. For each pair of
+in another. Each seed joins its documents with its first and its last document, never all pairs. So that no equal passage
+is lost by that, each window of `least` words that documents share joins them all with the first document that has the
+whole window: anchors, which are winnowed shingles of half its length, tell where such windows can be. For each pair of
 documents, matches on one diagonal merge into segments, and segments are chained in order in both texts with gap costs,
 the best predecessor coming from a Fenwick tree over the first text's positions. Chains are aligned word by word, past
 their ends too; what is kept are the alignment's best stretches of at least `least` words with `share` of their columns
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, chunks, column, lean, text_buffers
-from .words import MULTIPLIERS, U, WHITE_WORDS, grams, mix
+from .words import MULTIPLIERS, U, WHITE_WORDS, grams, long_grams, mix
 
 WINDOW = 8
 #: Words of a gap that a diagonal's segment spans; cost of a word in the gaps of a chain; words past its ends that are aligned.
@@ -27,6 +29,8 @@ SPAN, GAP_COST, MARGIN = 48, 0.25, 64
 TOGETHER = 256
 #: Share of all documents from which on a seed counts as frequent; bounds the list of frequent seeds by seeds of a text / FREQUENT.
 FREQUENT = 0.002
+#: Bits of the map of shared anchors, as a power of two; a full map costs time and loses nothing.
+MAP_BITS = 27
 SEEDS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("doc", T.LongType(), False), T.StructField("pos", T.IntegerType(), False)])
 
 
@@ -110,14 +114,114 @@ def _seeds(k: int, window: int, frequent, common: bool):
     return run
 
 
-def segments(pa_: np.ndarray, pb: np.ndarray, k: int) -> np.ndarray:
-    """Matches of one pair -> segments (begin in a, begin in b, words): runs on one diagonal, in order of b."""
+def anchors(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word position over all texts, key) of shingles that are the least of some `window` < k neighbouring ones of a text."""
+    g = long_grams(hashes, k)
+    n = len(g)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    inside = np.arange(n) + k <= first[doc[:n] + 1]
+    top = U(0xFFFFFFFFFFFFFFFF)
+    # between the shingles of two texts there are k - 1 others, so no window of a text reaches the next
+    least = np.concatenate((np.where(inside, g, top), np.full(window, top)))
+    least = np.where(inside, _sliding(least, window, np.minimum)[:n], U(0))
+    most = _sliding(np.concatenate((np.zeros(window - 1, np.uint64), least)), window, np.maximum)[:n]
+    pos = np.flatnonzero(inside & (most == g))
+    return pos, g[pos]
+
+
+def _sliding(x: np.ndarray, window: int, least) -> np.ndarray:
+    """least (a ufunc) of each `window` consecutive values."""
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        x = least(x[: len(x) - step], x[step:])
+        size += step
+    return x
+
+
+def _texts(batches):
+    """(document ids, word hashes, first words) of runs of texts."""
+    for batch in batches:
+        ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
+        data, offsets = text_buffers(column(batch, "text"))
+        for lo, hi in chunks(offsets):
+            _, _, hashes, first = WHITE_WORDS(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield ids[lo:hi], hashes, first
+
+
+def _anchors(k: int, window: int):
+    """Rows (doc_id, text) -> rows (key, doc): the anchors of each text."""
+
+    def run(batches):
+        for ids, hashes, first in _texts(batches):
+            pos, key = anchors(hashes, first, k, window)
+            own = ids[np.searchsorted(first, pos, "right") - 1]
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own, pa.int64())], ["key", "doc"])
+
+    return run
+
+
+def anchor_map(rows: DataFrame) -> np.ndarray:
+    """Anchors (key, doc) -> bits: set where the first MAP_BITS bits of a key are those of one that two documents have."""
+    both = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    slot = both.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("slot"))
+    words = slot.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def windows(hashes: np.ndarray, first: np.ndarray, near: np.ndarray, least: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word position over all texts, key) of the windows of `least` words that begin up to `before` words before one of `near`.
+
+    Of a window that overlaps itself (in runs of repeated words) those stay that cover the run.
+    """
+    text = np.searchsorted(first, near, "right") - 1
+    mark = np.bincount(np.maximum(near - before, first[text]), minlength=len(hashes) + 1) - np.bincount(near + 1, minlength=len(hashes) + 1)
+    pos = np.flatnonzero(np.cumsum(mark) > 0)
+    own = np.searchsorted(first, pos, "right") - 1
+    fits = pos + least <= first[own + 1]
+    own, pos = own[fits], pos[fits]
+    if not len(pos):
+        return own, pos, np.zeros(0, np.uint64)
+    key = long_grams(hashes, least)[pos]
+    order = np.lexsort((pos, key, own))
+    o, v, p = own[order], key[order], pos[order]
+    begin = np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]) | (np.diff(p) >= least)))
+    step = (p - p[np.maximum.accumulate(np.where(begin, np.arange(len(p)), 0))]) // least
+    stay = order[begin | np.concatenate((begin[1:], [True])) | np.concatenate(([True], np.diff(step) != 0))]
+    return own[stay], pos[stay], key[stay]
+
+
+def _windows(k: int, window: int, least: int, shared):
+    """Rows (doc_id, text) -> rows (key, doc, pos): windows of `least` words around anchors that the map has."""
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint64)
+        schema = pa.schema([pa.field("key", pa.int64(), False), pa.field("doc", pa.int64(), False), pa.field("pos", pa.int32(), False)])
+        for ids, hashes, first in _texts(batches):
+            pos, key = anchors(hashes, first, k, window)
+            slot = key >> U(64 - MAP_BITS)
+            near = pos[(bits[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1]
+            own, pos, key = windows(hashes, first, near, least, window - 1)
+            if len(pos):
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[own], pa.int64()), pa.array((pos - first[own]).astype(np.int32))], schema=schema)
+
+    return run
+
+
+def segments(pa_: np.ndarray, pb: np.ndarray, k: int, words: np.ndarray | None = None) -> np.ndarray:
+    """Matches of one pair, of k or of `words` words -> segments (begin in a, begin in b, words): runs on one diagonal, in order of b."""
     order = np.lexsort((pb, pb - pa_))
     x, y = pa_[order], pb[order]
-    cut = np.concatenate(([True], (np.diff(y - x) != 0) | (np.diff(y) > SPAN)))
+    turn = np.concatenate(([True], np.diff(y - x) != 0))
+    far = np.cumsum(turn) << 40  # one diagonal's ends never exceed the next one's
+    end = np.maximum.accumulate(far + y + (k if words is None else words[order]))
+    cut = turn.copy()
+    cut[1:] |= (far + y)[1:] - end[:-1] > SPAN - k
     lo = np.flatnonzero(cut)
     hi = np.concatenate((lo[1:], [len(x)])) - 1
-    out = np.stack((x[lo], y[lo], y[hi] - y[lo] + k), 1)
+    out = np.stack((x[lo], y[lo], end[hi] - far[hi] - y[lo]), 1)
     return out[np.lexsort((out[:, 0], out[:, 1]))]
 
 
@@ -180,12 +284,12 @@ def chain(segs: np.ndarray, k: int) -> list[list[int]]:
 
 
 def _chains(k: int, least: int, window: int):
-    """Rows (a, b, pa, pb), all of a pair together -> rows (chain, a, b, begin_a, end_a, begin_b, end_b, segments)."""
+    """Rows (a, b, pa, pb, words), all of a pair together -> rows (chain, a, b, begin_a, end_a, begin_b, end_b, segments)."""
     shortest = max(k, (least - 2 * (window - 1)) // 2)
 
     def flush(pair, parts):
-        x, y = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        segs = segments(x.astype(np.int64), y.astype(np.int64), k)
+        x, y, words = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 1, 2))
+        segs = segments(x, y, k, words)
         for own in chain(segs, k):
             some = segs[own]
             size = int(some[-1, 1] + some[-1, 2] - some[0, 1])
@@ -200,7 +304,7 @@ def _chains(k: int, least: int, window: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, x, y = (column(batch, n).to_numpy() for n in ("a", "b", "pa", "pb"))
+            a, b, x, y, words = (column(batch, n).to_numpy() for n in ("a", "b", "pa", "pb", "words"))
             cut = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(a)], strict=True):
                 now = (int(a[lo]), int(b[lo]))
@@ -208,7 +312,7 @@ def _chains(k: int, least: int, window: int):
                     if parts:
                         rows += flush(pair, parts)
                     pair, parts = now, []
-                parts.append((x[lo:hi].copy(), y[lo:hi].copy()))
+                parts.append((x[lo:hi].copy(), y[lo:hi].copy(), words[lo:hi].copy()))
             if len(rows) > 5000:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
                 rows = []
@@ -355,9 +459,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 5, share: float
 
     a < b are doc_ids, begin and end count words (white space parts them, ASCII case is ignored), n_equal of the
     alignment's n_columns columns are equal words. A document with a passage that others share is reported with at least
-    one of them. What that takes: k + window - 1 equal words in a row somewhere in the passage, and a document with the
-    whole passage that is the first or the last to have some stretch of it (about a third of `least`; the alignment then
-    finds the rest). Passages within one document, rows without a doc_id, and null, empty or shorter texts have none. Rows
+    one of them: always where `least` words in a row are equal, as each such window is compared with the first document
+    that has it. Of passages with differing words: if k + window - 1 words in a row are equal somewhere, and a document
+    with the whole passage is the first or the last to have some stretch of it (about a third of `least`; the alignment
+    then finds up to MARGIN words past it). Passages within one document, rows without a doc_id, and null, empty or shorter texts have none. Rows
     with the same doc_id are not compared with each other. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -379,7 +484,16 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 5, share: float
     # of the others one exchange serves both uses, as the columns are not nullable and the plans thus equal; a frequent
     # seed may have a share of all documents: its sums are partial before the shuffle, and the join can be split
     rest, common = (docs.mapInArrow(lean(_seeds(k, window, shared, c)), SEEDS) for c in (False, True))
-    matches = matched(rest.repartition("key")).unionAll(matched(scratch.write(common, "common")))
+    matches = matched(rest.repartition("key")).unionAll(matched(scratch.write(common, "common"))).withColumn("words", F.lit(k))
+
+    # windows of `least` equal words, of which every document with one meets the first: an anchor is in each of them
+    long = least // 2 + 1
+    bits = spark.sparkContext.broadcast(anchor_map(docs.mapInArrow(lean(_anchors(long, least - long + 1)), "key long, doc long")).tobytes())
+    scratch.free_shuffles()
+    whole = scratch.write(docs.mapInArrow(lean(_windows(long, least - long + 1, least, bits)), SEEDS), "windows")
+    lead = whole.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("lead"), F.max("doc").alias("last")).where("lead.doc <> last").select("key", F.col("lead.doc").alias("a"), F.col("lead.pos").alias("pa"))
+    met = whole.join(lead.hint("shuffle_hash"), "key").where("doc <> a").select("a", F.col("doc").alias("b"), "pa", F.col("pos").alias("pb"), F.lit(least).alias("words"))
+    matches = matches.unionAll(met)
     grouped = matches.repartition("a", "b").sortWithinPartitions("a", "b")
     found = grouped.mapInArrow(lean(_chains(k, least, window)), "a long, b long, begin_a long, end_a long, begin_b long, end_b long, segments array<long>")
     found = found.withColumn("chain", F.xxhash64("a", "b", "begin_a", "end_a", "begin_b", "end_b"))
@@ -402,7 +516,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 5, share: float
     full = chains.join(slices["a"], "chain").join(slices["b"], "chain")
     out = full.mapInArrow(lean(_aligned(least, share)), "a long, begin_a long, end_a long, b long, begin_b long, end_b long, n_equal long, n_columns long")
     out = scratch.write(out, "passages")
-    scratch.drop("common", "chains", "words-a", "words-b")
+    scratch.drop("common", "windows", "chains", "words-a", "words-b")
     scratch.free_shuffles()
     return out
 

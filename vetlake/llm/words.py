@@ -114,3 +114,13 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def long_grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Like grams, from one running sum: for many words."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power("up", _BASE, len(hashes)), out=total[1:])
+    return mix((total[k:] - total[:-k]) * _power("down", _INVERSE, n))
