@@ -329,3 +329,12 @@ def test_all_shared_windows_are_reported(spark, seed):
             if tuple(w[p : p + 50]) in seen:
                 assert all((i, q) in covered for q in range(p, p + 50)), (i, p)
         seen |= set(own)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_contamination_is_decided_over_all_blocks(spark, block):
+    items = [(i, " ".join(f"b{i}x{j}" for j in range(13))) for i in range(12)]
+    fill = [f"f{i}" for i in range(400)]
+    docs = [(n, " ".join(fill[: 400 - 13 * n] + [t for _, t in items[:n]])) for n in range(5)] + [(9, None), (10, "")]
+    got = D.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, *_, c in overlaps(docs, items) if not c) == [0, 1, 9, 10]

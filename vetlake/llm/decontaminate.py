@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, chunks, column, lean, text_buffers
 from .words import ALNUM_WORDS, U, grams
@@ -275,28 +276,51 @@ def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of docs that the rule lets stay, all columns kept. Texts without words stay."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that the rule lets stay, all columns kept. Texts without words stay.
+
+    The rule sees the hit words of all blocks together: the word ranges of each are carried to the next.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    found = blocks(docs.select(F.col("text").cast("string").alias("text")), benchmark, window, BLOCK_WORDS)
+    found = blocks(docs.select(F.col("text").cast("string").alias("text")), benchmark, window, block_words)
     out = docs.toDF(*names)
     text = names[[c.lower() for c in docs.columns].index("text")]
-    for shared in found:
-        out = out.mapInArrow(lean(_clean(shared, text)), out.schema)
+    kept = out.schema
+    carried = T.StructType([*kept, T.StructField("runs", T.ArrayType(T.LongType()))])
+    for k, shared in enumerate(found):
+        last = k == len(found) - 1
+        out = out.mapInArrow(lean(_clean(shared, text, k == 0, last)), kept if last else carried)
     return out.toDF(*docs.columns)
 
 
-def _clean(shared, text: str):
+def _clean(shared, text: str, begins: bool, ends: bool):
+    """Rows, unless `begins` with `runs`, the [begin, end, ...) that other blocks cover -> rows with these and the block's own runs, or where it `ends` the rows that stay."""
+
     def run(batches):
         block = shared.value
         for batch in batches:
-            keep = []
+            keep, runs = [], []
+            before = None if begins else column(batch, "runs").to_pylist()
             for lo, hi, hashes, first in _words(column(batch, text)):
                 covered, _, _ = _hits(block, hashes, first)
-                total = np.concatenate(([0], np.cumsum(covered)))
-                hit = total[first[1:]] - total[first[:-1]]
-                keep.append(~((hit > 0) & (20 * hit >= np.diff(first))))
-            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+                covered = covered.astype(bool)
+                for i in range(lo, hi) if before else ():
+                    own = covered[first[i - lo] : first[i - lo + 1]]
+                    for b, e in zip(before[i][::2], before[i][1::2], strict=True):
+                        own[b:e] = True
+                if ends:
+                    total = np.concatenate(([0], np.cumsum(covered)))
+                    hit = total[first[1:]] - total[first[:-1]]
+                    keep.append(~((hit > 0) & (20 * hit >= np.diff(first))))
+                else:
+                    for i in range(lo, hi):
+                        own = covered[first[i - lo] : first[i - lo + 1]]
+                        runs.append(np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)))
+            rows = batch if begins else batch.select([n for n in batch.schema.names if n != "runs"])
+            if ends:
+                yield rows.filter(pa.array(np.concatenate(keep))) if keep else rows
+            else:
+                yield pa.record_batch([*rows.columns, pa.array(runs, pa.list_(pa.int64()))], [*rows.schema.names, "runs"])
 
     return run
 
