@@ -136,3 +136,18 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
         docs_after.write.parquet(path)
         docs = spark.read.parquet(path)
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_backoff_counts_are_exact_and_of_all_words(spark, monkeypatch):
+    monkeypatch.setattr(X, "HELD", 500)
+    docs, labels = toxic_corpus(60)
+    docs += [(1000 + i, f"p{i} w1 p{i} w1 q{i}") for i in range(2000)]
+    model, _ = X.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).value
+    before = {}
+    for _, text in docs:
+        for a, b in zip(["", *text.split()], text.split()):
+            before.setdefault(b, set()).add(a)
+    total = sum(map(len, before.values())) + len(before)
+    _, _, hashes, _ = next(X._hashed(X.pa.array(["w1 w2"])))
+    at = np.searchsorted(model.words, hashes)
+    assert model.shared[at] == pytest.approx([(len(before[w]) + 1) / total for w in ("w1", "w2")]) and len(before["w1"]) > 2000

@@ -3,8 +3,8 @@
 For each class (toxic, ordinary) an interpolated Kneser-Ney bigram model backs off to the class's continuation counts (how
 many distinct pairs end in a word), discounted, and these to one shared continuation distribution, so that rare expressions
 are smoothed alike in both. Class counts come from a
-bounded sample of labelled documents; the shared backoff counts, the number of distinct words before each word, come from
-all documents (by linear counting in bitmaps of 64 bits, which unite by a bitwise or). A text's length-normalised
+bounded sample of labelled documents; the shared backoff counts, the number of distinct words before each word, are exact
+and come from all words of all documents, as a table that grows with them. A text's length-normalised
 log-likelihoods are compared: the mean ratio of its words, and how much of it comes from words that the toxic model alone
 expects. A logistic curve fitted on labelled texts that the models have not seen turns this into a score.
 """
@@ -25,6 +25,8 @@ LABELLED = 20_000
 DISCOUNT = 0.75
 #: Least counts, as counts and as shares of all counted words: they bound the models' entries by one over the share.
 LEAST_COUNT, UNIGRAM_SHARE, BIGRAM_SHARE = (3, 5), 2e-7, 2e-6
+#: Pairs that a task holds to leave out repeated ones.
+HELD = 1 << 20
 #: A word's log-likelihood ratio beyond which it speaks for toxicity.
 TELLING = 2.0
 _EVIDENCE = ("e0", "e1", "e2", "e3", "e4", "e5")
@@ -63,41 +65,43 @@ def _counts(batches):
                 yield pa.record_batch([*cols, pa.array(np.full(len(values), toxic)), pa.array(n)], ["pair", "before", "word", "toxic", "n"])
 
 
-def _continuations(shared):
-    """Rows (text) -> rows (key, seen, n): for the vocabulary's words a bitmap of the hashed words before them, and counts."""
+def _continuations(batches):
+    """Rows (text) -> rows (pair, word): pairs of a word and the one before it, without most of the repeated ones."""
+    held, size = [], 0
 
-    def run(batches):
-        words = np.frombuffer(shared.value, np.uint64)
-        seen, n = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
-        if len(words):
-            for batch in batches:
-                for _, _, hashes, first in _hashed(column(batch, "text")):
-                    before, _ = _pairs(hashes, first)
-                    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                    own = words[at] == hashes
-                    at, bit = at[own], (mix(before[own]) >> U(58)).astype(np.int64)
-                    flat = np.unique(at * 64 + bit)
-                    place, bits = flat >> 6, U(1) << (flat & 63).astype(np.uint64)
-                    cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else place
-                    if len(place):
-                        seen[place[cut]] |= np.bitwise_or.reduceat(bits, cut)
-                    n += np.bincount(at, minlength=len(words))
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(words[some].view(np.int64)), pa.array(seen[some].view(np.int64)), pa.array(n[some])], ["key", "seen", "n"])
+    def united():
+        pairs, words = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        values, at = np.unique(pairs, return_index=True)
+        return values, words[at]
 
-    return run
+    def made(values, words):
+        return pa.record_batch([pa.array(values.view(np.int64)), pa.array(words.view(np.int64))], ["pair", "word"])
+
+    for batch in batches:
+        for _, _, hashes, first in _hashed(column(batch, "text")):
+            held.append((_pairs(hashes, first)[1], hashes))
+            size += len(hashes)
+            if size > HELD:
+                held = [united()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield made(*held[0])
+                    held, size = [], 0
+    if size:
+        yield made(*united())
 
 
 class Model:
     """Both classes' models (toxic first) over hashed words.
 
     words: sorted hashes; ends, times (2 x words): distinct pairs that end in a word, and how often it is a context; pairs,
-    before, counts (2 x pairs): kept pairs, sorted; backoff: continuation counts over all documents.
+    before, counts (2 x pairs): kept pairs, sorted; backoff: continuation counts over all documents; whole: their sum over all
+    words and the number of these, where there are more words than the model's.
     """
 
-    def __init__(self, words, ends, times, pairs, before, counts, backoff):
+    def __init__(self, words, ends, times, pairs, before, counts, backoff, whole=None):
         self.words, self.pairs = words, pairs
-        shared = (backoff + 1.0) / max(backoff.sum() + len(words), 1.0)
+        self.shared = shared = (backoff + 1.0) / max(sum(whole or (backoff.sum(), len(words))), 1.0)
         # the class's own continuation counts, discounted; the discounts go to the shared distribution
         total = np.maximum(ends.sum(1, keepdims=True), 1.0)
         kept = np.maximum(ends - DISCOUNT, 0)
@@ -217,23 +221,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     words = sorted_by(ends.join(times, "word", "left").na.fill(0).toPandas(), "word")
     pairs = sorted_by(counts.where(F.col("t") + F.col("o") >= enough(1, BIGRAM_SHARE)).toPandas(), "pair")
     word = words["word"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(word.tobytes())
-    seen = docs.select("text").mapInArrow(lean(_continuations(shared)), "key long, seen long, n long")
-    seen = seen.groupBy("key").agg(F.bit_count(F.bit_or("seen")).alias("bits"), F.sum("n").alias("n")).toPandas()
+    met = docs.select("text").mapInArrow(lean(_continuations), "pair long, word long").distinct()
+    met = scratch.write(met.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "continuations")
+    whole = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    seen = met.join(ends.select("word"), "word").toPandas()
     backoff = np.zeros(len(word))
-    # linear counting; a full bitmap says no more than some 400
-    empty = np.maximum(64 - seen["bits"].to_numpy(float), 0.1)
-    backoff[np.searchsorted(word, seen["key"].to_numpy(np.int64).view(np.uint64))] = np.minimum(64 * np.log(64 / empty), seen["n"].to_numpy(float))
+    backoff[np.searchsorted(word, seen["word"].to_numpy(np.int64).view(np.uint64))] = seen["n"].to_numpy(float)
+    scratch.free_shuffles()
 
     pairs = pairs[np.isin(pairs["before"].to_numpy(np.int64).view(np.uint64), word) & np.isin(pairs["word"].to_numpy(np.int64).view(np.uint64), word)]
     table = lambda df, *names: df[list(names)].to_numpy(float).T
     hashed = lambda c: pairs[c].to_numpy(np.int64).view(np.uint64)
-    model = Model(word, table(words, "end_t", "end_o"), table(words, "time_t", "time_o"), hashed("pair"), hashed("before"), table(pairs, "t", "o"), backoff)
+    model = Model(word, table(words, "end_t", "end_o"), table(words, "time_t", "time_o"), hashed("pair"), hashed("before"), table(pairs, "t", "o"), backoff, tuple(whole))
     shared = spark.sparkContext.broadcast(model)
     seen = train.where("curve").select("text", "label").mapInArrow(lean(_evidence(shared)), "label int, " + ", ".join(f"{e} double" for e in _EVIDENCE)).toPandas()
     seen = seen.sort_values(list(seen.columns))
     curve = fit_curve(seen[list(_EVIDENCE)].to_numpy(float), seen["label"].to_numpy(float))
-    scratch.drop("labels", "train", "counts")
+    scratch.drop("labels", "train", "counts", "continuations")
     return spark.sparkContext.broadcast((model, curve))
 
 
