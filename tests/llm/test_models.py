@@ -151,3 +151,14 @@ def test_backoff_counts_are_exact_and_of_all_words(spark, monkeypatch):
     _, _, hashes, _ = next(X._hashed(X.pa.array(["w1 w2"])))
     at = np.searchsorted(model.words, hashes)
     assert model.shared[at] == pytest.approx([(len(before[w]) + 1) / total for w in ("w1", "w2")]) and len(before["w1"]) > 2000
+
+
+def test_rare_words_and_pairs_are_in_the_model(spark):
+    docs, labels = toxic_corpus(60)
+    used = {i for i, *_ in labels if zlib.crc32(str(i).encode()) % 5}
+    docs = [(i, f"{t} once{i} w{i}") for i, t in docs]
+    model, _ = X.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).value
+    _, _, hashes, first = next(X._hashed(X.pa.array([f"once{i} w{i}" for i in sorted(used)])))
+    own = np.isin(hashes[::2], model.words)
+    assert own.sum() > len(used) / 2  # the others fit the curve
+    assert np.isin(X._pairs(hashes, first)[1][1::2], model.pairs).tolist() == own.tolist()

@@ -23,8 +23,6 @@ from .words import ALNUM_WORDS, MULTIPLIERS, U, mix
 #: Most labelled documents that are learned from; a quarter of them fits the curve only.
 LABELLED = 20_000
 DISCOUNT = 0.75
-#: Least counts, as counts and as shares of all counted words: they bound the models' entries by one over the share.
-LEAST_COUNT, UNIGRAM_SHARE, BIGRAM_SHARE = (3, 5), 2e-7, 2e-6
 #: Pairs that a task holds to leave out repeated ones.
 HELD = 1 << 20
 #: A word's log-likelihood ratio beyond which it speaks for toxicity.
@@ -106,8 +104,8 @@ class Model:
         total = np.maximum(ends.sum(1, keepdims=True), 1.0)
         kept = np.maximum(ends - DISCOUNT, 0)
         self.unigram = kept / total + (ends - kept).sum(1, keepdims=True) / total * shared + 1e-12
-        at = np.minimum(np.searchsorted(words, before), max(len(words) - 1, 0))
-        self.kept, self.mass = np.zeros(counts.shape), np.ones(times.shape)
+        at = np.minimum(np.searchsorted(words, before), max(len(words) - 1, 0)).astype(np.int32)
+        self.kept, self.mass = np.zeros(counts.shape, np.float32), np.ones(times.shape)
         for c in (0, 1) if len(words) else ():
             n = times[c][at]
             self.kept[c] = np.where(n > 0, np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(n, 1), 0.0)
@@ -213,13 +211,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     side = lambda c, x: F.sum(F.when(F.col("toxic") == c, x).otherwise(0))
     counts = counts.groupBy("pair", "before", "word").agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("o"))
     counts = scratch.write(counts, "counts")
-    total = counts.agg(F.sum(F.col("t") + F.col("o"))).first()[0] or 0
-    enough = lambda kind, share: max(LEAST_COUNT[kind], share * total)
     sorted_by = lambda df, c: df.sort_values(c, key=lambda x: x.to_numpy(np.int64).view(np.uint64))
-    ends = counts.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("end_t"), F.count_if(F.col("o") > 0).alias("end_o")).where(F.col("end_t") + F.col("end_o") >= enough(0, UNIGRAM_SHARE))
+    ends = counts.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("end_t"), F.count_if(F.col("o") > 0).alias("end_o"))
     times = counts.groupBy(F.col("before").alias("word")).agg(F.sum("t").alias("time_t"), F.sum("o").alias("time_o"))
+    hashed = lambda df, c: df[c].to_numpy(np.int64).view(np.uint64)
     words = sorted_by(ends.join(times, "word", "left").na.fill(0).toPandas(), "word")
-    pairs = sorted_by(counts.where(F.col("t") + F.col("o") >= enough(1, BIGRAM_SHARE)).toPandas(), "pair")
+    # every word and pair of the bounded sample; a text's first word has no word before it. Slices in the order of the
+    # pairs, so that the driver holds few of them in other forms
+    pairs = counts.where("before <> 0").select("pair", "before", F.col("t").cast("int").alias("t"), F.col("o").cast("int").alias("o"))
+    parts = []
+    for k in range(8):
+        part = sorted_by(pairs.where(F.shiftrightunsigned("pair", 61) == k).toPandas(), "pair")
+        parts.append((hashed(part, "pair"), hashed(part, "before"), part[["t", "o"]].to_numpy(np.int32).T))
+    pair, before, times_met = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+    del parts
     word = words["word"].to_numpy(np.int64).view(np.uint64)
     met = docs.select("text").mapInArrow(lean(_continuations), "pair long, word long").distinct()
     met = scratch.write(met.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "continuations")
@@ -229,10 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     backoff[np.searchsorted(word, seen["word"].to_numpy(np.int64).view(np.uint64))] = seen["n"].to_numpy(float)
     scratch.free_shuffles()
 
-    pairs = pairs[np.isin(pairs["before"].to_numpy(np.int64).view(np.uint64), word) & np.isin(pairs["word"].to_numpy(np.int64).view(np.uint64), word)]
     table = lambda df, *names: df[list(names)].to_numpy(float).T
-    hashed = lambda c: pairs[c].to_numpy(np.int64).view(np.uint64)
-    model = Model(word, table(words, "end_t", "end_o"), table(words, "time_t", "time_o"), hashed("pair"), hashed("before"), table(pairs, "t", "o"), backoff, tuple(whole))
+    model = Model(word, table(words, "end_t", "end_o"), table(words, "time_t", "time_o"), pair, before, times_met, backoff, tuple(whole))
     shared = spark.sparkContext.broadcast(model)
     seen = train.where("curve").select("text", "label").mapInArrow(lean(_evidence(shared)), "label int, " + ", ".join(f"{e} double" for e in _EVIDENCE)).toPandas()
     seen = seen.sort_values(list(seen.columns))
