@@ -338,3 +338,12 @@ def test_contamination_is_decided_over_all_blocks(spark, block):
     docs = [(n, " ".join(fill[: 400 - 13 * n] + [t for _, t in items[:n]])) for n in range(5)] + [(9, None), (10, "")]
     got = D.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, *_, c in overlaps(docs, items) if not c) == [0, 1, 9, 10]
+
+
+def test_later_copies_in_a_document_are_found(spark):
+    words = [f"p{i}" for i in range(100)]
+    again = [f"e{i}" if i % 20 == 19 else w for i, w in enumerate(words)]  # 80 equal words in a row nowhere: seeds find it
+    docs = [(1, " ".join(["a1", *words, "a2"])), (2, " ".join(["b1", *words[30:45], "b2", *words, "b3", *again, "b4", *words]))]
+    rows = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    covered = {i for r in rows for i in range(r["begin_b"], r["end_b"])}
+    assert covered >= set(range(17, 117)) | set(range(118, 217)) | set(range(219, 319))

@@ -2,7 +2,7 @@
 
 Seeds are k-word shingles picked by winnowing (the least hash of each WINDOW neighbouring ones), so every run of
 k + WINDOW - 1 words that two texts share gives both a common seed; the n-th occurrence of a seed in a text meets the n-th
-in another. Each seed joins its documents with its first and its last document, never all pairs. So that no equal passage
+in another, and its first. Each seed joins its documents with its first and its last document, never all pairs. So that no equal passage
 is lost by that, each window of `least` words that documents share joins them all with the first document that has the
 whole window: anchors, which are winnowed shingles of half its length, tell where such windows can be. For each pair of
 documents, matches on one diagonal merge into segments, and segments are chained in order in both texts with gap costs,
@@ -60,7 +60,9 @@ def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[
     nth = np.arange(len(o)) - np.maximum.accumulate(np.where(start, np.arange(len(o)), 0))
     key = np.empty(len(pos), np.uint64)
     key[order] = mix(v + nth.astype(np.uint64) * MULTIPLIERS[3])
-    return own, pos, key
+    # all occurrences also meet the first one in another text, but not those within a run of a repeated word
+    more = order[(nth > 0) & (np.diff(pos[order], prepend=0) >= k)]
+    return np.concatenate((own, own[more])), np.concatenate((pos, pos[more])), np.concatenate((key, mix(g[pos[more]])))
 
 
 def _winnowed(batches, k: int, window: int):
@@ -477,7 +479,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 5, share: float
     both = F.array(F.when(F.col("doc") != F.col("first"), pair("first", "doc", "pos_first", "pos")), F.when((F.col("doc") != F.col("last")) & (F.col("doc") != F.col("first")), pair("doc", "last", "pos", "pos_last")))
 
     def matched(seeds: DataFrame) -> DataFrame:
-        groups = seeds.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("pos_first"), F.max_by("pos", "doc").alias("pos_last")).where("first <> last")
+        groups = seeds.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", F.struct("doc", "pos")).alias("pos_first"), F.max_by("pos", F.struct("doc", -F.col("pos"))).alias("pos_last")).where("first <> last")
         met = seeds.join(groups.hint("shuffle_hash"), "key")
         return met.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("m")).select("m.*")
 
