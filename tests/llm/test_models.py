@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vetlake.llm import attention_quality as A
 from vetlake.llm import toxicity as X
+from vetlake.llm.common import Scratch
 from vetlake.llm.folds import held_out, training_labels
 
 SF = "/root/testdata/sf0.01"
@@ -111,13 +113,65 @@ def test_attention_gradients():
             assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
-def test_smoothed_models_are_distributions():
+def plain_models(docs, labels, discount=X.DISCOUNT):
+    """Both classes' models by the book: [(p(word), p(word after before))] for toxic and ordinary, and the vocabulary."""
+    before = {}
+    for _, text in docs:
+        for a, b in zip(["", *text.split()], text.split()):
+            before.setdefault(b, set()).add(a)
+    whole = sum(map(len, before.values())) + len(before)
+    shared = lambda w: (len(before[w]) + 1) / whole if w in before else 1 / whole
+    out = []
+    for c in (1, 0):
+        pairs = Counter((a, b) for i, t in docs if labels.get(i) == c for a, b in zip(["", *t.split()], t.split()))
+        ends, after = Counter(b for _, b in pairs), Counter()
+        kept = Counter()
+        for (a, _), n in pairs.items():
+            after[a] += n
+            kept[a] += max(n - discount, 0)
+        total = sum(ends.values())
+        back = sum(min(n, discount) for n in ends.values()) / total
+
+        def word(w, ends=ends, total=total, back=back):
+            return max(ends[w] - discount, 0) / total + back * shared(w)
+
+        def pair(a, b, pairs=pairs, after=after, kept=kept, word=word):
+            return max(pairs[a, b] - discount, 0) / after[a] + (1 - kept[a] / after[a]) * word(b) if after[a] else word(b)
+
+        out.append((word, pair))
+    return out, sorted(before)
+
+
+def test_models_equal_brute_force(spark):
     rng = np.random.default_rng(2)
-    words = np.sort(rng.integers(1, 1 << 60, 30).astype(np.uint64))
-    ends, times = rng.integers(1, 9, (2, 30)).astype(float), rng.integers(20, 40, (2, 30)).astype(float)
-    none = np.zeros(0, np.uint64)
-    model = X.Model(words, ends, times, none, none, np.zeros((2, 0)), rng.integers(1, 20, 30).astype(float))
-    assert model.unigram.sum(1) == pytest.approx([1, 1], abs=1e-9)
+    docs = [(i, " ".join(rng.choice([f"w{k}" for k in range(25)], rng.integers(1, 60), p=(q := rng.dirichlet(np.ones(25) / 3)))) + (" rude w1 rude w2" if i % 3 == 0 else "") + f" rare{i}") for i in range(80)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in docs]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    used = training_labels(known, "toxic", X.LABELLED).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).where("not curve")
+    (toxic, ordinary), vocabulary = plain_models(docs, {r["doc_id"]: r["label"] for r in used.collect()})
+    for word, pair in (toxic, ordinary):
+        assert sum(map(word, vocabulary)) == pytest.approx(1, abs=1e-9)
+        assert all(sum(pair(a, b) for b in vocabulary) == pytest.approx(1, abs=1e-9) for a in vocabulary)
+    model, _ = X.models(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), known, "toxic", X.LABELLED, Scratch(spark, "test"))
+    for _, text in [*docs, (None, "w1 unknown w2 w2 other"), (None, "")]:
+        words = text.split()
+        _, _, hashes, first = next(X._hashed(X.pa.array([text])), (0, 1, np.zeros(0, np.uint64), np.zeros(2, np.int64)))
+        alone, both = model.ratios(hashes, first, (0.0, 1.0))
+        assert alone == pytest.approx([np.log(toxic[0](w) / ordinary[0](w)) for w in words], abs=1e-9)
+        want = [np.log(toxic[1](a, b) / ordinary[1](a, b)) if a else np.log(toxic[0](b) / ordinary[0](b)) for a, b in zip(["", *words], words)]
+        assert both == pytest.approx(want, abs=1e-9)
+        mean = np.mean(np.log(1 - 0.05 + 0.05 * np.exp(want))) if words else 0.0
+        assert model.evidence(hashes, first, (0.05,), (1.0,))[0, 0] == pytest.approx(mean, abs=1e-9)
+
+
+def test_chosen_curve_is_the_likeliest():
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.3).astype(float)
+    seen = rng.normal(size=(400, len(X.SHARES) * len(X.WEIGHTS) + 1))
+    seen[:, 6] += 3 * y
+    share, weight, *line = X.choose(seen, y)
+    assert (weight, share) == [(w, s) for w in X.WEIGHTS for s in X.SHARES][6] and line[0] > 0
+    assert np.mean((seen[:, [6, -1]] @ line[:2] + line[2] >= 0) == y) > 0.85
 
 
 @tables
@@ -138,27 +192,13 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
 
 
-def test_backoff_counts_are_exact_and_of_all_words(spark, monkeypatch):
+def test_backoff_counts_are_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(X, "HELD", 500)
     docs, labels = toxic_corpus(60)
     docs += [(1000 + i, f"p{i} w1 p{i} w1 q{i}") for i in range(2000)]
-    model, _ = X.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).value
-    before = {}
-    for _, text in docs:
-        for a, b in zip(["", *text.split()], text.split()):
-            before.setdefault(b, set()).add(a)
-    total = sum(map(len, before.values())) + len(before)
-    _, _, hashes, _ = next(X._hashed(X.pa.array(["w1 w2"])))
-    at = np.searchsorted(model.words, hashes)
-    assert model.shared[at] == pytest.approx([(len(before[w]) + 1) / total for w in ("w1", "w2")]) and len(before["w1"]) > 2000
-
-
-def test_rare_words_and_pairs_are_in_the_model(spark):
-    docs, labels = toxic_corpus(60)
-    used = {i for i, *_ in labels if zlib.crc32(str(i).encode()) % 5}
-    docs = [(i, f"{t} once{i} w{i}") for i, t in docs]
-    model, _ = X.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).value
-    _, _, hashes, first = next(X._hashed(X.pa.array([f"once{i} w{i}" for i in sorted(used)])))
-    own = np.isin(hashes[::2], model.words)
-    assert own.sum() > len(used) / 2  # the others fit the curve
-    assert np.isin(X._pairs(hashes, first)[1][1::2], model.pairs).tolist() == own.tolist()
+    known = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    model, _ = X.models(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), known, "toxic", X.LABELLED, Scratch(spark, "test"))
+    used = training_labels(known, "toxic", X.LABELLED).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).where("not curve")
+    (toxic, ordinary), _ = plain_models(docs, {r["doc_id"]: r["label"] for r in used.collect()})
+    _, _, hashes, first = next(X._hashed(X.pa.array(["w1 w2 w3 rude1"])))
+    assert model.ratios(hashes, first, (0.0,))[0] == pytest.approx([np.log(toxic[0](w) / ordinary[0](w)) for w in ("w1", "w2", "w3", "rude1")], abs=1e-9)

@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For each class (toxic, ordinary) an interpolated Kneser-Ney bigram model backs off to the class's continuation counts (how
-many distinct pairs end in a word), discounted, and these to one shared continuation distribution, so that rare expressions
-are smoothed alike in both. Class counts come from a
-bounded sample of labelled documents; the shared backoff counts, the number of distinct words before each word, are exact
-and come from all words of all documents, as a table that grows with them. A text's length-normalised
-log-likelihoods are compared: the mean ratio of its words, and how much of it comes from words that the toxic model alone
-expects. A logistic curve fitted on labelled texts that the models have not seen turns this into a score.
+For each class (toxic, ordinary) a word's probability is its continuation count in the class (of how many distinct pairs it
+is the second word), discounted; what the discounts take goes to one continuation distribution that both classes share, so
+that rare expressions are smoothed alike in both. Pairs of words stand above that: their discounted share among the pairs
+with the same first word, and the rest to the words. Class counts come from a bounded sample of labelled documents; the
+shared counts, the number of distinct words before each word, are exact and come from all words of all documents, as a table
+that grows with them. A text's length-normalised log-likelihoods are compared: the mean, over its words, of the ratio of a
+toxic text's likelihood, which takes a share of its words from the toxic model, to that of an ordinary text. That share and
+the weight of pairs are the ones that explain labelled texts best that the models have not seen, and these also fit the
+logistic curve that turns the mean and the text's length, by which means vary, into a score.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ from .words import ALNUM_WORDS, MULTIPLIERS, U, mix
 
 #: Most labelled documents that are learned from; a quarter of them fits the curve only.
 LABELLED = 20_000
-DISCOUNT = 0.75
+#: What a class has up to this often (contexts of a word, occurrences of a pair) is left to the backoff.
+DISCOUNT = 2.0
 #: Pairs that a task holds to leave out repeated ones.
 HELD = 1 << 20
-#: A word's log-likelihood ratio beyond which it speaks for toxicity.
-TELLING = 2.0
-_EVIDENCE = ("e0", "e1", "e2", "e3", "e4", "e5")
+#: Shares of a toxic text's words that the toxic model gives, and weights of pairs, to choose from.
+SHARES, WEIGHTS = (0.1, 0.02, 0.005, 0.001), (0.0, 0.25, 1.0)
+_EVIDENCE = [f"e{i}" for i in range(len(SHARES) * len(WEIGHTS) + 1)]
 
 
 def _hashed(texts: pa.Array):
@@ -90,70 +93,39 @@ def _continuations(batches):
 
 
 class Model:
-    """Both classes' models (toxic first) over hashed words.
+    """Log-likelihood ratios, toxic to ordinary, over hashed words.
 
-    words: sorted hashes; ends, times (2 x words): distinct pairs that end in a word, and how often it is a context; pairs,
-    before, counts (2 x pairs): kept pairs, sorted; backoff: continuation counts over all documents; whole: their sum over all
-    words and the number of these, where there are more words than the model's.
+    words: sorted hashes; ratio, mass: their own ratios and those of the backoff after them; unknown: the ratio of words that
+    neither class has; pairs, pair_ratio: the pairs that a class has, sorted, and their ratios.
     """
 
-    def __init__(self, words, ends, times, pairs, before, counts, backoff, whole=None):
-        self.words, self.pairs = words, pairs
-        self.shared = shared = (backoff + 1.0) / max(sum(whole or (backoff.sum(), len(words))), 1.0)
-        # the class's own continuation counts, discounted; the discounts go to the shared distribution
-        total = np.maximum(ends.sum(1, keepdims=True), 1.0)
-        kept = np.maximum(ends - DISCOUNT, 0)
-        self.unigram = kept / total + (ends - kept).sum(1, keepdims=True) / total * shared + 1e-12
-        at = np.minimum(np.searchsorted(words, before), max(len(words) - 1, 0)).astype(np.int32)
-        self.kept, self.mass = np.zeros(counts.shape, np.float32), np.ones(times.shape)
-        for c in (0, 1) if len(words) else ():
-            n = times[c][at]
-            self.kept[c] = np.where(n > 0, np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(n, 1), 0.0)
-            taken = np.bincount(at, self.kept[c], len(words))
-            self.mass[c] = np.where(times[c] > 0, np.clip(1.0 - taken, 1e-6, 1.0), 1.0)
-
-    def ratios(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of each word after the word before it."""
+    def __init__(self, words, ratio, mass, unknown, pairs, pair_ratio):
+        self.words, self.ratio, self.mass, self.unknown, self.pairs, self.pair_ratio = words, ratio, mass, unknown, pairs, pair_ratio
+
+    def ratios(self, hashes: np.ndarray, first: np.ndarray, weights=(1.0,)) -> list[np.ndarray]:
+        """For each weight of pairs the ratio of each word after the word before it."""
         if not len(self.words) or not len(hashes):
-            return np.zeros(len(hashes))
-        before, pair = _pairs(hashes, first)
+            return [np.full(len(hashes), self.unknown)] * len(weights)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         known = self.words[at] == hashes
-        start = first[:-1][np.diff(first) > 0]
-        back = np.concatenate(([0], at[:-1]))
-        back_known = np.concatenate(([False], known[:-1]))
-        back_known[start] = False
-        own = np.zeros(len(hashes), bool)
-        place = np.zeros(len(hashes), np.int64)
+        alone = np.where(known, self.ratio[at], self.unknown)
+        if not any(weights):
+            return [alone] * len(weights)
+        after = np.concatenate(([0.0], np.where(known, self.mass[at], 0.0)[:-1]))
+        after[first[:-1][np.diff(first) > 0]] = 0.0
+        both = alone + after
         if len(self.pairs):
-            some = np.flatnonzero(known & back_known)  # a kept pair has kept words
-            where = np.minimum(np.searchsorted(self.pairs, pair[some]), len(self.pairs) - 1)
-            hit = self.pairs[where] == pair[some]
-            own[some[hit]], place[some[hit]] = True, where[hit]
-        logs = []
-        for c in (0, 1):
-            p = np.where(known, self.unigram[c][at], 1.0)  # unknown words say nothing of the class
-            p = np.where(known & back_known, self.mass[c][back], 1.0) * p
-            if own.any():
-                p[own] += self.kept[c][place[own]]
-            logs.append(np.log(p))
-        return logs[0] - logs[1]
-
-    def evidence(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """What the curve sees of each text, all 0 without words: the mean ratio, the mean of what exceeds TELLING, the
-        logarithm of the sum of what exceeds TELLING, that sum and the text's length by the root of the length, and a
-        constant. A pair of words that a text repeats counts once."""
+            pair = _pairs(hashes, first)[1]
+            where = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            both = np.where(self.pairs[where] == pair, self.pair_ratio[where], both)
+        return [alone + w * (both - alone) for w in weights]
+
+    def evidence(self, hashes: np.ndarray, first: np.ndarray, shares, weights) -> np.ndarray:
+        """For each text, weight and share the mean log-likelihood ratio of a word, 0 without words; last how much means vary."""
         size = len(first) - 1
-        doc = np.repeat(np.arange(size), np.diff(first))
-        _, pair = _pairs(hashes, first)
-        order = np.lexsort((pair, doc))
-        new = np.ones(len(order), bool)
-        new[1:] = (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-        once = order[new]
-        ratios, own = self.ratios(hashes, first)[once], doc[once]
-        n = np.maximum(np.bincount(own, minlength=size), 1)
-        above = np.bincount(own, np.maximum(ratios - TELLING, 0), size)
-        return np.stack((np.bincount(own, ratios, size) / n, above / n, np.log1p(above), above / np.sqrt(n), np.sqrt(n) / 10, np.ones(size)), 1)
+        doc, n = np.repeat(np.arange(size), np.diff(first)), np.maximum(np.diff(first), 1)
+        means = [np.bincount(doc, np.log1p(s * np.expm1(r)), size) / n for r in self.ratios(hashes, first, weights) for s in shares]
+        return np.stack([*means, 1 / np.sqrt(n)], 1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -176,32 +148,63 @@ def _evidence(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            e = [model.evidence(hashes, first) for _, _, hashes, first in _hashed(column(batch, "text"))]
+            e = [model.evidence(hashes, first, SHARES, WEIGHTS) for _, _, hashes, first in _hashed(column(batch, "text"))]
             if e:
                 yield pa.record_batch([column(batch, "label"), *(pa.array(c) for c in np.concatenate(e).T)], ["label", *_EVIDENCE])
 
     return run
 
 
-def _score(shared, text: str, filtered: bool):
+def _score(shared, curve, text: str, filtered: bool):
     """The scores of a batch's rows, or with `filtered` its rows that score below 0.5."""
+    share, weight, *line = curve
 
     def run(batches):
-        model, curve = shared.value
+        model = shared.value
         for batch in batches:
             scores = [np.zeros(0)]
             for _, _, hashes, first in _hashed(column(batch, text)):
-                scores.append(1 / (1 + np.exp(-np.clip(model.evidence(hashes, first) @ curve, -35, 35))))
+                z = model.evidence(hashes, first, (share,), (weight,)) @ line[:2] + line[2]
+                scores.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
             score = np.concatenate(scores)
             yield batch.filter(pa.array(score < 0.5)) if filtered else pa.record_batch([column(batch, "doc_id"), pa.array(score)], ["doc_id", "score"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED):
-    """The broadcast (Model, curve), from docs (doc_id, text) and labels (doc_id, label)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
+def choose(seen: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """(share, weight of pairs, slopes of the mean and of its spread, level) under which the labels y are likeliest; of equals the first."""
+    best = None
+    for i, (weight, share) in enumerate((w, s) for w in WEIGHTS for s in SHARES):
+        x = seen[:, [i, -1]]
+        mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(2), np.ones(2))
+        *slopes, level = fit_curve(np.concatenate(((x - mean) / scale, np.ones((len(x), 1))), 1), y)
+        slopes = slopes / scale
+        level = float(level - slopes @ mean)
+        z = np.clip(x @ slopes + level, -35, 35)
+        loss = float(np.logaddexp(0, np.where(y > 0, -z, z)).sum())
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, (share, weight, *map(float, slopes), level)
+    return best[1]
+
+
+def _ratio(toxic, ordinary):
+    return F.log(toxic / ordinary)
+
+
+def _collected(df: DataFrame, key: str, *names: str) -> list[np.ndarray]:
+    """Columns of a bounded table in the order of its 64-bit key, fetched in slices, so that the driver holds each row about once."""
+    parts = []
+    for k in range(8):
+        table = df.where(F.shiftrightunsigned(key, 61) == k).select(key, *names).toArrow()
+        value = table[key].to_numpy().view(np.uint64)
+        order = np.argsort(value)
+        parts.append((value[order], *(table[n].to_numpy()[order] for n in names)))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """The Model of both classes from docs (doc_id, text) and labels (doc_id, label), and the labelled texts left for the curve."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     known = training_labels(labels, label, labelled)
     known = scratch.write(known.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0), "labels")
@@ -211,56 +214,67 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
     side = lambda c, x: F.sum(F.when(F.col("toxic") == c, x).otherwise(0))
     counts = counts.groupBy("pair", "before", "word").agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("o"))
     counts = scratch.write(counts, "counts")
-    sorted_by = lambda df, c: df.sort_values(c, key=lambda x: x.to_numpy(np.int64).view(np.uint64))
-    ends = counts.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("end_t"), F.count_if(F.col("o") > 0).alias("end_o"))
-    times = counts.groupBy(F.col("before").alias("word")).agg(F.sum("t").alias("time_t"), F.sum("o").alias("time_o"))
-    hashed = lambda df, c: df[c].to_numpy(np.int64).view(np.uint64)
-    words = sorted_by(ends.join(times, "word", "left").na.fill(0).toPandas(), "word")
-    # every word and pair of the bounded sample; a text's first word has no word before it. Slices in the order of the
-    # pairs, so that the driver holds few of them in other forms
-    pairs = counts.where("before <> 0").select("pair", "before", F.col("t").cast("int").alias("t"), F.col("o").cast("int").alias("o"))
-    parts = []
-    for k in range(8):
-        part = sorted_by(pairs.where(F.shiftrightunsigned("pair", 61) == k).toPandas(), "pair")
-        parts.append((hashed(part, "pair"), hashed(part, "before"), part[["t", "o"]].to_numpy(np.int32).T))
-    pair, before, times_met = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
-    del parts
-    word = words["word"].to_numpy(np.int64).view(np.uint64)
     met = docs.select("text").mapInArrow(lean(_continuations), "pair long, word long").distinct()
     met = scratch.write(met.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "continuations")
-    whole = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    seen = met.join(ends.select("word"), "word").toPandas()
-    backoff = np.zeros(len(word))
-    backoff[np.searchsorted(word, seen["word"].to_numpy(np.int64).view(np.uint64))] = seen["n"].to_numpy(float)
+    whole = met.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count(F.lit(1))).first()[0]
+
+    # p_t and p_o: the words' probabilities; mass: what pairs leave to them; k_t and k_o: the pairs' own
+    ends = counts.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
+    words = scratch.write(ends.join(met, "word").select("word", "t", "o", ((F.col("n") + 1.0) / max(whole, 1)).alias("shared")), "ends")
+    taken = lambda c: F.coalesce(F.sum(F.least(F.col(c), F.lit(DISCOUNT))) / F.sum(c), F.lit(1.0))
+    total = words.select(*(F.coalesce(F.greatest(F.sum(c), F.lit(1)), F.lit(1)).alias(c) for c in "to"), taken("t").alias("l_t"), taken("o").alias("l_o")).first()
+    p = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(total[c]) + F.lit(total[f"l_{c}"]) * F.col("shared")
+    words = words.select("word", p("t").alias("p_t"), p("o").alias("p_o"))
+    pairs = counts.where("before <> 0")  # a text's first word has no word before it
+    kept = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+    after = pairs.groupBy(F.col("before").alias("context")).agg(F.sum("t").alias("n_t"), F.sum("o").alias("n_o"), F.sum(kept("t")).alias("a_t"), F.sum(kept("o")).alias("a_o"))
+    mass = lambda c: F.when(F.col(f"n_{c}") > 0, 1.0 - F.col(f"a_{c}") / F.col(f"n_{c}")).otherwise(1.0)
+    after = scratch.write(after.select("context", "n_t", "n_o", mass("t").alias("m_t"), mass("o").alias("m_o")), "contexts")
+    both = lambda c: F.coalesce(kept(c) / F.nullif(F.col(f"n_{c}"), F.lit(0)), F.lit(0.0)) + F.col(f"m_{c}") * F.col(f"p_{c}")
+    pairs = pairs.join(words, "word").join(after, F.col("before") == F.col("context")).select("pair", _ratio(both("t"), both("o")).alias("ratio"))
+    pairs = scratch.write(pairs, "pairs")
+    words = words.join(after, F.col("word") == F.col("context"), "left").select("word", _ratio(F.col("p_t"), F.col("p_o")).alias("ratio"), F.coalesce(_ratio(F.col("m_t"), F.col("m_o")), F.lit(0.0)).alias("mass"))
     scratch.free_shuffles()
 
-    table = lambda df, *names: df[list(names)].to_numpy(float).T
-    model = Model(word, table(words, "end_t", "end_o"), table(words, "time_t", "time_o"), pair, before, times_met, backoff, tuple(whole))
-    shared = spark.sparkContext.broadcast(model)
-    seen = train.where("curve").select("text", "label").mapInArrow(lean(_evidence(shared)), "label int, " + ", ".join(f"{e} double" for e in _EVIDENCE)).toPandas()
+    model = Model(*_collected(words, "word", "ratio", "mass"), float(np.log(total["l_t"] / total["l_o"])), *_collected(pairs, "pair", "ratio"))
+    scratch.drop("labels", "counts", "continuations", "ends", "contexts", "pairs")
+    return model, train.where("curve").select("text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED):
+    """The broadcast Model and its curve, from docs (doc_id, text) and labels (doc_id, label)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    model, left = models(docs, labels, label, labelled, scratch)
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample's words and pairs
+    seen = left.mapInArrow(lean(_evidence(shared)), "label int, " + ", ".join(f"{e} double" for e in _EVIDENCE)).toPandas()
     seen = seen.sort_values(list(seen.columns))
-    curve = fit_curve(seen[list(_EVIDENCE)].to_numpy(float), seen["label"].to_numpy(float))
-    scratch.drop("labels", "train", "counts", "continuations")
-    return spark.sparkContext.broadcast((model, curve))
+    curve = choose(seen[_EVIDENCE].to_numpy(float), seen["label"].to_numpy(float))
+    scratch.drop("train")
+    if curve[1] == 0:  # pairs do not count: send the words alone
+        shared.unpersist()
+        none = np.zeros(0)
+        shared = spark.sparkContext.broadcast(Model(model.words, model.ratio, model.mass, model.unknown, none.astype(np.uint64), none))
+    return shared, curve
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score in (0, 1), higher: label 1 likelier.
 
-    One row for each row of docs. Null and empty texts, and texts of unknown words, get the score that no evidence gives.
+    One row for each row of docs. Null and empty texts get the score that no evidence gives.
     Without labels, or with one class only, every score is one constant. Labels that are null or not 0 or 1 are ignored,
     and so are other columns. Held-out ids are never learned from.
     """
-    shared = fit(docs, labels, label, labelled)
+    shared, curve = fit(docs, labels, label, labelled)
     key = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(_score(shared, "text", False)), f"doc_id {key}, score double")
+    return rows.mapInArrow(lean(_score(shared, curve, "text", False)), f"doc_id {key}, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int = LABELLED) -> DataFrame:
     """The rows of docs whose score is below 0.5, all columns kept."""
-    shared = fit(docs, labels, label, labelled)
+    shared, curve = fit(docs, labels, label, labelled)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[[c.lower() for c in docs.columns].index("text")]
     rows = docs.toDF(*names)
-    return rows.mapInArrow(lean(_score(shared, text, True)), rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(lean(_score(shared, curve, text, True)), rows.schema).toDF(*docs.columns)
