@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,8 +193,7 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
 
 
-def test_backoff_counts_are_of_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(X, "HELD", 500)
+def test_backoff_counts_are_of_all_documents(spark):
     docs, labels = toxic_corpus(60)
     docs += [(1000 + i, f"p{i} w1 p{i} w1 q{i}") for i in range(2000)]
     known = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
@@ -202,3 +202,24 @@ def test_backoff_counts_are_of_all_documents(spark, monkeypatch):
     (toxic, ordinary), _ = plain_models(docs, {r["doc_id"]: r["label"] for r in used.collect()})
     _, _, hashes, first = next(X._hashed(X.pa.array(["w1 w2 w3 rude1"])))
     assert model.ratios(hashes, first, (0.0,))[0] == pytest.approx([np.log(toxic[0](w) / ordinary[0](w)) for w in ("w1", "w2", "w3", "rude1")], abs=1e-9)
+
+
+@pytest.mark.parametrize("most", [50, 1 << 20])
+def test_packed_pairs_are_counted_exactly(most):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, rng.integers(0, 90)) % 400) for _ in range(300)] + [None, ""]
+    texts += [" ".join(f"u{i} hot" for i in range(70_000))]  # one word with more pairs than an entry counts
+    before = {}
+    for t in texts:
+        for a, b in zip(["", *(t or "").split()], (t or "").split()):
+            before.setdefault(b, set()).add(a)
+    for buckets in (16, 50):
+        rows = [r for batch in X._continuations(buckets, most)([pa.record_batch([pa.array(texts)], ["text"])]) for r in batch.to_pylist()]
+        rows.sort(key=lambda r: r["bucket"])
+        got = Counter()
+        for batch in X._counted([pa.RecordBatch.from_pylist(rows[i : i + 7], pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])) for i in range(0, len(rows), 7)]):
+            for r in batch.to_pylist():
+                got[r["word"]] += r["n"]
+        words = sorted(before)
+        _, _, hashes, _ = next(X._hashed(pa.array([" ".join(words)])))
+        assert got == {int(h): len(before[w]) for w, h in zip(words, hashes.view(np.int64))}

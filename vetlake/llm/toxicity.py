@@ -26,8 +26,8 @@ from .words import ALNUM_WORDS, MULTIPLIERS, U, mix
 LABELLED = 20_000
 #: What a class has up to this often (contexts of a word, occurrences of a pair) is left to the backoff.
 DISCOUNT = 2.0
-#: Pairs that a task holds to leave out repeated ones.
-HELD = 1 << 20
+#: Pairs that a task holds to leave out repeated ones; bytes of text whose pairs a bucket counts; buckets of one word's pairs.
+HELD, BUCKET, SPLIT = 1 << 21, 48 << 20, 16
 #: Shares of a toxic text's words that the toxic model gives, and weights of pairs, to choose from.
 SHARES, WEIGHTS = (0.1, 0.02, 0.005, 0.001), (0.0, 0.25, 1.0)
 _EVIDENCE = [f"e{i}" for i in range(len(SHARES) * len(WEIGHTS) + 1)]
@@ -66,30 +66,87 @@ def _counts(batches):
                 yield pa.record_batch([*cols, pa.array(np.full(len(values), toxic)), pa.array(n)], ["pair", "before", "word", "toxic", "n"])
 
 
-def _continuations(batches):
-    """Rows (text) -> rows (pair, word): pairs of a word and the one before it, without most of the repeated ones."""
-    held, size = [], 0
+def _blobs(words: np.ndarray, before: np.ndarray, buckets: int):
+    """(bucket, blob) of distinct pairs. A word's pairs go to SPLIT buckets by the word before, so that none holds all of a
+    frequent word's; a blob has each word once, how many pairs follow, and 40 bits of each word before (4 more are in the bucket)."""
+    bucket = ((words >> U(20)) % U(buckets) + before % U(SPLIT)) % U(buckets)
+    rest = (before >> U(4)) & U((1 << 40) - 1)
+    order = np.lexsort((rest, words, bucket))
+    bucket, words, rest = bucket[order], words[order], rest[order]
+    at = np.arange(len(words))
+    turn = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (words[1:] != words[:-1]))) if len(words) else at > 0
+    turn |= (at - np.maximum.accumulate(np.where(turn, at, 0))) % 0xFFFF == 0
+    entry = np.flatnonzero(turn)
+    count = np.diff(np.append(entry, len(words))).astype("<u2")
+    values, first = np.unique(bucket, return_index=True)
+    low, high = rest.astype("<u4"), (rest >> U(32)).astype(np.uint8)
+    for k, (b, lo) in enumerate(zip(values.tolist(), first.tolist(), strict=True)):
+        hi = int(first[k + 1]) if k + 1 < len(first) else len(words)
+        some = np.s_[np.searchsorted(entry, lo) : np.searchsorted(entry, hi)]
+        own = words[entry[some]]
+        yield b, b"".join((np.array([len(own)], "<u4").tobytes(), own.astype("<u8").tobytes(), count[some].tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()))
+
+
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words before but for what the bucket tells) of a blob."""
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    words, count = np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u2", n, 4 + 8 * n)
+    m, at = int(count.sum()), 4 + 10 * n
+    rest = np.frombuffer(blob, "<u4", m, at).astype(np.uint64) | (np.frombuffer(blob, np.uint8, m, at + 4 * m).astype(np.uint64) << U(32))
+    return np.repeat(words, count), rest
+
+
+def _continuations(buckets: int, most: int = HELD):
+    """Rows (text) -> rows (bucket, blob): pairs of a word and the one before it, without most of the repeated ones."""
+
+    def united(held):
+        words, before = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        _, at = np.unique(mix(before * MULTIPLIERS[4] + words * MULTIPLIERS[5]), return_index=True)
+        return words[at], before[at]
+
+    def made(pairs):
+        rows = list(_blobs(*pairs, buckets))
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-    def united():
-        pairs, words = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        values, at = np.unique(pairs, return_index=True)
-        return values, words[at]
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, hashes, first in _hashed(column(batch, "text")):
+                held.append((hashes, _pairs(hashes, first)[0]))
+                size += len(hashes)
+                if size > most:
+                    held = [united(held)]
+                    size = len(held[0][0])
+                    if size > most // 2:
+                        yield made(held[0])
+                        held, size = [], 0
+        if size:
+            yield made(united(held))
+
+    return run
 
-    def made(values, words):
-        return pa.record_batch([pa.array(values.view(np.int64)), pa.array(words.view(np.int64))], ["pair", "word"])
 
+def _counted(batches):
+    """Rows (bucket, blob) in the order of buckets -> rows (word, n): the distinct pairs of each word in a bucket."""
+
+    def flush(blobs):
+        words, rest = (np.concatenate(x) for x in zip(*map(_unblob, blobs), strict=True))
+        order = np.lexsort((rest, words))
+        words, rest = words[order], rest[order]
+        new = np.concatenate(([True], (words[1:] != words[:-1]) | (rest[1:] != rest[:-1])))
+        values, n = np.unique(words[new], return_counts=True)
+        return pa.record_batch([pa.array(values.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    bucket, blobs = None, []
     for batch in batches:
-        for _, _, hashes, first in _hashed(column(batch, "text")):
-            held.append((_pairs(hashes, first)[1], hashes))
-            size += len(hashes)
-            if size > HELD:
-                held = [united()]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield made(*held[0])
-                    held, size = [], 0
-    if size:
-        yield made(*united())
+        for b, blob in zip(column(batch, "bucket").to_pylist(), column(batch, "blob").to_pylist(), strict=True):
+            if b != bucket and blobs:
+                yield flush(blobs)
+                blobs = []
+            bucket = b
+            blobs.append(blob)
+    if blobs:
+        yield flush(blobs)
 
 
 class Model:
@@ -214,8 +271,13 @@ def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratc
     side = lambda c, x: F.sum(F.when(F.col("toxic") == c, x).otherwise(0))
     counts = counts.groupBy("pair", "before", "word").agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("o"))
     counts = scratch.write(counts, "counts")
-    met = docs.select("text").mapInArrow(lean(_continuations), "pair long, word long").distinct()
-    met = scratch.write(met.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "continuations")
+    scratch.free_shuffles()
+    # pairs of all documents, packed: one blob for each bucket of a block of texts
+    buckets = max(SPLIT, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    met = docs.select("text").mapInArrow(lean(_continuations(buckets)), "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = met.mapInArrow(lean(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    met = scratch.write(met, "continuations")
+    scratch.free_shuffles()
     whole = met.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count(F.lit(1))).first()[0]
 
     # p_t and p_o: the words' probabilities; mass: what pairs leave to them; k_t and k_o: the pairs' own
