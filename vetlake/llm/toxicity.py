@@ -286,20 +286,22 @@ def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratc
     taken = lambda c: F.coalesce(F.sum(F.least(F.col(c), F.lit(DISCOUNT))) / F.sum(c), F.lit(1.0))
     total = words.select(*(F.coalesce(F.greatest(F.sum(c), F.lit(1)), F.lit(1)).alias(c) for c in "to"), taken("t").alias("l_t"), taken("o").alias("l_o")).first()
     p = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(total[c]) + F.lit(total[f"l_{c}"]) * F.col("shared")
-    words = words.select("word", p("t").alias("p_t"), p("o").alias("p_o"))
+    words = scratch.write(words.select("word", p("t").alias("p_t"), p("o").alias("p_o")), "words")
+    scratch.free_shuffles()
     pairs = counts.where("before <> 0")  # a text's first word has no word before it
     kept = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
     after = pairs.groupBy(F.col("before").alias("context")).agg(F.sum("t").alias("n_t"), F.sum("o").alias("n_o"), F.sum(kept("t")).alias("a_t"), F.sum(kept("o")).alias("a_o"))
     mass = lambda c: F.when(F.col(f"n_{c}") > 0, 1.0 - F.col(f"a_{c}") / F.col(f"n_{c}")).otherwise(1.0)
     after = scratch.write(after.select("context", "n_t", "n_o", mass("t").alias("m_t"), mass("o").alias("m_o")), "contexts")
     both = lambda c: F.coalesce(kept(c) / F.nullif(F.col(f"n_{c}"), F.lit(0)), F.lit(0.0)) + F.col(f"m_{c}") * F.col(f"p_{c}")
-    pairs = pairs.join(words, "word").join(after, F.col("before") == F.col("context")).select("pair", _ratio(both("t"), both("o")).alias("ratio"))
+    # the sample's words, with no more rows than the model that is broadcast below; its pairs are many more and stay where they are
+    pairs = pairs.join(F.broadcast(words), "word").join(F.broadcast(after), F.col("before") == F.col("context")).select("pair", _ratio(both("t"), both("o")).alias("ratio"))
     pairs = scratch.write(pairs, "pairs")
     words = words.join(after, F.col("word") == F.col("context"), "left").select("word", _ratio(F.col("p_t"), F.col("p_o")).alias("ratio"), F.coalesce(_ratio(F.col("m_t"), F.col("m_o")), F.lit(0.0)).alias("mass"))
     scratch.free_shuffles()
 
     model = Model(*_collected(words, "word", "ratio", "mass"), float(np.log(total["l_t"] / total["l_o"])), *_collected(pairs, "pair", "ratio"))
-    scratch.drop("labels", "counts", "continuations", "ends", "contexts", "pairs")
+    scratch.drop("labels", "counts", "continuations", "ends", "words", "contexts", "pairs")
     return model, train.where("curve").select("text", "label")
 
 
