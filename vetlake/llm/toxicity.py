@@ -27,7 +27,7 @@ LABELLED = 20_000
 #: What a class has up to this often (contexts of a word, occurrences of a pair) is left to the backoff.
 DISCOUNT = 2.0
 #: Pairs that a task holds to leave out repeated ones; bytes of text whose pairs a bucket counts; buckets of one word's pairs.
-HELD, BUCKET, SPLIT = 1 << 21, 48 << 20, 16
+HELD, BUCKET, SPLIT = 1 << 21, 48 << 20, 4
 #: Shares of a toxic text's words that the toxic model gives, and weights of pairs, to choose from.
 SHARES, WEIGHTS = (0.1, 0.02, 0.005, 0.001), (0.0, 0.25, 1.0)
 _EVIDENCE = [f"e{i}" for i in range(len(SHARES) * len(WEIGHTS) + 1)]
@@ -66,34 +66,42 @@ def _counts(batches):
                 yield pa.record_batch([*cols, pa.array(np.full(len(values), toxic)), pa.array(n)], ["pair", "before", "word", "toxic", "n"])
 
 
+def _short(words: np.ndarray) -> np.ndarray:
+    """48 bits of a word's hash, which name it in blobs."""
+    return words >> U(16)
+
+
 def _blobs(words: np.ndarray, before: np.ndarray, buckets: int):
-    """(bucket, blob) of distinct pairs. A word's pairs go to SPLIT buckets by the word before, so that none holds all of a
-    frequent word's; a blob has each word once, how many pairs follow, and 40 bits of each word before (4 more are in the bucket)."""
-    bucket = ((words >> U(20)) % U(buckets) + before % U(SPLIT)) % U(buckets)
-    rest = (before >> U(4)) & U((1 << 40) - 1)
-    order = np.lexsort((rest, words, bucket))
-    bucket, words, rest = bucket[order], words[order], rest[order]
+    """(bucket, blob) of distinct pairs of short words and words before. A word's pairs go to SPLIT buckets by the word before, so
+    that none holds all of a frequent word's; a blob has each word once (6 bytes), how many pairs follow (1), and 40 bits of each
+    word before."""
+    bucket = (words % U(buckets) + before % U(SPLIT)) % U(buckets)
+    order = np.argsort((bucket << U(44)) | (words >> U(4)))
+    bucket, words, rest = bucket[order], words[order], ((before // U(SPLIT)) & U((1 << 40) - 1))[order]
     at = np.arange(len(words))
     turn = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (words[1:] != words[:-1]))) if len(words) else at > 0
-    turn |= (at - np.maximum.accumulate(np.where(turn, at, 0))) % 0xFFFF == 0
+    turn |= (at - np.maximum.accumulate(np.where(turn, at, 0))) % 0xFF == 0
     entry = np.flatnonzero(turn)
-    count = np.diff(np.append(entry, len(words))).astype("<u2")
-    values, first = np.unique(bucket, return_index=True)
-    low, high = rest.astype("<u4"), (rest >> U(32)).astype(np.uint8)
-    for k, (b, lo) in enumerate(zip(values.tolist(), first.tolist(), strict=True)):
-        hi = int(first[k + 1]) if k + 1 < len(first) else len(words)
-        some = np.s_[np.searchsorted(entry, lo) : np.searchsorted(entry, hi)]
-        own = words[entry[some]]
-        yield b, b"".join((np.array([len(own)], "<u4").tobytes(), own.astype("<u8").tobytes(), count[some].tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()))
+    count = np.diff(np.append(entry, len(words))).astype(np.uint8)
+    names = np.ascontiguousarray(words[entry].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    rest = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(words) else at
+    last = np.append(first[1:], len(words))
+    for b, lo, hi, x, y in zip(bucket[first].tolist(), first.tolist(), last.tolist(), np.searchsorted(entry, first).tolist(), np.searchsorted(entry, last).tolist(), strict=True):
+        yield b, b"".join((np.array([y - x], "<u4").tobytes(), names[x:y].tobytes(), count[x:y].tobytes(), rest[lo:hi].tobytes()))
 
 
 def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(words, words before but for what the bucket tells) of a blob."""
+    """(short words, words before but for what the bucket tells) of a blob."""
+
+    def wide(n, bytes_, at):
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :bytes_] = np.frombuffer(blob, np.uint8, n * bytes_, at).reshape(n, bytes_)
+        return out.view("<u8")[:, 0]
+
     n = int(np.frombuffer(blob, "<u4", 1)[0])
-    words, count = np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u2", n, 4 + 8 * n)
-    m, at = int(count.sum()), 4 + 10 * n
-    rest = np.frombuffer(blob, "<u4", m, at).astype(np.uint64) | (np.frombuffer(blob, np.uint8, m, at + 4 * m).astype(np.uint64) << U(32))
-    return np.repeat(words, count), rest
+    count = np.frombuffer(blob, np.uint8, n, 4 + 6 * n)
+    return np.repeat(wide(n, 6, 4), count), wide(int(count.sum()), 5, 4 + 7 * n)
 
 
 def _continuations(buckets: int, most: int = HELD):
@@ -101,7 +109,7 @@ def _continuations(buckets: int, most: int = HELD):
 
     def united(held):
         words, before = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        _, at = np.unique(mix(before * MULTIPLIERS[4] + words * MULTIPLIERS[5]), return_index=True)
+        at = np.unique(mix(before * MULTIPLIERS[4] + words * MULTIPLIERS[5]), return_index=True)[1]
         return words[at], before[at]
 
     def made(pairs):
@@ -112,7 +120,7 @@ def _continuations(buckets: int, most: int = HELD):
         held, size = [], 0
         for batch in batches:
             for _, _, hashes, first in _hashed(column(batch, "text")):
-                held.append((hashes, _pairs(hashes, first)[0]))
+                held.append((_short(hashes), _pairs(hashes, first)[0]))
                 size += len(hashes)
                 if size > most:
                     held = [united(held)]
@@ -127,13 +135,11 @@ def _continuations(buckets: int, most: int = HELD):
 
 
 def _counted(batches):
-    """Rows (bucket, blob) in the order of buckets -> rows (word, n): the distinct pairs of each word in a bucket."""
+    """Rows (bucket, blob) in the order of buckets -> rows (word, n): the distinct pairs of each short word in a bucket."""
 
     def flush(blobs):
         words, rest = (np.concatenate(x) for x in zip(*map(_unblob, blobs), strict=True))
-        order = np.lexsort((rest, words))
-        words, rest = words[order], rest[order]
-        new = np.concatenate(([True], (words[1:] != words[:-1]) | (rest[1:] != rest[:-1])))
+        new = np.unique(mix(rest * MULTIPLIERS[4] + words * MULTIPLIERS[5]), return_index=True)[1]
         values, n = np.unique(words[new], return_counts=True)
         return pa.record_batch([pa.array(values.view(np.int64)), pa.array(n)], ["word", "n"])
 
@@ -273,7 +279,7 @@ def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratc
     counts = scratch.write(counts, "counts")
     scratch.free_shuffles()
     # pairs of all documents, packed: one blob for each bucket of a block of texts
-    buckets = max(SPLIT, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    buckets = min(1 << 20, max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)))
     met = docs.select("text").mapInArrow(lean(_continuations(buckets)), "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
     met = met.mapInArrow(lean(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     met = scratch.write(met, "continuations")
@@ -282,7 +288,8 @@ def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratc
 
     # p_t and p_o: the words' probabilities; mass: what pairs leave to them; k_t and k_o: the pairs' own
     ends = counts.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
-    words = scratch.write(ends.join(met, "word").select("word", "t", "o", ((F.col("n") + 1.0) / max(whole, 1)).alias("shared")), "ends")
+    words = ends.join(met.withColumnRenamed("word", "short"), F.shiftrightunsigned("word", 16) == F.col("short"))
+    words = scratch.write(words.select("word", "t", "o", ((F.col("n") + 1.0) / max(whole, 1)).alias("shared")), "ends")
     taken = lambda c: F.coalesce(F.sum(F.least(F.col(c), F.lit(DISCOUNT))) / F.sum(c), F.lit(1.0))
     total = words.select(*(F.coalesce(F.greatest(F.sum(c), F.lit(1)), F.lit(1)).alias(c) for c in "to"), taken("t").alias("l_t"), taken("o").alias("l_o")).first()
     p = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(total[c]) + F.lit(total[f"l_{c}"]) * F.col("shared")
