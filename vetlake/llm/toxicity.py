@@ -27,7 +27,7 @@ LABELLED = 20_000
 #: What a class has up to this often (contexts of a word, occurrences of a pair) is left to the backoff.
 DISCOUNT = 2.0
 #: Pairs that a task holds to leave out repeated ones; bytes of text whose pairs a bucket counts; buckets of one word's pairs.
-HELD, BUCKET, SPLIT = 1 << 21, 48 << 20, 4
+HELD, BUCKET, SPLIT = 3 << 19, 12 << 20, 4
 #: Shares of a toxic text's words that the toxic model gives, and weights of pairs, to choose from.
 SHARES, WEIGHTS = (0.1, 0.02, 0.005, 0.001), (0.0, 0.25, 1.0)
 _EVIDENCE = [f"e{i}" for i in range(len(SHARES) * len(WEIGHTS) + 1)]
