@@ -27,7 +27,7 @@ LABELLED = 20_000
 #: What a class has up to this often (contexts of a word, occurrences of a pair) is left to the backoff.
 DISCOUNT = 2.0
 #: Pairs that a task holds to leave out repeated ones; bytes of text whose pairs a bucket counts; buckets of one word's pairs.
-HELD, BUCKET, SPLIT = 3 << 19, 12 << 20, 4
+HELD, BUCKET, SPLIT = 1 << 21, 12 << 20, 4
 #: Shares of a toxic text's words that the toxic model gives, and weights of pairs, to choose from.
 SHARES, WEIGHTS = (0.1, 0.02, 0.005, 0.001), (0.0, 0.25, 1.0)
 _EVIDENCE = [f"e{i}" for i in range(len(SHARES) * len(WEIGHTS) + 1)]
@@ -257,18 +257,28 @@ def _ratio(toxic, ordinary):
 
 def _collected(df: DataFrame, key: str, *names: str) -> list[np.ndarray]:
     """Columns of a bounded table in the order of its 64-bit key, fetched in slices, so that the driver holds each row about once."""
-    parts = []
+    n, at, kinds = df.count(), 0, dict(df.dtypes)
+    out = [np.empty(n, np.uint64), *(np.empty(n, np.float32 if kinds[c] == "float" else float) for c in names)]
     for k in range(8):
         table = df.where(F.shiftrightunsigned(key, 61) == k).select(key, *names).toArrow()
         value = table[key].to_numpy().view(np.uint64)
         order = np.argsort(value)
-        parts.append((value[order], *(table[n].to_numpy()[order] for n in names)))
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+        for column_, values in zip(out, (value, *(table[c].to_numpy() for c in names)), strict=True):
+            column_[at : at + len(order)] = values[order]
+        at += len(order)
+    return out
 
 
 def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The Model of both classes from docs (doc_id, text) and labels (doc_id, label), and the labelled texts left for the curve."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # pairs of all documents, packed: one blob for each bucket of a block of texts
+    buckets = min(1 << 20, max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)))
+    met = docs.select("text").mapInArrow(lean(_continuations(buckets)), "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = met.mapInArrow(lean(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    met = scratch.write(met, "continuations")
+    scratch.free_shuffles()
+    whole = met.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count(F.lit(1))).first()[0]
     known = training_labels(labels, label, labelled)
     known = scratch.write(known.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0), "labels")
     train = docs.join(F.broadcast(known), "doc_id")  # at most `labelled` rows
@@ -278,13 +288,6 @@ def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratc
     counts = counts.groupBy("pair", "before", "word").agg(side(1, F.col("n")).alias("t"), side(0, F.col("n")).alias("o"))
     counts = scratch.write(counts, "counts")
     scratch.free_shuffles()
-    # pairs of all documents, packed: one blob for each bucket of a block of texts
-    buckets = min(1 << 20, max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)))
-    met = docs.select("text").mapInArrow(lean(_continuations(buckets)), "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    met = met.mapInArrow(lean(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    met = scratch.write(met, "continuations")
-    scratch.free_shuffles()
-    whole = met.agg(F.coalesce(F.sum("n"), F.lit(0)) + F.count(F.lit(1))).first()[0]
 
     # p_t and p_o: the words' probabilities; mass: what pairs leave to them; k_t and k_o: the pairs' own
     ends = counts.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
@@ -302,7 +305,7 @@ def models(docs: DataFrame, labels: DataFrame, label: str, labelled: int, scratc
     after = scratch.write(after.select("context", "n_t", "n_o", mass("t").alias("m_t"), mass("o").alias("m_o")), "contexts")
     both = lambda c: F.coalesce(kept(c) / F.nullif(F.col(f"n_{c}"), F.lit(0)), F.lit(0.0)) + F.col(f"m_{c}") * F.col(f"p_{c}")
     # the sample's words, with no more rows than the model that is broadcast below; its pairs are many more and stay where they are
-    pairs = pairs.join(F.broadcast(words), "word").join(F.broadcast(after), F.col("before") == F.col("context")).select("pair", _ratio(both("t"), both("o")).alias("ratio"))
+    pairs = pairs.join(F.broadcast(words), "word").join(F.broadcast(after), F.col("before") == F.col("context")).select("pair", _ratio(both("t"), both("o")).cast("float").alias("ratio"))
     pairs = scratch.write(pairs, "pairs")
     words = words.join(after, F.col("word") == F.col("context"), "left").select("word", _ratio(F.col("p_t"), F.col("p_o")).alias("ratio"), F.coalesce(_ratio(F.col("m_t"), F.col("m_o")), F.lit(0.0)).alias("mass"))
     scratch.free_shuffles()
