@@ -347,3 +347,65 @@ def test_later_copies_in_a_document_are_found(spark):
     rows = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     covered = {i for r in rows for i in range(r["begin_b"], r["end_b"])}
     assert covered >= set(range(17, 117)) | set(range(118, 217)) | set(range(219, 319))
+
+
+def test_repeated_ids_are_documents_of_their_own(spark, monkeypatch):
+    words = [f"p{i}" for i in range(70)]
+    docs = [(1, " ".join(["a", *words[:30]])), (1, " ".join(["b1", "b2", *words])), (2, " ".join([*words, "c"])), (2, "two"), (3, "three"), (2, " ".join([*words, "c"]))]
+    docs += [(5, " ".join(f"q{i}" for i in range(90))), (5, " ".join(f"q{i}" for i in range(20, 90)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = S.repeated_passages(df.repartition(3)).collect()
+    assert {(r["a"], r["begin_a"], r["end_a"], r["b"], r["begin_b"], r["end_b"]) for r in rows if r["a"] != 5} == {(1, 2, 72, 2, 0, 70)}
+    assert {(r["b"], r["end_b"] - r["begin_b"]) for r in rows if r["a"] == 5} == {(5, 70)}
+    kept = sorted((r["doc_id"], len(r["text"].split())) for r in S.cut_repeats(df).collect())
+    assert [k for k in kept if k[0] != 5] == [(1, 31), (1, 72), (2, 1), (2, 1), (2, 1), (3, 1)]
+    assert [n for i, n in kept if i == 5] in ([90], [20, 70])
+
+
+def test_alignments_go_on_past_their_margin(spark):
+    rng = random.Random(8)
+    base = [f"p{i}" for i in range(900)]
+    copy = [f"x{i}" if i % 9 == 8 and not 400 <= i < 425 else w for i, w in enumerate(base)]  # 13 equal words in a row only there
+    docs = [(1, " ".join(["a", *base, *(f"a{i}" for i in range(50))])), (2, " ".join([*(f"b{i}" for i in range(40)), *copy, "b"])), (3, " ".join(rng.choices(["u", "v"], k=300)))]
+    rows = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {i for r in rows for i in range(r["begin_b"], r["end_b"])} >= set(range(45, 935))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gaps_of_any_length_are_aligned_best(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    x, y = (rng.integers(0, 30, n).astype(np.uint64) for n in (70, 90))
+    best = S._common(x, y)[0]
+    for cells in (1 << 14, 200, 5):
+        monkeypatch.setattr(S, "CELLS", cells)
+        cols = S.align_gap(x, y)
+        assert sum(e for *_, e in cols) == best
+        assert [i for i, *_ in cols if i >= 0] == list(range(70)) and [j for _, j, _ in cols if j >= 0] == list(range(90))
+        assert all(e == (i >= 0 and j >= 0 and x[i] == y[j]) for i, j, e in cols)
+
+
+def test_passages_of_random_documents_against_all_pairs(spark):
+    rng = random.Random(21)
+    pool = [[f"s{i}-{j}" for j in range(rng.randint(30, 140))] for i in range(40)]
+    docs = []
+    for i in range(300):
+        own = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(pool)
+            lo = rng.randint(0, len(part) // 2)
+            own += [*(f"n{rng.random()}" for _ in range(rng.randint(1, 20))), *part[lo : rng.randint(lo, len(part))]]
+        docs.append((rng.randint(0, 10**6), " ".join(own)))
+    parts = [(i, " ".join(w)) for i, w in ((2 * 10**6, pool[0][:60]), (-5, pool[0][:60]))]
+    docs = list(dict(docs + parts).items())
+    rows = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    covered = {}
+    for r in rows:
+        for d, lo, hi in ((r["a"], r["begin_a"], r["end_a"]), (r["b"], r["begin_b"], r["end_b"])):
+            covered.setdefault(d, set()).update(range(lo, hi))
+    held = {}
+    for i, text in docs:
+        w = text.split(" ")
+        for p in range(len(w) - 49):
+            held.setdefault(tuple(w[p : p + 50]), []).append((i, p))
+    shared = [(i, p) for where in held.values() if len({i for i, _ in where}) > 1 for i, p in where if i > min(d for d, _ in where)]
+    assert len(shared) > 1000 and all(set(range(p, p + 50)) <= covered[i] for i, p in shared)

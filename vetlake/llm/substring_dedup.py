@@ -7,15 +7,18 @@ is lost by that, each window of `least` words that documents share joins them al
 whole window: anchors, which are winnowed shingles of half its length, tell where such windows can be. For each pair of
 documents, matches on one diagonal merge into segments, and segments are chained in order in both texts with gap costs,
 the best predecessor coming from a Fenwick tree over the first text's positions. Chains are aligned word by word, past
-their ends too; what is kept are the alignment's best stretches of at least `least` words with `share` of their columns
-equal.
+their ends too, and with more words where an alignment has not ended; what is kept are its best stretches of at least `least`
+words with `share` of their columns equal.
+
+Rows are told apart by doc_id and, where ids repeat, by a hash of the text beside it; both are in a position: the hash above
+its 32 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +26,17 @@ from .common import Scratch, chunks, column, lean, text_buffers
 from .words import MULTIPLIERS, U, WHITE_WORDS, grams, long_grams, mix
 
 WINDOW = 8
-#: Words of a gap that a diagonal's segment spans; cost of a word in the gaps of a chain; words past its ends that are aligned.
-SPAN, GAP_COST, MARGIN = 48, 0.25, 64
+#: Words of a gap that a diagonal's segment spans; cost of a word in the gaps of a chain; words past its ends that are aligned at first, and how many times as many next.
+SPAN, GAP_COST, MARGIN, GROWTH = 48, 0.25, 64, 8
 #: Requests for one text that go together.
-TOGETHER = 256
+TOGETHER = 32
+#: Cells of an alignment table that is filled at once; larger gaps are halved.
+CELLS = 1 << 14
 #: Share of all documents from which on a seed counts as frequent; bounds the list of frequent seeds by seeds of a text / FREQUENT.
 FREQUENT = 0.002
 #: Bits of the map of shared anchors, as a power of two; a full map costs time and loses nothing.
 MAP_BITS = 27
-SEEDS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("doc", T.LongType(), False), T.StructField("pos", T.IntegerType(), False)])
+SEEDS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("doc", T.LongType(), False), T.StructField("at", T.LongType(), False)])
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,16 +70,21 @@ def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[
     return np.concatenate((own, own[more])), np.concatenate((pos, pos[more])), np.concatenate((key, mix(g[pos[more]])))
 
 
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and, in a position's upper bits, variant of each row."""
+    return (column(batch, n).to_numpy(zero_copy_only=False).astype(np.int64) << shift for n, shift in (("doc_id", 0), ("variant", 32)))
+
+
 def _winnowed(batches, k: int, window: int):
     """(document ids, word positions, seed keys) of runs of texts."""
     for batch in batches:
-        ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
+        ids, variant = _ids(batch)
         data, offsets = text_buffers(column(batch, "text"))
         for lo, hi in chunks(offsets):
             offs = offsets[lo : hi + 1] - offsets[lo]
             _, _, hashes, first = WHITE_WORDS(data[offsets[lo] : offsets[hi]], offs)
             own, pos, key = winnow(hashes, first, k, window)
-            yield ids[lo + own], pos - first[own], key
+            yield ids[lo + own], (pos - first[own]) | variant[lo + own], key
 
 
 def _common_seeds(k: int, window: int):
@@ -102,16 +112,16 @@ def _common_seeds(k: int, window: int):
 
 
 def _seeds(k: int, window: int, frequent, common: bool):
-    """Rows (doc_id, text) -> rows (key, doc, pos) of the frequent seeds, or of the others."""
+    """Rows (doc_id, text) -> rows (key, doc, at) of the frequent seeds, or of the others."""
 
     def run(batches):
         often = np.frombuffer(frequent.value, np.uint64)
-        schema = pa.schema([pa.field("key", pa.int64(), False), pa.field("doc", pa.int64(), False), pa.field("pos", pa.int32(), False)])
+        schema = pa.schema([pa.field(n, pa.int64(), False) for n in ("key", "doc", "at")])
         for ids, pos, key in _winnowed(batches, k, window):
             own = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key if len(often) else np.zeros(len(key), bool)
             own = own == common
             if own.any():
-                yield pa.record_batch([pa.array(key[own].view(np.int64)), pa.array(ids[own]), pa.array(pos[own].astype(np.int32))], schema=schema)
+                yield pa.record_batch([pa.array(key[own].view(np.int64)), pa.array(ids[own]), pa.array(pos[own])], schema=schema)
 
     return run
 
@@ -142,21 +152,22 @@ def _sliding(x: np.ndarray, window: int, least) -> np.ndarray:
 
 
 def _texts(batches):
-    """(document ids, word hashes, first words) of runs of texts."""
+    """(document ids, variants, word hashes, first words) of runs of texts."""
     for batch in batches:
-        ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
+        ids, variant = _ids(batch)
         data, offsets = text_buffers(column(batch, "text"))
         for lo, hi in chunks(offsets):
             _, _, hashes, first = WHITE_WORDS(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield ids[lo:hi], hashes, first
+            yield ids[lo:hi], variant[lo:hi], hashes, first
 
 
 def _anchors(k: int, window: int):
-    """Rows (doc_id, text) -> rows (key, doc): the anchors of each text."""
+    """Rows (doc_id, text) -> rows (key, doc): the anchors of each text; doc is whatever tells rows apart."""
 
     def run(batches):
-        for ids, hashes, first in _texts(batches):
+        for ids, variant, hashes, first in _texts(batches):
             pos, key = anchors(hashes, first, k, window)
+            ids = np.where(variant == 0, ids, mix(ids.view(np.uint64) + mix(variant.view(np.uint64))).view(np.int64))
             own = ids[np.searchsorted(first, pos, "right") - 1]
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own, pa.int64())], ["key", "doc"])
 
@@ -196,18 +207,18 @@ def windows(hashes: np.ndarray, first: np.ndarray, near: np.ndarray, least: int,
 
 
 def _windows(k: int, window: int, least: int, shared):
-    """Rows (doc_id, text) -> rows (key, doc, pos): windows of `least` words around anchors that the map has."""
+    """Rows (doc_id, text) -> rows (key, doc, at): windows of `least` words around anchors that the map has."""
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint64)
-        schema = pa.schema([pa.field("key", pa.int64(), False), pa.field("doc", pa.int64(), False), pa.field("pos", pa.int32(), False)])
-        for ids, hashes, first in _texts(batches):
+        schema = pa.schema([pa.field(n, pa.int64(), False) for n in ("key", "doc", "at")])
+        for ids, variant, hashes, first in _texts(batches):
             pos, key = anchors(hashes, first, k, window)
             slot = key >> U(64 - MAP_BITS)
             near = pos[(bits[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1]
             own, pos, key = windows(hashes, first, near, least, window - 1)
             if len(pos):
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[own], pa.int64()), pa.array((pos - first[own]).astype(np.int32))], schema=schema)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array((pos - first[own]) | variant[own])], schema=schema)
 
     return run
 
@@ -286,11 +297,11 @@ def chain(segs: np.ndarray, k: int) -> list[list[int]]:
 
 
 def _chains(k: int, least: int, window: int):
-    """Rows (a, b, pa, pb, words), all of a pair together -> rows (chain, a, b, begin_a, end_a, begin_b, end_b, segments)."""
+    """Rows (a, b, pa, pb, words), all of a pair together -> rows (a, va, b, vb, begin_a, end_a, begin_b, end_b, segments)."""
     shortest = max(k, (least - 2 * (window - 1)) // 2)
 
     def flush(pair, parts):
-        x, y, words = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 1, 2))
+        x, y, words = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
         segs = segments(x, y, k, words)
         for own in chain(segs, k):
             some = segs[own]
@@ -298,7 +309,7 @@ def _chains(k: int, least: int, window: int):
             if size >= shortest or int(some[-1, 0] + some[-1, 2] - some[0, 0]) >= shortest:
                 yield (*pair, int(some[0, 0]), int(some[-1, 0] + some[-1, 2]), int(some[0, 1]), int(some[-1, 1] + some[-1, 2]), some.ravel().tolist())
 
-    names = ["a", "b", "begin_a", "end_a", "begin_b", "end_b", "segments"]
+    names = ["a", "va", "b", "vb", "begin_a", "end_a", "begin_b", "end_b", "segments"]
     schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [("segments", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -306,10 +317,12 @@ def _chains(k: int, least: int, window: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, x, y, words = (column(batch, n).to_numpy() for n in ("a", "b", "pa", "pb", "words"))
-            cut = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            a, b, x, y, words = (column(batch, n).to_numpy().astype(np.int64) for n in ("a", "b", "pa", "pb", "words"))
+            keys = (a, x >> 32, b, y >> 32)
+            x, y = x & 0xFFFFFFFF, y & 0xFFFFFFFF
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], 0)) + 1
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(a)], strict=True):
-                now = (int(a[lo]), int(b[lo]))
+                now = tuple(int(c[lo]) for c in keys)
                 if now != pair:
                     if parts:
                         rows += flush(pair, parts)
@@ -358,13 +371,29 @@ def _slices(batches):
                 yield made(rows)
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each begin of y: how many words x and y from there have in common, in order. One row at a time."""
+    row = np.zeros(len(y) + 1, np.int64)
+    for w in x[::-1]:
+        row[:-1] = np.maximum(row[:-1], row[1:] + (y == w))
+        row = np.maximum.accumulate(row[::-1])[::-1]
+    return row
+
+
 def align_gap(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """Global alignment of two short word runs -> columns (in x or -1, in y or -1, equal)."""
+    """Global alignment of two word runs with the most equal columns -> columns (in x or -1, in y or -1, equal)."""
     n, m = len(x), len(y)
-    if not n or not m or n * m > 1 << 14:
-        same = min(n, m)
-        eq = (x[:same] == y[:same]).tolist()
-        return [(i, i, int(eq[i])) for i in range(same)] + [(i, -1, 0) for i in range(same, n)] + [(-1, j, 0) for j in range(same, m)]
+    if not n or not m:
+        return [(i, -1, 0) for i in range(n)] + [(-1, j, 0) for j in range(m)]
+    if n * m > CELLS and n > 1:  # halved where both parts have most in common, so that memory stays that of one row
+        half = n // 2
+        split = int(np.argmax(_common(x[:half][::-1], y[::-1])[::-1] + _common(x[half:], y)))
+        rest = align_gap(x[half:], y[split:])
+        return align_gap(x[:half], y[:split]) + [(i + half if i >= 0 else -1, j + split if j >= 0 else -1, e) for i, j, e in rest]
+    if n == 1:
+        own = np.flatnonzero(y == x[0])
+        at = int(own[0]) if len(own) else 0
+        return [(-1, j, 0) for j in range(at)] + [(0, at, int(len(own) > 0))] + [(-1, j, 0) for j in range(at + 1, m)]
     equal = (x[:, None] == y[None, :]).tolist()
     table = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -393,6 +422,7 @@ def align(x: np.ndarray, y: np.ndarray, segs: list[tuple[int, int, int]]) -> np.
     parts = []
 
     def diagonal(i: int, j: int, n: int) -> None:
+        n = min(n, len(x) - i, len(y) - j)
         if n > 0:
             parts.append(np.stack((np.arange(i, i + n), np.arange(j, j + n), (x[i : i + n] == y[j : j + n]).astype(np.int64)), 1))
 
@@ -412,7 +442,7 @@ def align(x: np.ndarray, y: np.ndarray, segs: list[tuple[int, int, int]]) -> np.
         diagonal(a, b, size)
         i, j = a + size, b + size
     diagonal(i, j, min(len(x) - i, len(y) - j))
-    return np.concatenate(parts)
+    return np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
 
 
 def stretches(columns: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
@@ -437,49 +467,61 @@ def stretches(columns: np.ndarray, least: int, share: float) -> list[tuple[int,
     return sorted(out)
 
 
-def _aligned(least: int, share: float):
+def _aligned(least: int, share: float, margin: int):
+    """Rows of chains with their words -> rows of passages, and whether a chain's alignment goes on past the words it was given."""
+    names = ["chain", "a", "va", "begin_a", "end_a", "b", "vb", "begin_b", "end_b", "n_equal", "n_columns"]
+
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, opens = [], []
             get = lambda n: column(batch, n).to_pylist()
-            for a, b, segs, la, wa, lb, wb in zip(*map(get, ("a", "b", "segments", "lo_a", "words_a", "lo_b", "words_b")), strict=True):
+            for key, a, va, b, vb, end_a, end_b, segs, la, wa, lb, wb in zip(*map(get, ("chain", "a", "va", "b", "vb", "end_a", "end_b", "segments", "lo_a", "words_a", "lo_b", "words_b")), strict=True):
                 x, y = np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64)
-                local = [(segs[i] - la, segs[i + 1] - lb, segs[i + 2]) for i in range(0, len(segs), 3)]
-                cols = align(x, y, local)
-                for lo, hi in stretches(cols, least, share):
+                cols = align(x, y, [(segs[i] - la, segs[i + 1] - lb, segs[i + 2]) for i in range(0, len(segs), 3)])
+                found = stretches(cols, least, share)
+                # words before the first and after the last column that both texts have and that were not asked for
+                before = la > 0 and lb > 0
+                after = len(x) == end_a + margin - la and len(y) == end_b + margin - lb
+                on = any((lo == 0 and before) or (hi == len(cols) and after) for lo, hi in found)
+                for lo, hi in found or [(0, 0)] * on:
                     some = cols[lo:hi]
                     ia, ib = some[some[:, 0] >= 0, 0], some[some[:, 1] >= 0, 1]
-                    rows.append((a, int(ia[0]) + la, int(ia[-1]) + la + 1, b, int(ib[0]) + lb, int(ib[-1]) + lb + 1, int(some[:, 2].sum()), hi - lo))
-            names = ["a", "begin_a", "end_a", "b", "begin_b", "end_b", "n_equal", "n_columns"]
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], names)
+                    rows.append((key, a, va, int(ia[0]) + la, int(ia[-1]) + la + 1, b, vb, int(ib[0]) + lb, int(ib[-1]) + lb + 1, int(some[:, 2].sum()), hi - lo))
+                    opens.append(on)
+            yield pa.record_batch([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))), pa.array(opens, pa.bool_())], [*names, "open"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, k: int = 5, share: float = 0.8, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> passages that two documents share: a, begin_a, end_a, b, begin_b, end_b, n_equal, n_columns.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text and variant of rows with both, and whether ids repeat: if so variant is a hash of the text, else 0."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return docs.withColumn("variant", _variant(F.col("text"), repeated)), repeated
 
-    a < b are doc_ids, begin and end count words (white space parts them, ASCII case is ignored), n_equal of the
-    alignment's n_columns columns are equal words. A document with a passage that others share is reported with at least
-    one of them: always where `least` words in a row are equal, as each such window is compared with the first document
-    that has it. Of passages with differing words: if k + window - 1 words in a row are equal somewhere, and a document
-    with the whole passage is the first or the last to have some stretch of it (about a third of `least`; the alignment
-    then finds up to MARGIN words past it). Passages within one document, rows without a doc_id, and null, empty or shorter texts have none. Rows
-    with the same doc_id are not compared with each other. Other columns are ignored.
-    """
+
+def _variant(text: Column, repeated: bool) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)) if repeated else F.lit(0).cast("long")
+
+
+def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) -> tuple[DataFrame, bool]:
+    """repeated_passages with the variants va and vb of both rows, and whether ids repeat."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    docs, repeated = _keyed(docs)
     counted = docs.mapInArrow(lean(_common_seeds(k, window)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     least_often = max(50, FREQUENT * docs.count() / 2)
     often = counted.where(F.col("n") >= least_often).toPandas()["key"].to_numpy(np.int64).view(np.uint64)  # bounded: see FREQUENT
     shared = spark.sparkContext.broadcast(np.sort(often).tobytes())
     # one generator for both partners: each seed meets its first document, and its last unless that pair is known
     pair = lambda a, b, pa_, pb: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(pa_).alias("pa"), F.col(pb).alias("pb"))
-    both = F.array(F.when(F.col("doc") != F.col("first"), pair("first", "doc", "pos_first", "pos")), F.when((F.col("doc") != F.col("last")) & (F.col("doc") != F.col("first")), pair("doc", "last", "pos", "pos_last")))
+    text = lambda at: F.shiftright(at, 32)
+    differ = lambda x, y: (F.col("doc") != F.col(x)) | (text("at") != text(y))
+    both = F.array(F.when(differ("first", "at_first"), pair("first", "doc", "at_first", "at")), F.when(differ("last", "at_last") & differ("first", "at_first"), pair("doc", "last", "at", "at_last")))
 
     def matched(seeds: DataFrame) -> DataFrame:
-        groups = seeds.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", F.struct("doc", "pos")).alias("pos_first"), F.max_by("pos", F.struct("doc", -F.col("pos"))).alias("pos_last")).where("first <> last")
+        groups = seeds.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("at", F.struct("doc", "at")).alias("at_first"), F.max_by("at", F.struct("doc", text("at"), -F.col("at"))).alias("at_last"))
+        groups = groups.where((F.col("first") != F.col("last")) | (text("at_first") != text("at_last")))
         met = seeds.join(groups.hint("shuffle_hash"), "key")
         return met.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("m")).select("m.*")
 
@@ -493,34 +535,73 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 5, share: float
     bits = spark.sparkContext.broadcast(anchor_map(docs.mapInArrow(lean(_anchors(long, least - long + 1)), "key long, doc long")).tobytes())
     scratch.free_shuffles()
     whole = scratch.write(docs.mapInArrow(lean(_windows(long, least - long + 1, least, bits)), SEEDS), "windows")
-    lead = whole.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("lead"), F.max("doc").alias("last")).where("lead.doc <> last").select("key", F.col("lead.doc").alias("a"), F.col("lead.pos").alias("pa"))
-    met = whole.join(lead.hint("shuffle_hash"), "key").where("doc <> a").select("a", F.col("doc").alias("b"), "pa", F.col("pos").alias("pb"), F.lit(least).alias("words"))
+    lead = whole.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("lead"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
+    lead = lead.select("key", F.col("lead.doc").alias("a"), F.col("lead.at").alias("pa"), "last").where((F.col("a") != F.col("last.doc")) | (text("pa") != F.col("last.text")))
+    met = whole.join(lead.hint("shuffle_hash"), "key").where((F.col("doc") != F.col("a")) | (text("at") != text("pa"))).select("a", F.col("doc").alias("b"), "pa", F.col("at").alias("pb"), F.lit(least).alias("words"))
     matches = matches.unionAll(met)
-    grouped = matches.repartition("a", "b").sortWithinPartitions("a", "b")
-    found = grouped.mapInArrow(lean(_chains(k, least, window)), "a long, b long, begin_a long, end_a long, begin_b long, end_b long, segments array<long>")
-    found = found.withColumn("chain", F.xxhash64("a", "b", "begin_a", "end_a", "begin_b", "end_b"))
-    chains = scratch.write(found, "chains")
+    grouped = matches.repartition("a", "b").sortWithinPartitions("a", "b", *([text("pa"), text("pb")] if repeated else []))
+    found = grouped.mapInArrow(lean(_chains(k, least, window)), "a long, va long, b long, vb long, begin_a long, end_a long, begin_b long, end_b long, segments array<long>")
+    chains = scratch.write(found.withColumn("chain", F.xxhash64("a", "va", "b", "vb", "begin_a", "end_a", "begin_b", "end_b")), "chains-0")
     scratch.free_shuffles()
 
+    names = ("a", "va", "begin_a", "end_a", "b", "vb", "begin_b", "end_b", "n_equal", "n_columns")
+    margin, parts = MARGIN, []
+    while True:
+        n = len(parts)
+        full = _worded(docs, chains, margin, scratch, n, repeated)
+        made = scratch.write(full.mapInArrow(lean(_aligned(least, share, margin)), ", ".join(f"{c} long" for c in ("chain", *names)) + ", open boolean"), f"passages-{n}")
+        parts.append(made.where("not open").select(*names))
+        scratch.drop(f"words-a-{n}", f"words-b-{n}", f"often-{n}")
+        scratch.free_shuffles()
+        on = made.where("open").select("chain").distinct()
+        if not on.limit(1).count():
+            break
+        chains = scratch.write(chains.join(on, "chain", "left_semi"), f"chains-{n + 1}")  # once more, with more words
+        margin *= GROWTH
+    scratch.drop("common", "windows", *(f"chains-{n}" for n in range(len(parts))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionAll(more)
+    return out, repeated
+
+
+def _worded(docs: DataFrame, chains: DataFrame, margin: int, scratch: Scratch, nth: int, repeated: bool) -> DataFrame:
+    """chains with the word hashes of both texts from `margin` words before to `margin` words after the chain."""
     asks = []
     for side in "ab":
-        asks.append(chains.select(F.col(side).alias("doc_id"), F.struct("chain", (F.col(f"begin_{side}") - MARGIN).alias("lo"), (F.col(f"end_{side}") + MARGIN).alias("hi")).alias("ask"), F.lit(side).alias("side")))
+        ask = F.struct("chain", (F.col(f"begin_{side}") - margin).alias("lo"), (F.col(f"end_{side}") + margin).alias("hi"))
+        asks.append(chains.select(F.col(side).alias("doc_id"), F.col(f"v{side}").alias("variant"), ask.alias("ask"), F.lit(side).alias("side")))
     asks = asks[0].unionAll(asks[1])
     # a document that very many ask for gets several rows, each with a bounded number of requests
-    often = scratch.write(asks.groupBy("doc_id").count(), "often")
-    asks = asks.join(often, "doc_id").withColumn("salt", F.pmod(F.col("ask.chain"), F.ceil(F.col("count") / TOGETHER)))
+    often = scratch.write(asks.groupBy("doc_id", "variant").count(), f"often-{nth}")
+    asks = asks.join(often, ["doc_id", "variant"]).withColumn("salt", F.pmod(F.col("ask.chain"), F.ceil(F.col("count") / TOGETHER)))
     # dealt anew, or the join's partitions by doc_id would serve and one task get all requests for a document
-    asks = asks.repartition("doc_id", "side", "salt").groupBy("doc_id", "side", "salt").agg(F.collect_list("ask").alias("asked"))
-    asked = docs.join(asks, "doc_id")
-    words = {side: asked.where(F.col("side") == side).select("text", "asked").mapInArrow(lean(_slices), "chain long, lo long, words binary").select("chain", F.col("lo").alias(f"lo_{side}"), F.col("words").alias(f"words_{side}")) for side in "ab"}
-    slices = {side: scratch.write(words[side], f"words-{side}") for side in "ab"}
-    scratch.free_shuffles()
-    full = chains.join(slices["a"], "chain").join(slices["b"], "chain")
-    out = full.mapInArrow(lean(_aligned(least, share)), "a long, begin_a long, end_a long, b long, begin_b long, end_b long, n_equal long, n_columns long")
-    out = scratch.write(out, "passages")
-    scratch.drop("common", "windows", "chains", "words-a", "words-b")
+    keys = ["doc_id", "variant", "side", "salt"]
+    asks = asks.repartition(*keys).groupBy(*keys).agg(F.collect_list("ask").alias("asked"))
+    asked = docs.join(asks, ["doc_id", "variant"])
+    full = chains
+    for side in "ab":
+        words = asked.where(F.col("side") == side).select("text", "asked").mapInArrow(lean(_slices), "chain long, lo long, words binary")
+        words = words.dropDuplicates(["chain"]) if repeated else words  # equal rows answer alike
+        words = scratch.write(words.select("chain", F.col("lo").alias(f"lo_{side}"), F.col("words").alias(f"words_{side}")), f"words-{side}-{nth}")
+        full = full.join(words, "chain")
     scratch.free_shuffles()
-    return out
+    return full
+
+
+def repeated_passages(docs: DataFrame, least: int = 50, k: int = 5, share: float = 0.8, window: int = WINDOW) -> DataFrame:
+    """docs (doc_id, text) -> passages that two documents share: a, begin_a, end_a, b, begin_b, end_b, n_equal, n_columns.
+
+    a <= b are doc_ids, begin and end count words (white space parts them, ASCII case is ignored), n_equal of the
+    alignment's n_columns columns are equal words. A document with a passage that others share is reported with at least
+    one of them: always where `least` words in a row are equal, as each such window is compared with the first document
+    that has it. Of passages with differing words: if k + window - 1 words in a row are equal somewhere, and a document
+    with the whole passage is the first or the last to have some stretch of it (about a third of `least`); the alignment then
+    goes on as far as the passage does. Rows with the same doc_id and different texts are documents of their own (a = b where
+    they share a passage); rows with the same doc_id and text are one. Passages within one document, rows without a doc_id,
+    and null, empty or shorter texts have none. Other columns are ignored.
+    """
+    return _passages(docs, least, k, share, window)[0].drop("va", "vb")
 
 
 def _cut(batches):
@@ -546,19 +627,20 @@ def _cut(batches):
         yield pa.record_batch([*(column(batch, n) for n in names), pa.array(out, pa.string())], [*names, "text"])
 
 
-def cut_repeats(docs: DataFrame, **options) -> DataFrame:
+def cut_repeats(docs: DataFrame, least: int = 50, k: int = 5, share: float = 0.8, window: int = WINDOW) -> DataFrame:
     """docs with each repeated passage cut from all documents but the first that has it; columns and other rows stay.
 
     `n_chars`, where there is such a column, follows the text. A document of which no word is left goes.
     """
-    passages = repeated_passages(docs, **options)
-    spans = passages.select(F.col("b").alias("__doc"), F.struct(F.col("begin_b").alias("begin"), F.col("end_b").alias("end")).alias("s")).distinct()
-    spans = spans.groupBy("__doc").agg(F.collect_list("s").alias("spans"))
+    passages, repeated = _passages(docs, least, k, share, window)
+    spans = passages.select(F.col("b").alias("__doc"), F.col("vb").alias("__text"), F.struct(F.col("begin_b").alias("begin"), F.col("end_b").alias("end")).alias("s")).distinct()
+    spans = spans.groupBy("__doc", "__text").agg(F.collect_list("s").alias("spans"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = {c.lower(): n for c, n in zip(docs.columns, names, strict=True)}
     rest = docs.toDF(*names)
     kinds = dict(rest.dtypes)
-    joined = rest.join(spans, rest[place["doc_id"]].cast("long") == spans["__doc"], "left")
+    own = _variant(rest[place["text"]].cast("string"), repeated)
+    joined = rest.join(spans, (rest[place["doc_id"]].cast("long") == spans["__doc"]) & (own == spans["__text"]), "left")
     keep = [n for n in names if n != place["text"]]
     plain = joined.where("spans is null").select(*names)
     cut = joined.where("spans is not null").select(*keep, F.col(place["text"]).alias("text"), "spans")
