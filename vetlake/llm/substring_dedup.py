@@ -3,8 +3,10 @@
 Seeds are k-word shingles picked by winnowing (the least hash of each WINDOW neighbouring ones), so every run of
 k + WINDOW - 1 words that two texts share gives both a common seed; the n-th occurrence of a seed in a text meets the n-th
 in another, and its first. Each seed joins its documents with its first and its last document, never all pairs. So that no equal passage
-is lost by that, each window of `least` words that documents share joins them all with the first document that has the
-whole window: anchors, which are winnowed shingles of half its length, tell where such windows can be. For each pair of
+is lost by that, each run of `least` words that documents share joins them all with the first document that has it: of the
+windows a few words shorter those are picked that are the least of NEAR neighbouring ones, so that each run has one; all
+with such a window meet the first document with it, and where that has other words beside it, those that have the same
+words beside it meet the first of them. Anchors, which are winnowed shingles of half the length, tell where such windows can be. For each pair of
 documents, matches on one diagonal merge into segments, and segments are chained in order in both texts with gap costs,
 the best predecessor coming from a Fenwick tree over the first text's positions. Chains are aligned word by word, past
 their ends too, and with more words where an alignment has not ended; what is kept are its best stretches of at least `least`
@@ -16,6 +18,8 @@ its 32 bits.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +38,8 @@ TOGETHER = 32
 CELLS = 1 << 14
 #: Share of all documents from which on a seed counts as frequent; bounds the list of frequent seeds by seeds of a text / FREQUENT.
 FREQUENT = 0.002
+#: Neighbouring windows of which one is picked.
+NEAR = 5
 #: Bits of the map of shared anchors, as a power of two; a full map costs time and loses nothing.
 MAP_BITS = 27
 SEEDS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("doc", T.LongType(), False), T.StructField("at", T.LongType(), False)])
@@ -126,19 +132,29 @@ def _seeds(k: int, window: int, frequent, common: bool):
     return run
 
 
-def anchors(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word position over all texts, key) of shingles that are the least of some `window` < k neighbouring ones of a text."""
-    g = long_grams(hashes, k)
-    n = len(g)
+def _inside(n: int, first: np.ndarray, k: int) -> np.ndarray:
+    """Where k words from a place on are of one text."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    inside = np.arange(n) + k <= first[doc[:n] + 1]
-    top = U(0xFFFFFFFFFFFFFFFF)
-    # between the shingles of two texts there are k - 1 others, so no window of a text reaches the next
-    least = np.concatenate((np.where(inside, g, top), np.full(window, top)))
+    return np.arange(n) + k <= first[doc[:n] + 1]
+
+
+def picked(g: np.ndarray, inside: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places whose value is the least of some `window` neighbouring ones inside, that least value at each place).
+
+    Between the inside places of two texts there must be `window` - 1 others at least.
+    """
+    n = len(g)
+    least = np.concatenate((np.where(inside, g, U(0xFFFFFFFFFFFFFFFF)), np.full(window, U(0xFFFFFFFFFFFFFFFF))))
     least = np.where(inside, _sliding(least, window, np.minimum)[:n], U(0))
     most = _sliding(np.concatenate((np.zeros(window - 1, np.uint64), least)), window, np.maximum)[:n]
-    pos = np.flatnonzero(inside & (most == g))
-    return pos, g[pos]
+    return np.flatnonzero(inside & (most == g)), least
+
+
+def anchors(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word position over all texts, key) of shingles that are the least of some `window` < k neighbouring ones of a text; and that least one at each position."""
+    g = long_grams(hashes, k)
+    pos, least = picked(g, _inside(len(g), first, k), window)
+    return pos, g[pos], least
 
 
 def _sliding(x: np.ndarray, window: int, least) -> np.ndarray:
@@ -166,7 +182,7 @@ def _anchors(k: int, window: int):
 
     def run(batches):
         for ids, variant, hashes, first in _texts(batches):
-            pos, key = anchors(hashes, first, k, window)
+            pos, key, _ = anchors(hashes, first, k, window)
             ids = np.where(variant == 0, ids, mix(ids.view(np.uint64) + mix(variant.view(np.uint64))).view(np.int64))
             own = ids[np.searchsorted(first, pos, "right") - 1]
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own, pa.int64())], ["key", "doc"])
@@ -174,55 +190,107 @@ def _anchors(k: int, window: int):
     return run
 
 
-def anchor_map(rows: DataFrame) -> np.ndarray:
-    """Anchors (key, doc) -> bits: set where the first MAP_BITS bits of a key are those of one that two documents have."""
-    both = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
-    slot = both.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("slot"))
+def anchor_map(rows: DataFrame, often: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors (key, doc) -> (bits: set where the first MAP_BITS bits of a key are those of one that two documents have; keys that
+    occur `often`, sorted)."""
+    counted = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    counted = scratch.write(counted.select("key", "n"), "anchors")
+    slot = counted.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("slot"))
     words = slot.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+    common = counted.where(F.col("n") >= often).toPandas()["key"].to_numpy(np.int64).view(np.uint64)  # bounded: see FREQUENT
+    scratch.drop("anchors")
+    return out, np.sort(common)
 
 
-def windows(hashes: np.ndarray, first: np.ndarray, near: np.ndarray, least: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word position over all texts, key) of the windows of `least` words that begin up to `before` words before one of `near`.
+def windows(hashes: np.ndarray, first: np.ndarray, near: np.ndarray, size: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word position over all texts, key) of the picked windows of `size` words that begin up to `before` words before one of `near`.
 
     Of a window that overlaps itself (in runs of repeated words) those stay that cover the run.
     """
     text = np.searchsorted(first, near, "right") - 1
     mark = np.bincount(np.maximum(near - before, first[text]), minlength=len(hashes) + 1) - np.bincount(near + 1, minlength=len(hashes) + 1)
-    pos = np.flatnonzero(np.cumsum(mark) > 0)
-    own = np.searchsorted(first, pos, "right") - 1
-    fits = pos + least <= first[own + 1]
-    own, pos = own[fits], pos[fits]
+    g = long_grams(hashes, size)
+    pos = picked(g, _inside(len(g), first, size), NEAR)[0]
+    pos = pos[np.cumsum(mark)[pos] > 0]
+    own, key = np.searchsorted(first, pos, "right") - 1, g[pos]
     if not len(pos):
-        return own, pos, np.zeros(0, np.uint64)
-    key = long_grams(hashes, least)[pos]
+        return own, pos, key
     order = np.lexsort((pos, key, own))
     o, v, p = own[order], key[order], pos[order]
-    begin = np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]) | (np.diff(p) >= least)))
-    step = (p - p[np.maximum.accumulate(np.where(begin, np.arange(len(p)), 0))]) // least
-    stay = order[begin | np.concatenate((begin[1:], [True])) | np.concatenate(([True], np.diff(step) != 0))]
+    begin = np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]) | (np.diff(p) >= size)))
+    lo = np.flatnonzero(begin)
+    hi = np.append(lo[1:], len(p)) - 1
+    run = np.cumsum(begin) - 1
+    since, until = p - p[lo][run], p[hi][run] - p
+    half = since // (size // 2)
+    stay = begin | np.isin(np.arange(len(p)), hi)
+    # at both ends of a run also those that differ in the words beside them, up to the first that has only words of the run there
+    stay[1:] |= (half[1:] != half[:-1]) | (since[:-1] < NEAR - 1)
+    stay[:-1] |= until[1:] < NEAR - 1
+    stay = order[stay]
     return own[stay], pos[stay], key[stay]
 
 
-def _windows(k: int, window: int, least: int, shared):
-    """Rows (doc_id, text) -> rows (key, doc, at): windows of `least` words around anchors that the map has."""
+def beside(hashes: np.ndarray, first: np.ndarray, own: np.ndarray, pos: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the words before and after it: 16 bits each for the first, the first two, ... NEAR - 1 words; 0 beyond the text."""
+    sides = []
+    for step, at, stop in ((-1, pos - 1, first[own]), (1, pos + size, first[own + 1] - 1)):
+        total, out = np.zeros(len(pos), np.uint64), np.zeros(len(pos), np.uint64)
+        for n in range(NEAR - 1):
+            place = at + step * n
+            there = (place >= stop) if step < 0 else (place <= stop)
+            total = mix(total + hashes[np.clip(place, 0, len(hashes) - 1)])
+            out |= np.where(there, (total & U(0xFFFF)) | U(1), U(0)) << U(16 * n)
+        sides.append(out)
+    return sides[0], sides[1]
+
+
+PICKED = T.StructType([T.StructField(n, T.LongType(), False) for n in ("key", "doc", "at", "left", "right")])
+
+
+def _windows(k: int, window: int, size: int, shared, common: bool):
+    """Rows (doc_id, text) -> rows (key, doc, at, left, right): windows of `size` words around anchors that the map has.
+
+    Those whose least anchor occurs often are given with `common`, the others without.
+    """
 
     def run(batches):
-        bits = np.frombuffer(shared.value, np.uint64)
-        schema = pa.schema([pa.field(n, pa.int64(), False) for n in ("key", "doc", "at")])
+        bits, often = (np.frombuffer(x, np.uint64) for x in shared.value)
+        schema = pa.schema([pa.field(n, pa.int64(), False) for n in PICKED.names])
         for ids, variant, hashes, first in _texts(batches):
-            pos, key = anchors(hashes, first, k, window)
+            pos, key, least = anchors(hashes, first, k, window)
             slot = key >> U(64 - MAP_BITS)
             near = pos[(bits[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1]
-            own, pos, key = windows(hashes, first, near, least, window - 1)
+            own, pos, key = windows(hashes, first, near, size, window - 1)
+            some = np.isin(least[pos], often) == common
+            own, pos, key = own[some], pos[some], key[some]
             if len(pos):
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array((pos - first[own]) | variant[own])], schema=schema)
+                left, right = beside(hashes, first, own, pos, size)
+                cols = (key.view(np.int64), ids[own], (pos - first[own]) | variant[own], left.view(np.int64), right.view(np.int64))
+                yield pa.record_batch([pa.array(c) for c in cols], schema=schema)
 
     return run
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Picked windows -> rows (a, b, pa, pb, key): pairs with the first document of a window; or, with a key and no pair, those
+    with other words beside it than that one has: one row for each way that adds NEAR - 1 words."""
+    text = lambda at: F.shiftright(at, 32)
+    lead = rows.groupBy("key").agg(F.min(F.struct("doc", "at", "left", "right")).alias("f"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
+    lead = lead.where((F.col("f.doc") != F.col("last.doc")) | (text("f.at") != F.col("last.text"))).select("key", "f")
+    met = rows.join(lead.hint("shuffle_hash"), "key").where((F.col("doc") != F.col("f.doc")) | (text("at") != text("f.at")))
+    row = lambda a, b, pa_, pb, key: F.struct(*(x.cast("long").alias(n) for x, n in zip((a, b, pa_, pb, key), ("a", "b", "pa", "pb", "key"), strict=True)))
+    part = lambda side, n: F.shiftrightunsigned(side, 16 * (n - 1)).bitwiseAND(F.lit(0xFFFF)) if n else F.lit(1)
+    none, ways = F.lit(None), [row(F.col("f.doc"), F.col("doc"), F.col("f.at"), F.col("at"), F.lit(None))]
+    for n in range(NEAR):
+        l, r = part("left", n), part("right", NEAR - 1 - n)
+        other = (l != part("f.left", n)) | (r != part("f.right", NEAR - 1 - n))
+        ways.append(F.when((l > 0) & (r > 0) & other, row(none, F.col("doc"), none, F.col("at") - n, F.xxhash64("key", F.lit(n), l, r))))
+    return met.select(F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("m")).select("m.*")
+
+
 def segments(pa_: np.ndarray, pb: np.ndarray, k: int, words: np.ndarray | None = None) -> np.ndarray:
     """Matches of one pair, of k or of `words` words -> segments (begin in a, begin in b, words): runs on one diagonal, in order of b."""
     order = np.lexsort((pb, pb - pa_))
@@ -530,14 +598,21 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
     rest, common = (docs.mapInArrow(lean(_seeds(k, window, shared, c)), SEEDS) for c in (False, True))
     matches = matched(rest.repartition("key")).unionAll(matched(scratch.write(common, "common"))).withColumn("words", F.lit(k))
 
-    # windows of `least` equal words, of which every document with one meets the first: an anchor is in each of them
-    long = least // 2 + 1
-    bits = spark.sparkContext.broadcast(anchor_map(docs.mapInArrow(lean(_anchors(long, least - long + 1)), "key long, doc long")).tobytes())
+    # runs of `least` equal words, of which every document with one meets the first: an anchor is in each picked window
+    size = least - NEAR + 1
+    long = size // 2 + 1
+    maps = anchor_map(docs.mapInArrow(lean(_anchors(long, size - long + 1)), "key long, doc long"), math.ceil(least_often), scratch)
+    bits = spark.sparkContext.broadcast([x.tobytes() for x in maps])
+    scratch.free_shuffles()
+    rest, common = (docs.mapInArrow(lean(_windows(long, size - long + 1, size, bits, c)), PICKED) for c in (False, True))
+    near = scratch.write(_met(rest.repartition("key")).unionAll(_met(scratch.write(common, "windows"))), "met")
+    scratch.drop("windows")
     scratch.free_shuffles()
-    whole = scratch.write(docs.mapInArrow(lean(_windows(long, least - long + 1, least, bits)), SEEDS), "windows")
-    lead = whole.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("lead"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
-    lead = lead.select("key", F.col("lead.doc").alias("a"), F.col("lead.at").alias("pa"), "last").where((F.col("a") != F.col("last.doc")) | (text("pa") != F.col("last.text")))
-    met = whole.join(lead.hint("shuffle_hash"), "key").where((F.col("doc") != F.col("a")) | (text("at") != text("pa"))).select("a", F.col("doc").alias("b"), "pa", F.col("at").alias("pb"), F.lit(least).alias("words"))
+    beside_ = near.where("key is not null").select("key", F.col("b").alias("doc"), F.col("pb").alias("at"))
+    lead = beside_.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
+    lead = lead.where((F.col("f.doc") != F.col("last.doc")) | (text("f.at") != F.col("last.text"))).select("key", F.col("f.doc").alias("a"), F.col("f.at").alias("pa"))
+    met = beside_.join(lead.hint("shuffle_hash"), "key").where((F.col("doc") != F.col("a")) | (text("at") != text("pa"))).select("a", F.col("doc").alias("b"), "pa", F.col("at").alias("pb"), F.lit(least).alias("words"))
+    met = met.unionAll(near.where("key is null").select("a", "b", "pa", "pb", F.lit(size).alias("words")))
     matches = matches.unionAll(met)
     grouped = matches.repartition("a", "b").sortWithinPartitions("a", "b", *([text("pa"), text("pb")] if repeated else []))
     found = grouped.mapInArrow(lean(_chains(k, least, window)), "a long, va long, b long, vb long, begin_a long, end_a long, begin_b long, end_b long, segments array<long>")
@@ -558,7 +633,7 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
             break
         chains = scratch.write(chains.join(on, "chain", "left_semi"), f"chains-{n + 1}")  # once more, with more words
         margin *= GROWTH
-    scratch.drop("common", "windows", *(f"chains-{n}" for n in range(len(parts))))
+    scratch.drop("common", "met", *(f"chains-{n}" for n in range(len(parts))))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionAll(more)
