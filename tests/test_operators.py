@@ -239,6 +239,62 @@ def test_stress_is_deterministic(family):
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[1].any()
 
 
+def test_stress_regions():
+    image = np.random.default_rng(9).random((64, 64))
+    side = lambda f, s: int(C.stress(image, f, s, 1)[1].any(0).sum())
+    assert [side("missing_patch", s) for s in C.SEVERITIES] == [8, 11, 16]  # 64 (0.08 + 0.35 s)
+    full = [int(64 * (0.25 + 0.3 * s)) for s in C.SEVERITIES]
+    assert full == [18, 21, 25] and all(side("local_blur", s) == n for s, n in zip(C.SEVERITIES, full) if C.stress(image, "missing_patch", s, 1)[1].any(0).argmax() + n <= 64)
+    out, mask = C.stress(image, "patch_duplication", 0.5, 1)
+    assert mask.any(1).nonzero()[0].tolist() == list(range(46, 62))
+    assert np.allclose(out[46:62, 46:62], np.rint(255 * image[2:18, 2:18]) / 255)
+    assert len({tuple(np.argwhere(C.stress(image, "missing_patch", s, 7)[1])[0]) for s in C.SEVERITIES}) == 1  # one corner for all
+    rows, columns = (C.stress(np.full((16, 16), 0.5), "stripes", 0.3, n)[0] for n in (1, 2))
+    assert np.ptp(rows, axis=1).max() == 0 and np.ptp(columns, axis=0).max() == 0  # odd seeds vary from row to row
+    black = np.zeros((16, 16))
+    assert not C.stress(black, "missing_patch", 0.3, 1)[1].any()
+    with pytest.raises(ValueError):
+        C.stress(image, "stripes", 0.4, 1)
+
+
+def test_corruption_regions():
+    image = np.arange(64.0).reshape(8, 8) / 64
+    box = (2, 2, 4)
+    for odd in (0, 1):
+        out = C.corrupt(image, "block_permutation", 0.3, odd, box)[0]
+        assert (out[2:6, 2:6] == np.roll(image[2:6, 2:6], 2, odd)).all()  # one axis, by the seed's parity
+    other = np.linspace(0, 1, 16).reshape(4, 4)
+    assert (C.corrupt(image, "foreign", 0.3, 1, box, other)[0][2:6, 2:6] == other).all()
+    assert set(C.KINDS.values()) == {"stripes", "dead lines/pixels", "clipping", "blur/noise", "missing crop", "block corruption", "patch duplication", "foreign/synthetic contamination"}
+    with pytest.raises(ValueError):
+        C.corrupt(image, "stripes", 0, 1)
+
+
+def test_cases_that_change_nothing_say_so(spark):
+    df = spark.createDataFrame([(1, [0.0] * 64)], "id long, v array<double>")
+    got = C.cases(df, "id", "v", ["missing_patch", "foreign_content"], [0.3], C.stress).collect()
+    assert {r["family"]: r["status"] for r in got} == {"missing_patch": "unchanged", "foreign_content": "ok"}
+    seeds = {r["seed"] for s in (0.15, 0.3) for r in C.cases(df, "id", "v", ["foreign"], [s]).collect()}
+    assert len(seeds) == 2  # severity is in the seed of corrupt
+
+
+def test_names_lose_every_augmentation(spark):
+    stems = {"A-r90": "a", "a_rotate_90": "a", "a.rot-180": "a", "a_brightness_0.8": "a", "a_brightness": "a", "a_brightness-1.2_R270": "a", "a_brightness_0.8.r90": "a", "a_fh-flip_v": "a", "a_brightnessmap": "a_brightnessmap", "a_rot45": "a_rot45", "a_r90_x": "a_r90_x", "r90": "r90"}
+    df = spark.createDataFrame([(s,) for s in stems], "s string")
+    got = {r["s"]: (r["b"], r["t"]) for r in df.select("s", K.base_id(F.col("s")).alias("b"), K.augmentations(F.col("s")).alias("t")).collect()}
+    assert {s: b for s, (b, _) in got.items()} == stems
+    assert got["a_brightness_0.8.r90"][1] == ["brightness_0.8", "r90"] and got["a_brightness-1.2_R270"][1] == ["brightness-1.2", "r270"] and got["a_rot45"][1] == []
+
+
+def test_vectors_without_rows(spark):
+    none = spark.createDataFrame([], "id long, v array<double>")
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    assert VX.cosine_knn(some, none, "id", "v", 3).count() == 0 and VX.cosine_knn(none, some, "id", "v", 3).count() == 0
+    for rows in (none, some):
+        with pytest.raises(ValueError):
+            VX.fit_latent(rows, "v")
+
+
 def test_cases_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(10)
     df = spark.createDataFrame([(i, rng.random(64).tolist()) for i in range(6)], "id long, v array<double>")

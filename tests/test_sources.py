@@ -24,6 +24,9 @@ def test_scan_status_and_exclusions(spark, tmp_path):
     more = spark.createDataFrame([("d/b.png", 0, b""), ("d/._a.jpg", 5, bytes.fromhex("00051607") + b"z"), ("d/._c.jpg", 1, b"z")], "path string, length long, content binary")
     assert [r["status"] for r in S.with_status(more).collect()] == ["corrupt", "auxiliary", "ok"]
     assert [r["root"] for r in S.candidates(rows).collect()] == ["d"]
+    top = spark.createDataFrame([("a.ppm",), ("x/b.PGM",), ("y/c.txt",)], "path string")
+    assert sorted(r["root"] for r in S.candidates(top).collect()) == ["", "x"]
+    assert set(S.EXCLUDED) >= {".pytest_cache", ".pytest-tmp"} and "node_modules" not in S.EXCLUDED
 
 
 def test_safe_paths(spark):
@@ -66,7 +69,7 @@ def test_archives(spark, tmp_path):
     got = {(r["path"], r["status"], bytes(r["content"]) if r["content"] is not None else None) for n in ("a.zip", "b.tar") for r in S.archive(spark, str(tmp_path / n)).collect()}
     assert ("x/1.txt", "ok", b"one") in got and ("2.txt", "ok", b"two") in got
     assert sum(s == "rejected" and c is None for _, s, c in got) == 2
-    assert S.archive(spark, str(tmp_path / "a.zip"), "0" * 32).count() == 0
+    assert [(r["path"], r["content"], r["status"]) for r in S.archive(spark, str(tmp_path / "a.zip"), "0" * 32).collect()] == [(None, None, "wrong checksum")]
 
 
 def test_write_once_and_claim(spark, tmp_path):

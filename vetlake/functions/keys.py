@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The augmentation suffixes and the source form that file names carry, and the synonyms of split names.
-AUGMENTATION = r"[_\-.](?:r(?:90|180|270)|rot(?:ate)?(?:90|180|270)|fh|fv|hflip|vflip|brt|brightness[a-z0-9.+-]*|flip[_-]?[hv])"
+AUGMENTATION = r"[_\-.](?:r(?:90|180|270)|rot(?:ate)?[_-]?(?:90|180|270)|fh|fv|hflip|vflip|brt|brightness(?:[_-]?[0-9.]+)?|flip[_-]?[hv])"
 SOURCE = r"^((?:esp|psp|tra)_\d{6}_\d{4})_red-\d+$"
 SPLIT_SYNONYMS = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
 
@@ -21,7 +21,7 @@ def base_id(stem: Column) -> Column:
 def augmentations(stem: Column) -> Column:
     """The stem's augmentation suffixes in order, lower-cased, without their separators."""
     tail = F.regexp_extract(stem, f"(?i)^(.*?)((?:{AUGMENTATION})*)$", 2)
-    return F.transform(F.regexp_extract_all(tail, F.lit(f"(?i)({AUGMENTATION})"), F.lit(1)), lambda x: F.lower(F.substring(x, 2, 1000)))
+    return F.transform(F.regexp_extract_all(tail, F.lit(rf"(?i)({AUGMENTATION})(?=[_\-.]|$)"), F.lit(1)), lambda x: F.lower(F.substring(x, 2, 1000)))
 
 
 def source_id(base: Column) -> Column:

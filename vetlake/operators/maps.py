@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.robust import MAD, lower_median
-from .patches import BANDS, _directional
+from .patches import BANDS, _directional, _peaks
 
 WINDOWS = (8, 16, 32)
 FEATURES = ("band_low", "band_middle", "band_high", "gradient_x", "gradient_y", "anisotropy", "std", "mean")
@@ -63,15 +63,15 @@ def top_fraction(x: np.ndarray, fraction: float, rounding: str = "ceil") -> np.n
 
 
 def window_features(x: np.ndarray, w: int) -> np.ndarray:
-    """(n, rows, columns, 8): FEATURES of each w x w tile, of images first brought to a multiple of w."""
-    side = max(w, round(x.shape[1] / w) * w)
+    """(n, rows, columns, 8): FEATURES of each w x w tile, of images first brought to the next smaller multiple of w (or to w)."""
+    side = max(w, x.shape[1] // w * w)
     x = resize(x, side)
     tiles = x.reshape(len(x), side // w, w, side // w, w).transpose(0, 1, 3, 2, 4)
     power = np.abs(np.fft.fft2(tiles)) ** 2 / (w * w)
     radius = np.hypot(*np.meshgrid(np.fft.fftfreq(w), np.fft.fftfreq(w), indexing="ij"))
     rings = [(radius > lo) & (radius <= hi) for lo, hi in BANDS]
     bands = [np.log1p(100 * power[..., ring].sum(-1) / max(1, ring.sum())) for ring in rings]  # an empty band has no energy
-    dx, dy = np.abs(np.diff(tiles, axis=-1)).mean((-1, -2)), np.abs(np.diff(tiles, axis=-2)).mean((-1, -2))
+    dx, dy = (np.diff(tiles, axis=-1) ** 2).mean((-1, -2)), (np.diff(tiles, axis=-2) ** 2).mean((-1, -2))
     return np.stack([*bands, np.log1p(100 * dx), np.log1p(100 * dy), (dx - dy) / (dx + dy + 1e-5), tiles.std((-1, -2), ddof=1), tiles.mean((-1, -2))], -1)
 
 
@@ -86,49 +86,52 @@ def profile_map(observed: np.ndarray, generated: np.ndarray) -> np.ndarray:
     return (np.abs(d.mean(2))[:, :, None] + np.abs(d.mean(1))[:, None, :]) / 2
 
 
-def discrepancy(observed: np.ndarray, generated: np.ndarray, uncertainty: np.ndarray, fraction: float = 0.005) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """channel -> (scores, maps): pixel residuals damped by uncertainty, missing texture, and spectra of profiles."""
+def discrepancy(observed: np.ndarray, generated: np.ndarray, uncertainty: np.ndarray, observed_tokens: np.ndarray | None = None, generated_tokens: np.ndarray | None = None, fraction: float = 0.005) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """channel -> (scores, maps): pixel residuals damped by uncertainty, missing texture, tokens' distances where there are tokens,
+    and spectra of profiles. Scores are means of the largest `fraction`."""
     if not observed.shape == generated.shape == uncertainty.shape:
         raise ValueError("images, reconstructions and uncertainties differ in shape")
     pixel = np.abs(observed - generated) / (1 + 4 * uncertainty)
     texture = np.maximum(0, np.log(local_energy(generated) + 1e-4) - np.log(local_energy(observed) + 1e-4))
-    spectral = np.abs(_directional(observed) - _directional(generated)).mean((1, 2))
-    return {
-        "pixel": (top_fraction(pixel, fraction), pixel),
-        "texture": (top_fraction(texture, fraction), texture),
-        "spectral": (spectral, profile_map(observed, generated)),
-    }
+    out = {"pixel": (top_fraction(pixel, fraction), pixel), "texture": (top_fraction(texture, fraction), texture)}
+    if observed_tokens is not None:
+        score, grid = semantic_discrepancy(observed_tokens, generated_tokens, fraction)
+        out["semantic"] = (score, resize(grid, observed.shape[1]))
+    spectral = np.abs(_directional(observed) - _directional(generated))
+    return out | {"spectral": (top_fraction(spectral, fraction), profile_map(observed, generated))}
 
 
-def semantic_discrepancy(observed: np.ndarray, generated: np.ndarray, fraction: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, maps) from matching unit tokens (n, patches, d): 1 - cosine, on the square grid of patches."""
+def semantic_discrepancy(observed: np.ndarray, generated: np.ndarray, fraction: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, maps) from matching tokens (n, patches, d): 1 - cosine, 0 at least, on the square grid of patches."""
     side = int(round(observed.shape[1] ** 0.5))
     if observed.shape != generated.shape or side * side != observed.shape[1]:
         raise ValueError("tokens differ in shape or are no square grid")
-    d = 1 - np.clip((observed * generated).sum(2), -1, 1)
-    maps = d.reshape(len(d), side, side)
+    unit = lambda t: t / np.maximum(np.linalg.norm(t, axis=2, keepdims=True), 1e-12)
+    maps = np.maximum(0, 1 - (unit(observed) * unit(generated)).sum(2)).reshape(-1, side, side)
     return top_fraction(maps, fraction), maps
 
 
-def _peaks(x: np.ndarray, skip: int = 3) -> np.ndarray:
-    power = np.expm1(_directional(x)) / 100
-    padded = np.pad(power, ((0, 0), (0, 0), (4, 4)))
-    near = (sum(padded[..., i : i + power.shape[-1]] for i in range(9)) - power) / 8
-    return np.log1p(power / (near + 1e-4))[..., skip:]
-
-
 def refined(observed: np.ndarray, generated: np.ndarray, uncertainty: np.ndarray, frame: int = 4, fraction: float = 0.005) -> dict[str, np.ndarray]:
-    """channel -> scores, without a frame of pixels: local excess of the residual, missing texture, peaks that only the image has."""
+    """channel -> scores: local excess of the residual without a frame of pixels, missing texture, peaks that only the image has.
+
+    Images that the frame would use up keep it; those of few bins have no peaks.
+    """
     inner = np.s_[:, frame:-frame, frame:-frame] if observed.shape[1] > 2 * frame + 2 else np.s_[:]
     residual = np.abs(observed - generated) / (1 + 4 * uncertainty)
     excess = residual / (box(residual, 15) + 0.03)
     texture = np.maximum(0, np.log(local_energy(generated) + 1e-4) - np.log(local_energy(observed) + 1e-4))
-    gain = np.maximum(0, _peaks(observed) - _peaks(generated)) if observed.shape[1] >= 10 else np.zeros((len(observed), 2, 1))
-    return {"pixel": top_fraction(excess[inner], fraction), "texture": top_fraction(texture[inner], fraction), "spectral": gain.max((1, 2))}
+    gain = np.maximum(0, _peaks(observed) - _peaks(generated)) if observed.shape[1] >= 6 else np.zeros((len(observed), 2, 1))
+    return {"pixel": top_fraction(excess[inner], fraction), "texture": top_fraction(texture, fraction), "spectral": top_fraction(gain, fraction)}
+
+
+def fused_map(scores: dict[str, float], maps: dict[str, np.ndarray], state: dict[str, tuple[float, float]], weights: dict[str, float]) -> np.ndarray:
+    """One image's weighted map: each branch's map, or its score everywhere where it has none, as z by (median, scale), cut to 0 to 100."""
+    shape = next(iter(maps.values())).shape
+    return sum(weights[b] * np.clip((maps.get(b, np.full(shape, scores[b])) - state[b][0]) / state[b][1], 0, 100) for b in weights)
 
 
 def training_masks(n: int, side: int, seed: int) -> np.ndarray:
-    """n masks that hide 10 to 40 % of an image: one rectangle, three, or where smooth noise is highest; by seed and number."""
+    """n masks that hide a tenth of an image or more: one rectangle, several smaller ones, or where smooth noise is highest; by seed and number."""
     out = np.zeros((n, side, side), bool)
     for i in range(n):
         rng = np.random.default_rng((seed, i))
@@ -137,7 +140,7 @@ def training_masks(n: int, side: int, seed: int) -> np.ndarray:
             noise = box(rng.normal(size=(1, side, side)), max(3, side // 8 | 1))[0]
             out[i] = noise >= np.quantile(noise, 1 - share)
             continue
-        for _ in range(1 if kind == 0 else 3):
+        while out[i].mean() < 0.1:  # rectangles may overlap: more of them, until a tenth is hidden
             area = share * side * side / (1 if kind == 0 else 3)
             h = int(np.clip(round(np.sqrt(area * rng.uniform(0.5, 2))), 1, side))
             w = int(np.clip(round(area / h), 1, side))
@@ -250,7 +253,9 @@ def score_spectral(rows: DataFrame, key: str, vector: str, states: dict[int, dic
 def semantic_map(distances: DataFrame, image: str, patch: str, side: int, size: int, fraction: float = 0.05) -> DataFrame:
     """image and `semantic`: a grid of patches' distances brought to `size`, and the mean of the largest patches, rounded up.
 
-    Distances are rows (image, patch, distance), patches numbered row-major from 0.
+    Distances are rows (image, patch, distance), patches numbered row-major from 0; missing ones have the distance 0.
     """
-    grids = distances.groupBy(image).agg(F.transform(F.array_sort(F.collect_list(F.struct(patch, "distance"))), lambda p: p.getField("distance")).alias("grid"))  # side * side entries
+    known = F.map_from_entries(F.collect_list(F.struct(F.col(patch).cast("int"), "distance")))  # side * side entries
+    grids = distances.groupBy(image).agg(known.alias("known"))
+    grids = grids.select(image, F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.element_at("known", i), F.lit(0.0))).alias("grid"))
     return image_table(grids, image, "grid", lambda x: {"semantic": top_fraction(x, fraction), "map": resize(x, size).reshape(len(x), -1)}, {"semantic": "double", "map": "array<double>"})

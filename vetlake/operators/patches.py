@@ -20,12 +20,6 @@ def box_mean(px: DataFrame, k: int, value: str = "v", out: str = "box", case: st
     return px.withColumn(out, F.sum("__r").over(_line(case, "y", "x").rowsBetween(-h, h)) / (k * k)).drop("__r")
 
 
-def neighbour_mean(values: Column, at: Column, half: int = 4) -> Column:
-    """For an array: the mean of the 2 * half neighbours of a place, with zeros beyond the ends."""
-    near = F.transform(F.sequence(at - half, at + half), lambda i: F.when(i >= 0, F.coalesce(F.get(values, i), F.lit(0.0))).otherwise(0.0))
-    return (F.aggregate(near, F.lit(0.0), lambda s, x: s + x) - F.get(values, at)) / (2 * half)
-
-
 def laplacian(px: DataFrame, value: str = "v", out: str = "laplacian", case: str = "case_id") -> DataFrame:
     """Four neighbours less four times the pixel; at the edge the neighbour on the other side counts twice."""
     total = -4 * F.col(value)
@@ -95,12 +89,24 @@ def spectral_bands(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return _arrow_map(rows, key, vector, f, ["band_low", "band_middle", "band_high"])
 
 
-def _directional(x: np.ndarray) -> np.ndarray:
+def _power(x: np.ndarray) -> np.ndarray:
+    """(n, 2, bins): orthonormal power of the windowed row and column profiles without their means, the constant's bin first."""
     n = x.shape[1]
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)  # periodic
     both = np.stack((x.mean(2), x.mean(1)), 1)
-    both = (both - both.mean(2, keepdims=True)) * hann
-    return np.log1p(100 * np.abs(np.fft.rfft(both)[..., 1:]) ** 2)
+    return np.abs(np.fft.rfft((both - both.mean(2, keepdims=True)) * hann, norm="ortho")) ** 2
+
+
+def _directional(x: np.ndarray) -> np.ndarray:
+    return np.log1p(100 * _power(x)[..., 1:])
+
+
+def _peaks(x: np.ndarray, skip: int = 3) -> np.ndarray:
+    """How far each bin rises above its eight neighbours (zeros beyond the ends); of all bins the first `skip` are left out."""
+    power = _power(x)
+    padded = np.pad(power, ((0, 0), (0, 0), (4, 4)))
+    near = (sum(padded[..., i : i + power.shape[-1]] for i in range(9)) - power) / 8
+    return np.log1p(power / (near + 1e-4))[..., skip:]
 
 
 def directional_power(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -108,14 +114,6 @@ def directional_power(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return _arrow_map(rows, key, vector, lambda x: [_directional(x)[:, 0], _directional(x)[:, 1]], ["row_power", "column_power"], "array<double>")
 
 
-def frequency_peaks(rows: DataFrame, key: str, vector: str, skip: int = 1) -> DataFrame:
-    """How far each frequency of the profiles rises above its eight neighbours; the first `skip` are left out."""
-
-    def f(x: np.ndarray):
-        power = np.expm1(_directional(x)) / 100
-        padded = np.pad(power, ((0, 0), (0, 0), (4, 4)))
-        near = (sum(padded[..., i : i + power.shape[-1]] for i in range(9)) - power) / 8
-        peaks = np.log1p(power / (near + 1e-4))[..., skip:]
-        return [peaks[:, 0].max(1), peaks[:, 1].max(1)]
-
-    return _arrow_map(rows, key, vector, f, ["row_peak", "column_peak"])
+def frequency_peaks(rows: DataFrame, key: str, vector: str, skip: int = 3) -> DataFrame:
+    """The highest of each profile's frequencies above its eight neighbours; the first `skip` are left out."""
+    return _arrow_map(rows, key, vector, lambda x: list(_peaks(x, skip).max(2).T), ["row_peak", "column_peak"])

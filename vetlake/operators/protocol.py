@@ -30,6 +30,32 @@ def report(rows: DataFrame, role: str, keys: list[str]) -> DataFrame:
     return out.crossJoin(F.broadcast(shared_keys(rows, role, keys).agg(F.count(F.lit(1)).alias("violations"))))  # one row
 
 
+def output_dir(spark: SparkSession, config: dict, root: str) -> str:
+    """The run's output folder below root, made where it is missing, through Hadoop's file system."""
+    path = f"{root.rstrip('/')}/{config['output']}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    return path
+
+
+def thread_caps(config: dict, default: int = 4) -> dict[str, str]:
+    """Settings for a session's builder that hold numeric libraries in Python workers to the configuration's threads."""
+    n = str(int(config.get("threads", default)))
+    return {f"spark.executorEnv.{name}": n for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")}
+
+
+def cached(spark: SparkSession, root: str, ending: str = ".pt") -> DataFrame:
+    """case_id of each finished case that has a file `<case_id><ending>` below root; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}").load(root).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.expr(f"left(element_at(split(path, '/'), -1), length(element_at(split(path, '/'), -1)) - {len(ending)})").alias("case_id")).where(name != ending).distinct()
+
+
+def pending(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs that are not done."""
+    return jobs.join(done.select(*keys), keys, "left_anti")
+
+
 def stale(recorded: dict, hashes: dict[str, str], config: dict) -> list[str]:
     """Why a recorded calibration does not fit these model hashes and this configuration; empty if it does."""
     out = [f"model {k}" for k in sorted(set(hashes) | set(recorded.get("model_hashes", {}))) if recorded.get("model_hashes", {}).get(k) != hashes.get(k)]

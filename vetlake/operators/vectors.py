@@ -59,12 +59,12 @@ def cosine_knn(queries: DataFrame, bank: DataFrame, key: str, vector: str, k: in
     bank = bank.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
     blocks = max(1, -(-bank.count() // block))
     rows = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    found = None
+    found = rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance")).where("false")  # what an empty bank gives
     for b in range(blocks):
         part = bank.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toPandas()
         shared = spark.sparkContext.broadcast((part["k"].to_numpy(np.int64), np.stack(part["v"]).astype(float) if len(part) else np.zeros((0, 1))))
-        near = rows.mapInArrow(_nearest(shared, k, "id", "v", exclude_self), "id long, other long, distance double") if len(part) else None
-        found = near if found is None else found if near is None else found.unionAll(near)
+        if len(part):
+            found = found.unionAll(rows.mapInArrow(_nearest(shared, k, "id", "v", exclude_self), "id long, other long, distance double"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -76,13 +76,17 @@ def moments(rows: DataFrame, vector: str) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.covar_samp("x", F.col("y").cast("double")).alias("covariance"), F.avg("x").alias("mean_i"), F.avg("y").alias("mean_j"))
 
 
-def fit_latent(rows: DataFrame, vector: str, most: int = 64, shrink: float = 0.1):
+def fit_latent(rows: DataFrame, vector: str, most: int = 32, shrink: float = 0.1):
     """Mean, components and the inverse of the shrunken covariance, from a d x d table of moments.
 
-    The covariance of the leading components is shrunk towards its mean variance.
+    The covariance of the leading components is shrunk towards its mean variance. Fewer than three vectors, or a share
+    outside (0, 1], are a ValueError.
     """
-    table = moments(rows, vector).toPandas()  # d * (d + 1) / 2 rows
+    rows = rows.where(F.col(vector).isNotNull())
     n = rows.count()
+    if n < 3 or not 0 < shrink <= 1:
+        raise ValueError("three vectors and a share in (0, 1] are needed")
+    table = moments(rows, vector).toPandas()  # d * (d + 1) / 2 rows
     d = int(table["j"].max()) + 1
     cov, mean = np.zeros((d, d)), np.zeros(d)
     for i, j, c, m in table[["i", "j", "covariance", "mean_i"]].itertuples(index=False):

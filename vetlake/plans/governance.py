@@ -6,9 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..functions.robust import finite, quantile
 from ..operators import guards as V
+from ..operators import metrics as M
 from ..operators import splits as S
-from ..sources.fixtures import MANIFEST, manifest, table
+from ..sources.fixtures import MANIFEST, PREDICTIONS, manifest, predictions, table
 from . import query
 
 # Families and severities of the synthetic corruptions.
@@ -115,11 +117,13 @@ def job_grid(spark, sf_dir):
     return _jobs(spark, sf_dir).select("case_id", "seed", "severity")
 
 
-@query(f"WITH {_JOBS}, done AS (SELECT case_id FROM j WHERE seed % 10 < 7) SELECT family, count(*) AS pending FROM j WHERE case_id NOT IN (SELECT case_id FROM done) GROUP BY family")
+@query(f"WITH {_JOBS}, done AS (SELECT doc_id, family FROM labels, (SELECT unnest(['stripes', 'local_blur']) AS family) WHERE quality = 1) SELECT family, count(*) AS pending FROM j WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.doc_id = j.doc_id AND done.family = j.family) GROUP BY family")
 def pending_jobs(spark, sf_dir):
-    jobs = _jobs(spark, sf_dir)
-    done = jobs.where("seed % 10 < 7").select("case_id")  # stands for the cache of finished cases
-    return jobs.join(done, "case_id", "left_anti").groupBy("family").agg(F.count(F.lit(1)).alias("pending"))
+    from ..operators.protocol import pending
+
+    # the table of finished cases: two families of the documents of good quality
+    done = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.explode(F.array(F.lit("stripes"), F.lit("local_blur"))).alias("family"))
+    return pending(_jobs(spark, sf_dir), done, ["doc_id", "family"]).groupBy("family").agg(F.count(F.lit(1)).alias("pending"))
 
 
 @query(f"WITH {_ROLES}, j AS (SELECT m.*, assigned_split FROM m JOIN ro USING (source_id)) SELECT assigned_split AS role, is_anomaly, count(*) AS n FROM (SELECT assigned_split, 0 AS is_anomaly FROM j WHERE label = 'normal' UNION ALL SELECT 'anomaly', 1 FROM j WHERE label = 'anomaly') GROUP BY 1, 2")
@@ -166,19 +170,39 @@ def fingerprint(spark, sf_dir):
     return parts.groupBy("class_id").agg(joined(whole).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('fpr', true), ('precision', true), ('recall', true), ('strict_threshold', true), ('variants', true)) t(\"check\", ok)")
+@query(f"""WITH {PREDICTIONS}, {_ROLES}, t AS (SELECT quantile_cont(score, 0.99) AS q FROM p WHERE y = 0),
+k AS (SELECT count(*) FILTER (score > q AND y = 1) AS tp, count(*) FILTER (score > q AND y = 0) AS fp, count(*) FILTER (score <= q AND y = 0) AS tn, count(*) FILTER (score <= q AND y = 1) AS fn, bool_and(score IS NOT NULL AND isfinite(score)) AS finite,
+avg(CASE WHEN y = 0 THEN CAST(score > q AS INT) END) AS f, avg(CASE WHEN y = 1 THEN CAST(score > q AS INT) END) AS r, avg(CASE WHEN score > q THEN y END) AS pr FROM p, t),
+r AS (SELECT count(*) AS n FROM (SELECT source_id FROM m JOIN ro USING (source_id) GROUP BY source_id HAVING count(DISTINCT assigned_split) > 1)),
+u AS (SELECT count(*) AS n FROM p WHERE y = 1 AND base_id NOT IN (SELECT base_id FROM p WHERE y = 0))
+SELECT c AS "check", ok FROM (SELECT unnest(['benchmark_subset', 'finite_scores', 'fpr', 'precision', 'recall', 'sources_disjoint', 'threshold_share']) AS c,
+unnest([u.n = 0, finite, abs(fp / (fp + tn) - k.f) <= 1e-9, abs(coalesce(tp / nullif(tp + fp, 0), 0) - coalesce(k.pr, 0)) <= 1e-9, abs(coalesce(tp / nullif(tp + fn, 0), 0) - coalesce(k.r, 0)) <= 1e-9, r.n = 0, fp <= 0.01 * (fp + tn)]) AS ok FROM k, r, u)""")
 def validate_artifacts(spark, sf_dir):
-    # recorded results and what they must be by their own counts
-    row = spark.createDataFrame([(130, 2, 14, 158, 0.9848484848484849, 0.4513888888888889, 0.125)], "tp int, fp int, tn int, fn int, precision double, recall double, fpr double")
+    # what a run would have recorded, by the engine's operators, against plain counts over the tables
+    rows = predictions(spark, sf_dir)
+    limit = rows.where("y = 0").agg(quantile(F.col("score"), 0.99).alias("limit_"))
+    flagged = rows.crossJoin(F.broadcast(limit))  # one row
+    recorded = M.confusion(flagged, [], F.col("limit_"))
+    over, y = F.col("score") > F.col("limit_"), F.col("y")
+    plain = flagged.agg(
+        (F.sum((over & (y == 1)).cast("int")) / F.sum(over.cast("int"))).alias("p"),
+        F.avg(F.when(y == 1, over.cast("double"))).alias("r"),
+        F.avg(F.when(y == 0, over.cast("double"))).alias("f"),
+        F.bool_and(finite(F.col("score"))).alias("all_finite"),
+    )
+    mixed = V.shared_keys(_roles(spark, sf_dir), "assigned_split", ["source_id"]).agg(F.count(F.lit(1)).alias("mixed"))
+    strange = V.missing(rows.where("y = 1"), rows.where("y = 0"), ["base_id"]).agg(F.count(F.lit(1)).alias("strange"))
     c = F.col
     every = V.checks(
-        precision=V.close(c("precision"), c("tp") / (c("tp") + c("fp"))),
-        recall=V.close(c("recall"), c("tp") / (c("tp") + c("fn"))),
-        fpr=V.close(c("fpr"), c("fp") / (c("fp") + c("tn"))),
-        strict_threshold=~(c("fpr") > c("fpr")),
-        variants=F.array_sort(F.array(F.lit("b"), F.lit("a"))) == F.array(F.lit("a"), F.lit("b")),
+        precision=V.close(c("precision"), F.coalesce("p", F.lit(0.0))),
+        recall=V.close(c("recall"), F.coalesce("r", F.lit(0.0))),
+        fpr=V.close(c("fpr"), c("f")),
+        threshold_share=c("fp") <= 0.01 * (c("fp") + c("tn")),
+        finite_scores=c("all_finite"),
+        sources_disjoint=c("mixed") == 0,
+        benchmark_subset=c("strange") == 0,
     )
-    return row.select(F.explode(every).alias("x")).select("x.*")
+    return recorded.crossJoin(plain).crossJoin(mixed).crossJoin(strange).select(F.explode(every).alias("x")).select("x.*")  # one row each
 
 
 @query("SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS chosen FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import functions as F
 
@@ -26,29 +27,41 @@ def patch_stats(spark, sf_dir):
 _GRAD = f"{PIXELS}, g AS (SELECT *, lead(v) OVER (PARTITION BY case_id, y ORDER BY x) - v AS dx, lead(v) OVER (PARTITION BY case_id, x ORDER BY y) - v AS dy FROM px)"
 
 
-@query(f"WITH {_GRAD} SELECT case_id, round(ln(1 + 100 * avg(abs(dx))), 6) AS gx, round(ln(1 + 100 * avg(abs(dy))), 6) AS gy FROM g GROUP BY case_id")
+@query(f"WITH {_GRAD} SELECT case_id, round(ln(1 + 100 * avg(dx * dx)), 6) AS gx, round(ln(1 + 100 * avg(dy * dy)), 6) AS gy FROM g GROUP BY case_id")
 def patch_gradients(spark, sf_dir):
     g = P.gradients(pixels(spark, sf_dir))
-    return g.groupBy("case_id").agg(F.round(F.log1p(100 * F.avg(F.abs("dx"))), 6).alias("gx"), F.round(F.log1p(100 * F.avg(F.abs("dy"))), 6).alias("gy"))
+    return g.groupBy("case_id").agg(F.round(F.log1p(100 * F.avg(F.col("dx") ** 2)), 6).alias("gx"), F.round(F.log1p(100 * F.avg(F.col("dy") ** 2)), 6).alias("gy"))
 
 
-@query(f"WITH {_GRAD}, a AS (SELECT case_id, avg(abs(dx)) AS dx, avg(abs(dy)) AS dy FROM g GROUP BY case_id) SELECT case_id, round((dx - dy) / (dx + dy + 1e-5), 6) AS anisotropy FROM a")
+@query(f"WITH {_GRAD}, a AS (SELECT case_id, avg(dx * dx) AS dx, avg(dy * dy) AS dy FROM g GROUP BY case_id) SELECT case_id, round((dx - dy) / (dx + dy + 1e-5), 6) AS anisotropy FROM a")
 def anisotropy(spark, sf_dir):
-    a = P.gradients(pixels(spark, sf_dir)).groupBy("case_id").agg(F.avg(F.abs("dx")).alias("dx"), F.avg(F.abs("dy")).alias("dy"))
+    a = P.gradients(pixels(spark, sf_dir)).groupBy("case_id").agg(F.avg(F.col("dx") ** 2).alias("dx"), F.avg(F.col("dy") ** 2).alias("dy"))
     return a.select("case_id", F.round((F.col("dx") - F.col("dy")) / (F.col("dx") + F.col("dy") + 1e-5), 6).alias("anisotropy"))
 
 
-@query()
+@query(f"""WITH {PIXELS}, f AS (SELECT case_id, ky, kx, pow(sum(v * cos(2 * pi() * (ky * y + kx * x) / 8)), 2) + pow(sum(v * sin(2 * pi() * (ky * y + kx * x) / 8)), 2) AS e
+FROM px, (SELECT unnest(range(8)) AS ky), (SELECT unnest(range(8)) AS kx) GROUP BY case_id, ky, kx),
+q AS (SELECT case_id, e / 64 AS e, sqrt(pow(least(ky, 8 - ky) / 8, 2) + pow(least(kx, 8 - kx) / 8, 2)) AS radius FROM f)
+SELECT case_id AS vec_id, round(ln(1 + 100 * avg(e) FILTER (radius > 0 AND radius <= 0.18)), 6) AS band_low,
+round(ln(1 + 100 * avg(e) FILTER (radius > 0.18 AND radius <= 0.36)), 6) AS band_middle, round(ln(1 + 100 * avg(e) FILTER (radius > 0.36 AND radius <= 0.72)), 6) AS band_high FROM q GROUP BY case_id""")
 def spectral_bands(spark, sf_dir):
     return P.spectral_bands(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", r("band_low"), r("band_middle"), r("band_high"))
 
 
-@query()
+_POWER = f"""{PIXELS}, pr AS (SELECT case_id, 0 AS axis, y AS n, avg(v) AS m FROM px GROUP BY case_id, y UNION ALL SELECT case_id, 1, x, avg(v) FROM px GROUP BY case_id, x),
+pc AS (SELECT case_id, axis, n, (m - avg(m) OVER (PARTITION BY case_id, axis)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 8)) AS p FROM pr),
+pw AS (SELECT case_id, axis, k, (pow(sum(p * cos(2 * pi() * k * n / 8)), 2) + pow(sum(p * sin(2 * pi() * k * n / 8)), 2)) / 8 AS w FROM pc, (SELECT unnest(range(5)) AS k) GROUP BY case_id, axis, k)"""
+
+
+@query(f"WITH {_POWER} SELECT case_id AS vec_id, CAST(axis AS INT) AS axis, CAST(k AS INT) AS k, round(ln(1 + 100 * w), 6) + 0.0 AS power FROM pw WHERE k > 0")
 def directional_power(spark, sf_dir):
-    return P.directional_power(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    made = P.directional_power(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    each = lambda name, axis: made.select("vec_id", F.lit(axis).alias("axis"), F.posexplode(name).alias("k", "power"))
+    return each("row_power", 0).unionAll(each("column_power", 1)).select("vec_id", "axis", (F.col("k") + 1).alias("k"), (F.round("power", 6) + 0.0).alias("power"))
 
 
-@query()
+@query(f"""WITH {_POWER}, t AS (SELECT *, ln(1 + w / ((sum(w) OVER (PARTITION BY case_id, axis) - w) / 8 + 1e-4)) AS peak FROM pw)
+SELECT case_id AS vec_id, round(max(peak) FILTER (axis = 0), 6) AS row_peak, round(max(peak) FILTER (axis = 1), 6) AS column_peak FROM t WHERE k >= 3 GROUP BY case_id""")
 def frequency_peaks(spark, sf_dir):
     return P.frequency_peaks(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", r("row_peak"), r("column_peak"))
 
@@ -196,24 +209,41 @@ def noise_schedule(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(P.noise_schedule(STEPS))), "step int, signal double").select("step", r("signal"))
 
 
-def _corruption(name: str, change: str, sql: str) -> None:
-    def f(spark, sf_dir):
-        px = pixels(spark, sf_dir).withColumn("v", F.least(F.greatest("v", F.lit(0.0)), F.lit(1.0)))
-        if "src" in change:
-            src = px.select("case_id", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("v").alias("src"))
-            px = px.join(src, (px.case_id == src.case_id) & (F.pmod(px.y - 3, F.lit(8)) == src.sy) & (F.pmod(px.x - 3, F.lit(8)) == src.sx)).drop(src.case_id)
-        out = px.withColumn("c", F.least(F.greatest(F.expr(change), F.lit(0.0)), F.lit(1.0)))
-        return out.groupBy("case_id").agg(F.round(F.avg("c"), 6).alias("mean"), F.count_if(F.abs(F.col("c") - F.col("v")) > 1 / 255).alias("changed"))
+def _corruption(name: str, kind: str, sql: str, box: tuple[int, int, int] | None = None) -> None:
+    """A query of one kind at severity 0.3 in a fixed region; `sql` is a pixel's new value, from v, y, x, the case's seed and `at(y, x)`."""
 
-    clip = f"{PIXELS}, cl AS (SELECT case_id, y, x, least(greatest(v, 0), 1) AS v FROM px), sr AS (SELECT a.*, b.v AS src FROM cl a JOIN cl b ON a.case_id = b.case_id AND b.y = (a.y + 5) % 8 AND b.x = (a.x + 5) % 8)"
-    query(f"WITH {clip}, o AS (SELECT case_id, v, least(greatest({sql}, 0), 1) AS c FROM sr) SELECT case_id, round(avg(c), 6) AS mean, count(*) FILTER (abs(c - v) > 1.0 / 255) AS changed FROM o GROUP BY case_id", name)(f)
-
-
-_BOX = "y between 2 and 5 and x between 2 and 5"
-_corruption("corruption_clip", "(v - 0.5D) * (1 + 6 * 0.3D) + 0.5D", "(v - 0.5) * (1 + 6 * 0.3) + 0.5")
-_corruption("corruption_missing", f"case when {_BOX} then 0D else v end", f"CASE WHEN {_BOX} THEN 0 ELSE v END")
-_corruption("corruption_duplicate", "case when y >= 5 and x >= 5 then src else v end", "CASE WHEN y >= 5 AND x >= 5 THEN src ELSE v END")
-_corruption("corruption_checker", f"case when {_BOX} then 0.49D * v + 0.51D * (((y - 2) div 3 + (x - 2) div 3) % 2) else v end", f"CASE WHEN {_BOX} THEN 0.49 * v + 0.51 * (((y - 2) // 3 + (x - 2) // 3) % 2) ELSE v END")
+    def f(spark, sf_dir):
+        rows = C.cases(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", [kind], [0.3], most_tries=1, box=box)
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+        return rows.select("vec_id", F.round(total("image") / 64, 6).alias("mean"), total("mask").cast("long").alias("changed"))
+
+    at = re.sub(r"at\(([^,]*), ([^)]*)\)", r"vs[8 * (\1) + (\2) + 1]", sql)
+    query(
+        f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda z: least(greatest(CAST(z AS DOUBLE), 0), 1)) AS vs,
+CAST('0x' || substr(sha256(CAST(vec_id AS VARCHAR) || '_{kind}_0.3_42'), 1, 8) AS BIGINT) AS seed FROM embeddings),
+p AS (SELECT vec_id, vs, seed, i // 8 AS y, i % 8 AS x, vs[i + 1] AS v FROM (SELECT *, unnest(range(64)) AS i FROM e)),
+o AS (SELECT vec_id, v, least(greatest({at}, 0), 1) AS c FROM p) SELECT vec_id, round(avg(c), 6) AS mean, count(*) FILTER (abs(c - v) > 1.0::DOUBLE / 255) AS changed FROM o GROUP BY vec_id""",
+        name,
+    )(f)
+
+
+_BOX = "y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5"
+_corruption("corruption_clip", "clipping", "(v - 0.5::DOUBLE) * 2.8::DOUBLE + 0.5::DOUBLE")
+_corruption("corruption_stripes", "stripes", "v + 0.255::DOUBLE * sin(2 * pi() * (CASE WHEN seed % 2 = 1 THEN x ELSE y END) / 8)")
+_corruption("corruption_missing", "missing_crop", f"CASE WHEN {_BOX} THEN 1 - seed % 2 ELSE v END", (2, 2, 4))
+_corruption("corruption_permutation", "block_permutation", f"CASE WHEN {_BOX} THEN CASE WHEN seed % 2 = 1 THEN at(y, 2 + x % 4) ELSE at(2 + y % 4, x) END ELSE v END", (2, 2, 4))
+_corruption("corruption_duplicate", "patch_duplication", "CASE WHEN y >= 4 AND x >= 4 THEN at(y - 4, x - 4) ELSE v END", (4, 4, 4))
+_corruption("corruption_tearing", "tearing", "CASE WHEN y BETWEEN 2 AND 3 THEN 0 WHEN y BETWEEN 4 AND 5 THEN at(y, x + CASE WHEN x < 2 THEN 6 ELSE -2 END) ELSE v END", (2, 2, 4))
+_corruption("corruption_foreign", "foreign", f"CASE WHEN {_BOX} THEN ((y - 2) // 3 + (x - 2) // 3) % 2 ELSE v END", (2, 2, 4))
+
+
+@query(f"""WITH {PIXELS}, b AS (SELECT case_id, y, x, round_even(255 * least(greatest(v, 0), 1), 0) AS v FROM px),
+o AS (SELECT case_id, v, CASE WHEN {_BOX} THEN round_even(v * (1 - (0.3::DOUBLE + 0.7::DOUBLE * 0.3::DOUBLE)) + 255 * (((y - 2) // 3 + (x - 2) // 3) % 2) * (0.3::DOUBLE + 0.7::DOUBLE * 0.3::DOUBLE), 0) ELSE v END AS c FROM b)
+SELECT case_id AS vec_id, round(avg(c) / 255, 6) AS mean, CAST(CASE WHEN bool_or(c <> v) THEN 16 ELSE 0 END AS BIGINT) AS masked FROM o GROUP BY case_id""")
+def corruption_checker(spark, sf_dir):
+    rows = C.cases(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["foreign_content"], [0.3], C.stress, box=(2, 2, 4))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", F.round(total("image") / 64, 6).alias("mean"), total("mask").cast("long").alias("masked"))
 
 
 @query()
@@ -224,8 +254,8 @@ def corruption_random_families(spark, sf_dir):
 
 @query()
 def stress_families(spark, sf_dir):
-    rows = C.cases(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", C.STRESS, [0.15, 0.3, 0.5], C.stress)
-    return rows.groupBy("family", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("changed_fraction"), 6).alias("masked"))
+    rows = C.cases(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", C.STRESS, C.SEVERITIES, C.stress)
+    return rows.groupBy("family", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "unchanged").alias("unchanged"), F.round(F.avg("changed_fraction"), 6).alias("masked"))
 
 
 # ---- score maps: numpy over Arrow batches
@@ -242,7 +272,7 @@ def window_features(spark, sf_dir):
 
 
 @query(f"""WITH {_GRAD}, t AS (SELECT *, (y // 4) * 2 + x // 4 AS tile, x % 4 AS tx, y % 4 AS ty FROM g),
-f AS (SELECT case_id, tile, avg(v) AS mean, stddev_samp(v) AS std, avg(abs(dx)) FILTER (tx < 3) AS dx, avg(abs(dy)) FILTER (ty < 3) AS dy FROM t GROUP BY case_id, tile)
+f AS (SELECT case_id, tile, avg(v) AS mean, stddev_samp(v) AS std, avg(dx * dx) FILTER (tx < 3) AS dx, avg(dy * dy) FILTER (ty < 3) AS dy FROM t GROUP BY case_id, tile)
 SELECT CAST(tile AS BIGINT) AS tile, round(avg(mean), 6) + 0.0 AS mean, round(avg(std), 6) AS std, round(avg(ln(1 + 100 * dx)), 6) AS gradient_x, round(avg((dx - dy) / (dx + dy + 1e-5)), 6) + 0.0 AS anisotropy FROM f GROUP BY tile""")
 def window_statistics(spark, sf_dir):
     rows = T.feature_rows(_embeddings(spark, sf_dir), "vec_id", "embedding", 4)
@@ -280,13 +310,25 @@ def reconstruction_probe(spark, sf_dir):
     return probe(rows, "o", "g", "u").select(r("residual_mae"), r("seed_disagreement"), "finite")
 
 
-@query("SELECT label, round(avg(d), 6) AS semantic FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS patch, 1 - abs(CAST(embedding[1] AS DOUBLE)) AS d FROM embeddings) WHERE patch < 16 GROUP BY label")
+@query("""WITH v AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM v GROUP BY label, i),
+d AS (SELECT v.label, vec_id, 1 - greatest(least(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 1), -1) AS d FROM v JOIN c ON c.label = v.label AND c.i = v.i GROUP BY v.label, vec_id),
+n AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS nth FROM d)
+SELECT label, CAST(nth AS BIGINT) AS nth, round(sum(d) / 16, 6) AS semantic FROM n GROUP BY label, nth""")
 def semantic_grid(spark, sf_dir):
+    # every 16 vectors of a label are the patches of an image; their distances are those to the label's mean vector
     from pyspark.sql import Window as W
 
-    nth = (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("patch")
-    rows = _embeddings(spark, sf_dir).select("label", nth, (1 - F.abs(F.get("embedding", 0).cast("double"))).alias("distance")).where("patch < 16")
-    return T.semantic_map(rows, "label", "patch", 4, 8, 1.0).select("label", r("semantic"))
+    from ..operators import vectors as V
+
+    rows = _embeddings(spark, sf_dir)
+    far = V.cosine_distance(V.unit(F.col("embedding")), F.col("feature"))
+    rows = rows.join(V.global_feature(rows, "label", "embedding"), "label").select("label", "vec_id", far.alias("distance"))
+    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    rows = rows.select(F.struct("label", F.floor(place / 16).alias("nth")).alias("image"), (place % 16).alias("patch"), "distance")
+    rows = rows.select(F.to_json("image").alias("image"), "patch", "distance")
+    made = T.semantic_map(rows, "image", "patch", 4, 8, 1.0)
+    own = F.from_json("image", "label long, nth long")
+    return made.select(own.alias("i"), "semantic").select(F.col("i.label").cast("int").alias("label"), "i.nth", r("semantic"))
 
 
 @query(f"WITH {_PAIR}, q AS (SELECT case_id, avg(v * v) AS e FROM o GROUP BY case_id) SELECT count(*) AS n, round(avg(e), 6) AS energy FROM q")

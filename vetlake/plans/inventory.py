@@ -196,7 +196,7 @@ def source_safe_groups(spark, sf_dir):
     return _safe(spark, sf_dir)
 
 
-@query(f"{_SAFE} SELECT count(DISTINCT a) AS grps, CAST(0 AS BIGINT) AS in_several FROM c")
+@query(f"{_SAFE}, r AS (SELECT a, min(b) AS root FROM c GROUP BY a), w AS (SELECT p.g FROM p JOIN r ON r.a = p.g GROUP BY p.g HAVING count(DISTINCT r.root) > 1) SELECT (SELECT count(DISTINCT a) FROM r) AS grps, (SELECT count(*) FROM w) AS in_several")
 def group_nesting(spark, sf_dir):
     from ..operators.guards import spread
 
@@ -205,20 +205,33 @@ def group_nesting(spark, sf_dir):
     return made.agg(F.count_distinct("grp").alias("grps")).crossJoin(bad)  # one row each
 
 
-_NAMES = ["ESP_012373_0930_RED-0050-r90.jpg", "ESP_012373_0930_RED-0050.jpg", "a/b/PSP_000001_0001_RED-7_fh_brt.PNG", "noise.tar.gz", "x_rot180-hflip.tif"]
-_NAMES_SQL = "n AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in _NAMES) + "]) AS path), f AS (SELECT path, string_split(path, '/')[-1] AS name FROM n), t AS (SELECT path, name, regexp_replace(name, '([^.])\\.[^.]*$', '\\1') AS stem FROM f)"
-_AUG = K.AUGMENTATION
+# pages as files: every url with one of these endings, every third named like a product of the survey
+_ENDINGS = ("", "-r90", "_rotate_90", "_brightness_0.8", ".rot-180", "_fh_brt", "-flip_h.brightness-1.2_R270", "_brightness", "_brightnessmap", "_rot45", "-HFLIP", "_brightness_0.8.r90")
+_NAMED = "ESP_", "_RED-0050"
+_FILES = f"""n AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{_NAMED[0]}' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '_' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || '{_NAMED[1]}' ELSE url END
+|| [{", ".join(f"'{x}'" for x in _ENDINGS)}][page_id % {len(_ENDINGS)} + 1] || '.jpg' AS path FROM pages), t AS (SELECT page_id, regexp_replace(string_split(path, '/')[-1], '([^.])\\.[^.]*$', '\\1') AS stem FROM n)"""
+# Fixed value: one augmentation at the end of a name, stripped one at a time
+_LAST = r"[_\-.](r(90|180|270)|rot(ate)?[_-]?(90|180|270)|fh|fv|hflip|vflip|brt|brightness([_-]?[0-9.]+)?|flip[_-]?[hv])$"
+_BASES = f"""{_FILES}, s AS (SELECT page_id, stem, 0 AS n FROM t UNION ALL SELECT page_id, regexp_replace(stem, '{_LAST}', '', 'i'), n + 1 FROM s WHERE regexp_matches(stem, '{_LAST}', 'i')),
+b AS (SELECT page_id, lower(arg_max(stem, n)) AS base_id, max(n) AS n FROM s GROUP BY page_id)"""
 
 
-@query(f"WITH {_NAMES_SQL} SELECT path, lower(regexp_extract(stem, '^(.*?)((?:{_AUG})*)$', 1, 'i')) AS base_id, len(regexp_extract_all(regexp_extract(stem, '^(.*?)((?:{_AUG})*)$', 2, 'i'), '{_AUG}', 0, 'i')) AS n_augmentations FROM t")
+def _stems(spark, sf_dir):
+    pages, id_ = table(spark, sf_dir, "pages"), F.col("page_id")
+    named = F.concat(F.lit(_NAMED[0]), F.lpad(id_.cast("string"), 6, "0"), F.lit("_"), F.lpad((id_ % 10000).cast("string"), 4, "0"), F.lit(_NAMED[1]))
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (id_ % len(_ENDINGS) + 1).cast("int"))
+    return pages.select("page_id", K.stem(F.concat(F.when(id_ % 3 == 0, named).otherwise(F.col("url")), ending, F.lit(".jpg"))).alias("stem"))
+
+
+@query(f"WITH RECURSIVE {_BASES} SELECT page_id, base_id, CAST(n AS BIGINT) AS n_augmentations, n = 0 AS is_original FROM b")
 def base_identifier(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _NAMES], "path string")
-    return rows.select("path", K.base_id(K.stem(F.col("path"))).alias("base_id"), F.size(K.augmentations(K.stem(F.col("path")))).cast("long").alias("n_augmentations"))
+    found = F.size(K.augmentations(F.col("stem"))).cast("long")
+    return _stems(spark, sf_dir).select("page_id", K.base_id(F.col("stem")).alias("base_id"), found.alias("n_augmentations"), (found == 0).alias("is_original"))
 
 
-@query(f"WITH {_NAMES_SQL} SELECT path, nullif(regexp_extract(lower(regexp_extract(stem, '^(.*?)((?:{_AUG})*)$', 1, 'i')), '{K.SOURCE}', 1), '') AS source_id FROM t")
+@query(f"WITH RECURSIVE {_BASES} SELECT page_id, nullif(regexp_extract(base_id, '^((esp|psp|tra)_[0-9]{{6}}_[0-9]{{4}})_red-[0-9]+$', 1), '') AS source_id FROM b")
 def source_id_extract(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _NAMES], "path string").select("path", K.source_id(K.base_id(K.stem(F.col("path")))).alias("source_id"))
+    return _stems(spark, sf_dir).select("page_id", K.source_id(K.base_id(F.col("stem"))).alias("source_id"))
 
 
 @query("SELECT page_id, len(string_split(url, '/')) AS n_parts, string_split(url, '/')[3] AS host, lower(string_split(url, '/')[-1]) AS last FROM pages")
@@ -227,6 +240,11 @@ def path_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(parts).cast("long").alias("n_parts"), F.get(parts, 2).alias("host"), F.lower(K.file_name(F.col("url"))).alias("last"))
 
 
-@query("SELECT * FROM (VALUES ('Training', 'train'), ('valid', 'val'), ('VALIDATION', 'val'), ('test', 'test'), ('other', NULL)) t(name, split)")
+_SPLIT_NAMES = ("Training", "valid", "VALIDATION", "test", "other", "train", "Testing", "val")
+
+
+@query(f"""WITH n AS (SELECT page_id, [{", ".join(f"'{x}'" for x in _SPLIT_NAMES)}][page_id % {len(_SPLIT_NAMES)} + 1] AS name FROM pages)
+SELECT page_id, CASE WHEN lower(name) IN ('train', 'training') THEN 'train' WHEN lower(name) IN ('test', 'testing') THEN 'test' WHEN lower(name) IN ('val', 'valid', 'validation') THEN 'val' END AS split FROM n""")
 def synonym_map(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in ("Training", "valid", "VALIDATION", "test", "other")], "name string").select("name", K.split_name(F.col("name")).alias("split"))
+    name = F.element_at(F.array(*map(F.lit, _SPLIT_NAMES)), (F.col("page_id") % len(_SPLIT_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", K.split_name(name).alias("split"))

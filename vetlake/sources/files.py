@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import file_name, split_name, suffix
 
 # Folders that hold no data, image extensions, and the first bytes of files that only accompany others.
-EXCLUDED = (".git", "outputs", "__pycache__", ".venv", "node_modules")
-IMAGES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".gif", ".webp")
+EXCLUDED = (".venv", ".git", "__pycache__", ".pytest_cache", ".pytest-tmp", "outputs")
+IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp", ".gif", ".ppm", ".pgm")
 SIDECAR = "00051607"
 
 #: The inventory's columns.
@@ -53,9 +53,9 @@ def _quoted(text: str) -> str:
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """Top folders that hold an image: root."""
-    own = files.where(suffix(F.col("path")).isin(*IMAGES) & F.col("path").contains("/"))
-    return own.select(F.get(F.split("path", "/"), 0).alias("root")).distinct()
+    """Top folders that hold an image: root; "" is the scanned folder itself, for images right in it."""
+    own = files.where(suffix(F.col("path")).isin(*IMAGES))
+    return own.select(F.when(F.col("path").contains("/"), F.get(F.split("path", "/"), 0)).otherwise("").alias("root")).distinct()
 
 
 def safe_paths(rows: DataFrame, path: str = "path") -> DataFrame:
@@ -135,12 +135,16 @@ def _members(batches):
 def archive(spark: SparkSession, path: str, md5: str | None = None) -> DataFrame:
     """The files of zip or tar archives: archive, path (without its top folder), content, status.
 
-    An archive whose MD5 is not the given one is left out. Links and paths that lead outside are rejected and have no content.
+    An archive whose MD5 is not the given one is one row without a path, of status "wrong checksum". Links and paths that lead
+    outside are rejected and have no content.
     """
     rows = spark.read.format("binaryFile").load(path)
-    if md5:
-        rows = rows.where(F.md5("content") == md5.lower())
-    return rows.select("path", "content").mapInArrow(_members, "archive string, path string, content binary, status string")
+    kinds = "archive string, path string, content binary, status string"
+    if not md5:
+        return rows.select("path", "content").mapInArrow(_members, kinds)
+    right = F.md5("content") == md5.lower()
+    wrong = rows.where(~right).select(F.col("path").alias("archive"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"), F.lit("wrong checksum").alias("status"))
+    return rows.where(right).select("path", "content").mapInArrow(_members, kinds).unionAll(wrong)
 
 
 def images(files: DataFrame, decode, size: int) -> DataFrame:
