@@ -3,9 +3,10 @@
 A document's full windows of the largest tier are sequences of their own. What remains goes to the smallest tier that can
 hold it. Tiers are packed from the largest down: each window takes whole pieces best-fit, then its gap is filled from
 shorter tiers, the last of these pieces cut to fit. So every window is exactly as long as its tier, a power of two, and
-needs no padding; what is left at the end of a partition fills windows of the largest tier, the last of them padded.
-Sequences are then dealt to step groups of nearly equal numbers of tokens. Partitions pack on their own: no shuffle, and
-memory is bounded by one batch of pieces.
+needs no padding; what is left at the end of a partition fills windows of the largest tier. Partitions pack on their own: no
+shuffle, and memory is bounded by one batch of pieces. The less than one window that a partition cannot fill goes on: the
+remainders of TOGETHER partitions fill windows together, then those of as many such groups, until one is left, which alone is
+padded. Sequences are dealt to step groups of nearly equal numbers of tokens.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lean, small_batches
+from .common import Scratch, column, lean
 from .tokens import default_tokenizer, encoded, forget_encoders, with_end
 
 TIERS = (256, 512, 1024, 2048)
 #: Pieces packed together, and the tokens of a step group.
 BATCH, STEP = 4096, 1 << 16
+#: Remainders packed by one task; each is shorter than a window.
+TOGETHER = 1024
+NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
 
 
 class Packer:
@@ -37,7 +41,7 @@ class Packer:
         return next(i for i, t in enumerate(self.tiers) if size <= t)
 
     def pack(self, pieces: list[tuple[int, int, int]], last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-        """pieces (size, document, start) -> (sequences of such pieces, pieces left over; none if `last`)."""
+        """pieces (size, document, start) -> (sequences of such pieces, pieces left over; less than a window of them if `last`)."""
         pools: list[list] = [[] for _ in self.tiers]  # ascending by size
         for p in pieces:
             insort(pools[self.route(p[0])], p)
@@ -80,9 +84,7 @@ class Packer:
                 if not room:
                     out.append(window)
                     window, room = [], top
-        if window:
-            out.append(window)
-        return out, []
+        return out, window
 
 
 def deal(sizes: list[int], step: int) -> list[int]:
@@ -96,8 +98,21 @@ def deal(sizes: list[int], step: int) -> list[int]:
     return out
 
 
+def _numbered(level: int, part: int, n: int) -> int:
+    """A sequence's or step group's number: of up to 2**36 of a task."""
+    return (level << 60) + (part << 36) + n
+
+
+def _made(rows: list[tuple], data: list[np.ndarray]) -> pa.RecordBatch:
+    ids = np.concatenate(data).astype("<u4")
+    ends = 4 * np.cumsum([0, *(r[2] for r in rows)])
+    cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+    cols.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]))
+    return pa.record_batch(cols, NAMES)
+
+
 def _pack(tokenizer: str, end: int, tiers, step: int):
-    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
+    """Rows (doc_id, text) -> pieces; those of a partition's remainder have the sequence_id -1 - partition."""
 
     def run(batches):
         packer, top = Packer(tiers), max(tiers)
@@ -108,7 +123,7 @@ def _pack(tokenizer: str, end: int, tiers, step: int):
         def emit(last: bool):
             nonlocal pending, whole, held, sequences, groups
             out, left = packer.pack(pending, last)
-            out = whole + out
+            out, rest = whole + out, left if last else []
             sizes = [sum(p[0] for p in s) for s in out]
             dealt = deal(sizes, step)
             rows, data = [], []
@@ -117,20 +132,20 @@ def _pack(tokenizer: str, end: int, tiers, step: int):
                 tier = tiers[packer.route(sizes[i])]
                 for size, doc, start in s:
                     key, ids, total = held[doc]
-                    rows.append((key, start, size, total, (part << 40) + sequences + i, at, tier, (part << 32) + groups + dealt[i]))
+                    rows.append((key, start, size, total, _numbered(0, part, sequences + i), at, tier, _numbered(0, part, groups + dealt[i])))
                     data.append(ids[start : start + size])
                     at += size
+            at = 0
+            for size, doc, start in rest:
+                key, ids, total = held[doc]
+                rows.append((key, start, size, total, -1 - part, at, top, -1))
+                data.append(ids[start : start + size])
+                at += size
             sequences += len(out)
             groups += max(dealt, default=-1) + 1
             pending, whole = left, []
             held = {d: held[d] for d in {p[1] for p in left}}
-            if not rows:
-                return None
-            ids = np.concatenate(data).astype("<u4")
-            ends = 4 * np.cumsum([0, *(r[2] for r in rows)])
-            cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-            cols.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]))
-            return pa.record_batch(cols, names)
+            return _made(rows, data) if rows else None
 
         waiting = 0
         for batch in batches:
@@ -158,14 +173,66 @@ def _pack(tokenizer: str, end: int, tiers, step: int):
     return run
 
 
+def _join(level: int, top: int, step: int, last: bool):
+    """Pieces of remainders, with their group, in the order of groups -> pieces in windows of `top`; each group's own remainder has
+    the sequence_id -1 - group, unless it is the `last`."""
+
+    def run(batches):
+        group, windows, window, room = None, [], [], top
+
+        def flush():
+            rest = [] if last else window
+            out = [w for w in [*windows, *([window] if last else [])] if w]
+            dealt = deal([sum(p[2] for p in w) for w in out], step)
+            rows, data = [], []
+            for w, sequence, own in [*((w, _numbered(level, group, i), _numbered(level, group, g)) for i, (w, g) in enumerate(zip(out, dealt, strict=True))), (rest, -1 - group, -1)]:
+                at = 0
+                for key, start, size, total, ids in w:
+                    rows.append((key, start, size, total, sequence, at, top, own))
+                    data.append(ids)
+                    at += size
+            return _made(rows, data)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["group"] != group and group is not None:
+                    yield flush()
+                    windows, window, room = [], [], top
+                group = r["group"]
+                ids, start = np.frombuffer(r["ids"], "<u4"), r["start"]
+                while len(ids):
+                    n = min(len(ids), room)
+                    window.append((r["doc_id"], start, n, r["doc_tokens"], ids[:n]))
+                    ids, start, room = ids[n:], start + n, room - n
+                    if not room:
+                        windows.append(window)
+                        window, room = [], top
+        if windows or window:
+            yield flush()
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 1, tiers=TIERS, step: int = STEP) -> DataFrame:
     """docs (doc_id, text) -> one row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset,
     tier, step_group, ids (little-endian unsigned 32-bit integers).
 
-    Null and empty texts are the end id alone; repeated rows and null ids are documents of their own. Other columns are
-    ignored. An empty table packs to nothing.
+    At most one sequence is shorter than its tier, however many partitions docs has. Null and empty texts are the end id
+    alone; repeated rows and null ids are documents of their own. Other columns are ignored. An empty table packs to nothing.
     """
+    scratch, tiers = Scratch(docs.sparkSession, "packing"), tuple(sorted(tiers))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, ids binary"
-    small_batches(docs.sparkSession)
-    return rows.mapInArrow(lean(_pack(tokenizer or default_tokenizer(), end, tuple(sorted(tiers)), step)), schema)
+    schema = ", ".join(f"{c} long" for c in NAMES[:-1]) + ", ids binary"
+    made = scratch.write(rows.mapInArrow(lean(_pack(tokenizer or default_tokenizer(), end, tiers, step)), schema), "pieces-0")
+    out, level = made.where("sequence_id >= 0"), 0
+    while True:
+        rest = made.where("sequence_id < 0").withColumn("group", F.floor((-1 - F.col("sequence_id")) / TOGETHER))
+        most = rest.agg(F.max("group")).first()[0]
+        if most is None:
+            return out
+        level += 1
+        rest = rest.repartition("group").sortWithinPartitions("group", F.desc("sequence_id"), "offset")
+        made = scratch.write(rest.mapInArrow(lean(_join(level, tiers[-1], step, most == 0)), schema), f"pieces-{level}")
+        out = out.unionAll(made.where("sequence_id >= 0"))
+        if most == 0:
+            return out
