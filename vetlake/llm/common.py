@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import gc
@@ -60,12 +61,24 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    @contextlib.contextmanager
+    def _cleaning(self):
+        """While a table is written: Spark removes the query's shuffle files when it has ended, as nothing reads them again."""
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, "false")
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        self.save(df, name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def save(self, df: DataFrame, name: str) -> None:
-        df.write.parquet(self.path(name))
+        with self._cleaning():
+            df.write.parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))

@@ -288,7 +288,7 @@ def _met(rows: DataFrame) -> DataFrame:
         l, r = part("left", n), part("right", NEAR - 1 - n)
         other = (l != part("f.left", n)) | (r != part("f.right", NEAR - 1 - n))
         ways.append(F.when((l > 0) & (r > 0) & other, row(none, F.col("doc"), none, F.col("at") - n, F.xxhash64("key", F.lit(n), l, r))))
-    return met.select(F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("m")).select("m.*")
+    return met.select(F.explode(F.array(*ways)).alias("m")).where("m is not null").select("m.*")
 
 
 def segments(pa_: np.ndarray, pb: np.ndarray, k: int, words: np.ndarray | None = None) -> np.ndarray:
@@ -591,7 +591,7 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
         groups = seeds.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("at", F.struct("doc", "at")).alias("at_first"), F.max_by("at", F.struct("doc", text("at"), -F.col("at"))).alias("at_last"))
         groups = groups.where((F.col("first") != F.col("last")) | (text("at_first") != text("at_last")))
         met = seeds.join(groups.hint("shuffle_hash"), "key")
-        return met.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("m")).select("m.*")
+        return met.select(F.explode(both).alias("m")).where("m is not null").select("m.*")
 
     # of the others one exchange serves both uses, as the columns are not nullable and the plans thus equal; a frequent
     # seed may have a share of all documents: its sums are partial before the shuffle, and the join can be split
