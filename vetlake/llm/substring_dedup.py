@@ -36,6 +36,8 @@ SPAN, GAP_COST, MARGIN, GROWTH = 48, 0.25, 64, 8
 TOGETHER = 32
 #: Cells of an alignment table that is filled at once; larger gaps are halved.
 CELLS = 1 << 14
+#: Matches that are merged at once.
+MATCHES = 1 << 16
 #: Share of all documents from which on a seed counts as frequent; bounds the list of frequent seeds by seeds of a text / FREQUENT.
 FREQUENT = 0.002
 #: Neighbouring windows of which one is picked.
@@ -291,19 +293,20 @@ def _met(rows: DataFrame) -> DataFrame:
     return met.select(F.explode(F.array(*ways)).alias("m")).where("m is not null").select("m.*")
 
 
-def segments(pa_: np.ndarray, pb: np.ndarray, k: int, words: np.ndarray | None = None) -> np.ndarray:
-    """Matches of one pair, of k or of `words` words -> segments (begin in a, begin in b, words): runs on one diagonal, in order of b."""
-    order = np.lexsort((pb, pb - pa_))
-    x, y = pa_[order], pb[order]
-    turn = np.concatenate(([True], np.diff(y - x) != 0))
+def merged(pair: np.ndarray, pa_: np.ndarray, pb: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of numbered pairs -> (pair of each segment, segments (begin in a, begin in b, words)): runs on one diagonal, by pair and in order of b."""
+    order = np.lexsort((pb, pb - pa_, pair))
+    p, x, y = pair[order], pa_[order], pb[order]
+    turn = np.concatenate(([True], (np.diff(y - x) != 0) | (np.diff(p) != 0)))
     far = np.cumsum(turn) << 40  # one diagonal's ends never exceed the next one's
-    end = np.maximum.accumulate(far + y + (k if words is None else words[order]))
+    end = np.maximum.accumulate(far + y + words[order])
     cut = turn.copy()
     cut[1:] |= (far + y)[1:] - end[:-1] > SPAN - k
     lo = np.flatnonzero(cut)
     hi = np.concatenate((lo[1:], [len(x)])) - 1
     out = np.stack((x[lo], y[lo], end[hi] - far[hi] - y[lo]), 1)
-    return out[np.lexsort((out[:, 0], out[:, 1]))]
+    order = np.lexsort((out[:, 0], out[:, 1], p[lo]))
+    return p[lo][order], out[order]
 
 
 class Fenwick:
@@ -367,46 +370,54 @@ def chain(segs: np.ndarray, k: int) -> list[list[int]]:
 def _chains(k: int, least: int, window: int):
     """Rows (a, b, pa, pb, words), all of a pair together -> rows (a, va, b, vb, begin_a, end_a, begin_b, end_b, segments)."""
     shortest = max(k, (least - 2 * (window - 1)) // 2)
-
-    def flush(pair, parts):
-        x, y, words = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
-        segs = segments(x, y, k, words)
-        for own in chain(segs, k):
-            some = segs[own]
-            size = int(some[-1, 1] + some[-1, 2] - some[0, 1])
-            if size >= shortest or int(some[-1, 0] + some[-1, 2] - some[0, 0]) >= shortest:
-                yield (*pair, int(some[0, 0]), int(some[-1, 0] + some[-1, 2]), int(some[0, 1]), int(some[-1, 1] + some[-1, 2]), some.ravel().tolist())
-
     names = ["a", "va", "b", "vb", "begin_a", "end_a", "begin_b", "end_b", "segments"]
     schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [("segments", pa.list_(pa.int64()))])
 
+    def flush(keys, first, x, y, words):
+        """Chains of whole pairs, which begin at `first`."""
+        pair, segs = merged(np.repeat(np.arange(len(first)), np.diff(first, append=len(x))), x, y, words, k)
+        lo = np.flatnonzero(np.diff(pair, prepend=-1))
+        hi = np.append(lo[1:], len(pair))
+        # no chain is longer than what all segments of its pair span
+        reach = np.maximum.reduceat(segs[:, :2] + segs[:, 2:], lo) - np.minimum.reduceat(segs[:, :2], lo)
+        rows = []
+        for i in np.flatnonzero((reach >= shortest).any(1)).tolist():
+            own = segs[lo[i] : hi[i]]
+            for c in chain(own, k):
+                some = own[c]
+                end_a, end_b = int(some[-1, 0] + some[-1, 2]), int(some[-1, 1] + some[-1, 2])
+                if end_b - some[0, 1] >= shortest or end_a - some[0, 0] >= shortest:
+                    rows.append((*(int(c[first[i]]) for c in keys), int(some[0, 0]), end_a, int(some[0, 1]), end_b, some.ravel().tolist()))
+        for at in range(0, len(rows), 5000):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000], strict=True), schema.types, strict=True)], names)
+
     def run(batches):
-        pair, parts, rows = None, [], []
-        for batch in batches:
-            if not batch.num_rows:
+        parts, size, enough = [], 0, MATCHES
+        for last, batch in _with_last(batches):
+            if batch is not None:
+                parts.append([column(batch, n).to_numpy().astype(np.int64) for n in ("a", "b", "pa", "pb", "words")])
+                size += batch.num_rows
+            if not size or (size < enough and not last):
                 continue
-            a, b, x, y, words = (column(batch, n).to_numpy().astype(np.int64) for n in ("a", "b", "pa", "pb", "words"))
+            a, b, x, y, words = (np.concatenate(c) for c in zip(*parts, strict=True))
             keys = (a, x >> 32, b, y >> 32)
-            x, y = x & 0xFFFFFFFF, y & 0xFFFFFFFF
-            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], 0)) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(a)], strict=True):
-                now = tuple(int(c[lo]) for c in keys)
-                if now != pair:
-                    if parts:
-                        rows += flush(pair, parts)
-                    pair, parts = now, []
-                parts.append((x[lo:hi].copy(), y[lo:hi].copy(), words[lo:hi].copy()))
-            if len(rows) > 5000:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
-                rows = []
-        if parts:
-            rows += flush(pair, parts)
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], names)
+            first = np.concatenate(([0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], 0)) + 1))
+            stop = size if last else int(first[-1])  # the last pair may go on in the next batch
+            if stop:
+                yield from flush([c[:stop] for c in keys], first if last else first[:-1], x[:stop] & 0xFFFFFFFF, y[:stop] & 0xFFFFFFFF, words[:stop])
+            parts, size = [[c[stop:].copy() for c in (a, b, x, y, words)]], size - stop
+            enough = max(MATCHES, 2 * size)
 
     return run
 
 
+def _with_last(batches):
+    """(False, batch) for each batch, and (True, None) after them."""
+    for batch in batches:
+        yield False, batch
+    yield True, None
+
+
 def _slices(batches):
     """Rows (text, asked: [(chain, lo, hi)]) -> rows (chain, lo, words): word hashes of the asked ranges, cut at the text's ends.
 
