@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,8 @@ SPAN, GAP_COST, MARGIN, GROWTH = 48, 0.25, 64, 8
 TOGETHER = 32
 #: Cells of an alignment table that is filled at once; larger gaps are halved.
 CELLS = 1 << 14
-#: Matches that are merged at once.
-MATCHES = 1 << 16
+#: Matches that are merged at once, and columns that are aligned at once.
+MATCHES, COLUMNS = 1 << 16, 1 << 18
 #: Share of all documents from which on a seed counts as frequent; bounds the list of frequent seeds by seeds of a text / FREQUENT.
 FREQUENT = 0.002
 #: Neighbouring windows of which one is picked.
@@ -528,10 +529,11 @@ def stretches(columns: np.ndarray, least: int, share: float) -> list[tuple[int,
     """Disjoint column ranges with `share` of equal columns and `least` words in both runs, by maximal scoring ranges."""
     # equal columns gain 1 - share, others lose share: a maximal range has `share` of equal ones, and so has each of its ends
     gain = np.where(columns[:, 2] == 1, 1.0 - share, -share) + 1e-9
+    equal = np.concatenate(([0], np.cumsum(columns[:, 2])))
     out, todo = [], [(0, len(gain))]
     while todo:
         lo, hi = todo.pop()
-        if hi - lo < least:
+        if hi - lo < least or equal[hi] - equal[lo] < fewest(least, share):
             continue
         total = np.concatenate(([0.0], np.cumsum(gain[lo:hi])))
         low = np.minimum.accumulate(total)
@@ -546,28 +548,110 @@ def stretches(columns: np.ndarray, least: int, share: float) -> list[tuple[int,
     return sorted(out)
 
 
+def fewest(least: int, share: float) -> float:
+    """Equal columns that a range needs for a stretch in it."""
+    return (share - 1e-9) * least - 1e-6
+
+
+def plain_stretches(equal: np.ndarray, first: np.ndarray, least: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """stretches of many alignments without gaps, whose columns from first[i] to first[i + 1] are in `equal` -> (alignment, begin, end)."""
+    gain = np.where(equal, 1.0 - share, -share) + 1e-9
+    hits = np.concatenate(([0], np.cumsum(equal)))
+    row, lo, hi = np.arange(len(first) - 1), first[:-1], first[1:]
+    out = []
+    while True:
+        some = (hi - lo >= least) & (hits[hi] - hits[lo] >= fewest(least, share))
+        order = np.argsort(lo[some] - hi[some], kind="stable")  # longest first: rows of a table have about one length
+        row, lo, hi = row[some][order], lo[some][order], hi[some][order]
+        if not len(row):
+            break
+        begin, end, at = np.empty_like(lo), np.empty_like(lo), 0
+        while at < len(row):
+            width = int(hi[at] - lo[at])
+            to = at + max(1, COLUMNS // width)
+            place = lo[at:to, None] + np.arange(width)
+            inside = place < hi[at:to, None]
+            total = np.zeros((len(place), width + 1))
+            np.cumsum(np.where(inside, gain[np.where(inside, place, 0)], -1.0), axis=1, out=total[:, 1:])
+            low = np.minimum.accumulate(total, axis=1)
+            stop = np.argmax(total - low, axis=1)
+            begin[at:to] = lo[at:to] + np.argmax(total == low[np.arange(len(low)), stop][:, None], axis=1)
+            end[at:to] = lo[at:to] + stop
+            at = to
+        found = end - begin >= least
+        out.append(np.stack((row[found], begin[found], end[found])))
+        more = end > begin
+        row, lo, hi = np.tile(row[more], 2), np.concatenate((lo[more], end[more])), np.concatenate((begin[more], hi[more]))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _word_runs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all rows, and the n + 1 offsets into them."""
+    _, offsets, data = words.buffers()
+    offs = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(np.uint64), (offs - offs[0]) // 8
+
+
+ALIGNED = ["chain", "a", "va", "begin_a", "end_a", "b", "vb", "begin_b", "end_b", "n_equal", "n_columns"]
+
+
+def _aligned_plain(batch: pa.RecordBatch, least: int, share: float, margin: int):
+    """_aligned for chains of one segment: their alignments are diagonals, so all are worked on together."""
+    get = lambda n: column(batch, n).to_numpy(zero_copy_only=False).astype(np.int64)
+    segs = column(batch, "segments")
+    at = np.asarray(segs.offsets)[:-1].astype(np.int64)
+    begins = np.asarray(segs.values)
+    la, lb = get("lo_a"), get("lo_b")
+    (x, first_x), (y, first_y) = (_word_runs(column(batch, n)) for n in ("words_a", "words_b"))
+    nx, ny = np.diff(first_x), np.diff(first_y)
+    i, j = begins[at] - la, begins[at + 1] - lb
+    i, j = i - np.minimum(i, j), j - np.minimum(i, j)
+    size = np.minimum(nx - i, ny - j)
+    before = (la > 0) & (lb > 0)
+    after = (nx == get("end_a") + margin - la) & (ny == get("end_b") + margin - lb)
+    whole = np.concatenate(([0], np.cumsum(size)))
+    for lo, hi in chunks(whole, COLUMNS):
+        first = whole[lo : hi + 1] - whole[lo]
+        nth = np.arange(first[-1])
+        equal = x[np.repeat(first_x[lo:hi] + i[lo:hi] - first[:-1], size[lo:hi]) + nth] == y[np.repeat(first_y[lo:hi] + j[lo:hi] - first[:-1], size[lo:hi]) + nth]
+        row, begin, end = plain_stretches(equal, first, least, share)
+        hits = np.concatenate(([0], np.cumsum(equal)))
+        on = np.zeros(hi - lo, bool)
+        on[row[((begin == first[row]) & before[lo + row]) | ((end == first[row + 1]) & after[lo + row])]] = True
+        own = lo + row
+        of_a, of_b = i[own] + la[own] - first[row], j[own] + lb[own] - first[row]
+        some = batch.select(["chain", "a", "va", "b", "vb"]).take(pa.array(own))
+        cols = [column(some, n) for n in ("chain", "a", "va")] + [begin + of_a, end + of_a] + [column(some, n) for n in ("b", "vb")] + [begin + of_b, end + of_b, hits[end] - hits[begin], end - begin]
+        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols), pa.array(on[row], pa.bool_())], [*ALIGNED, "open"])
+
+
 def _aligned(least: int, share: float, margin: int):
     """Rows of chains with their words -> rows of passages, and whether a chain's alignment goes on past the words it was given."""
-    names = ["chain", "a", "va", "begin_a", "end_a", "b", "vb", "begin_b", "end_b", "n_equal", "n_columns"]
+
+    def gapped(batch):
+        rows, opens = [], []
+        get = lambda n: column(batch, n).to_pylist()
+        for key, a, va, b, vb, end_a, end_b, segs, la, wa, lb, wb in zip(*map(get, ("chain", "a", "va", "b", "vb", "end_a", "end_b", "segments", "lo_a", "words_a", "lo_b", "words_b")), strict=True):
+            x, y = np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64)
+            cols = align(x, y, [(segs[i] - la, segs[i + 1] - lb, segs[i + 2]) for i in range(0, len(segs), 3)])
+            found = stretches(cols, least, share)
+            # words before the first and after the last column that both texts have and that were not asked for
+            before = la > 0 and lb > 0
+            after = len(x) == end_a + margin - la and len(y) == end_b + margin - lb
+            on = any((lo == 0 and before) or (hi == len(cols) and after) for lo, hi in found)
+            for lo, hi in found:
+                some = cols[lo:hi]
+                ia, ib = some[some[:, 0] >= 0, 0], some[some[:, 1] >= 0, 1]
+                rows.append((key, a, va, int(ia[0]) + la, int(ia[-1]) + la + 1, b, vb, int(ib[0]) + lb, int(ib[-1]) + lb + 1, int(some[:, 2].sum()), hi - lo))
+                opens.append(on)
+        return pa.record_batch([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(ALIGNED))), pa.array(opens, pa.bool_())], [*ALIGNED, "open"])
 
     def run(batches):
         for batch in batches:
-            rows, opens = [], []
-            get = lambda n: column(batch, n).to_pylist()
-            for key, a, va, b, vb, end_a, end_b, segs, la, wa, lb, wb in zip(*map(get, ("chain", "a", "va", "b", "vb", "end_a", "end_b", "segments", "lo_a", "words_a", "lo_b", "words_b")), strict=True):
-                x, y = np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64)
-                cols = align(x, y, [(segs[i] - la, segs[i + 1] - lb, segs[i + 2]) for i in range(0, len(segs), 3)])
-                found = stretches(cols, least, share)
-                # words before the first and after the last column that both texts have and that were not asked for
-                before = la > 0 and lb > 0
-                after = len(x) == end_a + margin - la and len(y) == end_b + margin - lb
-                on = any((lo == 0 and before) or (hi == len(cols) and after) for lo, hi in found)
-                for lo, hi in found or [(0, 0)] * on:
-                    some = cols[lo:hi]
-                    ia, ib = some[some[:, 0] >= 0, 0], some[some[:, 1] >= 0, 1]
-                    rows.append((key, a, va, int(ia[0]) + la, int(ia[-1]) + la + 1, b, vb, int(ib[0]) + lb, int(ib[-1]) + lb + 1, int(some[:, 2].sum()), hi - lo))
-                    opens.append(on)
-            yield pa.record_batch([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))), pa.array(opens, pa.bool_())], [*names, "open"])
+            plain = pa.array(np.diff(np.asarray(column(batch, "segments").offsets)) == 3)
+            yield from _aligned_plain(batch.filter(plain), least, share, margin)
+            yield gapped(batch.filter(pc.invert(plain)))
 
     return run
 
