@@ -298,6 +298,32 @@ def test_stretches_have_their_share():
             assert hi - lo >= 50 and eq[lo:hi].mean() >= 0.8 - 1e-9
 
 
+def test_alignments_without_gaps_have_the_stretches_that_each_has_by_itself():
+    rng = np.random.default_rng(11)
+    sizes = np.concatenate(([0, 1, 49, 50, 51], rng.integers(0, 900, 120)))
+    equal = [rng.random(n) < np.repeat(rng.choice([0.1, 0.75, 0.81, 1.0], n // 60 + 1), 60)[:n] for n in sizes]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    found = set(zip(*(c.tolist() for c in S.plain_stretches(np.concatenate(equal), first, 50, 0.8)), strict=True))
+    want = set()
+    for i, own in enumerate(equal):
+        cols = np.stack((np.arange(len(own)), np.arange(len(own)), own.astype(np.int64)), 1)
+        want |= {(i, int(first[i]) + lo, int(first[i]) + hi) for lo, hi in S.stretches(cols, 50, 0.8)}
+    assert found == want and len(want) > 50
+    assert [len(c) for c in S.plain_stretches(np.zeros(0, bool), np.zeros(1, np.int64), 50, 0.8)] == [0, 0, 0]
+
+
+def test_matches_of_many_pairs_merge_as_those_of_each_pair():
+    rng = np.random.default_rng(12)
+    pair = np.sort(rng.integers(0, 40, 800))
+    x, y, words = rng.integers(0, 300, 800), rng.integers(0, 300, 800), rng.choice([5, 46, 50], 800)
+    own, segs = S.merged(pair, x, y, words, 5)
+    for p in np.unique(pair):
+        some = pair == p
+        assert (S.merged(pair[some], x[some], y[some], words[some], 5)[1] == segs[own == p]).all()
+        covered = {(d, i) for a, b, n in segs[own == p].tolist() for d in [b - a] for i in range(a, a + n)}
+        assert all({(b - a, i) for i in range(a, a + n)} <= covered for a, b, n in zip(x[some].tolist(), y[some].tolist(), words[some].tolist(), strict=True))
+
+
 def test_passages_whose_seeds_have_other_first_and_last_holders(spark):
     words = [f"p{i}" for i in range(300)]
     docs = [(100, " ".join(["x1", "x2", *words, "x3"])), (101, " ".join(["y1", *words, "y2", "y3"]))]

@@ -420,19 +420,19 @@ def _with_last(batches):
 
 
 def _slices(batches):
-    """Rows (text, asked: [(chain, lo, hi)]) -> rows (chain, lo, words): word hashes of the asked ranges, cut at the text's ends.
+    """Rows (text, asked: [(chain, second, lo, hi)]) -> rows (chain, second, lo, words): word hashes of the asked ranges, cut at the text's ends.
 
     Results leave in batches of a few megabytes, however many requests a text has.
     """
 
     def made(rows):
-        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["chain", "lo", "words"])
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], ["chain", "second", "lo", "words"])
 
     for batch in batches:
         asked = column(batch, "asked")
         bounds = np.asarray(asked.offsets).astype(np.int64)
         each = asked.values
-        chain, begin, end = (each.field(each.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("chain", "lo", "hi"))
+        chain, second, begin, end = (each.field(each.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("chain", "second", "lo", "hi"))
         data, offsets = text_buffers(column(batch, "text"))
         for lo, hi in chunks(offsets):
             offs = offsets[lo : hi + 1] - offsets[lo]
@@ -442,8 +442,8 @@ def _slices(batches):
                 own = hashes[first[i - lo] : first[i - lo + 1]]
                 for x in range(bounds[i], bounds[i + 1]):
                     at = max(0, int(begin[x]))
-                    rows.append((int(chain[x]), at, own[at : int(end[x])].tobytes()))
-                    size += len(rows[-1][2]) + 64
+                    rows.append((int(chain[x]), bool(second[x]), at, own[at : int(end[x])].tobytes()))
+                    size += len(rows[-1][3]) + 64
                     if size > 1 << 23:
                         yield made(rows)
                         rows, size = [], 0
@@ -721,7 +721,7 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
         full = _worded(docs, chains, margin, scratch, n, repeated)
         made = scratch.write(full.mapInArrow(lean(_aligned(least, share, margin)), ", ".join(f"{c} long" for c in ("chain", *names)) + ", open boolean"), f"passages-{n}")
         parts.append(made.where("not open").select(*names))
-        scratch.drop(f"words-a-{n}", f"words-b-{n}", f"often-{n}")
+        scratch.drop(f"words-{n}", f"often-{n}")
         scratch.free_shuffles()
         on = made.where("open").select("chain").distinct()
         if not on.limit(1).count():
@@ -739,22 +739,20 @@ def _worded(docs: DataFrame, chains: DataFrame, margin: int, scratch: Scratch, n
     """chains with the word hashes of both texts from `margin` words before to `margin` words after the chain."""
     asks = []
     for side in "ab":
-        ask = F.struct("chain", (F.col(f"begin_{side}") - margin).alias("lo"), (F.col(f"end_{side}") + margin).alias("hi"))
-        asks.append(chains.select(F.col(side).alias("doc_id"), F.col(f"v{side}").alias("variant"), ask.alias("ask"), F.lit(side).alias("side")))
+        ask = F.struct("chain", F.lit(side == "b").alias("second"), (F.col(f"begin_{side}") - margin).alias("lo"), (F.col(f"end_{side}") + margin).alias("hi"))
+        asks.append(chains.select(F.col(side).alias("doc_id"), F.col(f"v{side}").alias("variant"), ask.alias("ask")))
     asks = asks[0].unionAll(asks[1])
     # a document that very many ask for gets several rows, each with a bounded number of requests
     often = scratch.write(asks.groupBy("doc_id", "variant").count(), f"often-{nth}")
     asks = asks.join(often, ["doc_id", "variant"]).withColumn("salt", F.pmod(F.col("ask.chain"), F.ceil(F.col("count") / TOGETHER)))
     # dealt anew, or the join's partitions by doc_id would serve and one task get all requests for a document
-    keys = ["doc_id", "variant", "side", "salt"]
+    keys = ["doc_id", "variant", "salt"]
     asks = asks.repartition(*keys).groupBy(*keys).agg(F.collect_list("ask").alias("asked"))
-    asked = docs.join(asks, ["doc_id", "variant"])
+    words = docs.join(asks, ["doc_id", "variant"]).select("text", "asked").mapInArrow(lean(_slices), "chain long, second boolean, lo long, words binary")
+    words = scratch.write(words.dropDuplicates(["chain", "second"]) if repeated else words, f"words-{nth}")  # equal rows answer alike
     full = chains
     for side in "ab":
-        words = asked.where(F.col("side") == side).select("text", "asked").mapInArrow(lean(_slices), "chain long, lo long, words binary")
-        words = words.dropDuplicates(["chain"]) if repeated else words  # equal rows answer alike
-        words = scratch.write(words.select("chain", F.col("lo").alias(f"lo_{side}"), F.col("words").alias(f"words_{side}")), f"words-{side}-{nth}")
-        full = full.join(words, "chain")
+        full = full.join(words.where(F.col("second") == (side == "b")).select("chain", F.col("lo").alias(f"lo_{side}"), F.col("words").alias(f"words_{side}")), "chain")
     scratch.free_shuffles()
     return full
 
