@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, decontaminate, licences, packing, quality_rules, sharding, substring_dedup, tokens, toxicity
+from . import attention_quality, decontaminate, filter_audit, licences, packing, quality_rules, sharding, substring_dedup, tokens, toxicity
 from .folds import held_out
 from .jaccard_join import ngram_jaccard_join
 
@@ -79,8 +79,14 @@ def op10_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("b").alias("doc_id"), F.col("begin_b").alias("begin"), F.col("end_b").alias("end"), F.col("a").alias("other_id"), F.col("begin_a").alias("other_begin"), F.col("end_a").alias("other_end"), "n_equal", "n_columns")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters over all documents, for each source: what each step keeps, removes and loses."""
+    rows = filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
+
+
 def queries() -> dict:
-    every = (op1_attention_quality, op2_prefix_decontamination, op3_token_files, op4_licence_scan, op5_sampled_splitters, op6_rule_ledger, op7_ngram_jaccard, op8_kneser_ney_toxicity, op9_hierarchical_packing, op10_chained_passages)
+    every = (op1_attention_quality, op2_prefix_decontamination, op3_token_files, op4_licence_scan, op5_sampled_splitters, op6_rule_ledger, op7_ngram_jaccard, op8_kneser_ney_toxicity, op9_hierarchical_packing, op10_chained_passages, op11_filter_audit)
     return {f.__name__: f for f in every}
 
 
@@ -135,6 +141,30 @@ FROM d LEFT JOIN z ON d.doc_id = z.doc_id JOIN (SELECT a, min(b) AS b FROM c GRO
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS bits
+  FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+o(filter_order, mask) AS (SELECT '', 0 UNION ALL SELECT filter_order || chr(65 + i::INT), mask | (1 << i)::INT FROM o, range(5) r(i) WHERE mask & (1 << i)::INT = 0),
+s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS name, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65)))::INT AS before FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+t AS (SELECT filter_order, step, name, bit::INT AS bit, coalesce(before, 0) AS before FROM s),
+g AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY part, bits),
+r AS (SELECT part, filter_order, step, name,
+    sum(CASE WHEN bits & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN bits & before = 0 AND bits & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN bits & before <> 0 AND bits & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN bits = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN bits & before = 0 AND bits & bit <> 0 THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN bits & before = 0 AND bits & bit <> 0 THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM g, t GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express: models, tokenizers, samples and alignments are tested otherwise."""
-    return {"op2_prefix_decontamination": _OP2, "op6_rule_ledger": _OP6, "op7_ngram_jaccard": _OP7}
+    return {"op2_prefix_decontamination": _OP2, "op6_rule_ledger": _OP6, "op7_ngram_jaccard": _OP7, "op11_filter_audit": _OP11}
