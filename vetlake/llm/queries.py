@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, decontaminate, filter_audit, licences, packing, quality_rules, sharding, substring_dedup, tokens, toxicity
+from . import attention_quality, decontaminate, filter_audit, licences, packing, quality_rules, secret_scan, sharding, spelling, substring_dedup, tokens, toxicity
 from .folds import held_out
 from .jaccard_join import ngram_jaccard_join
 
@@ -85,8 +85,22 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    rows = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("spans", lambda x: x.getField("rank") == rank)).cast("long")
+    base = F.filter("spans", lambda x: x.getField("rank") < secret_scan.BASE)
+    counts = [count(i).alias(f"n_{secret_scan.RULES[i].kind}") for i in range(secret_scan.BASE)]
+    return rows.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents and the forms they vary: word, form, root, n, n_near, form_n."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    every = (op1_attention_quality, op2_prefix_decontamination, op3_token_files, op4_licence_scan, op5_sampled_splitters, op6_rule_ledger, op7_ngram_jaccard, op8_kneser_ney_toxicity, op9_hierarchical_packing, op10_chained_passages, op11_filter_audit)
+    every = (op1_attention_quality, op2_prefix_decontamination, op3_token_files, op4_licence_scan, op5_sampled_splitters, op6_rule_ledger, op7_ngram_jaccard, op8_kneser_ney_toxicity, op9_hierarchical_packing, op10_chained_passages, op11_filter_audit, op12_secret_scan, op13_spelling_variants)
     return {f.__name__: f for f in every}
 
 
@@ -165,6 +179,61 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+#: kind, rank, pattern, and the pattern's group and its least length, as op12 lists its kinds.
+_OP12_KINDS = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35,}", 0, 0),
+    ("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("bearer", r"[Bb][Ee][Aa][Rr][Ee][Rr]\x20+[A-Za-z0-9._~+/-]{16,}", 0, 0),
+    ("url", r"://[^\x00-\x20:/@]{1,64}:[^\x00-\x20:/@]{3,64}@", 0, 0),
+]
+
+
+def _op12() -> str:
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(_OP12_KINDS):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        found.append(
+            f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(m) + 1)) AS i, m, v, g, {least} AS least FROM "
+            f"(SELECT doc_id, regexp_extract_all(text, {quoted}) AS m, regexp_extract_all(text, {quoted}, {group}) AS v, regexp_split_to_array(text, {quoted}) AS g FROM d)"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({' UNION ALL '.join(found)}),
+p AS (SELECT doc_id, kind, rank, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n FROM s WHERE length(v[i]) >= least),
+q AS (SELECT doc_id, kind, rank, a::BIGINT AS a, (a + n)::BIGINT AS b FROM p),
+r AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans, coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3), '') AS base,
+    count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex FROM q GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+#: crc32 over code points up to U+00FF as UTF-8, by its table; words a deletion apart, or alike after one deletion each at the same place.
+_OP13 = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+b AS (SELECT doc_id, run, k, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 | (unicode(c)::BIGINT >> 6), 128 | (unicode(c)::BIGINT & 63)] END)) AS bytes FROM r),
+h AS (SELECT run, k, xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, c.word AS other, c.n AS m FROM x a JOIN x c ON a.cut = c.cut AND a.i = c.i AND a.word <> c.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.cut = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.cut = v.word),
+g AS (SELECT word, count(*) AS n_near, max(m) AS form_n, arg_min(other, (-m, other)) AS form FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM v LEFT JOIN g ON v.word = g.word),
+c AS (SELECT word, word AS root FROM f UNION SELECT c.word, f.form FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.*, c.root FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.root AND e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express: models, tokenizers, samples and alignments are tested otherwise."""
-    return {"op2_prefix_decontamination": _OP2, "op6_rule_ledger": _OP6, "op7_ngram_jaccard": _OP7, "op11_filter_audit": _OP11}
+    return {"op2_prefix_decontamination": _OP2, "op6_rule_ledger": _OP6, "op7_ngram_jaccard": _OP7, "op11_filter_audit": _OP11, "op12_secret_scan": _op12(), "op13_spelling_variants": _OP13}
