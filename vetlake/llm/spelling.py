@@ -83,7 +83,8 @@ def _apart(u: Column, v: Column) -> Column:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n -> u, n_u, v, n_v: all pairs one edit apart, once each, u the shorter or, of equal lengths, the smaller."""
-    keys = _keys(words)
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _keys(words.repartition(tasks, "word"))  # twelve keys a word: a small table of many words is no few tasks' work
     on = ["small", "side", "part", "band", "value"]
     a = keys.where("longer = 0").select(*on, F.col("word").alias("u"), F.col("n").alias("n_u"), *(F.col(f"m{k}").alias(f"a{k}") for k in range(3)))
     b = keys.select(*on, F.col("word").alias("v"), F.col("n").alias("n_v"), "longer", *(F.col(f"m{k}").alias(f"b{k}") for k in range(3)))
