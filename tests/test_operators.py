@@ -1,6 +1,7 @@
 """Invariants of the operators on small vectors."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -8,13 +9,14 @@ from pyspark.sql import functions as F
 
 from vetlake.functions import keys as K
 from vetlake.functions.prefix import prefix_sums
-from vetlake.functions.robust import lower_median, median
+from vetlake.operators import bootstrap as B
 from vetlake.operators import corrupt as C
 from vetlake.operators import fusion as X
 from vetlake.operators import graph as G
 from vetlake.operators import guards as V
 from vetlake.operators import metrics as M
 from vetlake.operators import patches as P
+from vetlake.operators import selection as O
 from vetlake.operators import splits as S
 from vetlake.operators import vectors as VX
 
@@ -45,6 +47,28 @@ def test_scores_without_value_are_left_out(spark):
     assert M.rank_auroc(rows, []).first().asDict() == {"positives": 1, "negatives": 1, "auroc": 1.0}
 
 
+def test_slices_share_normals(spark):
+    """Each slice's anomalies against all normals of their key: as by copying the normals, which the plan does not do."""
+    rng = np.random.default_rng(21)
+    rows = [(int(k), int(y), None if rng.random() < 0.05 else float(rng.integers(0, 25)), ["a", "b", "c", None][rng.integers(0, 4)] if y else "clean", int(rng.integers(0, 3)) if y else 0) for k, y in zip(rng.integers(0, 2, 400), rng.random(400) < 0.3)]
+    rows += [(0, 1, None, "unscored", 9), (5, 1, 1.0, "a", 1)]
+    df = spark.createDataFrame(rows, "k int, y int, score double, family string, severity int").repartition(5)
+    got = {(r["k"], r["dimension"], r["slice"]): (r["positives"], r["negatives"], r["auroc"]) for r in M.slice_auroc(df, ["family", "severity"], ["k"]).collect()}
+    want = {(k, d, str(v)) for k, y, _, f, s in rows if y for d, v in (("family", f), ("severity", s)) if v is not None}
+    assert set(got) == want
+    for k, d, v in want:
+        pos = [r[2] for r in rows if r[0] == k and r[1] and str(r[3] if d == "family" else r[4]) == v and r[2] is not None]
+        neg = [r[2] for r in rows if r[0] == k and not r[1] and r[2] is not None]
+        auroc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) if pos and neg else None
+        assert got[k, d, v] == (len(pos), len(neg), pytest.approx(auroc) if auroc is not None else None)
+    counts = {(r["dimension"], r["slice"]): (r["tp"], r["fp"], r["tn"], r["fn"]) for r in M.slice_confusion(df.where("score is not null"), ["family"], F.lit(12.0)).collect()}
+    scored_rows = [r for r in rows if r[2] is not None]
+    for v in ("a", "b", "c"):
+        own = [r[2] > 12 for r in scored_rows if r[1] and r[3] == v]
+        normal = [r[2] > 12 for r in scored_rows if not r[1]]
+        assert counts["family", v] == (sum(own), sum(normal), len(normal) - sum(normal), len(own) - sum(own))
+
+
 def test_confusion_identities(spark):
     pairs = [(1, 2)] * 130 + [(0, 2)] * 2 + [(0, 0)] * 14 + [(1, 0)] * 158
     got = M.confusion(scored(spark, pairs), [], F.lit(1.0)).first()
@@ -70,15 +94,50 @@ def test_prefix_sums_across_ranges(spark):
     x = rng.permutation(500)
     df = spark.createDataFrame([(int(i % 3), float(v), int(v)) for i, v in enumerate(x)], "k int, o double, v long")
     got = {(r["k"], r["o"]): r["before_v"] for r in prefix_sums(df, ["k"], "o", ["v"]).collect()}
+    got_in_ranges = {(r["k"], r["o"]): r["before_v"] for r in prefix_sums(df, ["k"], "o", ["v"], rows=20).collect()}
+    falling = {(r["k"], r["o"]): r["before_v"] for r in prefix_sums(df, ["k"], "o", ["v"], descending=True, rows=20).collect()}
     for k in range(3):
         own = sorted(float(v) for i, v in enumerate(x) if i % 3 == k)
         for o, want in zip(own, itertools.accumulate([0, *own[:-1]])):
-            assert got[k, o] == want
+            assert got[k, o] == got_in_ranges[k, o] == want and falling[k, o] == sum(own) - want - o
 
 
 def test_two_medians(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "x double")
-    assert df.agg(median(F.col("x")), lower_median("x")).first() == (2.5, 2.0)
+    assert O.quantiles(df, [], {"median": ("x", 0.5), "lower": ("x", 0.5, "lower")}).first() == (2.5, 2.0)
+
+
+def plain_quantile(values, q, how="linear"):
+    """By sorting; NaN last."""
+    v = sorted(values, key=lambda x: (x != x, x))
+    if not v:
+        return None
+    if how == "lower":
+        return v[max(math.ceil(q * len(v)) - 1, 0)]
+    k = q * (len(v) - 1)
+    a, b = v[math.floor(k)], v[math.ceil(k)]
+    return a if a == b or (a != a and b != b) else a + (b - a) * (k - math.floor(k))
+
+
+@pytest.mark.parametrize(("ranges", "most"), [(2048, 1 << 18), (8, 4)])
+def test_selection_is_sorting(spark, monkeypatch, ranges, most):
+    """Many keys, null keys, columns and ranks at once; ties, heavy tails, extremes, groups of nulls; few parts and small sorts force many passes."""
+    monkeypatch.setattr(O, "RANGES", ranges)
+    monkeypatch.setattr(O, "SORTED", most)
+    rng = np.random.default_rng(8)
+    inf = float("inf")
+    groups = {"ties": rng.integers(0, 3, 90).astype(float), "tails": np.exp(rng.normal(0, 60, 80)), "one": np.array([5.0]), "same": np.full(70, -2.5), None: rng.normal(size=50), "ends": np.array([-inf, -inf, 1.0, 2.0, inf, inf, float("nan")]), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 5e-324])}
+    rows = [(g, 1, float(x), None if k % 5 == 0 else float(-x)) for g, v in groups.items() for k, x in enumerate(v)] + [("nulls", 1, None, None)] * 4
+    df = spark.createDataFrame(rows, "g string, h int, a double, b double").repartition(3)
+    wanted = {"m": ("a", 0.5), "lower": ("a", 0.5, "lower"), "q99": ("a", 0.99), "q0": ("b", 0.0), "q1": ("b", 1.0, "lower"), "third": ("b", 1 / 3)}
+    got = {r["g"]: r for r in O.quantiles(df, ["g", "h"], wanted).collect()}
+    assert set(got) == {*groups, "nulls"}
+    for g, r in got.items():
+        for name, (c, q, *how) in wanted.items():
+            want = plain_quantile([x[2 if c == "a" else 3] for x in rows if x[0] == g and x[2 if c == "a" else 3] is not None], q, *how)
+            assert r[name] == want or (want != want and r[name] != r[name]) or r[name] == pytest.approx(want, rel=1e-12), (g, name)
+    assert O.quantiles(df.where("false"), [], {"m": ("a", 0.5)}).collect() == [(None,)]
+    assert O.quantiles(df.where("false"), ["g"], {"m": ("a", 0.5)}).collect() == []
 
 
 def test_zero_deviation_falls_back(spark):
@@ -184,14 +243,64 @@ def test_knn_equals_brute_force_in_blocks(spark):
         assert got == want
 
 
+def test_knn_of_seven_by_five_blocks(spark, monkeypatch):
+    """Blocks on both sides, chunks within them, equal vectors as ties, an id on one side only, k beyond a block."""
+    monkeypatch.setattr(VX, "QUERIES", 4)
+    monkeypatch.setattr(VX, "BANK", 3)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(70, 5))
+    x[10:14] = x[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = lambda ids: spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "id long, v array<float>").repartition(3)
+    queries, bank = frame(range(70)), frame(range(20, 70)).unionAll(frame([3, 12, 11, 10]))
+    x = x.astype(np.float32).astype(float)
+    ids = np.array([*range(20, 70), 3, 12, 11, 10])
+    for k in (3, 9):
+        got = {}
+        for r in VX.cosine_knn(queries, bank, "id", "v", k, block=10).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append((r["other"], round(r["distance"], 10)))
+        for i in range(70):
+            near = sorted((round(1 - float(np.clip(x[i] @ x[j], -1, 1)), 12), int(j)) for j in ids if j != i)[:k]
+            assert got[i] == [(j, round(d, 10)) for d, j in near]
+    plan = VX.cosine_knn(queries, bank, "id", "v", 3, block=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_moments_keep_digits(spark, monkeypatch):
+    monkeypatch.setattr(VX, "FAN", 2)
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(500, 3)) @ rng.normal(size=(3, 3)) + np.array([1e8, -1e8, 0])
+    df = spark.createDataFrame([(v,) for v in x.tolist()] + [(None,)], "v array<double>").repartition(9)
+    want = np.cov((x - np.array([1e8, -1e8, 0])).T)
+    rows = VX.moments(df, "v").collect()
+    assert [(r["i"], r["j"]) for r in rows] == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    for r in rows:
+        assert r["covariance"] == pytest.approx(want[r["i"], r["j"]], rel=1e-6) and r["mean_i"] == pytest.approx(x[:, r["i"]].mean(), rel=1e-14)
+    assert VX.moments(df.where("v is null"), "v").count() == 0
+    assert [r["covariance"] for r in VX.moments(spark.createDataFrame([([1.0],)], "v array<double>"), "v").collect()] == [None]
+
+
 def test_latent_is_mahalanobis(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
-    got = np.array([r["latent"] for r in VX.score_latent(df, "id", "v", VX.fit_latent(df, "v", 4, 0.0)).orderBy("id").collect()])
-    inverse = np.linalg.inv(np.cov(x.T))
     c = x - x.mean(0)
-    assert np.allclose(got, np.sqrt(np.einsum("ij,jk,ik->i", c, inverse, c)))
+    for shrink in (0.1, 1.0, 1e-9):
+        got = np.array([r["latent"] for r in VX.score_latent(df, "id", "v", VX.fit_latent(df, "v", 4, shrink)).orderBy("id").collect()])
+        own = np.cov(x.T)
+        inverse = np.linalg.inv((1 - shrink) * own + shrink * np.trace(own) / 4 * np.eye(4))
+        assert np.allclose(got, np.sqrt(np.einsum("ij,jk,ik->i", c, inverse, c)))
+    for shrink in (0.0, 1.1):
+        with pytest.raises(ValueError):
+            VX.fit_latent(df, "v", 4, shrink)
+
+
+def test_outlier_of_constant_vectors_has_a_distance(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(5)], "id long, v array<double>")
+    state = VX.fit_latent(same, "v")
+    rows = same.unionAll(spark.createDataFrame([(9, [1.0, 2.0, 4.0])], "id long, v array<double>"))
+    got = {r["id"]: r["latent"] for r in VX.score_latent(rows, "id", "v", state).collect()}
+    assert got[0] == 0 and got[9] == pytest.approx(1 / math.sqrt(0.1 * 1e-8))
 
 
 @pytest.mark.parametrize(("n", "ceil", "floor"), [(10, 1, 1), (30, 2, 1)])
@@ -302,6 +411,55 @@ def test_cases_do_not_depend_on_partitions(spark):
     assert one == many and len(one) == 12
 
 
+def test_binomial_inversion():
+    """The least k whose distribution function reaches u, as by adding up; moments for draws too many to add up."""
+    rng = np.random.default_rng(30)
+    for m, p in ((1, 0.5), (7, 0.3), (40, 0.97), (300, 0.01)):
+        pmf = [math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(m + 1)]
+        for u in rng.random(50):
+            assert B.binomial_at(m, p, u) == next(k for k in range(m + 1) if sum(pmf[: k + 1]) >= u)
+    assert B.binomial_at(10, 0, 0.5) == 0 and B.binomial_at(10, 1, 0.5) == 10 and B.binomial_at(0, 0.3, 0.5) == 0
+    got = (np.array([B.binomial_at(10**9, 0.25, u) for u in (np.arange(40) + 0.5) / 40]) - 2.5e8) / math.sqrt(10**9 * 0.25 * 0.75)
+    assert abs(got.mean()) < 1e-3 and got.std() == pytest.approx(1, abs=0.05)
+
+
+def test_draws_are_multinomial(spark, monkeypatch):
+    """Every replicate draws as many units as there are, whatever the levels of the tree and the partitions; counts vary as a multinomial's."""
+    df = spark.createDataFrame([(f"u{k}",) for k in range(600) for _ in range(k % 3 + 1)] + [(None,)], "unit string").repartition(7)
+    plain = {r["unit"]: list(r["times"]) for r in B.unit_draws(df, "unit", 40).collect()}
+    assert set(plain) == {f"u{k}" for k in range(600)}
+    times = np.array(list(plain.values()))
+    assert (times.sum(0) == 600).all() and times.mean() == 1 and times.max() > 6 - 1
+    assert times.var() == pytest.approx(1 - 1 / 600, abs=0.05)
+    assert [(times == k).mean() for k in range(4)] == pytest.approx([math.comb(600, k) / 600**k * (1 - 1 / 600) ** (600 - k) for k in range(4)], abs=0.01)
+    monkeypatch.setattr(B, "UNITS", 5)
+    monkeypatch.setattr(B, "LEVELS", 3)
+    assert {r["unit"]: list(r["times"]) for r in B.unit_draws(df.repartition(2), "unit", 40).collect()} == plain
+
+
+def test_units_whose_hashes_agree_are_drawn():
+    got = B.shared_draws(np.array([5, 5, 5, 6]), np.ones(4, np.int64), np.full(300, 4), 0, 4, "s")
+    assert (got.sum(0) == 4).all() and got.mean(1) == pytest.approx(np.ones(4), abs=0.2)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 60])
+def test_bootstrap_is_resampling(spark, monkeypatch, cells):
+    """The auroc of rows written out as often as their unit is drawn; with many ranges and a score that crowds one."""
+    monkeypatch.setattr(B, "CELLS", cells)
+    rng = np.random.default_rng(31)
+    rows = [(int(u), int(y), 3.0 if rng.random() < 0.4 else float(rng.integers(0, 30))) for u, y in zip(rng.integers(0, 50, 400), rng.random(400) < 0.4)]
+    df = spark.createDataFrame([*rows, (None, 1, 1.0), (1, None, 1.0), (2, 1, None)], "unit long, y int, score double").repartition(4)
+    got = {r["replicate"]: r["auroc"] for r in B.bootstrap_auroc(df, "unit", 6).collect()}
+    times = {r["unit"]: r["times"] for r in B.unit_draws(df.where("unit is not null and y is not null and score is not null"), "unit", 6).collect()}
+    for r in range(6):
+        pos = np.repeat([s for u, y, s in rows if y], [times[u][r] for u, y, s in rows if y])
+        neg = np.repeat([s for u, y, s in rows if not y], [times[u][r] for u, y, s in rows if not y])
+        assert got[r] == pytest.approx(np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)))
+    one = B.bootstrap_auroc(df.where("y = 1"), "unit", 3).collect()
+    assert len(one) == 3 and all(r["auroc"] is None for r in one)
+    assert B.bootstrap_auroc(df.where("false"), "unit", 3).count() == 0
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "y int, score double")
     assert M.rank_auroc(none, ["y"]).count() == 0

@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that an order column is cut into.
-BUCKETS = 64
+from .kept import kept
 
+#: Rows of a range that one task sorts, and how many ranges there are at most: beyond that ranges grow, and their sort spills.
+ROWS, MOST = 250_000, 1024
 
-def prefix_sums(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+
+def range_of(order: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are below a value, by halving."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(order <= F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(bounds))
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False, rows: int | None = None) -> DataFrame:
     """df with before_<value>: the sum over the key's rows that come earlier in the order.
 
-    The order column is cut into ranges at its quantiles; sums of ranges give each range its base, so windows run within a
-    range only. (keys, order) must be unique, and order not null.
+    df is written once. Its order column is cut at quantiles into ranges of about `rows` rows, ROWS by default; sums of ranges give
+    each range its base, so windows run within a range only. (keys, order) must be unique, and order not null.
     """
-    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("__bounds"))
-    df = df.crossJoin(F.broadcast(bounds))  # one row
-    part = F.size(F.array_distinct(F.filter("__bounds", lambda b: b < F.col(order))))
-    df = df.withColumn("__part", -part if descending else part).drop("__bounds")
+    df = kept(df, "ordered")
+    ranges = max(1, min(MOST, -(-df.count() // (rows or ROWS))))
+    bounds = []
+    if ranges > 1:
+        found = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * MOST)).first()[0]
+        bounds = sorted(set(found))
+    part = range_of(F.col(order), bounds)
+    df = df.withColumn("__part", -part if descending else part)
     sums = df.groupBy(*keys, "__part").agg(*(F.sum(v).alias(f"__{v}") for v in values))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select(*keys, "__part", *(F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__base_{v}") for v in values))

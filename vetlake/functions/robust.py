@@ -1,4 +1,4 @@
-"""Robust statistics as aggregates: two medians, quantiles, and scales with their floors."""
+"""Robust scales with their floors, clipped scores, finite scores."""
 
 from __future__ import annotations
 
@@ -9,21 +9,6 @@ from pyspark.sql import functions as F
 MAD, SPREAD = 1.4826, 2.563
 
 
-def median(x: Column) -> Column:
-    """The interpolated median."""
-    return F.percentile(x, F.lit(0.5))
-
-
-def lower_median(name: str) -> Column:
-    """The lower of a column's two middle values."""
-    return F.expr(f"percentile_disc(0.5) within group (order by `{name}`)")
-
-
-def quantile(x: Column, q: float) -> Column:
-    """The exact quantile with linear interpolation."""
-    return F.percentile(x, F.lit(q))
-
-
 def scale(mad: Column, policy: str, spread: Column | None = None) -> Column:
     """A scale from a median absolute deviation that never is zero.
 

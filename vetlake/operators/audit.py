@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import group_digest
-from ..functions.robust import MAD, median
+from ..functions.robust import MAD
+from .selection import quantiles
 
 
 def histogram(rows: DataFrame, *by: str, drop_null: bool = True) -> DataFrame:
@@ -50,8 +51,8 @@ def outlier_flag(rows: DataFrame, value: str, where: Column, least: int = 5, flo
     Never with fewer than `least` such rows.
     """
     own = rows.where(where)
-    first = own.agg(median(F.col(value)).alias("__m"), F.count(value).alias("__n"))
-    mad = own.crossJoin(F.broadcast(first)).agg(median(F.abs(F.col(value) - F.col("__m"))).alias("__d"))  # one row
+    first = quantiles(own, [], {"__m": (value, 0.5)}).crossJoin(own.agg(F.count(value).alias("__n")))
+    mad = quantiles(own.crossJoin(F.broadcast(first)).select(F.abs(F.col(value) - F.col("__m")).alias("gone")), [], {"__d": ("gone", 0.5)})  # one row
     out = rows.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(mad))
     far = F.abs(F.col(value) - F.col("__m")) > F.greatest(F.lit(floor), F.lit(factor * MAD) * F.col("__d"))
     return out.withColumn("outlier", F.coalesce(where & (F.col("__n") >= least) & far, F.lit(False))).drop("__m", "__n", "__d")

@@ -7,7 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.robust import clipped, finite, median, quantile, scale
+from ..functions.kept import kept
+from ..functions.robust import clipped, finite, scale
+from .selection import quantiles
 
 # The branches and the weights of the named variants.
 BRANCHES = ("diffusion", "semantic", "spectral", "latent")
@@ -23,12 +25,15 @@ WEIGHTS = {
 
 
 def fit(normal: DataFrame, branches=BRANCHES, policy: str = "plus") -> DataFrame:
-    """One row: median_<branch> and scale_<branch> of the normal rows, each from two exact percentile passes."""
-    first = normal.agg(*(median(F.col(b)).alias(f"median_{b}") for b in branches), *((quantile(F.col(b), 0.9) - quantile(F.col(b), 0.1)).alias(f"spread_{b}") for b in branches))
-    gone = normal.crossJoin(F.broadcast(first))  # one row
-    mads = gone.agg(*(median(F.abs(F.col(b) - F.col(f"median_{b}"))).alias(f"mad_{b}") for b in branches))
-    both = first.crossJoin(mads)
-    return both.select(*(F.col(f"median_{b}") for b in branches), *(scale(F.col(f"mad_{b}"), policy, F.col(f"spread_{b}")).alias(f"scale_{b}") for b in branches))
+    """One row: median_<branch> and scale_<branch> of the normal rows, by two distributed selections; it is written once."""
+    wanted = {f"median_{b}": (b, 0.5) for b in branches}
+    if policy == "spread":
+        wanted |= {f"{end}_{b}": (b, q) for b in branches for end, q in (("low", 0.1), ("high", 0.9))}
+    first = quantiles(normal, [], wanted)
+    gone = normal.crossJoin(F.broadcast(first)).select(*(F.abs(F.col(b) - F.col(f"median_{b}")).alias(b) for b in branches))  # one row
+    both = first.crossJoin(quantiles(gone, [], {f"mad_{b}": (b, 0.5) for b in branches}))
+    spread = lambda b: F.col(f"high_{b}") - F.col(f"low_{b}") if policy == "spread" else None
+    return kept(both.select(*(F.col(f"median_{b}") for b in branches), *(scale(F.col(f"mad_{b}"), policy, spread(b)).alias(f"scale_{b}") for b in branches)), "calibration")
 
 
 def z(branch: str) -> Column:
@@ -72,7 +77,7 @@ def subset_variants(branches, subsets: list[tuple[str, ...]] | None = None) -> d
 
 def thresholds(normal: DataFrame, keys: list[str], q: float) -> DataFrame:
     """The exact quantile of normal scores of each key."""
-    return normal.groupBy(*keys).agg(quantile(F.col("score"), q).alias("threshold"))
+    return quantiles(normal, keys, {"threshold": ("score", q)})
 
 
 def flag(rows: DataFrame, limit: DataFrame, keys: list[str]) -> DataFrame:

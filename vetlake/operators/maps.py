@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.robust import MAD, lower_median
+from ..functions.robust import MAD
 from .patches import BANDS, _directional, _peaks
+from .selection import quantiles
 
 WINDOWS = (8, 16, 32)
 FEATURES = ("band_low", "band_middle", "band_high", "gradient_x", "gradient_y", "anisotropy", "std", "mean")
@@ -231,10 +232,10 @@ def feature_rows(rows: DataFrame, key: str, vector: str, w: int) -> DataFrame:
 
 def fit_spectral(rows: DataFrame) -> DataFrame:
     """One row: lower medians and scales (0.01 at least) of the tiles' features."""
-    first = rows.agg(*(lower_median(c).alias(f"median_{c}") for c in FEATURES))
+    first = quantiles(rows, [], {f"median_{c}": (c, 0.5, "lower") for c in FEATURES})
     gone = rows.crossJoin(F.broadcast(first)).select(*(F.abs(F.col(c) - F.col(f"median_{c}")).alias(c) for c in FEATURES))  # one row
-    scales = gone.agg(*(F.greatest(MAD * lower_median(c), F.lit(0.01)).alias(f"scale_{c}") for c in FEATURES))
-    return first.crossJoin(scales)
+    mads = quantiles(gone, [], {c: (c, 0.5, "lower") for c in FEATURES})
+    return first.crossJoin(mads.select(*(F.greatest(MAD * F.col(c), F.lit(0.01)).alias(f"scale_{c}") for c in FEATURES)))
 
 
 def score_spectral(rows: DataFrame, key: str, vector: str, states: dict[int, dict], side: int, fraction: float = 0.05) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Detection metrics: tie-correct curves and areas, confusion counts, slices, pairs, prevalence, bootstrap.
+"""Detection metrics: tie-correct curves and areas, confusion counts, slices, pairs, prevalence.
 
 Scored rows have `score` (double), `y` (1 anomaly, 0 normal) and key columns that name the slice or variant. Rows with a null
 score or label are left out of curves.
@@ -12,13 +12,36 @@ from pyspark.sql import functions as F
 from ..functions.prefix import prefix_sums
 
 
-def with_shared_normals(rows: DataFrame, dimension: str, keys: list[str] = ()) -> DataFrame:
-    """One slice for each value that anomalies have in a dimension: those anomalies and all normal rows, as `slice`."""
-    values = rows.where((F.col("y") == 1) & F.col(dimension).isNotNull()).select(*keys, F.col(dimension).alias("slice")).distinct()
-    normal = rows.where("y = 0")
-    shared = normal.join(values, list(keys)) if keys else normal.crossJoin(values)  # Spark broadcasts them where they are few
-    own = rows.where((F.col("y") == 1) & F.col(dimension).isNotNull()).withColumn("slice", F.col(dimension))
-    return shared.unionByName(own)
+def _sliced(rows: DataFrame, dimensions: list[str]) -> DataFrame:
+    """Each anomaly once for every dimension that has a value: dimension, slice."""
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("slice")) for d in dimensions))
+    return rows.where("y = 1").select("*", F.inline(each)).where("slice is not null")
+
+
+def slice_auroc(rows: DataFrame, dimensions: list[str], keys: list[str] = ()) -> DataFrame:
+    """keys, dimension, slice, positives, negatives, auroc: the anomalies of each value of each dimension against all normal rows of their keys.
+
+    Normals are not copied for slices: how many score below and at each score is summed once, and every slice's anomalies look
+    their scores up there. Slices whose anomalies have no score have a null auroc. Slices are strings.
+    """
+    keys = list(keys)
+    blocks = rows.where("score is not null and y is not null").groupBy(*keys, "score").agg(F.sum(1 - F.col("y")).alias("neg"))
+    table = prefix_sums(blocks, keys, "score", ["neg"])
+    total = rows.where("score is not null and y = 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("negatives"))
+    own = _sliced(rows, dimensions).groupBy(*keys, "dimension", "slice", "score").agg(F.count("score").alias("pos"))
+    beaten = F.col("pos") * (F.col("before_neg") + F.lit(0.5) * F.col("neg"))
+    sums = own.join(table, [*keys, "score"], "left").groupBy(*keys, "dimension", "slice").agg(F.sum("pos").alias("positives"), F.sum(beaten).alias("beaten"))
+    sums = sums.join(total, keys, "left") if keys else sums.crossJoin(F.broadcast(total))  # one row without keys
+    pairs = F.nullif((F.col("positives") * F.col("negatives")).cast("double"), F.lit(0.0))
+    return sums.select(*keys, "dimension", "slice", "positives", F.coalesce("negatives", F.lit(0)).alias("negatives"), (F.col("beaten") / pairs).alias("auroc"))
+
+
+def slice_confusion(rows: DataFrame, dimensions: list[str], threshold: Column) -> DataFrame:
+    """dimension, slice and the counts and rates of `confusion`, each slice's anomalies against all normal rows, which are counted once."""
+    flagged = F.col("score") > threshold
+    normal = rows.where("y = 0").agg(F.count_if(flagged).alias("fp"), F.count_if(~flagged).alias("tn"))
+    own = _sliced(rows, dimensions).groupBy("dimension", "slice").agg(F.count_if(flagged).alias("tp"), F.count_if(~flagged).alias("fn"))
+    return _rates(own.crossJoin(F.broadcast(normal)))  # one row
 
 
 def score_blocks(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
@@ -78,7 +101,10 @@ def confusion(rows: DataFrame, keys: list[str], threshold: Column, strict_zero:
     """
     flagged, y = F.col("score") > threshold, F.col("y") == 1
     n = lambda c: F.count_if(c)
-    out = rows.groupBy(*keys).agg(n(flagged & y).alias("tp"), n(flagged & ~y).alias("fp"), n(~flagged & ~y).alias("tn"), n(~flagged & y).alias("fn"))
+    return _rates(rows.groupBy(*keys).agg(n(flagged & y).alias("tp"), n(flagged & ~y).alias("fp"), n(~flagged & ~y).alias("tn"), n(~flagged & y).alias("fn")), strict_zero)
+
+
+def _rates(out: DataFrame, strict_zero: bool = False) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     ratio = lambda a, b, other: F.coalesce(a / F.nullif(b, F.lit(0)), other)
     nothing, zero = F.lit(None).cast("double"), F.lit(0.0)
@@ -104,25 +130,3 @@ def at_prevalence(rows: DataFrame, keys: list[str], threshold: float, prevalence
     rates = confusion(rows, keys, F.lit(threshold)).select(*keys, F.col("recall").alias("tpr"), "fpr").crossJoin(F.broadcast(shares))
     rates = rates.select(*keys, "prevalence", "tpr", "fpr", F.coalesce(hit / F.nullif(hit + false, F.lit(0.0)), F.lit(0.0)).alias("expected_precision"), (1000 * false).alias("false_alerts_per_1000"), (1000 * hit).alias("true_alerts_per_1000"))
     return rates.join(ap, [*keys, "prevalence"])
-
-
-def bootstrap_draws(groups: DataFrame, unit: str, repeats: int, salt: str = "42") -> DataFrame:
-    """How often each unit is drawn in each replicate, about once on average, by a hash of replicate and unit.
-
-    The draw approximates sampling with replacement by a Poisson law of mean 1, cut at 6.
-    """
-    # The Poisson distribution function of mean 1, in ten-thousandths.
-    steps = [3679, 7358, 9197, 9810, 9963, 9994]
-    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), F.col("replicate").cast("string"), F.col(unit).cast("string")), 256), 1, 8), 16, 10).cast("long") % 10000
-    out = groups.select(unit).distinct().crossJoin(F.broadcast(groups.sparkSession.range(repeats).select(F.col("id").alias("replicate"))))
-    return out.withColumn("times", sum((F.when(draw >= s, 1).otherwise(0) for s in steps), F.lit(0)))
-
-
-def bootstrap_auroc(rows: DataFrame, unit: str, repeats: int, salt: str = "42") -> DataFrame:
-    """The replicates' auroc by resampling whole units; replicates with one class only are null."""
-    sums = rows.groupBy(unit, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    drawn = sums.join(bootstrap_draws(sums, unit, repeats, salt).where("times > 0"), unit)
-    blocks = drawn.groupBy("replicate", "score").agg(F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
-    blocks = prefix_sums(blocks, ["replicate"], "score", ["neg"])
-    pairs = F.sum(F.col("pos") * (F.col("before_neg") + F.lit(0.5) * F.col("neg")))
-    return blocks.groupBy("replicate").agg((pairs / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0))).alias("auroc"))

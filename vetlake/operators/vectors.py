@@ -9,9 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import salted
+from ..functions.kept import kept
 
-#: Vectors of a bank that one broadcast holds; a larger bank is joined in blocks.
-BLOCK = 50_000
+#: Vectors of a block that one task of a neighbour search holds, the chunks in which it compares them, and the digits it ranks by.
+BLOCK = 16_384
+QUERIES, BANK, DIGITS = 256, 4096, 12
+#: States of moments that one task merges.
+FAN = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,23 +33,36 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0))
 
 
-def _nearest(shared, k: int, id_name: str, vector: str, exclude_self: bool):
-    def run(batches):
-        ids, bank = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            names = batch.schema.names
-            own = batch.column(names.index(id_name)).to_numpy()
-            x = np.stack(batch.column(names.index(vector)).to_numpy(zero_copy_only=False)).astype(float)
-            d = 1 - np.clip(x @ bank.T, -1, 1)
-            if exclude_self:
-                d[own[:, None] == ids[None, :]] = np.inf
-            at = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : min(k, len(ids))]
-            near = np.take_along_axis(d, at, 1)
-            flat = np.isfinite(near)
-            yield pa.record_batch([pa.array(np.repeat(own, flat.sum(1))), pa.array(ids[at][flat]), pa.array(near[flat])], ["id", "other", "distance"])
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
+def _nearest(k: int, exclude_self: bool):
+    """The k nearest of a block of the bank for each query of a block, in chunks of QUERIES x BANK distances."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, x = left.column("id").to_numpy(), _matrix(left.column("v"))
+        order = np.argsort(right.column("k").to_numpy())  # so that ties go by id
+        ids, bank = right.column("k").to_numpy()[order], _matrix(right.column("v"))[order]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for lo in range(0, len(own), QUERIES):
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for at in range(0, len(ids), BANK):
+                d = np.round(1 - np.clip(x[lo : lo + QUERIES] @ bank[at : at + BANK].T, -1, 1), DIGITS)
+                if exclude_self:
+                    d[own[lo : lo + QUERIES, None] == ids[None, at : at + BANK]] = np.inf
+                last = min(k, d.shape[1]) - 1
+                row, col = np.nonzero((d <= np.partition(d, last, axis=1)[:, last : last + 1]) & (d < np.inf))
+                found.append((row, d[row, col], ids[at + col]))
+            row, d, other = (np.concatenate(c) for c in zip(*found, strict=True))
+            best = np.lexsort((other, d, row))
+            row, d, other = row[best], d[best], other[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            for c, v in zip(out, (own[lo + row], other, d), strict=True):
+                c.append(v[place < k])
+        return pa.table({name: np.concatenate(c) for name, c in zip(("id", "other", "distance"), out, strict=True)})
 
     return run
 
@@ -53,50 +70,104 @@ def _nearest(shared, k: int, id_name: str, vector: str, exclude_self: bool):
 def cosine_knn(queries: DataFrame, bank: DataFrame, key: str, vector: str, k: int = 5, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
     """id, other, distance, rank: each query's k nearest vectors of the bank, by cosine distance, ties by id; exact.
 
-    The bank is taken in blocks of at most `block` vectors, each broadcast; what blocks find is merged by rank.
+    Both sides are dealt in blocks of about `block` vectors; a shuffle brings each block of queries to each block of the bank,
+    where a task keeps k candidates for each query. Candidates are merged by rank, before the shuffle too. Nothing is broadcast
+    or collected. Distances that agree in DIGITS digits are ties. Null ids and vectors are left out.
     """
-    spark = queries.sparkSession
-    bank = bank.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
-    blocks = max(1, -(-bank.count() // block))
-    rows = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    found = rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance")).where("false")  # what an empty bank gives
-    for b in range(blocks):
-        part = bank.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast((part["k"].to_numpy(np.int64), np.stack(part["v"]).astype(float) if len(part) else np.zeros((0, 1))))
-        if len(part):
-            found = found.unionAll(rows.mapInArrow(_nearest(shared, k, "id", "v", exclude_self), "id long, other long, distance double"))
+    n_blocks = lambda df: max(1, -(-df.count() // block))
+    known = lambda df: df.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    rows, own = known(queries), known(bank)
+    nq, nb = n_blocks(rows), n_blocks(own)
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), deal(nq, 1).alias("q"), every(nb).alias("b"))
+    right = own.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"), deal(nb, 2).alias("b"), every(nq).alias("q"))
+    cells = left.groupBy("q", "b").cogroup(right.groupBy("q", "b"))
+    near = _nearest(k, exclude_self)
+    empty = pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+    found = cells.applyInArrow(lambda a, b: near(a, b) if a.num_rows and b.num_rows else empty, "id long, other long, distance double")
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+_STATE = "part long, n long, mean array<double>, products array<double>"
+
+
+def _merged(a, b):
+    """The state of both parts together, from (n, mean, products); differences of means keep the digits that sums of squares lose."""
+    if a is None:
+        return b
+    (n, mean, products), (m, mean_m, products_m) = a, b
+    gap = mean_m - mean
+    return n + m, mean + gap * (m / (n + m)), products + products_m + np.outer(gap, gap)[np.triu_indices(len(gap))] * (n * m / (n + m))
+
+
+def _rows_of(part: int, state) -> pa.RecordBatch:
+    n, mean, products = state
+    return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([mean.tolist()]), pa.array([products.tolist()])], names=["part", "n", "mean", "products"])
+
+
+def _own_state(batches):
+    """A partition's vectors as one state."""
+    part, state = 0, None
+    for batch in batches:
+        if batch.num_rows:
+            part, x = batch.column(0)[0].as_py(), _matrix(pa.chunked_array([batch.column(1)]))
+            rest = x - x.mean(0)
+            state = _merged(state, (len(x), x.mean(0), (rest.T @ rest)[np.triu_indices(x.shape[1])]))
+    if state is not None:
+        yield _rows_of(part, state)
+
+
+def _joint_state(states: pa.Table) -> pa.Table:
+    state = None
+    for n, mean, products in zip(states["n"].to_pylist(), _matrix(states["mean"]), _matrix(states["products"]), strict=True):
+        state = _merged(state, (n, mean, products))
+    return pa.Table.from_batches([_rows_of(states["part"][0].as_py() // FAN, state)])
+
+
+def moment_state(rows: DataFrame, vector: str) -> DataFrame:
+    """One row, none without vectors: n, mean and products, the upper triangle of the summed products around the mean.
+
+    Each partition makes one state, which is written; FAN states at a time are merged, level by level, until one is left. Null
+    vectors are left out; all others have one length.
+    """
+    wide = rows.where(F.col(vector).isNotNull()).select(F.spark_partition_id().cast("long").alias("part"), F.col(vector).cast("array<double>").alias("v"))
+    states = kept(wide.mapInArrow(_own_state, _STATE), "moments")
+    while states.count() > 1:
+        states = kept(states.groupBy(F.floor(F.col("part") / FAN).alias("to")).applyInArrow(_joint_state, _STATE), "moments")
+    return states.drop("part")
+
+
 def moments(rows: DataFrame, vector: str) -> DataFrame:
-    """Covariances (with n - 1) of a vector column's elements: i, j, covariance, and the means."""
-    each = rows.select(F.posexplode(vector).alias("i", "x"), vector)
-    pairs = each.select("i", F.col("x").cast("double").alias("x"), F.posexplode(vector).alias("j", "y")).where("i <= j")
-    return pairs.groupBy("i", "j").agg(F.covar_samp("x", F.col("y").cast("double")).alias("covariance"), F.avg("x").alias("mean_i"), F.avg("y").alias("mean_j"))
+    """Covariances (with n - 1) of a vector column's elements: i, j, covariance, and the means; i <= j. One vector has none."""
+    state = moment_state(rows, vector)
+    size = F.size("mean")
+    each = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(i, size - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))
+    pairs = state.select("n", "mean", F.inline(F.arrays_zip(F.flatten(each).alias("at"), F.col("products").alias("p"))))
+    mean = lambda end: F.get("mean", F.col(f"at.{end}"))
+    return pairs.select(F.col("at.i").alias("i"), F.col("at.j").alias("j"), (F.col("p") / F.nullif(F.col("n") - 1, F.lit(0))).alias("covariance"), mean("i").alias("mean_i"), mean("j").alias("mean_j"))
 
 
 def fit_latent(rows: DataFrame, vector: str, most: int = 32, shrink: float = 0.1):
-    """Mean, components and the inverse of the shrunken covariance, from a d x d table of moments.
+    """Mean, components and the inverse of the shrunken covariance, from one state of moments: d * (d + 1) / 2 numbers.
 
-    The covariance of the leading components is shrunk towards its mean variance. Fewer than three vectors, or a share
-    outside (0, 1], are a ValueError.
+    The covariance of the leading components is shrunk towards its mean variance, 1e-8 at least, so that vectors which are all
+    alike have a finite distance too. Fewer than three vectors, or a share outside (0, 1], are a ValueError.
     """
-    rows = rows.where(F.col(vector).isNotNull())
-    n = rows.count()
-    if n < 3 or not 0 < shrink <= 1:
+    state = moment_state(rows, vector).first()
+    if state is None or state["n"] < 3 or not 0 < shrink <= 1:
         raise ValueError("three vectors and a share in (0, 1] are needed")
-    table = moments(rows, vector).toPandas()  # d * (d + 1) / 2 rows
-    d = int(table["j"].max()) + 1
-    cov, mean = np.zeros((d, d)), np.zeros(d)
-    for i, j, c, m in table[["i", "j", "covariance", "mean_i"]].itertuples(index=False):
-        cov[int(i), int(j)] = cov[int(j), int(i)] = c
-        mean[int(i)] = m
+    n, mean = state["n"], np.array(state["mean"])
+    d = len(mean)
+    cov = np.zeros((d, d))
+    cov[np.triu_indices(d)] = np.array(state["products"]) / (n - 1)
+    cov += np.triu(cov, 1).T
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][: min(most, n - 1, d)]
-    kept = np.diag(values[order])
-    kept = (1 - shrink) * kept + shrink * np.trace(kept) / len(order) * np.eye(len(order))
-    return mean, axes[:, order], np.linalg.pinv(kept)
+    spread = np.diag(values[order])
+    target = max(np.trace(spread) / len(order), 1e-8)
+    return mean, axes[:, order], np.linalg.pinv((1 - shrink) * spread + shrink * target * np.eye(len(order)))
 
 
 def score_latent(rows: DataFrame, key: str, vector: str, state) -> DataFrame:
@@ -107,7 +178,7 @@ def score_latent(rows: DataFrame, key: str, vector: str, state) -> DataFrame:
         mean, axes, inverse = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = (np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float) - mean) @ axes
+                x = (_matrix(pa.chunked_array([batch.column(1)])) - mean) @ axes
                 yield pa.record_batch([batch.column(0), pa.array(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, inverse, x), 0)))], [key, "latent"])
 
     return rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, latent double")

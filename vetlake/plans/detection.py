@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.bootstrap import bootstrap_auroc
 from ..sources.fixtures import PREDICTIONS, predictions
 from . import query
 
@@ -29,8 +30,9 @@ k AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, pos, neg, np,
 
 def _by(dimension: str):
     def f(spark, sf_dir):
-        rows = M.with_shared_normals(predictions(spark, sf_dir), dimension)
-        return M.rank_auroc(rows, ["slice"]).select("slice", "positives", "negatives", r("auroc"))
+        rows = predictions(spark, sf_dir)
+        kind = dict(rows.dtypes)[dimension]
+        return M.slice_auroc(rows, [dimension]).select(F.col("slice").cast(kind).alias("slice"), "positives", "negatives", r("auroc"))
 
     sql = f"""WITH {_slices(dimension)}, {_BLOCKS} SELECT slice, CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives,
 round(sum(pos * (below + 0.5::DOUBLE * neg)) / nullif(CAST(sum(pos) AS DOUBLE) * sum(neg), 0), 6) AS auroc FROM k GROUP BY slice"""
@@ -81,10 +83,8 @@ k AS (SELECT dimension, value, {_COUNTS} FROM m GROUP BY dimension, value)"""
 
 @query(f"{_BOTH} SELECT dimension, value, {_RATES} FROM k")
 def confusion_by_slice(spark, sf_dir):
-    rows = predictions(spark, sf_dir).withColumn("severity", F.col("severity").cast("string"))
-    parts = [M.with_shared_normals(rows, d).withColumn("dimension", F.lit(d)) for d in ("family", "severity")]
-    rows = parts[0].unionByName(parts[1]).withColumnRenamed("slice", "value")
-    return M.confusion(rows, ["dimension", "value"], F.lit(THRESHOLD)).select("dimension", "value", "tp", "fp", "tn", "fn", *map(r, _RATE_NAMES))
+    out = M.slice_confusion(predictions(spark, sf_dir), ["family", "severity"], F.lit(THRESHOLD))
+    return out.select("dimension", F.col("slice").alias("value"), "tp", "fp", "tn", "fn", *map(r, _RATE_NAMES))
 
 
 @query(f"WITH {PREDICTIONS} SELECT y AS actual, count(*) FILTER (score <= {THRESHOLD}) AS predicted_normal, count(*) FILTER (score > {THRESHOLD}) AS predicted_anomaly FROM p GROUP BY y")
@@ -136,18 +136,24 @@ _top("missed_bottomk", f"y = 1 AND score <= {THRESHOLD}", "score", 10)
 _top("top_clean", "y = 0", "score DESC", 1)
 
 REPLICATES = 20
-_DRAW = "CAST(('0x' || substr(sha256('42:' || CAST(r AS VARCHAR) || ':' || CAST(base_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10000"
+#: Draws go down a binary tree over the bits of the units' hashes; the left side's count is the least k whose binomial distribution function reaches a hashed uniform number.
+_LEFT = """CASE WHEN nl = 0 THEN 0 WHEN nl = n THEN m ELSE len(list_filter(list_transform(range(1, m + 2), lambda i: list_sum(list_transform(range(0, i), lambda k: exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(nl / n) + (m - k) * ln(1 - nl / n))))), lambda c: c < u)) END"""
 
 
-@query(f"""WITH {PREDICTIONS}, u AS (SELECT DISTINCT base_id FROM p), d AS (SELECT r, base_id, {_DRAW} AS h FROM u, (SELECT unnest(range({REPLICATES})) AS r)),
-w AS (SELECT r, base_id, (h >= 3679)::INT + (h >= 7358)::INT + (h >= 9197)::INT + (h >= 9810)::INT + (h >= 9963)::INT + (h >= 9994)::INT AS times FROM d),
+@query(f"""WITH RECURSIVE {PREDICTIONS}, un AS MATERIALIZED (SELECT base_id, lpad(bin(CAST('0x' || substr(sha256(CAST(base_id AS VARCHAR)), 1, 8) AS UBIGINT)), 32, '0') AS bits FROM (SELECT DISTINCT base_id FROM p)),
+nodes AS MATERIALIZED (SELECT substr(bits, 1, d) AS path, count(*) AS n FROM un, (SELECT unnest(range(33)) AS d) GROUP BY 1),
+t AS (SELECT r, '' AS path, n, n AS m FROM nodes, (SELECT unnest(range({REPLICATES})) AS r) WHERE path = ''
+  UNION ALL SELECT r, path || side, CASE WHEN side = '0' THEN nl ELSE n - nl END, CASE WHEN side = '0' THEN k ELSE m - k END FROM (SELECT *, {_LEFT} AS k FROM (
+    SELECT r, t.path, t.n, m, coalesce(l.n, 0) AS nl, (CAST('0x' || substr(sha256('42:' || r || ':' || t.path), 1, 8) AS UBIGINT) + 0.5) / 4294967296.0 AS u FROM t LEFT JOIN nodes l ON l.path = t.path || '0' WHERE t.n > 1 AND length(t.path) < 32)), (SELECT unnest(['0', '1']) AS side)
+  WHERE CASE WHEN side = '0' THEN nl ELSE n - nl END > 0),
+w AS (SELECT r, base_id, m AS times FROM t JOIN un ON substr(bits, 1, length(path)) = path WHERE n = 1),
 c AS (SELECT r, score, sum(y * times) AS pos, sum((1 - y) * times) AS neg FROM p JOIN w USING (base_id) WHERE times > 0 GROUP BY r, score),
 k AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY r ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
 a AS (SELECT r, sum(pos * (below + 0.5::DOUBLE * neg)) / nullif(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auroc FROM k GROUP BY r)
 SELECT count(auroc) AS replicates, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high, round(avg(auroc), 6) AS mean FROM a""")
 def bootstrap_auc(spark, sf_dir):
-    out = M.bootstrap_auroc(predictions(spark, sf_dir), "base_id", REPLICATES)
-    return out.agg(F.count("auroc").alias("replicates"), F.round(F.percentile("auroc", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("auroc", F.lit(0.975)), 6).alias("high"), F.round(F.avg("auroc"), 6).alias("mean"))
+    out = bootstrap_auroc(predictions(spark, sf_dir), "base_id", REPLICATES)
+    return out.agg(F.count("auroc").alias("replicates"), F.round(F.percentile("auroc", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("auroc", F.lit(0.975)), 6).alias("high"), F.round(F.avg("auroc"), 6).alias("mean"))  # a row for each replicate
 
 
 @query(f"""WITH {PREDICTIONS} SELECT family, severity, count(*) AS n, grouping(family, severity) AS level FROM p GROUP BY ROLLUP (family, severity)""")

@@ -6,10 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..functions.robust import finite, quantile
+from ..functions.robust import finite
 from ..operators import guards as V
 from ..operators import metrics as M
 from ..operators import splits as S
+from ..operators.selection import quantiles
 from ..sources.fixtures import MANIFEST, PREDICTIONS, manifest, predictions, table
 from . import query
 
@@ -180,7 +181,7 @@ unnest([u.n = 0, finite, abs(fp / (fp + tn) - k.f) <= 1e-9, abs(coalesce(tp / nu
 def validate_artifacts(spark, sf_dir):
     # what a run would have recorded, by the engine's operators, against plain counts over the tables
     rows = predictions(spark, sf_dir)
-    limit = rows.where("y = 0").agg(quantile(F.col("score"), 0.99).alias("limit_"))
+    limit = quantiles(rows.where("y = 0"), [], {"limit_": ("score", 0.99)})
     flagged = rows.crossJoin(F.broadcast(limit))  # one row
     recorded = M.confusion(flagged, [], F.col("limit_"))
     over, y = F.col("score") > F.col("limit_"), F.col("y")

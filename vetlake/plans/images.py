@@ -6,11 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.robust import quantile
 from ..operators import corrupt as C
 from ..operators import maps as T
 from ..operators import metrics as M
 from ..operators import patches as P
+from ..operators.selection import quantiles
 from ..sources.fixtures import PIXELS, pixels, table
 from . import query
 
@@ -146,7 +146,7 @@ _LIMIT = "t AS (SELECT quantile_cont(score, 0.95) AS limit_ FROM q WHERE class_i
 
 
 def _limit(rows):
-    return rows.where("class_id = 0").agg(quantile(F.col("score"), 0.95).alias("limit_"))
+    return quantiles(rows.where("class_id = 0"), [], {"limit_": ("score", 0.95)})
 
 
 @query(f"""WITH {_MASKED}, {_LIMIT} SELECT case_id, round(count(*) FILTER (m = 1 AND score > limit_) / nullif(count(*) FILTER (m = 1 OR score > limit_), 0), 6) AS iou,
@@ -170,7 +170,8 @@ def map_calibration(spark, sf_dir):
     rows = _masked(spark, sf_dir)
     state = X.fit(rows.where("class_id < 5"), ["score"], "most")
     b = rows.where("class_id >= 5 and row between 1 and 6 and x between 1 and 6")
-    return X.with_z(b, state, ["score"]).agg(F.round(quantile(F.col("z_score"), 0.95), 6).alias("threshold"), F.count(F.lit(1)).alias("n"))
+    limit = quantiles(X.with_z(b, state, ["score"]), [], {"threshold": ("z_score", 0.95)})
+    return limit.select(F.round("threshold", 6).alias("threshold")).crossJoin(b.agg(F.count(F.lit(1)).alias("n")))  # one row each
 
 
 @query(f"WITH {_MASKED}, {_LIMIT}, c AS (SELECT case_id, class_id, count(*) FILTER (m = 1 AND score > limit_) / nullif(count(*) FILTER (score > limit_), 0) AS hit FROM q, t GROUP BY case_id, class_id) SELECT class_id, count(*) AS n, round(avg(hit), 6) AS mean_hit FROM c GROUP BY class_id")
@@ -190,7 +191,8 @@ def systematic_pixels(spark, sf_dir):
 
 @query(f"WITH {PIXELS} SELECT case_id, round(quantile_cont(greatest(v, 0), 0.99), 6) AS range FROM px GROUP BY case_id")
 def display_range(spark, sf_dir):
-    return pixels(spark, sf_dir).groupBy("case_id").agg(F.round(quantile(F.greatest(F.col("v"), F.lit(0.0)), 0.99), 6).alias("range"))
+    rows = pixels(spark, sf_dir).withColumn("v", F.greatest(F.col("v"), F.lit(0.0)))
+    return quantiles(rows, ["case_id"], {"range": ("v", 0.99)}).select("case_id", F.round("range", 6).alias("range"))
 
 
 @query("SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(((y // 4) % 2) * 2 + (x // 4) % 2 AS INT) AS mask FROM (SELECT unnest(range(16)) AS y), (SELECT unnest(range(16)) AS x)")

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.robust import lower_median, median, quantile, scale
+from ..functions.robust import scale
 from ..operators import fusion as X
 from ..operators import metrics as M
+from ..operators.selection import quantiles
 from ..operators.splits import hash_halves
 from ..sources.fixtures import BRANCHES_SQL, branch_scores
 from . import query
@@ -42,9 +43,9 @@ d AS (SELECT branch, quantile_disc(abs(v - median), 0.5) AS mad FROM u JOIN a US
 SELECT branch, round(median, 6) AS median, round(greatest(1.4826 * mad, 0.01), 6) AS scale FROM a JOIN d USING (branch)""")
 def robust_fit_disc(spark, sf_dir):
     rows = branch_scores(spark, sf_dir).where("y = 0").select(F.explode(F.array(*(F.struct(F.lit(b).alias("branch"), F.col(b).alias("v")) for b in B))).alias("s")).select("s.*")
-    first = rows.groupBy("branch").agg(lower_median("v").alias("median"))
-    gone = rows.join(F.broadcast(first), "branch").withColumn("d", F.abs(F.col("v") - F.col("median")))  # one row for each branch
-    return gone.groupBy("branch").agg(F.first("median").alias("median"), lower_median("d").alias("mad")).select("branch", r("median"), F.round(scale(F.col("mad"), "clamp"), 6).alias("scale"))
+    first = quantiles(rows, ["branch"], {"median": ("v", 0.5, "lower")})
+    gone = rows.join(first, "branch").withColumn("d", F.abs(F.col("v") - F.col("median")))
+    return first.join(quantiles(gone, ["branch"], {"mad": ("d", 0.5, "lower")}), "branch").select("branch", r("median"), F.round(scale(F.col("mad"), "clamp"), 6).alias("scale"))
 
 
 @query(f"WITH {_MED} SELECT branch, round(median, 6) AS median, round(greatest(CASE WHEN mad <= 1e-6 THEN spread / 2.563 ELSE 1.4826 * mad END, 1e-6), 6) AS scale FROM a JOIN d USING (branch)")
@@ -106,7 +107,8 @@ def _subset_sql(subsets) -> str:
 @query(f"WITH {_ZR}, f AS ({_subset_sql(SUBSETS)}) SELECT variant, round(quantile_cont(score, 0.95), 6) AS threshold, round(avg(score), 6) AS mean FROM f WHERE y = 0 GROUP BY variant")
 def fuse_mean_max_variants(spark, sf_dir):
     rows = X.by_variant(_raw(spark, sf_dir).where("y = 0"), X.subset_variants(B, SUBSETS))
-    return rows.groupBy("variant").agg(F.round(quantile(F.col("score"), 0.95), 6).alias("threshold"), F.round(F.avg("score"), 6).alias("mean"))
+    means = rows.groupBy("variant").agg(F.round(F.avg("score"), 6).alias("mean"))
+    return X.thresholds(rows, ["variant"], 0.95).select("variant", r("threshold")).join(means, "variant")
 
 
 @query(f"WITH {_FUSED} SELECT variant, round(quantile_cont(score, 0.99), 6) AS threshold FROM f WHERE y = 0 GROUP BY variant")
@@ -125,7 +127,8 @@ def threshold_q95_b(spark, sf_dir):
     rows = branch_scores(spark, sf_dir).where("y = 0")
     rows = rows.join(hash_halves(rows, "split_group_id"), "split_group_id")
     state = X.fit(rows.where("half = 'A'"), ["semantic"], "most")
-    return X.with_z(rows.where("half = 'B'"), state, ["semantic"]).agg(F.count(F.lit(1)).alias("n"), F.round(quantile(F.col("z_semantic"), 0.95), 6).alias("threshold"))
+    second = X.with_z(rows.where("half = 'B'"), state, ["semantic"])
+    return second.agg(F.count(F.lit(1)).alias("n")).crossJoin(quantiles(second, [], {"threshold": ("z_semantic", 0.95)}).select(r("threshold")))  # one row each
 
 
 def _ablations(spark, sf_dir):
@@ -193,7 +196,7 @@ def hash_half_split(spark, sf_dir):
 
 @query(f"WITH {BRANCHES_SQL} SELECT split_group_id, round(quantile_cont(semantic, 0.5), 6) AS median, round(quantile_disc(semantic, 0.5), 6) AS lower FROM b GROUP BY split_group_id")
 def two_medians(spark, sf_dir):
-    return branch_scores(spark, sf_dir).groupBy("split_group_id").agg(F.round(median(F.col("semantic")), 6).alias("median"), F.round(lower_median("semantic"), 6).alias("lower"))
+    return quantiles(branch_scores(spark, sf_dir), ["split_group_id"], {"median": ("semantic", 0.5), "lower": ("semantic", 0.5, "lower")}).select("split_group_id", r("median"), r("lower"))
 
 
 @query(f"WITH {BRANCHES_SQL} SELECT count(*) AS n, count(*) FILTER (" + " AND ".join(f"isfinite({b})" for b in B) + ") AS finite FROM b")
