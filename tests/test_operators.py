@@ -1,5 +1,6 @@
 """Invariants of the operators on small vectors."""
 
+import hashlib
 import itertools
 import math
 
@@ -176,7 +177,7 @@ def test_near_pairs_equal_brute_force(spark):
     rows = [(i, "".join(map(str, b))) for i, b in enumerate(all_bits.tolist())]
     want = {(i, j): sum(x != y for x, y in zip(a, b)) for (i, a), (j, b) in itertools.combinations(rows, 2)}
     df = spark.createDataFrame([*rows, (99, None)], "id long, bits string")
-    for t in (0, 4, 7):
+    for t in (0, 4, 7, 20, 64):
         got = {(r["a"], r["b"]): r["distance"] for r in G.near_pairs(df, "id", "bits", t).collect()}
         near = {p: d for p, d in want.items() if d <= t}
         # copies of a string are handed to its first row; pairs between different strings name first rows
@@ -186,6 +187,19 @@ def test_near_pairs_equal_brute_force(spark):
         assert got == expected
 
 
+def test_probe_plans_are_complete_and_cheap():
+    """Whatever bits differ, a block is within its radius; few candidates at narrow thresholds, at wide ones fewer than pairs."""
+    rng = np.random.default_rng(33)
+    for t, n in ((0, 100), (4, 10**6), (7, 10**9), (13, 10**4), (20, 50_000), (33, 10**7), (64, 50)):
+        plan = G.probe_plan(t, n)
+        for _ in range(300):
+            apart = sum(1 << int(b) for b in rng.permutation(64)[:t])
+            assert any((apart >> lo & (1 << width) - 1).bit_count() <= r for lo, width, r in plan)
+        assert sum(width for _, width, _ in plan) <= 64
+    share = lambda t, n: sum(G.ball(w, r) / 2**w for _, w, r in G.probe_plan(t, n))
+    assert share(4, 50_000) < 1e-3 and share(8, 50_000) < 0.01 and share(12, 10**6) < 0.05 and share(20, 50_000) < 0.5
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(4)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(20)]
@@ -212,6 +226,29 @@ def test_halves_and_splits_cover_groups_once(spark):
     assert len(split) == 11 and {r["assigned_split"] for r in split} == {"train", "val", "test"}
 
 
+@pytest.mark.parametrize("prefix", [0, 1, 3])
+def test_covered_split_is_the_first_that_covers(spark, monkeypatch, prefix):
+    """As by sorting every attempt's groups: places come from counts of prefixes, also where all groups share one."""
+    monkeypatch.setattr(S, "PREFIX", prefix)
+    rng = np.random.default_rng(41)
+    rows = [(f"g{k}", f"c{c}") for k in range(23) for c in set(rng.integers(0, 4, 2).tolist())] + [(None, "c0"), ("g1", None)]
+    df = spark.createDataFrame(rows, "g string, c string").repartition(3)
+    shares, names = {"train": 0.7, "val": 0.15, "test": 0.15}, ["train", "val", "test"]
+    classes = {c for g, c in rows if g and c}
+    groups = sorted({g for g, c in rows if g and c})
+
+    def split(attempt):
+        order = sorted(groups, key=lambda g: hashlib.sha256(f"{attempt}:{g}".encode()).hexdigest())
+        cut = [math.floor(0.7 * len(order) + 0.5), math.floor(0.85 * len(order) + 0.5)]
+        return {g: names[sum(k >= c for c in cut)] for k, g in enumerate(order)}
+
+    first = next(a for a in range(200) if {(split(a)[g], c) for g, c in rows if g and c} == {(n, c) for n in names for c in classes})
+    got = S.covered_split(df, "g", "c", shares, 200).collect()
+    assert {r["g"]: r["assigned_split"] for r in got} == split(first) and {r["attempt"] for r in got} == {first}
+    assert S.covered_split(df, "g", "c", shares, first).count() == 0
+    assert S.covered_split(df.where("g = 'g0'"), "g", "c", shares, 4).count() == 0
+
+
 def test_validation_groups():
     classes = {"a": {1}, "b": {1, 2}, "c": {2}, "d": {3}}
     assert S.validation_groups(classes, 2) == ["a", "c"]

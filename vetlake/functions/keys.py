@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,17 +70,16 @@ def signature_bits(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda x: F.when(x > 0, "1").otherwise("0")), "")
 
 
-def halves(bits: Column) -> tuple[Column, Column]:
-    """A 64-bit string's halves as longs, which never overflow."""
-    return tuple(F.conv(F.substring(bits, at, 32), 2, 10).cast("long") for at in (1, 33))
+def bits_as_long(bits: Column) -> Column:
+    """A 64-bit string as a long, by its halves, which never overflow."""
+    high, low = (F.conv(F.substring(bits, at, 32), 2, 10).cast("long") for at in (1, 33))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
-    return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
-def bit_blocks(bits: Column, threshold: int, size: int = 64) -> Column:
-    """threshold + 1 disjoint blocks of a bit string (at most one per bit): two strings within the threshold share one."""
-    n = min(threshold + 1, size)
-    bounds = [size * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.substring(bits, size - hi + 1, hi - lo).alias("value")) for i, (lo, hi) in enumerate(pairwise(bounds))))
+def bit_block(x: Column, offset: int, width: int) -> Column:
+    """Bits [offset, offset + width) of a long, counted from the lowest."""
+    return F.shiftrightunsigned(x, offset).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))

@@ -2,63 +2,91 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations, pairwise
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import bit_blocks, halves, hamming
+from ..functions.keys import bit_block, bits_as_long
+from ..functions.kept import kept
+
+
+#: Probes of a block that one row makes at most.
+PROBES = 1 << 16
+
+
+def ball(width: int, radius: int) -> int:
+    """How many values of `width` bits are at most `radius` bits from one of them."""
+    return sum(comb(width, k) for k in range(radius + 1))
+
+
+def probe_plan(threshold: int, n: int, size: int = 64) -> list[tuple[int, int, int]]:
+    """(offset, width, radius) of the blocks that are probed for strings at most `threshold` bits apart, the cheapest for n strings.
+
+    Of m blocks, with threshold = r m + a, one of the first a + 1 differs in at most r bits or one of the others in fewer than r.
+    More blocks take fewer probes but let more candidates through; the cost counts both.
+    """
+    best = None
+    for m in range(1, min(threshold + 1, size) + 1):
+        radius, over = divmod(threshold, m)
+        bounds = [size * i // m for i in range(m + 1)]
+        widths = sorted(((hi - lo, lo) for lo, hi in pairwise(bounds)), reverse=True)  # the widest take the larger radius
+        blocks = [(lo, width, radius if i <= over else radius - 1) for i, (width, lo) in enumerate(widths)]
+        blocks = [(lo, width, r) for lo, width, r in blocks if r >= 0]
+        balls = [ball(width, r) for _, width, r in blocks]
+        if max(balls) > PROBES:
+            continue
+        cost = n * sum(balls) + n * n / 2 * sum(b / 2**width for b, (_, width, _) in zip(balls, blocks, strict=True))
+        if best is None or cost < best[0]:
+            best = cost, blocks
+    return best[1]
 
 
 def near_pairs(rows: DataFrame, key: str, bits: str, threshold: int) -> DataFrame:
     """Pairs a < b of 64-bit strings at most `threshold` bits apart, with their distance.
 
-    threshold + 1 disjoint blocks: two strings within the threshold agree in one, so an equi-join of blocks finds every
-    pair. Equal strings are joined as one and handed to each other only in the end.
+    Multi-index hashing: each string asks in a few blocks of its bits for every value within the block's radius (probe_plan), so
+    that an equi-join of blocks finds every pair. A pair counts in the first block that finds it. Equal strings are joined as one
+    and handed to each other only in the end. Null keys and strings are left out.
     """
-    rows = rows.where(F.col(key).isNotNull() & F.col(bits).isNotNull())
-    hi, lo = halves(F.col(bits))
-    one = rows.groupBy(bits).agg(F.min(key).alias("rep")).withColumns({"hi": hi, "lo": lo})
-    blocks = one.select("rep", "hi", "lo", F.explode(bit_blocks(F.col(bits), threshold)).alias("b")).select("rep", "hi", "lo", "b.*")
-    left, right = (blocks.select("block", "value", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "hi", "lo"))) for s in "ab")
-    distance = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    met = left.join(right, ["block", "value"]).where(F.col("rep_a") < F.col("rep_b")).withColumn("distance", distance).where(F.col("distance") <= threshold)
-    found = met.select("rep_a", "rep_b", "distance").distinct()
-    own = rows.select(key, bits).join(one.select(bits, "rep"), bits)
+    rows = kept(rows.where(F.col(key).isNotNull() & F.col(bits).isNotNull()).select(key, bits), "strings")
+    one = kept(rows.groupBy(bits).agg(F.min(key).alias("rep")).withColumn("x", bits_as_long(F.col(bits))), "distinct")
+    blocks = probe_plan(threshold, one.count())
+    masks = [(i, sum(1 << b for b in chosen)) for i, (_, width, r) in enumerate(blocks) for k in range(r + 1) for chosen in combinations(range(width), k)]
+    masks = rows.sparkSession.createDataFrame(masks, "block int, mask long")  # PROBES for each block at most
+    values = F.array(*(F.struct(F.lit(i).alias("block"), bit_block(F.col("x"), lo, width).alias("value")) for i, (lo, width, _) in enumerate(blocks)))
+    each = one.select("rep", "x", F.inline(values))
+    asking = each.join(F.broadcast(masks), "block").select("block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), F.col("rep").alias("a"), F.col("x").alias("x_a"))
+    asked = each.select("block", "value", F.col("rep").alias("b"), F.col("x").alias("x_b"))
+    apart = F.col("x_a").bitwiseXOR(F.col("x_b"))
+    first = reduce(lambda later, b: F.when(F.bit_count(bit_block(apart, b[1][0], b[1][1])) <= b[1][2], b[0]).otherwise(later), reversed(list(enumerate(blocks))), F.lit(-1))
+    found = asking.join(asked, ["block", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= threshold) & (first == F.col("block")))
+    own = rows.join(one.select(bits, "rep"), bits)
     copies = own.where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
-    return found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.col("distance").cast("int").alias("distance")).unionAll(copies)
+    return found.select("a", "b", F.bit_count(apart).cast("int").alias("distance")).unionAll(copies)
 
 
 def components(nodes: DataFrame, links: DataFrame, key: str, most: int = 100) -> DataFrame:
     """Each node's least node that links (a, b) reach, as `root`.
 
-    Rounds of least neighbour and pointer jumping; each is checkpointed in the session's shared folder, or where there is
-    none held by persist, and the rounds end when no label moves.
+    Rounds of least neighbour and pointer jumping; each is written once in the shared folder, and they end when no label moves.
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = _kept(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _kept(nodes.select(F.col(key).alias("node")).where("node is not null").distinct().withColumn("root", F.col("node")))
+    both = kept(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = kept(nodes.select(F.col(key).alias("node")).where("node is not null").distinct().withColumn("root", F.col("node")), "labels")
     for _ in range(most):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        step = _kept(step.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next")))
+        step = kept(step.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
         labels = step.select("node", F.col("next").alias("root"))
         if not step.where("next <> root").limit(1).count():
             return labels.withColumnRenamed("node", key)
     raise RuntimeError("components did not settle")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage reliably: a checkpoint in spark.checkpoint.dir, which is set to a folder of ours only where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="vetlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 def group_ids(rows: DataFrame, key: str, name: str, links: DataFrame) -> DataFrame:
     """key and group_id: sixteen hex digits of the sorted names of its component."""
     from ..functions.keys import group_digest

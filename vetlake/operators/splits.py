@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import salted
+from ..functions.kept import kept
+
+#: Hex digits of a hash by which groups are counted.
+PREFIX = 3
 
 
 def _ordered(groups: DataFrame, group: str, salt: str) -> DataFrame:
@@ -58,26 +62,67 @@ def hash_sample(rows: DataFrame, key: str, percent: int, salt: str = "42") -> Da
     return rows.where(value % 100 < percent)
 
 
+def _hashed(groups: DataFrame, group: str, attempts: Column) -> DataFrame:
+    """Each group once for each attempt, with its hash and the prefix by which hashes are counted."""
+    each = groups.select(group, F.explode(attempts).alias("attempt"))
+    each = each.withColumn("h", F.sha2(F.concat(F.col("attempt").cast("string"), F.lit(":"), F.col(group).cast("string")), 256))
+    return each.withColumn("p", F.substring("h", 1, PREFIX))
+
+
+def _borders(hashed: DataFrame, shares: list[float]) -> DataFrame:
+    """attempt, p0, rest0, p1, rest1, ...: the prefix in which a split's last group stands, and how many of that prefix are still in it.
+
+    Counts of prefixes, at most 16 ** PREFIX for each attempt, are made in one pass and summed up in order.
+    """
+    counts = hashed.groupBy("attempt", "p").agg(F.count(F.lit(1)).alias("c"))
+    w = W.partitionBy("attempt")
+    counts = counts.withColumns({"upto": F.sum("c").over(w.orderBy("p")), "n": F.sum("c").over(w)})
+    last = [F.round(F.lit(share) * F.col("n")) for share in shares]
+    here = [(F.col("upto") - F.col("c") < b) & (b <= F.col("upto")) for b in last]
+    border = ((F.max(F.when(x, F.col("p"))).alias(f"p{i}"), F.max(F.when(x, b - F.col("upto") + F.col("c"))).alias(f"rest{i}")) for i, (x, b) in enumerate(zip(here, last, strict=True)))
+    return counts.groupBy("attempt").agg(*(c for pair in border for c in pair))
+
+
+def _dealt(hashed: DataFrame, borders: DataFrame, names: list[str]) -> DataFrame:
+    """hashed with assigned_split. Only groups in a border's prefix are put in order; a split without groups has no border."""
+    rows = hashed.join(borders, "attempt")
+    crowded = reduce(lambda a, b: a | b, (F.coalesce(F.col("p") == F.col(f"p{i}"), F.lit(False)) for i in range(len(names) - 1)), F.lit(False))
+
+    def split(place: Column | None) -> Column:
+        out = F.lit(names[-1])
+        for i, name in reversed(list(enumerate(names[:-1]))):
+            inside = F.col("p") < F.col(f"p{i}")
+            if place is not None:
+                inside = inside | ((F.col("p") == F.col(f"p{i}")) & (place <= F.col(f"rest{i}")))
+            out = F.when(inside, name).otherwise(out)
+        return out.alias("assigned_split")
+
+    place = F.row_number().over(W.partitionBy("attempt", "p").orderBy("h"))
+    ordered = rows.where(crowded).withColumn("place", place)
+    kept_columns = [c for c in hashed.columns if c not in ("h", "p")]
+    return rows.where(~crowded).select(*kept_columns, split(None)).unionAll(ordered.select(*kept_columns, split(F.col("place"))))
+
+
 def covered_split(rows: DataFrame, group: str, class_column: str, shares: dict[str, float], attempts: int = 128) -> DataFrame:
     """The first attempt (a salt) whose grouped split has every class in every split: group, assigned_split, attempt.
 
-    All attempts are made at once, over distinct (group, class) pairs. Without such an attempt the result is empty.
+    All attempts are made at once, over distinct (group, class) pairs, from counts of hash prefixes; no attempt's groups are sorted
+    in one task. Without such an attempt the result is empty.
     """
-    pairs = rows.where(F.col(group).isNotNull() & F.col(class_column).isNotNull()).select(group, class_column).distinct()
-    tries = rows.sparkSession.range(attempts).select(F.col("id").cast("int").alias("attempt"))
-    groups = pairs.select(group).distinct().crossJoin(F.broadcast(tries)).withColumn("h", F.sha2(F.concat(F.col("attempt").cast("string"), F.lit(":"), F.col(group).cast("string")), 256))
-    w = W.partitionBy("attempt")
-    placed = groups.withColumns({"place": F.row_number().over(w.orderBy("h")), "n": F.count(F.lit(1)).over(w)})
-    upto, split, names = 0.0, None, list(shares)
+    names, upto, bounds = list(shares), 0.0, []
     for name in names[:-1]:
         upto += shares[name]
-        here = F.col("place") <= F.round(F.lit(upto) * F.col("n"))
-        split = F.when(here, name) if split is None else split.when(here, name)
-    placed = placed.select("attempt", group, split.otherwise(names[-1]).alias("assigned_split"))
-    classes = pairs.agg(F.count_distinct(class_column).alias("classes"))
-    seen = placed.join(pairs, group).groupBy("attempt").agg(F.count_distinct("assigned_split", class_column).alias("seen"))
-    good = seen.crossJoin(F.broadcast(classes)).where(F.col("seen") == F.col("classes") * len(names)).agg(F.min("attempt").alias("attempt"))
-    return placed.join(F.broadcast(good), "attempt").select(group, "assigned_split", "attempt")
+        bounds.append(upto)
+    pairs = kept(rows.where(F.col(group).isNotNull() & F.col(class_column).isNotNull()).select(group, class_column).distinct(), "pairs")
+    groups = pairs.select(group).distinct()
+    every = F.sequence(F.lit(0), F.lit(attempts - 1))
+    borders = kept(_borders(_hashed(groups, group, every), bounds), "borders")
+    placed = _dealt(_hashed(groups, group, every), borders, names)
+    seen = placed.join(pairs, group).groupBy("attempt", "assigned_split", class_column).agg(F.lit(1)).groupBy("attempt").agg(F.count(F.lit(1)).alias("seen"))
+    classes = pairs.agg(F.count_distinct(class_column)).first()[0]
+    good = seen.where(F.col("seen") == classes * len(names)).agg(F.min("attempt")).first()[0]
+    one = F.array(F.lit(good).cast("int")) if good is not None else F.array().cast("array<int>")
+    return _dealt(_hashed(groups, group, one), borders, names).select(group, "assigned_split", "attempt")
 
 
 def without_unsafe(rows: DataFrame, group: str, eligible: Column, split: str = "assigned_split") -> DataFrame:
