@@ -20,7 +20,11 @@ def test_scan_status_and_exclusions(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
     rows = S.scan(spark, f"file://{tmp_path}")
-    assert {r["path"]: r["status"] for r in rows.collect()} == {"d/a.jpg": "ok", "d/c.txt": "unsupported"}
+    (tmp_path / "d/_x").write_bytes(b"")
+    (tmp_path / "d/link.jpg").symlink_to(tmp_path / "d/a.jpg")
+    (tmp_path / "around").symlink_to(tmp_path)
+    assert {r["path"]: r["status"] for r in rows.collect()} == {"d/a.jpg": "ok", "d/b.png": "corrupt", "d/._a.jpg": "auxiliary", "d/_x": "unsupported", "d/c.txt": "unsupported"}
+    assert {r["path"]: bytes(r["content"]) for r in S.scan(spark, str(tmp_path), "*.jpg").collect()} == {"d/a.jpg": b"x", "d/._a.jpg": bytes.fromhex("00051607") + b"z"}
     more = spark.createDataFrame([("d/b.png", 0, b""), ("d/._a.jpg", 5, bytes.fromhex("00051607") + b"z"), ("d/._c.jpg", 1, b"z")], "path string, length long, content binary")
     assert [r["status"] for r in S.with_status(more).collect()] == ["corrupt", "auxiliary", "ok"]
     assert [r["root"] for r in S.candidates(rows).collect()] == ["d"]
@@ -72,6 +76,25 @@ def test_archives(spark, tmp_path):
     assert [(r["path"], r["content"], r["status"]) for r in S.archive(spark, str(tmp_path / "a.zip"), "0" * 32).collect()] == [(None, None, "wrong checksum")]
 
 
+def test_large_archives_are_read_by_several_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z, tarfile.open(tmp_path / "b.tar", "w") as t, tarfile.open(tmp_path / "c.tar.gz", "w:gz") as g:
+        for k in range(1000):
+            body = f"{k} ".encode() * 100
+            z.writestr(f"top/{k % 7}/{k}.txt", body)
+            for tar in (t, g):
+                info = tarfile.TarInfo(f"top/{k % 7}/{k}.txt")
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+    want = {f"{k % 7}/{k}.txt": f"{k} ".encode() * 100 for k in range(1000)}
+    for name, tasks in (("a.zip", 5), ("b.tar", 5), ("c.tar.gz", 1)):
+        rows = S.archive(spark, str(tmp_path / name), partition_bytes=60_000)
+        assert rows.rdd.getNumPartitions() >= tasks
+        assert {r["path"]: bytes(r["content"]) for r in rows.collect()} == want
+        assert rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= (1000 if tasks == 1 else 250)
+    (tmp_path / "none").mkdir()
+    assert S.scan(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_write_once_and_claim(spark, tmp_path):
     p = f"file://{tmp_path}/x.txt"
     assert K.write_once(spark, p, "é") is True

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import file_name, split_name, suffix
+from .tree import BYTES, EXCLUDED, ArchiveSource, TreeSource
 
-# Folders that hold no data, image extensions, and the first bytes of files that only accompany others.
-EXCLUDED = (".venv", ".git", "__pycache__", ".pytest_cache", ".pytest-tmp", "outputs")
+# Image extensions, and the first bytes of files that only accompany others.
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp", ".gif", ".ppm", ".pgm")
 SIDECAR = "00051607"
 
@@ -33,23 +29,13 @@ def with_status(rows: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """path (below root), length, content and status of the files below root; excluded folders are left out.
+    """path (below root), length, content and status of the files below root; excluded folders are left out, links not followed.
 
-    Spark's own listing leaves out empty files and names that begin with a dot or an underscore; members of archives keep
-    them.
+    Empty files and names that begin with a dot or an underscore are rows too.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        read = read.option("pathGlobFilter", pattern)
-    rows = read.load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    below = F.regexp_replace("path", f"^.*?{_quoted(base)}/", "")
-    hidden = "(^|/)(" + "|".join(map(_quoted, EXCLUDED)) + ")/"
-    return with_status(rows.select(below.alias("path"), "length", "content").where(~F.col("path").rlike(hidden)))
-
-
-def _quoted(text: str) -> str:
-    return "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in text)
+    spark.dataSource.register(TreeSource)
+    read = spark.read.format(TreeSource.name())
+    return with_status((read.option("glob", pattern) if pattern else read).load(root))
 
 
 def candidates(files: DataFrame) -> DataFrame:
@@ -113,38 +99,15 @@ def literal_list(column: str) -> F.Column:
     return F.from_json(F.translate(column, "'", '"'), "array<string>")
 
 
-def _members(batches):
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = io.BytesIO(content)
-            if zipfile.is_zipfile(data):
-                with zipfile.ZipFile(data) as z:
-                    found = [(i.filename, z.read(i), (i.external_attr >> 16) & 0o170000 == 0o120000) for i in z.infolist() if not i.is_dir()]
-            else:
-                data.seek(0)
-                with tarfile.open(fileobj=data) as t:
-                    found = [(m.name, t.extractfile(m).read() if m.isfile() else b"", not m.isfile()) for m in t if not m.isdir()]
-            for name, body, link in found:
-                parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".")]
-                bad = link or ".." in parts or name.startswith("/")
-                rows.append((path, "/".join(parts[1:] if len(parts) > 1 else parts), None if bad else body, "rejected" if bad else "ok"))
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.string()))], ["archive", "path", "content", "status"])
-
-
-def archive(spark: SparkSession, path: str, md5: str | None = None) -> DataFrame:
-    """The files of zip or tar archives: archive, path (without its top folder), content, status.
+def archive(spark: SparkSession, path: str, md5: str | None = None, partition_bytes: int = BYTES) -> DataFrame:
+    """The files of a zip or tar: archive, path (without its top folder), content, status; read member by member, by several tasks.
 
     An archive whose MD5 is not the given one is one row without a path, of status "wrong checksum". Links and paths that lead
     outside are rejected and have no content.
     """
-    rows = spark.read.format("binaryFile").load(path)
-    kinds = "archive string, path string, content binary, status string"
-    if not md5:
-        return rows.select("path", "content").mapInArrow(_members, kinds)
-    right = F.md5("content") == md5.lower()
-    wrong = rows.where(~right).select(F.col("path").alias("archive"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"), F.lit("wrong checksum").alias("status"))
-    return rows.where(right).select("path", "content").mapInArrow(_members, kinds).unionAll(wrong)
+    spark.dataSource.register(ArchiveSource)
+    read = spark.read.format(ArchiveSource.name()).option("bytes", str(partition_bytes))
+    return (read.option("md5", md5) if md5 else read).load(path)
 
 
 def images(files: DataFrame, decode, size: int) -> DataFrame:
