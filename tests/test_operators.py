@@ -120,11 +120,13 @@ def plain_quantile(values, q, how="linear"):
     return a if a == b or (a != a and b != b) else a + (b - a) * (k - math.floor(k))
 
 
-@pytest.mark.parametrize(("ranges", "most"), [(2048, 1 << 18), (8, 4)])
-def test_selection_is_sorting(spark, monkeypatch, ranges, most):
+@pytest.mark.parametrize(("ranges", "most", "few"), [(2048, 1 << 18, 20_000), (8, 4, 20_000), (64, 20, 5)])
+def test_selection_is_sorting(spark, monkeypatch, ranges, most, few):
     """Many keys, null keys, columns and ranks at once; ties, heavy tails, extremes, groups of nulls; few parts and small sorts force many passes."""
     monkeypatch.setattr(O, "RANGES", ranges)
     monkeypatch.setattr(O, "SORTED", most)
+    monkeypatch.setattr(O, "FINE", 4)
+    monkeypatch.setattr(O, "FEW", few)
     rng = np.random.default_rng(8)
     inf = float("inf")
     groups = {"ties": rng.integers(0, 3, 90).astype(float), "tails": np.exp(rng.normal(0, 60, 80)), "one": np.array([5.0]), "same": np.full(70, -2.5), None: rng.normal(size=50), "ends": np.array([-inf, -inf, 1.0, 2.0, inf, inf, float("nan")]), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 5e-324])}

@@ -7,7 +7,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kept import kept
 from ..functions.robust import clipped, finite, scale
 from .selection import quantiles
 
@@ -25,7 +24,7 @@ WEIGHTS = {
 
 
 def fit(normal: DataFrame, branches=BRANCHES, policy: str = "plus") -> DataFrame:
-    """One row: median_<branch> and scale_<branch> of the normal rows, by two distributed selections; it is written once."""
+    """One row: median_<branch> and scale_<branch> of the normal rows, by two distributed selections, each made once."""
     wanted = {f"median_{b}": (b, 0.5) for b in branches}
     if policy == "spread":
         wanted |= {f"{end}_{b}": (b, q) for b in branches for end, q in (("low", 0.1), ("high", 0.9))}
@@ -33,7 +32,7 @@ def fit(normal: DataFrame, branches=BRANCHES, policy: str = "plus") -> DataFrame
     gone = normal.crossJoin(F.broadcast(first)).select(*(F.abs(F.col(b) - F.col(f"median_{b}")).alias(b) for b in branches))  # one row
     both = first.crossJoin(quantiles(gone, [], {f"mad_{b}": (b, 0.5) for b in branches}))
     spread = lambda b: F.col(f"high_{b}") - F.col(f"low_{b}") if policy == "spread" else None
-    return kept(both.select(*(F.col(f"median_{b}") for b in branches), *(scale(F.col(f"mad_{b}"), policy, spread(b)).alias(f"scale_{b}") for b in branches)), "calibration")
+    return both.select(*(F.col(f"median_{b}") for b in branches), *(scale(F.col(f"mad_{b}"), policy, spread(b)).alias(f"scale_{b}") for b in branches))
 
 
 def z(branch: str) -> Column:
