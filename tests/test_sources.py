@@ -2,7 +2,9 @@
 
 import io
 import json
+import os
 import tarfile
+import threading
 import zipfile
 
 import pytest
@@ -114,6 +116,61 @@ def test_table_once(spark, tmp_path):
         K.table_once(df.where("id > 0"), p)
 
 
+def test_writers_at_once_leave_one_table(spark, tmp_path):
+    """Six writers of two contents at the same time: one writes, equal ones find it, others raise, nothing is left beside it."""
+    p, results = f"file://{tmp_path}/t", []
+
+    def write(k):
+        try:
+            results.append((k % 2, K.table_once(spark.range(1000 + k % 2).repartition(3), p)))
+        except K.AlreadyWrittenError:
+            results.append((k % 2, "raised"))
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [k for k, r in results if r is True]
+    assert len(won) == 1 and len(results) == 6 and spark.read.parquet(p).count() == 1000 + won[0]
+    assert all(r is False for k, r in results if k == won[0] and r is not True) and all(r == "raised" for k, r in results if k != won[0])
+    assert os.listdir(tmp_path) == ["t"]
+
+
+def test_failed_writers_leave_nothing(spark, tmp_path):
+    bad = spark.range(100).repartition(4).withColumn("x", F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise("y"))
+    with pytest.raises(Exception, match="no"):
+        K.table_once(bad, f"file://{tmp_path}/t")
+    assert os.listdir(tmp_path) == []
+    none = spark.createDataFrame([], "a long, b array<string>")
+    assert K.table_once(none, f"file://{tmp_path}/t") is True and spark.read.parquet(f"file://{tmp_path}/t").schema == none.schema
+    assert K.table_once(none, f"file://{tmp_path}/t") is False
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/x").write_text("not ours")
+    with pytest.raises(K.AlreadyWrittenError):
+        K.table_once(none, f"file://{tmp_path}/other")
+    with pytest.raises(ValueError, match="rename"):
+        K.OnceSink({"path": "s3://bucket/x"}).writer(none.schema, False)
+
+
+def test_claims_at_once(spark, tmp_path):
+    p, taken = f"file://{tmp_path}/deep/claim", []
+
+    def claim(k):
+        try:
+            K.claim(spark, p, str(k))
+            taken.append(k)
+        except K.AlreadyWrittenError:
+            pass
+
+    threads = [threading.Thread(target=claim, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(taken) == 1 and (tmp_path / "deep/claim").read_text() == str(taken[0]) and os.listdir(tmp_path / "deep") == ["claim"]
+
+
 def test_strict_json(spark):
     assert json.loads(K.strict_json({"a": 1.5})) == {"a": 1.5}
     with pytest.raises(ValueError):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import file_name, split_name, suffix
+from .registry import register
 from .tree import BYTES, EXCLUDED, ArchiveSource, TreeSource
 
 # Image extensions, and the first bytes of files that only accompany others.
@@ -33,8 +34,7 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFram
 
     Empty files and names that begin with a dot or an underscore are rows too.
     """
-    spark.dataSource.register(TreeSource)
-    read = spark.read.format(TreeSource.name())
+    read = spark.read.format(register(spark, TreeSource))
     return with_status((read.option("glob", pattern) if pattern else read).load(root))
 
 
@@ -105,8 +105,7 @@ def archive(spark: SparkSession, path: str, md5: str | None = None, partition_by
     An archive whose MD5 is not the given one is one row without a path, of status "wrong checksum". Links and paths that lead
     outside are rejected and have no content.
     """
-    spark.dataSource.register(ArchiveSource)
-    read = spark.read.format(ArchiveSource.name()).option("bytes", str(partition_bytes))
+    read = spark.read.format(register(spark, ArchiveSource)).option("bytes", str(partition_bytes))
     return (read.option("md5", md5) if md5 else read).load(path)
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-class AlreadyWrittenError(FileExistsError):
-    """What is there differs from what was to be written once."""
+from .once import DIGEST, HASH, AlreadyWrittenError, OnceSink
+from .registry import register
 
 
 def _path(spark: SparkSession, path: str):
@@ -30,7 +30,20 @@ def _read(spark: SparkSession, path: str) -> str | None:
 
 
 def _create(spark: SparkSession, path: str, text: str) -> None:
-    """Create a file that must not exist; the file system decides between two that try."""
+    """Create a file that must not exist. A local one appears whole, by a link to a file beside it; elsewhere the store decides between two that try."""
+    if path.startswith("file://") or "://" not in path:
+        local = path.removeprefix("file://")
+        beside = f"{local}.{uuid.uuid4().hex}"
+        os.makedirs(os.path.dirname(local) or ".", exist_ok=True)
+        with open(beside, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(beside, local)
+        except FileExistsError as e:
+            raise AlreadyWrittenError(path) from e
+        finally:
+            os.remove(beside)
+        return
     target, fs = _path(spark, path)
     stream = fs.create(target, False)
     try:
@@ -43,8 +56,11 @@ def write_once(spark: SparkSession, path: str, text: str) -> bool:
     """Write a text; the same text again changes nothing (False), another raises."""
     there = _read(spark, path)
     if there is None:
-        _create(spark, path, text)
-        return True
+        try:
+            _create(spark, path, text)
+            return True
+        except AlreadyWrittenError:  # another was first
+            there = _read(spark, path)
     if there != text:
         raise AlreadyWrittenError(path)
     return False
@@ -76,23 +92,20 @@ def finite_json(rows: DataFrame, name: str = "json") -> DataFrame:
     return out.select(F.to_json(F.struct(*rows.columns)).alias(name))
 
 
-def digest(rows: DataFrame) -> str:
-    """A digest of a table's rows that no order or partition changes: counts and sums of row hashes."""
-    h = F.xxhash64(*rows.columns)
-    n, a, b = rows.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64(h, F.lit(1)).cast("decimal(38,0)"))).first()
-    return hashlib.sha256(f"{rows.schema.simpleString()}|{n}|{a}|{b}".encode()).hexdigest()
-
-
 def table_once(rows: DataFrame, path: str) -> bool:
-    """Write a Parquet table; equal rows again change nothing (False), others raise."""
-    spark = rows.sparkSession
-    target, fs = _path(spark, path)
-    if fs.exists(target):
-        if digest(spark.read.parquet(path)) != digest(rows):
-            raise AlreadyWrittenError(path)
-        return False
-    rows.write.mode("errorifexists").parquet(path)
-    return True
+    """Write a Parquet table once, whole or not at all; equal rows again change nothing (False), others raise.
+
+    Of writers at the same time one writes, the others find its table. A task that fails leaves nothing. See sources.once.
+    """
+    spark, writer = rows.sparkSession, uuid.uuid4().hex
+    hashed = rows.withColumn(HASH, F.xxhash64(*rows.columns))
+    try:
+        hashed.write.format(register(spark, OnceSink)).option("writer", writer).mode("append").save(path)
+    except Exception as e:
+        if AlreadyWrittenError.__name__ in str(e):
+            raise AlreadyWrittenError(path) from e
+        raise
+    return json.loads(_read(spark, f"{path}/{DIGEST}"))["writer"] == writer
 
 
 def freeze(spark: SparkSession, folder: str, files: list[str], decisions: dict[str, object], required: tuple[str, ...] = ()) -> dict:
