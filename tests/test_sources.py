@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vetlake.operators import fusion as X
 from vetlake.sources import files as S
 from vetlake.sources import sinks as K
-from vetlake.streaming import scorer
+from vetlake.streaming import resume, scorer
 
 
 def test_scan_status_and_exclusions(spark, tmp_path):
@@ -189,6 +189,30 @@ def test_freeze(spark, tmp_path):
         K.freeze(spark, f"file://{tmp_path}/g", [f"file://{tmp_path}/in.txt"], {}, ("seed",))
 
 
+def test_killed_run_goes_on(spark, tmp_path):
+    """A run that dies in its third batch, and one that is stopped: started again, every case is made once, and only finished batches are read."""
+    jobs, out, log = (f"{tmp_path}/{n}" for n in ("jobs", "out", "log"))
+    cases = [(f"c{k}", k) for k in range(40)] + [(None, -1)]
+    spark.createDataFrame(cases + cases[:5], "case_id string, k int").repartition(6).write.parquet(jobs)
+    assert resume.finished(spark, out, ["case_id"]) is None and resume.pending(spark, spark.read.parquet(jobs), out, ["case_id"]).count() == 46
+    fatal = spark.read.parquet(jobs).where("case_id = 'c17'").select(F.input_file_name()).first()[0]
+    assert fatal
+    broken = lambda df: df.withColumn("made", F.when(F.col("case_id") == "c17", F.raise_error(F.lit("killed"))).otherwise("x"))
+    whole = lambda df: df.withColumn("made", F.lit("x"))
+    with pytest.raises(Exception, match="killed"):
+        resume.run(spark, jobs, out, log, ["case_id"], broken, files=1)
+    done = resume.finished(spark, out, ["case_id"])
+    some = 0 if done is None else done.count()
+    left = resume.pending(spark, spark.createDataFrame(cases, "case_id string, k int"), out, ["case_id"])
+    assert some < 41 and left.count() == 41 - some and left.where("case_id = 'c17'").count() == 1
+    assert resume.run(spark, jobs, out, log, ["case_id"], whole, files=1)
+    spark.createDataFrame([("c3", 3), ("new", 1)], "case_id string, k int").write.mode("append").parquet(jobs)
+    assert resume.run(spark, jobs, out, log, ["case_id"], whole)
+    names = [r["case_id"] for r in resume.finished(spark, out, ["case_id"]).collect()]
+    assert len(names) == 42 and set(names) == {c for c, _ in cases} | {"new"}
+    assert resume.pending(spark, spark.read.parquet(jobs), out, ["case_id"]).count() == 0
+
+
 def test_stream_scores_like_batch(spark, tmp_path):
     rows = spark.range(40).select(F.col("id").cast("double").alias("a"), F.timestamp_seconds(F.col("id") * 7200).alias("ts"))
     rows.write.parquet(f"{tmp_path}/in")

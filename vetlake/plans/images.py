@@ -315,9 +315,9 @@ def reconstruction_probe(spark, sf_dir):
 @query("""WITH v AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM v GROUP BY label, i),
 d AS (SELECT v.label, vec_id, 1 - greatest(least(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 1), -1) AS d FROM v JOIN c ON c.label = v.label AND c.i = v.i GROUP BY v.label, vec_id),
 n AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS nth FROM d)
-SELECT label, CAST(nth AS BIGINT) AS nth, round(sum(d) / 16, 6) AS semantic FROM n GROUP BY label, nth""")
+SELECT label, CAST(nth AS BIGINT) AS nth, round(greatest(max(d), CASE WHEN count(*) < 16 THEN 0 ELSE max(d) END), 6) AS semantic FROM n GROUP BY label, nth""")
 def semantic_grid(spark, sf_dir):
-    # every 16 vectors of a label are the patches of an image; their distances are those to the label's mean vector
+    # every 16 vectors of a label are the patches of an image; their distances are those to the label's mean vector. 5 % of 16, rounded up, is one
     from pyspark.sql import Window as W
 
     from ..operators import vectors as V
@@ -328,7 +328,7 @@ def semantic_grid(spark, sf_dir):
     place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
     rows = rows.select(F.struct("label", F.floor(place / 16).alias("nth")).alias("image"), (place % 16).alias("patch"), "distance")
     rows = rows.select(F.to_json("image").alias("image"), "patch", "distance")
-    made = T.semantic_map(rows, "image", "patch", 4, 8, 1.0)
+    made = T.semantic_map(rows, "image", "patch", 4, 8)
     own = F.from_json("image", "label long, nth long")
     return made.select(own.alias("i"), "semantic").select(F.col("i.label").cast("int").alias("label"), "i.nth", r("semantic"))
 
