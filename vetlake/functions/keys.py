@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +11,16 @@ SOURCE = r"^((?:esp|psp|tra)_\d{6}_\d{4})_red-\d+$"
 SPLIT_SYNONYMS = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
 
 
+def casefold(x: Column) -> Column:
+    """Text as it is compared without case, sharp s and ligatures written out; as Unicode folds it but for Cherokee letters."""
+    # what upper case writes out, lower case would leave; the step between keeps the dotless i and makes one small sigma of both
+    dotless, stands_in = "\u0131", "\ue000"
+    return F.lower(F.translate(F.upper(F.translate(x, dotless, stands_in)), stands_in + "\u03a3", dotless + "\u03c3"))
+
+
 def base_id(stem: Column) -> Column:
-    """The stem without its augmentation suffixes, lower-cased."""
-    return F.lower(F.regexp_extract(stem, f"(?i)^(.*?)((?:{AUGMENTATION})*)$", 1))
+    """The stem without its augmentation suffixes, case-folded."""
+    return casefold(F.regexp_extract(stem, f"(?i)^(.*?)((?:{AUGMENTATION})*)$", 1))
 
 
 def augmentations(stem: Column) -> Column:
@@ -47,7 +53,7 @@ def suffix(path: Column) -> Column:
 def split_name(name: Column) -> Column:
     """A split's usual name, or null where it is none of the known ones."""
     known = F.create_map(*(F.lit(x) for kv in SPLIT_SYNONYMS.items() for x in kv))
-    return F.element_at(known, F.lower(F.trim(name)))
+    return F.element_at(known, casefold(F.trim(name)))
 
 
 def seed(text: Column) -> Column:

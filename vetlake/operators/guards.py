@@ -22,6 +22,27 @@ def not_clean(rows: DataFrame, is_anomaly: str, origin: str, origin_value: str,
     return rows.where(~F.coalesce(clean, F.lit(False)))
 
 
+#: Rows whose hashes one task joins.
+HASHES = 100_000
+
+
+def fingerprint(rows: DataFrame, keys: list[str], h: str) -> DataFrame:
+    """keys and the digest of all their rows' hashes (hex strings): a tree of sha256 over the sorted hashes of each prefix.
+
+    Leaves are prefixes of as many digits as HASHES rows a leaf take, three at least; each level joins the sixteen digests, or at
+    the top all of three digits, below it. A few digits decide how a leaf is cut, never what it holds.
+    """
+    digits, n = 3, rows.count()
+    while n / 16**digits > HASHES:
+        digits += 1
+    joined = lambda c: F.sha2(F.array_join(c, "\n"), 256)
+    level = rows.where(F.col(h).isNotNull()).groupBy(*keys, F.substring(h, 1, digits).alias("part")).agg(joined(F.array_sort(F.collect_list(h))).alias("digest"))
+    whole = joined(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x.getField("digest"))).alias("digest")
+    for d in range(digits - 1, 2, -1):
+        level = level.groupBy(*keys, F.substring("part", 1, d).alias("to")).agg(whole).withColumnRenamed("to", "part")
+    return level.groupBy(*keys).agg(whole)
+
+
 def missing(part: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of part that whole lacks: none for a subset."""
     return part.select(*keys).join(whole.select(*keys).distinct(), keys, "left_anti")

@@ -193,12 +193,7 @@ def early_stop_trace(spark, sf_dir):
 @query("""WITH d AS (SELECT lang AS class_id, sha256(text) AS h FROM documents), p AS (SELECT class_id, substr(h, 1, 3) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest FROM d GROUP BY 1, 2)
 SELECT class_id, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest FROM p GROUP BY class_id""")
 def fingerprint(spark, sf_dir):
-    # in two steps, by parts of the hash, so that no task holds a class
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("class_id"), F.sha2("text", 256).alias("h"))
-    joined = lambda c: F.sha2(F.array_join(c, "\n"), 256)
-    parts = rows.groupBy("class_id", F.substring("h", 1, 3).alias("part")).agg(joined(F.array_sort(F.collect_list("h"))).alias("digest"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x.getField("digest"))
-    return parts.groupBy("class_id").agg(joined(whole).alias("digest"))
+    return V.fingerprint(table(spark, sf_dir, "documents").select(F.col("lang").alias("class_id"), F.sha2("text", 256).alias("h")), ["class_id"], "h")
 
 
 @query(f"""WITH {PREDICTIONS}, {_ROLES}, t AS (SELECT quantile_cont(score, 0.99) AS q FROM p WHERE y = 0),

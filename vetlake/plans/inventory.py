@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import audit as A
 from ..operators import graph as G
+from ..operators.folders import folder_facts
 from ..sources.fixtures import MANIFEST, manifest, table
 from . import query
 
@@ -248,3 +249,23 @@ SELECT page_id, CASE WHEN lower(name) IN ('train', 'training') THEN 'train' WHEN
 def synonym_map(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, _SPLIT_NAMES)), (F.col("page_id") % len(_SPLIT_NAMES) + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", K.split_name(name).alias("split"))
+
+
+# Hosts and paths of the pages as folders, which name splits and labels, some of them two.
+_FOLDERS = [("^https?://", ""), ("[#?].*$", ""), ("^m\\.", "Training."), ("^blog\\.", "normal."), ("\\.example\\.com/", ".TRAIN/"), ("\\.example\\.net/", ".valid/"), ("\\.example\\.org/", ".photos/"), ("\\.", "/")]
+_FOLDER_SQL = "url"
+for _pattern, _to in _FOLDERS:
+    _FOLDER_SQL = f"regexp_replace({_FOLDER_SQL}, '{_pattern}', '{_to}', 'g')"
+
+
+@query(f"""WITH p AS (SELECT page_id, list_transform(string_split({_FOLDER_SQL}, '/')[:-2], lambda x: lower(x)) AS f FROM pages),
+q AS (SELECT page_id, len(list_intersect(f, ['normal', 'en', 'es'])) > 0 AS good, len(list_intersect(f, ['fr', 'de'])) > 0 AS bad, list_distinct(list_transform(list_filter(f, lambda x: x IN ('train', 'training', 'val', 'valid', 'validation', 'test', 'testing')),
+  lambda x: CASE WHEN x LIKE 'train%' THEN 'train' WHEN x LIKE 'val%' THEN 'val' ELSE 'test' END)) AS s, list_filter(f, lambda x: x NOT IN ('train', 'training', 'val', 'valid', 'validation', 'test', 'testing')) AS c FROM p)
+SELECT page_id, CASE WHEN good AND NOT bad THEN 'normal' WHEN bad AND NOT good THEN 'anomaly' ELSE 'unknown' END AS label, CASE WHEN len(s) = 1 THEN s[1] ELSE 'unknown' END AS original_split, array_to_string(c, '/') AS class_name,
+concat_ws(',', CASE WHEN good AND bad THEN 'conflicting_folder_labels' END, CASE WHEN len(s) > 1 THEN 'conflicting_folder_splits' END) AS folder_flags FROM q""")
+def folder_labels(spark, sf_dir):
+    path = F.col("url")
+    for pattern, to in _FOLDERS:
+        path = F.regexp_replace(path, pattern, to)
+    rows = folder_facts(table(spark, sf_dir, "pages").select("page_id", path.alias("path")), "path", ("normal", "en", "es"), ("fr", "de"))
+    return rows.select("page_id", "label", "original_split", "class_name", F.array_join("folder_flags", ",").alias("folder_flags"))

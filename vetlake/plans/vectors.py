@@ -78,6 +78,23 @@ def mahalanobis(spark, sf_dir):
     return X.score_latent(rows, "vec_id", "embedding", X.fit_latent(rows, "embedding", 16)).select("vec_id", F.round("latent", 6).alias("latent"))
 
 
+#: The inverse of the shrunken covariance of all 64 elements by elimination, a row and an identity's row side by side.
+_INVERSE = f"""{_EL}, mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x) AS m FROM e GROUP BY i)),
+cv AS (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS c FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i), tau AS (SELECT greatest(sum(c) / 64, 1e-8) AS tau FROM cv WHERE i = j),
+ro AS (SELECT i, list(0.9 * c + CASE WHEN i = j THEN 0.1 * tau ELSE 0 END ORDER BY j) || list_transform(range(64), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0 END) AS r FROM cv, tau GROUP BY i),
+st AS (SELECT 0 AS k, (SELECT list(r ORDER BY i) FROM ro) AS m
+  UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(r, lambda x, j: x - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM st WHERE k < 64),
+inv AS (SELECT list_transform(m, lambda r: r[65:128]) AS inv FROM st WHERE k = 64)"""
+
+
+@query(f"""WITH RECURSIVE {_INVERSE}, c AS (SELECT vec_id, list_transform(list_zip(embedding, mu), lambda z: CAST(z[1] AS DOUBLE) - z[2]) AS c FROM embeddings, mu)
+SELECT vec_id, round(sqrt(list_dot_product(c, list_transform(inv, lambda r: list_dot_product(r, c)))), 6) AS latent FROM c, inv""")
+def mahalanobis_all(spark, sf_dir):
+    # with all components the distance is that of the whole shrunken covariance
+    rows = _rows(spark, sf_dir)
+    return X.score_latent(rows, "vec_id", "embedding", X.fit_latent(rows, "embedding", 64)).select("vec_id", F.round("latent", 6).alias("latent"))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm FROM embeddings")
 def vector_norms(spark, sf_dir):
     return _rows(spark, sf_dir).select("vec_id", F.round(F.sqrt(X.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))

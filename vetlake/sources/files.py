@@ -29,12 +29,12 @@ def with_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(file_name(F.col("path")).startswith("._") & (first == SIDECAR), "auxiliary").when(image & (F.col("length") == 0), "corrupt").when(image, "ok").otherwise("unsupported"))
 
 
-def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, pattern: str | None = None, content: bool = True) -> DataFrame:
     """path (below root), length, content and status of the files below root; excluded folders are left out, links not followed.
 
-    Empty files and names that begin with a dot or an underscore are rows too.
+    Empty files and names that begin with a dot or an underscore are rows too. Without `content` files are listed, not read.
     """
-    read = spark.read.format(register(spark, TreeSource))
+    read = spark.read.format(register(spark, TreeSource)).option("content", str(content).lower())
     return with_status((read.option("glob", pattern) if pattern else read).load(root))
 
 
