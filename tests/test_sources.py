@@ -181,6 +181,19 @@ def test_strict_json(spark):
         K.finite_json(spark.createDataFrame([(float("inf"),)], "a double")).collect()
 
 
+def test_probes_are_not_overwritten(spark, tmp_path):
+    from vetlake.operators.protocol import save_probe
+
+    one, path = spark.createDataFrame([(0.5, True)], "residual_mae double, finite boolean"), f"file://{tmp_path}/probe.json"
+    save_probe(one, path)
+    with pytest.raises(K.AlreadyWrittenError):
+        save_probe(one, path)
+    assert json.loads((tmp_path / "probe.json").read_text()) == {"residual_mae": 0.5, "finite": True}
+    with pytest.raises(ValueError):
+        save_probe(spark.createDataFrame([(float("nan"),)], "x double"), f"file://{tmp_path}/other.json")
+    assert not (tmp_path / "other.json").exists()
+
+
 def test_freeze(spark, tmp_path):
     (tmp_path / "in.txt").write_text("x")
     got = K.freeze(spark, f"file://{tmp_path}/f", [f"file://{tmp_path}/in.txt"], {"seed": 42}, ("seed",))

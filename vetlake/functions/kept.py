@@ -33,13 +33,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/vetlake-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: cuts the lineage, survives lost executors, and tells the optimizer its size.
 
     The table stays until the process ends, as lazy results may read it.
     """
-    path = f"{shared_dir(df.sparkSession)}/vetlake-{name}-{uuid.uuid4().hex}"
-    _made.append((df.sparkSession, path))
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

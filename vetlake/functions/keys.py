@@ -82,10 +82,6 @@ def bits_as_long(bits: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def bit_block(x: Column, offset: int, width: int) -> Column:
     """Bits [offset, offset + width) of a long, counted from the lowest."""
     return F.shiftrightunsigned(x, offset).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))

@@ -69,6 +69,13 @@ def probe(rows: DataFrame, observed: str, made: str, spread: str) -> DataFrame:
     return px.agg(F.avg(F.abs(F.col("o") - F.col("g"))).alias("residual_mae"), F.avg("u").alias("seed_disagreement"), F.bool_and(~bad).alias("finite"))
 
 
+def save_probe(result: DataFrame, path: str) -> None:
+    """Write a probe's row as strict JSON. What an earlier probe wrote is never overwritten: that raises, as do values that are not finite."""
+    from ..sources.sinks import claim, strict_json
+
+    claim(result.sparkSession, path, strict_json(result.first().asDict()) + "\n")
+
+
 class Timings:
     """Seconds of named stages of a run."""
 

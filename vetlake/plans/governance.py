@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..functions.kept import shared_dir
+from ..functions.kept import scratch_path
 from ..functions.robust import finite
 from ..operators import guards as V
 from ..operators import metrics as M
@@ -132,7 +130,7 @@ def _late():
 
 def _run(spark, jobs, later):
     """A run over the jobs that have come so far, then others come, some of the first ones among them: the folders of jobs, results and log."""
-    root = f"{shared_dir(spark)}/vetlake-jobs-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "jobs")
     folders = tuple(f"{root}/{name}" for name in ("jobs", "made", "log"))
     jobs.where(~_late()).write.parquet(folders[0])
     make = lambda df: df.withColumn("score", F.pmod(F.xxhash64("case_id"), F.lit(1000)))
