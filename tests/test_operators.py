@@ -189,6 +189,26 @@ def test_near_pairs_equal_brute_force(spark):
         assert got == expected
 
 
+def _copies(seed, n=60):
+    """(id, bits, label) rows with copies of strings, a repeated id, and nulls."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2, (n, 64))
+    base = np.concatenate([base, base[:20] ^ (rng.random((20, 64)) < 0.1), base[:9], base[:5], base[:1]])
+    rows = [(int(i), "".join(map(str, b)), [None, 0, 1, 2][i % 4]) for i, b in zip(rng.permutation(len(base)), base.tolist(), strict=True)]
+    return [*rows, (rows[0][0], rows[3][1], 1), (900, None, 1), (None, rows[0][1], 1)]
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_every_near_pair_has_the_pairs_of_copies(spark, block):
+    rows = _copies(5)
+    df = spark.createDataFrame(rows, "id long, bits string, label int").repartition(3)
+    for t in (0, 20, 64):
+        got = sorted(map(tuple, G.every_near_pair(df, "id", "bits", t, block).collect()))
+        far = lambda x, y: sum(p != q for p, q in zip(x, y))
+        whole = [(i, b) for i, b, _ in rows if i is not None and b is not None]
+        assert got == sorted((i, j, far(x, y)) for i, x in whole for j, y in whole if i < j and far(x, y) <= t)
+
+
 def test_probe_plans_are_complete_and_cheap():
     """Whatever bits differ, a block is within its radius; few candidates at narrow thresholds, at wide ones fewer than pairs."""
     rng = np.random.default_rng(33)

@@ -6,6 +6,9 @@ from functools import reduce
 from itertools import combinations, pairwise
 from math import comb
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..functions.kept import kept
 
 #: Probes of a block that one row makes at most.
 PROBES = 1 << 16
+#: Strings of a block in a comparison of all pairs, the chunks in which a task compares two blocks, and tasks that share the cells.
+BLOCK, ROWS, COLUMNS, TASKS = 1 << 15, 128, 4096, 4096
 
 
 def ball(width: int, radius: int) -> int:
@@ -68,6 +73,101 @@ def near_pairs(rows: DataFrame, key: str, bits: str, threshold: int) -> DataFram
     return found.select("a", "b", F.bit_count(apart).cast("int").alias("distance")).unionAll(copies)
 
 
+def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows with a cell for each pair of blocks that a row's block is in, `first` and `second`, all of a cell in one task and in order of cells.
+
+    Blocks go by a hash of the key, so that copies of a string are spread, and a repeated key stays in one block.
+    """
+    k = max(1, -(-rows.count() // block))
+    own, other = F.pmod(F.xxhash64(key), F.lit(k)), F.col("other")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    dealt = dealt.withColumn("first", F.least("own", other)).withColumn("second", F.greatest("own", other)).drop("other")
+    # cells of the triangle are numbered row by row, so that they are dealt evenly
+    place = F.expr("first * {0} - first * (first - 1) div 2 + second - first".format(k))
+    tasks = min(TASKS, k * (k + 1) // 2)
+    return dealt.withColumn("cell", place).repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell")
+
+
+def _by_cell(batches):
+    """(rows of the first block, rows of the second one, None where both are the same) of each cell."""
+
+    def made(parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        first, second, own = (table.column(n).to_numpy() for n in ("first", "second", "own"))
+        if first[0] == second[0]:
+            return table, None
+        return table.filter(pa.array(own == first)), table.filter(pa.array(own == second))
+
+    at, parts = None, []
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        lo = 0
+        for hi in [*(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]:
+            if lo < hi:
+                if parts and cells[lo] != at:
+                    yield made(parts)
+                    parts = []
+                at = cells[lo]
+                parts.append(batch.slice(lo, hi - lo))
+            lo = hi
+    if parts:
+        yield made(parts)
+
+
+def _near_in(left: pa.Table, right: pa.Table | None, key: str, threshold: int):
+    """(all rows of a cell, arrays (row, row, distance) of pairs within the threshold whose first key is the smaller), in chunks."""
+    table = left if right is None else pa.concat_tables([left, right])
+    rank = pc.rank(table.column(key).combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)
+    x, n = table.column("x").to_numpy().view(np.uint64), left.num_rows
+    lowest = 0 if right is None else n
+
+    def chunks():
+        for lo in range(0, n, ROWS):
+            own = x[lo : min(lo + ROWS, n), None]
+            for at in range(lo if right is None else lowest, len(x), COLUMNS):
+                apart = np.bitwise_count(own ^ x[None, at : at + COLUMNS])
+                i, j = np.divmod(np.flatnonzero(apart <= threshold), apart.shape[1])
+                d = apart[i, j]
+                i, j = i + lo, j + at
+                some = (i < j) & (rank[i] != rank[j])  # repeated keys make no pair
+                i, j, d = i[some], j[some], d[some]
+                turn = rank[i] > rank[j]
+                yield np.where(turn, j, i), np.where(turn, i, j), d
+
+    return table, chunks()
+
+
+def _pairs_in(key: str, threshold: int):
+    """Rows of cells -> rows (a, b, distance)."""
+
+    def run(batches):
+        for left, right in _by_cell(batches):
+            table, found = _near_in(left, right, key, threshold)
+            keys = table.column(key).combine_chunks()
+            for i, j, d in found:
+                if len(i):
+                    yield pa.record_batch([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(d, pa.int32())], ["a", "b", "distance"])
+
+    return run
+
+
+def _as_cells(rows: DataFrame, key: str, bits: str, *more: str) -> DataFrame:
+    rows = rows.where(F.col(key).isNotNull() & F.col(bits).isNotNull())
+    return kept(rows.select(key, bits_as_long(F.col(bits)).alias("x"), *more), "strings")
+
+
+def every_near_pair(rows: DataFrame, key: str, bits: str, threshold: int, block: int = BLOCK) -> DataFrame:
+    """a, b, distance: all pairs a < b of rows whose 64-bit strings are at most `threshold` bits apart, copies of a string included.
+
+    For wide thresholds, where no index leaves out much: rows are dealt in blocks of about `block`, a shuffle brings each pair of
+    blocks to a task, which compares them in chunks and hands pairs on as it finds them. Time grows with the square of the
+    rows, what is shuffled with rows times blocks; pairs themselves are never shuffled. Null keys and strings are left out.
+    """
+    own = _as_cells(rows, key, bits)
+    kind = dict(own.dtypes)[key]
+    return _cells(own, key, block).mapInArrow(_pairs_in(key, threshold), f"a {kind}, b {kind}, distance int")
+
+
 def components(nodes: DataFrame, links: DataFrame, key: str, most: int = 100) -> DataFrame:
     """Each node's least node that links (a, b) reach, as `root`.
 

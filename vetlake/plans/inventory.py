@@ -163,7 +163,7 @@ def _near(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT a, b, distance FROM e")
 def near_duplicate_pairs(spark, sf_dir):
-    return _near(spark, sf_dir)
+    return G.every_near_pair(_signed(spark, sf_dir), "vec_id", "bits", THRESHOLD)
 
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (x.label = y.label) AS same_class, count(*) FILTER (x.label <> y.label) AS cross_class FROM e JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b")
