@@ -209,6 +209,18 @@ def test_every_near_pair_has_the_pairs_of_copies(spark, block):
         assert got == sorted((i, j, far(x, y)) for i, x in whole for j, y in whole if i < j and far(x, y) <= t)
 
 
+def test_near_pair_counts_equal_brute_force(spark):
+    rows = _copies(6)
+    whole = [r for r in rows if r[0] is not None and r[1] is not None]
+    units = [(i, b, y) for i, b, _ in whole for k, _, y in rows if k == i]
+    near = [(p[2], q[2]) for p in units for q in units if p[0] < q[0] and sum(x != y for x, y in zip(p[1], q[1])) <= 20]
+    known = [x == y for x, y in near if x is not None and y is not None]
+    df = spark.createDataFrame(rows, "id long, bits string, label int").repartition(3)
+    for block in (11, 1000):
+        assert tuple(G.near_pair_counts(df, "id", "bits", "label", 20, block).first()) == (len(near), sum(known), len(known) - sum(known))
+    assert tuple(G.near_pair_counts(df.limit(0), "id", "bits", "label", 20).first()) == (0, 0, 0)
+
+
 def test_probe_plans_are_complete_and_cheap():
     """Whatever bits differ, a block is within its radius; few candidates at narrow thresholds, at wide ones fewer than pairs."""
     rng = np.random.default_rng(33)

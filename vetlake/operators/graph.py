@@ -168,6 +168,32 @@ def every_near_pair(rows: DataFrame, key: str, bits: str, threshold: int, block:
     return _cells(own, key, block).mapInArrow(_pairs_in(key, threshold), f"a {kind}, b {kind}, distance int")
 
 
+def _counts_in(key: str, label: str, threshold: int):
+    """Rows of cells -> a row (pairs, same, cross) for each cell."""
+
+    def run(batches):
+        for left, right in _by_cell(batches):
+            table, found = _near_in(left, right, key, threshold)
+            code = pc.fill_null(table.column(label).combine_chunks().dictionary_encode().indices, -1).to_numpy()
+            pairs = same = cross = 0
+            for i, j, _ in found:
+                known, equal = (code[i] >= 0) & (code[j] >= 0), code[i] == code[j]
+                pairs, same, cross = pairs + len(i), same + int((known & equal).sum()), cross + int((known & ~equal).sum())
+            yield pa.record_batch([pa.array([n], pa.int64()) for n in (pairs, same, cross)], ["pairs", "same", "cross"])
+
+    return run
+
+
+def near_pair_counts(rows: DataFrame, key: str, bits: str, label: str, threshold: int, block: int = BLOCK) -> DataFrame:
+    """One row: how many pairs every_near_pair has, and how many of them have equal and different labels (null: neither).
+
+    Counted where they are found, so that no pair leaves its task. A key with several rows counts once for each of its labels.
+    """
+    own = _as_cells(rows.select(key, bits).join(rows.select(key, label), key), key, bits, label)
+    counts = _cells(own, key, block).mapInArrow(_counts_in(key, label, threshold), "pairs long, same long, cross long")
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("pairs", "same", "cross")))
+
+
 def components(nodes: DataFrame, links: DataFrame, key: str, most: int = 100) -> DataFrame:
     """Each node's least node that links (a, b) reach, as `root`.
 

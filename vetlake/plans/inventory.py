@@ -168,9 +168,7 @@ def near_duplicate_pairs(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (x.label = y.label) AS same_class, count(*) FILTER (x.label <> y.label) AS cross_class FROM e JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b")
 def near_pair_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    pairs = _near(spark, sf_dir).join(rows.select(F.col("vec_id").alias("a"), F.col("label").alias("x")), "a").join(rows.select(F.col("vec_id").alias("b"), F.col("label").alias("y")), "b")
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("x") == F.col("y")).alias("same_class"), F.count_if(F.col("x") != F.col("y")).alias("cross_class"))
+    return G.near_pair_counts(_signed(spark, sf_dir), "vec_id", "bits", "label", THRESHOLD).toDF("pairs", "same_class", "cross_class")
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, t AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
