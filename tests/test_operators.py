@@ -221,6 +221,24 @@ def test_near_pair_counts_equal_brute_force(spark):
     assert tuple(G.near_pair_counts(df.limit(0), "id", "bits", "label", 20).first()) == (0, 0, 0)
 
 
+def test_near_forest_joins_what_near_pairs_join_with_few_links(spark):
+    rows = _copies(8)
+    whole = [(i, b) for i, b, _ in rows if i is not None and b is not None]
+    df = spark.createDataFrame(rows, "id long, bits string, label int").repartition(3)
+
+    def roots(links):
+        root = {i: i for i, _ in whole}
+        for _ in range(len(whole)):
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    for t, block in ((0, 1000), (12, 9), (20, 40)):
+        links = [tuple(r) for r in G.near_forest(df, "id", "bits", t, block).collect()]
+        assert roots(links) == roots([(i, j) for i, x in whole for j, y in whole if i < j and sum(p != q for p, q in zip(x, y)) <= t])
+        assert all(i < j for i, j in links) and len(links) <= len(whole) * -(-len(whole) // block)
+
+
 def test_probe_plans_are_complete_and_cheap():
     """Whatever bits differ, a block is within its radius; few candidates at narrow thresholds, at wide ones fewer than pairs."""
     rng = np.random.default_rng(33)

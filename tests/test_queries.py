@@ -62,7 +62,7 @@ def copied(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["near_duplicate_pairs", "near_pair_report"])
+@pytest.mark.parametrize("name", ["near_duplicate_pairs", "near_pair_report", "connected_components"])
 def test_near_queries_equal_sql_with_copies(spark, copied, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{copied}/embeddings.parquet'")

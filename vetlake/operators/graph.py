@@ -20,6 +20,8 @@ from ..functions.kept import kept
 PROBES = 1 << 16
 #: Strings of a block in a comparison of all pairs, the chunks in which a task compares two blocks, and tasks that share the cells.
 BLOCK, ROWS, COLUMNS, TASKS = 1 << 15, 128, 4096, 4096
+#: Strings of a block where only links are kept: fewer cells hand on fewer of them.
+FOREST = 1 << 16
 
 
 def ball(width: int, radius: int) -> int:
@@ -194,6 +196,51 @@ def near_pair_counts(rows: DataFrame, key: str, bits: str, label: str, threshold
     return counts.agg(*(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("pairs", "same", "cross")))
 
 
+def _forest_in(key: str, threshold: int):
+    """Rows of cells -> rows (a, b): each key of a cell that near pairs join to a smaller one, with the least that they join it to."""
+
+    def run(batches):
+        for left, right in _by_cell(batches):
+            table, found = _near_in(left, right, key, threshold)
+            keys = table.column(key).combine_chunks()
+            rank = pc.rank(keys, tiebreaker="dense").to_numpy().astype(np.int64) - 1
+            root = np.arange(len(rank))
+            for i, j, _ in found:
+                x, y = root[rank[i]], root[rank[j]]
+                apart = np.flatnonzero(x != y)
+                if not len(apart):
+                    continue
+                joined = np.unique((np.minimum(x[apart], y[apart]) << 32) | np.maximum(x[apart], y[apart]))
+                for p, q in zip((joined >> 32).tolist(), (joined & 0xFFFFFFFF).tolist(), strict=True):
+                    while root[p] != p:
+                        p = root[p]
+                    while root[q] != q:
+                        q = root[q]
+                    root[max(p, q)] = min(p, q)
+                while True:  # all point at their root again
+                    over = root[root]
+                    if (over == root).all():
+                        break
+                    root = over
+            row = np.empty(len(rank), np.int64)
+            row[rank] = np.arange(len(rank))
+            low = np.unique(rank)
+            low = low[root[low] != low]
+            yield pa.record_batch([keys.take(pa.array(row[root[low]])), keys.take(pa.array(row[low]))], ["a", "b"])
+
+    return run
+
+
+def near_forest(rows: DataFrame, key: str, bits: str, threshold: int, block: int = FOREST) -> DataFrame:
+    """a, b: links that join the same rows as the pairs of every_near_pair do, one at most for each row of a cell.
+
+    What is written grows with rows times blocks, however many pairs are near.
+    """
+    own = _as_cells(rows, key, bits)
+    kind = dict(own.dtypes)[key]
+    return _cells(own, key, block).mapInArrow(_forest_in(key, threshold), f"a {kind}, b {kind}")
+
+
 def components(nodes: DataFrame, links: DataFrame, key: str, most: int = 100) -> DataFrame:
     """Each node's least node that links (a, b) reach, as `root`.
 

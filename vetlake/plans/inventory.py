@@ -157,10 +157,6 @@ def _signed(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", K.signature_bits(F.col("embedding")).alias("bits"))
 
 
-def _near(spark, sf_dir):
-    return G.near_pairs(_signed(spark, sf_dir), "vec_id", "bits", THRESHOLD)
-
-
 @query(f"WITH {_PAIRS} SELECT a, b, distance FROM e")
 def near_duplicate_pairs(spark, sf_dir):
     return G.every_near_pair(_signed(spark, sf_dir), "vec_id", "bits", THRESHOLD)
@@ -177,7 +173,7 @@ r AS (SELECT a AS vec_id, min(b) AS root FROM c GROUP BY a), g AS (SELECT root,
 SELECT vec_id, root, group_id, members FROM r JOIN g USING (root)""")
 def connected_components(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("name"))
-    return G.group_ids(rows, "vec_id", "name", _near(spark, sf_dir))
+    return G.group_ids(rows, "vec_id", "name", G.near_forest(_signed(spark, sf_dir), "vec_id", "bits", THRESHOLD))
 
 
 _SAFE = f"""WITH RECURSIVE {MANIFEST}, p AS MATERIALIZED (SELECT DISTINCT sha256 AS g, source_id || '/' || class_name AS s FROM m),
