@@ -209,6 +209,16 @@ def test_every_near_pair_has_the_pairs_of_copies(spark, block):
         assert got == sorted((i, j, far(x, y)) for i, x in whole for j, y in whole if i < j and far(x, y) <= t)
 
 
+@pytest.mark.parametrize("query", ["near_duplicate_pairs", "near_pair_report"])
+def test_near_pairs_are_never_shuffled(spark, query):
+    """Only strings are dealt, to cells; what a task finds is not joined, nor dealt again but as one row of counts for each cell."""
+    from vetlake.plans import inventory
+
+    plan = getattr(inventory, query)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    after, _, before = plan.partition("MapInArrow")
+    assert "Join" not in plan and "Repartition" not in after and before.count("Repartition") == 1
+
+
 def test_near_pair_counts_equal_brute_force(spark):
     rows = _copies(6)
     whole = [r for r in rows if r[0] is not None and r[1] is not None]
