@@ -324,6 +324,17 @@ def test_matches_of_many_pairs_merge_as_those_of_each_pair():
         assert all({(b - a, i) for i in range(a, a + n)} <= covered for a, b, n in zip(x[some].tolist(), y[some].tolist(), words[some].tolist(), strict=True))
 
 
+def test_seeds_and_windows_are_joined_by_sorting(spark, monkeypatch):
+    """A partition's hash table could not spill: it ended a run where memory was short."""
+    plans = []
+    write = S.Scratch.write
+    monkeypatch.setattr(S.Scratch, "write", lambda self, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()) or write(self, df, name))
+    text = " ".join(f"word{i}" for i in range(60))
+    found = S.repeated_passages(spark.createDataFrame([(1, text), (2, text), (3, "other")], "doc_id long, text string"))
+    assert [(r["a"], r["b"], r["n_equal"]) for r in found.collect()] == [(1, 2, 60)]
+    assert plans and not any("ShuffledHashJoin" in p or "shuffle_hash" in p for p in plans)
+
+
 def test_passages_whose_seeds_have_other_first_and_last_holders(spark):
     words = [f"p{i}" for i in range(300)]
     docs = [(100, " ".join(["x1", "x2", *words, "x3"])), (101, " ".join(["y1", *words, "y2", "y3"]))]

@@ -283,7 +283,7 @@ def _met(rows: DataFrame) -> DataFrame:
     text = lambda at: F.shiftright(at, 32)
     lead = rows.groupBy("key").agg(F.min(F.struct("doc", "at", "left", "right")).alias("f"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
     lead = lead.where((F.col("f.doc") != F.col("last.doc")) | (text("f.at") != F.col("last.text"))).select("key", "f")
-    met = rows.join(lead.hint("shuffle_hash"), "key").where((F.col("doc") != F.col("f.doc")) | (text("at") != text("f.at")))
+    met = rows.join(lead.hint("merge"), "key").where((F.col("doc") != F.col("f.doc")) | (text("at") != text("f.at")))
     row = lambda a, b, pa_, pb, key: F.struct(*(x.cast("long").alias(n) for x, n in zip((a, b, pa_, pb, key), ("a", "b", "pa", "pb", "key"), strict=True)))
     part = lambda side, n: F.shiftrightunsigned(side, 16 * (n - 1)).bitwiseAND(F.lit(0xFFFF)) if n else F.lit(1)
     none, ways = F.lit(None), [row(F.col("f.doc"), F.col("doc"), F.col("f.at"), F.col("at"), F.lit(None))]
@@ -685,7 +685,7 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
     def matched(seeds: DataFrame) -> DataFrame:
         groups = seeds.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("at", F.struct("doc", "at")).alias("at_first"), F.max_by("at", F.struct("doc", text("at"), -F.col("at"))).alias("at_last"))
         groups = groups.where((F.col("first") != F.col("last")) | (text("at_first") != text("at_last")))
-        met = seeds.join(groups.hint("shuffle_hash"), "key")
+        met = seeds.join(groups.hint("merge"), "key")  # a hash table of a partition's groups could not spill
         return met.select(F.explode(both).alias("m")).where("m is not null").select("m.*")
 
     # of the others one exchange serves both uses, as the columns are not nullable and the plans thus equal; a frequent
@@ -706,7 +706,7 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
     beside_ = near.where("key is not null").select("key", F.col("b").alias("doc"), F.col("pb").alias("at"))
     lead = beside_.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
     lead = lead.where((F.col("f.doc") != F.col("last.doc")) | (text("f.at") != F.col("last.text"))).select("key", F.col("f.doc").alias("a"), F.col("f.at").alias("pa"))
-    met = beside_.join(lead.hint("shuffle_hash"), "key").where((F.col("doc") != F.col("a")) | (text("at") != text("pa"))).select("a", F.col("doc").alias("b"), "pa", F.col("at").alias("pb"), F.lit(least).alias("words"))
+    met = beside_.join(lead.hint("merge"), "key").where((F.col("doc") != F.col("a")) | (text("at") != text("pa"))).select("a", F.col("doc").alias("b"), "pa", F.col("at").alias("pb"), F.lit(least).alias("words"))
     met = met.unionAll(near.where("key is null").select("a", "b", "pa", "pb", F.lit(size).alias("words")))
     matches = matches.unionAll(met)
     grouped = matches.repartition("a", "b").sortWithinPartitions("a", "b", *([text("pa"), text("pb")] if repeated else []))
