@@ -34,6 +34,19 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_batches_of_long_texts_are_small(spark, tmp_path):
+    from vetlake.llm.common import BATCH_BYTES, small_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    small_batches(spark)
+    texts = spark.range(3000).selectExpr("repeat('abcdefgh', 1000) AS text").coalesce(1)
+    got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 2 * BATCH_BYTES and max(got) < BATCH_BYTES + (1 << 20)
+
+
 PARTS = ["a", "b", "Z", "é", "ß", "中", " ", " ", "\n", "\t", ".", ",", "!", "12", "'s", " ", "　", "\r", "<|endoftext|>", "\x01", "😀", "​", "\x85", "word", " longer,"]
 
 

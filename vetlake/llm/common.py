@@ -28,14 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Rows of an Arrow batch, where the session has Spark's default: texts of some thousand bytes then make batches of some ten megabytes.
-BATCH_ROWS = 4000
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: a batch is held several times, by Spark and by a worker.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, str(64 << 20)) == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
