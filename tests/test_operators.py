@@ -219,6 +219,14 @@ def test_near_pairs_are_never_shuffled(spark, query):
     assert "Join" not in plan and "Repartition" not in after and before.count("Repartition") == 1
 
 
+def test_cells_copy_a_row_a_bounded_number_of_times(spark):
+    """However small blocks are beside the rows: else the shuffle would grow with the square of the rows."""
+    df = spark.range(300).withColumn("x", F.col("id"))
+    for block, ways in ((1000, 1), (100, 3), (7, G.WAYS), (1, G.WAYS)):
+        cells = G._cells(df, "id", block)
+        assert cells.count() == 300 * ways and cells.select("cell").distinct().count() == ways * (ways + 1) // 2
+
+
 def test_near_pair_counts_equal_brute_force(spark):
     rows = _copies(6)
     whole = [r for r in rows if r[0] is not None and r[1] is not None]

@@ -20,6 +20,8 @@ from ..functions.kept import kept
 PROBES = 1 << 16
 #: Strings of a block in a comparison of all pairs, the chunks in which a task compares two blocks, and tasks that share the cells.
 BLOCK, ROWS, COLUMNS, TASKS = 1 << 15, 128, 4096, 4096
+#: Blocks from which on larger ones are made, not more, and strings of the largest: what a row is copied to, and what a task holds.
+WAYS, LARGEST = 12, 1 << 20
 #: Strings of a block where only links are kept: fewer cells hand on fewer of them.
 FOREST = 1 << 16
 
@@ -76,29 +78,37 @@ def near_pairs(rows: DataFrame, key: str, bits: str, threshold: int) -> DataFram
 
 
 def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """rows with a cell for each pair of blocks that a row's block is in, `first` and `second`, all of a cell in one task and in order of cells.
+    """rows with a cell for each pair of blocks that a row's block is in, and the `side` of the cell that it is on (2: both blocks are
+    the same), all of a cell in one task and in order of cells.
 
-    Blocks go by a hash of the key, so that copies of a string are spread, and a repeated key stays in one block.
+    Blocks go by a hash of the key, so that copies of a string are spread, and a repeated key stays in one block. A row is copied
+    once for each block: beyond WAYS of them blocks grow instead, up to LARGEST rows, so that the shuffle grows with the rows.
     """
-    k = max(1, -(-rows.count() // block))
+    n = rows.count()
+    k = max(1, min(-(-n // block), max(WAYS, -(-n // LARGEST))))
     own, other = F.pmod(F.xxhash64(key), F.lit(k)), F.col("other")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
-    dealt = dealt.withColumn("first", F.least("own", other)).withColumn("second", F.greatest("own", other)).drop("other")
+    first, second = F.least("own", other), F.greatest("own", other)
     # cells of the triangle are numbered row by row, so that they are dealt evenly
-    place = F.expr("first * {0} - first * (first - 1) div 2 + second - first".format(k))
-    tasks = min(TASKS, k * (k + 1) // 2)
-    return dealt.withColumn("cell", place).repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell")
+    cell = first * k - F.expr("least(own, other) * (least(own, other) - 1) div 2") + second - first
+    side = F.when(F.col("own") == other, 2).otherwise((F.col("own") == second).cast("int")).cast("tinyint")
+    dealt = dealt.select(*rows.columns, cell.cast("int").alias("cell"), side.alias("side"))
+    cells = k * (k + 1) // 2
+    tasks = min(TASKS, cells)
+    dealt = dealt.repartitionById(tasks, (F.col("cell") % tasks).cast("int"))
+    return dealt.sortWithinPartitions("cell") if tasks < cells else dealt
 
 
 def _by_cell(batches):
     """(rows of the first block, rows of the second one, None where both are the same) of each cell."""
 
     def made(parts):
-        table = pa.Table.from_batches(parts).combine_chunks()
-        first, second, own = (table.column(n).to_numpy() for n in ("first", "second", "own"))
-        if first[0] == second[0]:
-            return table, None
-        return table.filter(pa.array(own == first)), table.filter(pa.array(own == second))
+        table = pa.Table.from_batches(parts)
+        side = table.column("side")
+        table = table.drop_columns(["cell", "side"])
+        if side[0].as_py() == 2:
+            return table.combine_chunks(), None
+        return tuple(table.filter(pc.equal(side, s)).combine_chunks() for s in (0, 1))
 
     at, parts = None, []
     for batch in batches:
@@ -163,7 +173,8 @@ def every_near_pair(rows: DataFrame, key: str, bits: str, threshold: int, block:
 
     For wide thresholds, where no index leaves out much: rows are dealt in blocks of about `block`, a shuffle brings each pair of
     blocks to a task, which compares them in chunks and hands pairs on as it finds them. Time grows with the square of the
-    rows, what is shuffled with rows times blocks; pairs themselves are never shuffled. Null keys and strings are left out.
+    rows; what is shuffled are at most WAYS copies of each, up to WAYS * LARGEST rows; pairs themselves are never shuffled.
+    Null keys and strings are left out.
     """
     own = _as_cells(rows, key, bits)
     kind = dict(own.dtypes)[key]
