@@ -335,6 +335,28 @@ def test_seeds_and_windows_are_joined_by_sorting(spark, monkeypatch):
     assert plans and not any("ShuffledHashJoin" in p or "shuffle_hash" in p for p in plans)
 
 
+def test_rare_seeds_and_windows_meet_their_first_without_a_join(spark, monkeypatch):
+    """One sort by key serves; only what is frequent is joined. What is frequent is found in one pass over the texts."""
+    plans = {}
+    write = S.Scratch.write
+    monkeypatch.setattr(S.Scratch, "write", lambda self, df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(self, df, name))
+    text = " ".join(f"word{i}" for i in range(60))
+    S.repeated_passages(spark.createDataFrame([(1, text), (2, text), (3, "other")], "doc_id long, text string"))
+    assert plans["met"].count("Window [") == 1 and plans["met"].count("Join") == 1 and plans["met"].count("MapInArrow") == 1
+    assert plans["chains-0"].count("Window [") == 1 and plans["frequent"].count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("n", range(12))
+def test_seeds_of_few_words(n):
+    """A run of texts may be one short text: all its shingles are one window."""
+    hashes = np.random.default_rng(n).integers(1, 1 << 62, n).astype(np.uint64)
+    own, pos, key = S.winnow(hashes, np.array([0, n]), 5, 8)
+    assert len(pos) == (n >= 5) and not own.any()
+    if n >= 5:
+        g = S.grams(hashes, 5)
+        assert pos[0] == np.argmin(g) and key[0] == S.mix(g[pos])[0]
+
+
 def test_passages_whose_seeds_have_other_first_and_last_holders(spark):
     words = [f"p{i}" for i in range(300)]
     docs = [(100, " ".join(["x1", "x2", *words, "x3"])), (101, " ".join(["y1", *words, "y2", "y3"]))]

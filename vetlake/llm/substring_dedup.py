@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,9 @@ FREQUENT = 0.002
 NEAR = 5
 #: Bits of the map of shared anchors, as a power of two; a full map costs time and loses nothing.
 MAP_BITS = 27
+#: In the place of a document: a row that counts seeds.
+SEED = -(1 << 63)
+COUNTED = T.StructType([T.StructField(n, T.LongType(), False) for n in ("key", "doc", "n")])
 SEEDS = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("doc", T.LongType(), False), T.StructField("at", T.LongType(), False)])
 
 
@@ -58,24 +61,36 @@ def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[
     at = np.arange(n)
     stop = first[doc[:n] + 1] - k + 1  # where the text's shingles end
     inside = at < stop
-    begins = inside & ((at + window <= stop) | (at == first[doc[:n]]))
-    least = g.copy()
-    for j in range(1, window):
-        some = inside[: n - j] & (at[: n - j] + j < stop[: n - j])
-        np.minimum(least[: n - j], g[j:], out=least[: n - j], where=some)
-    chosen = np.zeros(n, bool)
-    for j in range(window):
-        chosen[j:] |= begins[: n - j] & (at[: n - j] + j < stop[: n - j]) & (g[j:] == least[: n - j])
+    whole = inside & (at + window <= stop)
+    least = np.concatenate((np.where(inside, g, U(0xFFFFFFFFFFFFFFFF)), np.full(window, U(0xFFFFFFFFFFFFFFFF))))
+    least = np.where(whole, _sliding(least, window, np.minimum)[:n], U(0))
+    most = _sliding(np.concatenate((np.zeros(window - 1, np.uint64), least)), window, np.maximum)[:n]
+    chosen = inside & (most == g)
+    size = first[1:] - k + 1 - first[:-1]  # texts of fewer shingles are one window
+    short = (size > 0) & (size < window)
+    if short.any():
+        size = size[short]
+        begin = np.cumsum(size) - size
+        own = np.repeat(first[:-1][short] - begin, size) + np.arange(size.sum())
+        chosen[own] = g[own] == np.repeat(np.minimum.reduceat(g[own], begin), size)
     pos = np.flatnonzero(chosen)
     own, value = doc[pos], g[pos]
-    order = np.lexsort((pos, value, own))
+    if not len(pos):
+        return own, pos, value
+    # only seeds that a text has more than once need an order; equal ones are neighbours when sorted by text and value as one hash
+    both = value + own.astype(np.uint64) * MULTIPLIERS[7]
+    order = np.argsort(both)
+    same = both[order[1:]] == both[order[:-1]]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    order = order[np.lexsort((pos[order], value[order], own[order]))]
     o, v = own[order], value[order]
+    at = np.arange(len(o))
     start = np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]))) if len(o) else np.zeros(0, bool)
-    nth = np.arange(len(o)) - np.maximum.accumulate(np.where(start, np.arange(len(o)), 0))
-    key = np.empty(len(pos), np.uint64)
-    key[order] = mix(v + nth.astype(np.uint64) * MULTIPLIERS[3])
+    nth = np.zeros(len(pos), np.uint64)
+    nth[order] = at - np.maximum.accumulate(np.where(start, at, 0))
+    key = mix(value + nth * MULTIPLIERS[3])
     # all occurrences also meet the first one in another text, but not those within a run of a repeated word
-    more = order[(nth > 0) & (np.diff(pos[order], prepend=0) >= k)]
+    more = order[(nth[order] > 0) & (np.diff(pos[order], prepend=0) >= k)]
     return np.concatenate((own, own[more])), np.concatenate((pos, pos[more])), np.concatenate((key, mix(g[pos[more]])))
 
 
@@ -84,53 +99,39 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (column(batch, n).to_numpy(zero_copy_only=False).astype(np.int64) << shift for n, shift in (("doc_id", 0), ("variant", 32)))
 
 
-def _winnowed(batches, k: int, window: int):
-    """(document ids, word positions, seed keys) of runs of texts."""
+def _texts(batches):
+    """(document ids, variants, word hashes, first words) of runs of texts."""
     for batch in batches:
         ids, variant = _ids(batch)
         data, offsets = text_buffers(column(batch, "text"))
         for lo, hi in chunks(offsets):
-            offs = offsets[lo : hi + 1] - offsets[lo]
-            _, _, hashes, first = WHITE_WORDS(data[offsets[lo] : offsets[hi]], offs)
-            own, pos, key = winnow(hashes, first, k, window)
-            yield ids[lo + own], (pos - first[own]) | variant[lo + own], key
+            _, _, hashes, first = WHITE_WORDS(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield ids[lo:hi], variant[lo:hi], hashes, first
 
 
-def _common_seeds(k: int, window: int):
-    """Rows (doc_id, text) -> rows (key, n): seeds that repeat within a block of texts."""
+def _own_seeds(text, k: int, window: int, frequent, common: bool) -> list[np.ndarray]:
+    """(key, doc, at) of the frequent seeds of a run of texts, or of the others."""
+    ids, variant, hashes, first = text
+    own, pos, key = winnow(hashes, first, k, window)
+    often = np.frombuffer(frequent.value, np.uint64)
+    some = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key if len(often) else np.zeros(len(key), bool)
+    some = some == common
+    own, pos, key = own[some], pos[some], key[some]
+    return [key.view(np.int64), ids[own], (pos - first[own]) | variant[own]]
 
-    def run(batches):
-        held, size, docs = [], 0, 0
 
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= max(4, FREQUENT * docs / 2)
-            return pa.record_batch([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["key", "n"])
-
-        for ids, _, key in _winnowed(batches, k, window):
-            held.append(key)
-            size += len(key)
-            docs += len(np.unique(ids))
-            if size > 1 << 20:
-                yield flush()
-                held, size, docs = [], 0, 0
-        if size:
-            yield flush()
-
-    return run
+def _rows(cols, schema: T.StructType) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in cols], schema=pa.schema([pa.field(f.name, pa.bool_() if f.dataType == T.BooleanType() else pa.int64(), False) for f in schema]))
 
 
-def _seeds(k: int, window: int, frequent, common: bool):
-    """Rows (doc_id, text) -> rows (key, doc, at) of the frequent seeds, or of the others."""
+def _seeds(k: int, window: int, frequent):
+    """Rows (doc_id, text) -> rows (key, doc, at) of the seeds that are not frequent."""
 
     def run(batches):
-        often = np.frombuffer(frequent.value, np.uint64)
-        schema = pa.schema([pa.field(n, pa.int64(), False) for n in ("key", "doc", "at")])
-        for ids, pos, key in _winnowed(batches, k, window):
-            own = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key if len(often) else np.zeros(len(key), bool)
-            own = own == common
-            if own.any():
-                yield pa.record_batch([pa.array(key[own].view(np.int64)), pa.array(ids[own]), pa.array(pos[own])], schema=schema)
+        for text in _texts(batches):
+            cols = _own_seeds(text, k, window, frequent, False)
+            if len(cols[0]):
+                yield _rows(cols, SEEDS)
 
     return run
 
@@ -170,41 +171,47 @@ def _sliding(x: np.ndarray, window: int, least) -> np.ndarray:
     return x
 
 
-def _texts(batches):
-    """(document ids, variants, word hashes, first words) of runs of texts."""
-    for batch in batches:
-        ids, variant = _ids(batch)
-        data, offsets = text_buffers(column(batch, "text"))
-        for lo, hi in chunks(offsets):
-            _, _, hashes, first = WHITE_WORDS(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield ids[lo:hi], variant[lo:hi], hashes, first
+def _counted(k: int, window: int, long: int, near: int):
+    """Rows (doc_id, text) -> rows (key, doc, n): the anchors of each text, doc being whatever tells rows apart, and seeds that
+    repeat within a block of texts, with SEED in the place of doc."""
 
+    def run(batches):
+        held, size, docs = [], 0, 0
 
-def _anchors(k: int, window: int):
-    """Rows (doc_id, text) -> rows (key, doc): the anchors of each text; doc is whatever tells rows apart."""
+        def flush():
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            keep = counts >= max(4, FREQUENT * docs / 2)
+            return _rows((values[keep].view(np.int64), np.full(keep.sum(), SEED), counts[keep]), COUNTED)
 
-    def run(batches):
         for ids, variant, hashes, first in _texts(batches):
-            pos, key, _ = anchors(hashes, first, k, window)
-            ids = np.where(variant == 0, ids, mix(ids.view(np.uint64) + mix(variant.view(np.uint64))).view(np.int64))
-            own = ids[np.searchsorted(first, pos, "right") - 1]
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own, pa.int64())], ["key", "doc"])
+            pos, key, _ = anchors(hashes, first, long, near)
+            told = np.where(variant == 0, ids, mix(ids.view(np.uint64) + mix(variant.view(np.uint64))).view(np.int64))
+            yield _rows((key.view(np.int64), told[np.searchsorted(first, pos, "right") - 1], np.ones(len(pos), np.int64)), COUNTED)
+            held.append(winnow(hashes, first, k, window)[2])
+            size += len(held[-1])
+            docs += len(np.unique(ids))
+            if size > 1 << 20:
+                yield flush()
+                held, size, docs = [], 0, 0
+        if size:
+            yield flush()
 
     return run
 
 
-def anchor_map(rows: DataFrame, often: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors (key, doc) -> (bits: set where the first MAP_BITS bits of a key are those of one that two documents have; keys that
-    occur `often`, sorted)."""
-    counted = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    counted = scratch.write(counted.select("key", "n"), "anchors")
-    slot = counted.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("slot"))
+def maps(rows: DataFrame, often: float, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counted anchors and seeds -> (bits: set where the first MAP_BITS bits of a key are those of an anchor that two documents
+    have; such anchors that occur `often`, sorted; seeds that do, sorted)."""
+    counted = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("n").alias("n")).where((F.col("lo") != F.col("hi")) | ((F.col("lo") == SEED) & (F.col("n") >= often)))
+    counted = scratch.write(counted.select("key", "n", (F.col("lo") == F.col("hi")).alias("seed")), "anchors")
+    slot = counted.where("not seed").select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("slot"))
     words = slot.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    common = counted.where(F.col("n") >= often).toPandas()["key"].to_numpy(np.int64).view(np.uint64)  # bounded: see FREQUENT
+    common = counted.where(F.col("n") >= often).select("key", "seed").toPandas()  # bounded: see FREQUENT
     scratch.drop("anchors")
-    return out, np.sort(common)
+    seed, key = common["seed"].to_numpy(bool), common["key"].to_numpy(np.int64).view(np.uint64)
+    return out, np.sort(key[~seed]), np.sort(key[seed])
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, near: np.ndarray, size: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,39 +258,72 @@ def beside(hashes: np.ndarray, first: np.ndarray, own: np.ndarray, pos: np.ndarr
 
 
 PICKED = T.StructType([T.StructField(n, T.LongType(), False) for n in ("key", "doc", "at", "left", "right")])
+BOTH = T.StructType([*PICKED.fields, T.StructField("seed", T.BooleanType(), False)])
 
 
-def _windows(k: int, window: int, size: int, shared, common: bool):
-    """Rows (doc_id, text) -> rows (key, doc, at, left, right): windows of `size` words around anchors that the map has.
+def _own_windows(text, k: int, window: int, size: int, shared, common: bool) -> list[np.ndarray]:
+    """(key, doc, at, left, right): windows of `size` words, of a run of texts, around anchors that the map has.
 
     Those whose least anchor occurs often are given with `common`, the others without.
     """
+    bits, often = (np.frombuffer(x, np.uint64) for x in shared.value)
+    ids, variant, hashes, first = text
+    pos, key, least = anchors(hashes, first, k, window)
+    slot = key >> U(64 - MAP_BITS)
+    near = pos[(bits[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1]
+    own, pos, key = windows(hashes, first, near, size, window - 1)
+    some = np.isin(least[pos], often) == common
+    own, pos, key = own[some], pos[some], key[some]
+    left, right = beside(hashes, first, own, pos, size)
+    return [key.view(np.int64), ids[own], (pos - first[own]) | variant[own], left.view(np.int64), right.view(np.int64)]
+
+
+def _windows(k: int, window: int, size: int, shared):
+    """Rows (doc_id, text) -> rows (key, doc, at, left, right) of the windows that are not common."""
 
     def run(batches):
-        bits, often = (np.frombuffer(x, np.uint64) for x in shared.value)
-        schema = pa.schema([pa.field(n, pa.int64(), False) for n in PICKED.names])
-        for ids, variant, hashes, first in _texts(batches):
-            pos, key, least = anchors(hashes, first, k, window)
-            slot = key >> U(64 - MAP_BITS)
-            near = pos[(bits[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1]
-            own, pos, key = windows(hashes, first, near, size, window - 1)
-            some = np.isin(least[pos], often) == common
-            own, pos, key = own[some], pos[some], key[some]
-            if len(pos):
-                left, right = beside(hashes, first, own, pos, size)
-                cols = (key.view(np.int64), ids[own], (pos - first[own]) | variant[own], left.view(np.int64), right.view(np.int64))
-                yield pa.record_batch([pa.array(c) for c in cols], schema=schema)
+        for text in _texts(batches):
+            cols = _own_windows(text, k, window, size, shared, False)
+            if len(cols[0]):
+                yield _rows(cols, PICKED)
+
+    return run
+
+
+def _frequent(seeds: tuple, picks: tuple):
+    """Rows (doc_id, text) -> rows (key, doc, at, left, right, seed): frequent seeds and common windows, from one pass over the texts."""
+
+    def run(batches):
+        for text in _texts(batches):
+            cols = _own_seeds(text, *seeds, True)
+            none = np.zeros(len(cols[0]), np.int64)
+            for made, seed in (([*cols, none, none], True), (_own_windows(text, *picks, True), False)):
+                if len(made[0]):
+                    yield _rows([*made, np.full(len(made[0]), seed)], BOTH)
 
     return run
 
 
-def _met(rows: DataFrame) -> DataFrame:
+def _led(rows: DataFrame, group: dict[str, Column], keep: Column, spread: bool) -> DataFrame:
+    """rows with aggregates of all rows of their key, where `keep` holds for those.
+
+    One sort and no join for keys that few rows have; with `spread`, for keys that very many may have, sums are partial before the
+    shuffle and the join can be split. Both spill, which a hash table of a partition's groups could not.
+    """
+    if not spread:
+        own = Window.partitionBy("key")
+        return rows.select("*", *(c.over(own).alias(n) for n, c in group.items())).where(keep)
+    lead = rows.groupBy("key").agg(*(c.alias(n) for n, c in group.items())).where(keep)
+    return rows.join(lead.hint("merge"), "key")
+
+
+def _met(rows: DataFrame, spread: bool) -> DataFrame:
     """Picked windows -> rows (a, b, pa, pb, key): pairs with the first document of a window; or, with a key and no pair, those
     with other words beside it than that one has: one row for each way that adds NEAR - 1 words."""
     text = lambda at: F.shiftright(at, 32)
-    lead = rows.groupBy("key").agg(F.min(F.struct("doc", "at", "left", "right")).alias("f"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
-    lead = lead.where((F.col("f.doc") != F.col("last.doc")) | (text("f.at") != F.col("last.text"))).select("key", "f")
-    met = rows.join(lead.hint("merge"), "key").where((F.col("doc") != F.col("f.doc")) | (text("at") != text("f.at")))
+    group = {"f": F.min(F.struct("doc", "at", "left", "right")), "last": F.max(F.struct("doc", text("at").alias("text")))}
+    met = _led(rows, group, (F.col("f.doc") != F.col("last.doc")) | (text("f.at") != F.col("last.text")), spread)
+    met = met.where((F.col("doc") != F.col("f.doc")) | (text("at") != text("f.at")))
     row = lambda a, b, pa_, pb, key: F.struct(*(x.cast("long").alias(n) for x, n in zip((a, b, pa_, pb, key), ("a", "b", "pa", "pb", "key"), strict=True)))
     part = lambda side, n: F.shiftrightunsigned(side, 16 * (n - 1)).bitwiseAND(F.lit(0xFFFF)) if n else F.lit(1)
     none, ways = F.lit(None), [row(F.col("f.doc"), F.col("doc"), F.col("f.at"), F.col("at"), F.lit(None))]
@@ -672,37 +712,33 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     docs, repeated = _keyed(docs)
-    counted = docs.mapInArrow(lean(_common_seeds(k, window)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     least_often = max(50, FREQUENT * docs.count() / 2)
-    often = counted.where(F.col("n") >= least_often).toPandas()["key"].to_numpy(np.int64).view(np.uint64)  # bounded: see FREQUENT
-    shared = spark.sparkContext.broadcast(np.sort(often).tobytes())
+    # runs of `least` equal words, of which every document with one meets the first: an anchor is in each picked window
+    size = least - NEAR + 1
+    long = size // 2 + 1
+    bits, anchors_often, seeds_often = maps(docs.mapInArrow(lean(_counted(k, window, long, size - long + 1)), COUNTED), least_often, scratch)
+    seeds = k, window, spark.sparkContext.broadcast(seeds_often.tobytes())
+    picks = long, size - long + 1, size, spark.sparkContext.broadcast([bits.tobytes(), anchors_often.tobytes()])
+    scratch.free_shuffles()
     # one generator for both partners: each seed meets its first document, and its last unless that pair is known
     pair = lambda a, b, pa_, pb: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(pa_).alias("pa"), F.col(pb).alias("pb"))
     text = lambda at: F.shiftright(at, 32)
     differ = lambda x, y: (F.col("doc") != F.col(x)) | (text("at") != text(y))
     both = F.array(F.when(differ("first", "at_first"), pair("first", "doc", "at_first", "at")), F.when(differ("last", "at_last") & differ("first", "at_first"), pair("doc", "last", "at", "at_last")))
 
-    def matched(seeds: DataFrame) -> DataFrame:
-        groups = seeds.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("at", F.struct("doc", "at")).alias("at_first"), F.max_by("at", F.struct("doc", text("at"), -F.col("at"))).alias("at_last"))
-        groups = groups.where((F.col("first") != F.col("last")) | (text("at_first") != text("at_last")))
-        met = seeds.join(groups.hint("merge"), "key")  # a hash table of a partition's groups could not spill
+    def matched(rows: DataFrame, spread: bool) -> DataFrame:
+        group = {"f": F.min(F.struct("doc", "at")), "l": F.max(F.struct("doc", text("at").alias("text"), (-F.col("at")).alias("back")))}
+        met = _led(rows, group, (F.col("f.doc") != F.col("l.doc")) | (text("f.at") != F.col("l.text")), spread)
+        met = met.select("doc", "at", F.col("f.doc").alias("first"), F.col("f.at").alias("at_first"), F.col("l.doc").alias("last"), (-F.col("l.back")).alias("at_last"))
         return met.select(F.explode(both).alias("m")).where("m is not null").select("m.*")
 
-    # of the others one exchange serves both uses, as the columns are not nullable and the plans thus equal; a frequent
-    # seed may have a share of all documents: its sums are partial before the shuffle, and the join can be split
-    rest, common = (docs.mapInArrow(lean(_seeds(k, window, shared, c)), SEEDS) for c in (False, True))
-    matches = matched(rest.repartition("key")).unionAll(matched(scratch.write(common, "common"))).withColumn("words", F.lit(k))
-
-    # runs of `least` equal words, of which every document with one meets the first: an anchor is in each picked window
-    size = least - NEAR + 1
-    long = size // 2 + 1
-    maps = anchor_map(docs.mapInArrow(lean(_anchors(long, size - long + 1)), "key long, doc long"), math.ceil(least_often), scratch)
-    bits = spark.sparkContext.broadcast([x.tobytes() for x in maps])
-    scratch.free_shuffles()
-    rest, common = (docs.mapInArrow(lean(_windows(long, size - long + 1, size, bits, c)), PICKED) for c in (False, True))
-    near = scratch.write(_met(rest.repartition("key")).unionAll(_met(scratch.write(common, "windows"))), "met")
-    scratch.drop("windows")
+    # what is frequent may have a share of all documents, so it goes a way of its own
+    frequent = scratch.write(docs.mapInArrow(lean(_frequent(seeds, picks)), BOTH), "frequent")
+    rest = docs.mapInArrow(lean(_windows(*picks)), PICKED)
+    near = scratch.write(_met(rest.repartition("key"), False).unionAll(_met(frequent.where("not seed").drop("seed"), True)), "met")
     scratch.free_shuffles()
+    rest = docs.mapInArrow(lean(_seeds(*seeds)), SEEDS)
+    matches = matched(rest.repartition("key"), False).unionAll(matched(frequent.where("seed").select("key", "doc", "at"), True)).withColumn("words", F.lit(k))
     beside_ = near.where("key is not null").select("key", F.col("b").alias("doc"), F.col("pb").alias("at"))
     lead = beside_.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.max(F.struct("doc", text("at").alias("text"))).alias("last"))
     lead = lead.where((F.col("f.doc") != F.col("last.doc")) | (text("f.at") != F.col("last.text"))).select("key", F.col("f.doc").alias("a"), F.col("f.at").alias("pa"))
@@ -728,7 +764,7 @@ def _passages(docs: DataFrame, least: int, k: int, share: float, window: int) ->
             break
         chains = scratch.write(chains.join(on, "chain", "left_semi"), f"chains-{n + 1}")  # once more, with more words
         margin *= GROWTH
-    scratch.drop("common", "met", *(f"chains-{n}" for n in range(len(parts))))
+    scratch.drop("frequent", "met", *(f"chains-{n}" for n in range(len(parts))))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionAll(more)
