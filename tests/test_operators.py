@@ -239,6 +239,16 @@ def test_near_pair_counts_equal_brute_force(spark):
     assert tuple(G.near_pair_counts(df.limit(0), "id", "bits", "label", 20).first()) == (0, 0, 0)
 
 
+def test_near_pair_counts_join_numbers_not_strings(spark, monkeypatch):
+    """What meets its labels is 8 bytes of a string: the characters are read below the join and end there."""
+    seen, real = [], G.kept
+    monkeypatch.setattr(G, "kept", lambda df, name: seen.append(df) or real(df, name))
+    df = spark.createDataFrame(_copies(7), "id long, bits string, label int")
+    G.near_pair_counts(df, "id", "bits", "label", 20)
+    above, join, below = seen[0]._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert join and "bits" in below and "bits" not in above
+
+
 def test_near_forest_joins_what_near_pairs_join_with_few_links(spark):
     rows = _copies(8)
     whole = [(i, b) for i, b, _ in rows if i is not None and b is not None]

@@ -163,9 +163,12 @@ def _pairs_in(key: str, threshold: int):
     return run
 
 
-def _as_cells(rows: DataFrame, key: str, bits: str, *more: str) -> DataFrame:
-    rows = rows.where(F.col(key).isNotNull() & F.col(bits).isNotNull())
-    return kept(rows.select(key, bits_as_long(F.col(bits)).alias("x"), *more), "strings")
+def _packed(rows: DataFrame, key: str, bits: str) -> DataFrame:
+    return rows.where(F.col(key).isNotNull() & F.col(bits).isNotNull()).select(key, bits_as_long(F.col(bits)).alias("x"))
+
+
+def _as_cells(rows: DataFrame, key: str, bits: str) -> DataFrame:
+    return kept(_packed(rows, key, bits), "strings")
 
 
 def every_near_pair(rows: DataFrame, key: str, bits: str, threshold: int, block: int = BLOCK) -> DataFrame:
@@ -202,7 +205,7 @@ def near_pair_counts(rows: DataFrame, key: str, bits: str, label: str, threshold
 
     Counted where they are found, so that no pair leaves its task. A key with several rows counts once for each of its labels.
     """
-    own = _as_cells(rows.select(key, bits).join(rows.select(key, label), key), key, bits, label)
+    own = kept(_packed(rows, key, bits).join(rows.select(key, label), key), "strings")  # 8 bytes of a string are shuffled, not its 64 characters
     counts = _cells(own, key, block).mapInArrow(_counts_in(key, label, threshold), "pairs long, same long, cross long")
     return counts.agg(*(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("pairs", "same", "cross")))
 
